@@ -34,8 +34,9 @@ def strip_think(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, THINK_CLOSED, ""), THINK_OPEN, "")
 
 
-def _named(v: Column) -> Column:
-    return F.when(jsonx.has_key(v, "name"), v)
+def named_calls(candidates: Column) -> Column:
+    """Strictly parsed candidates that are objects with key ``name``, in order."""
+    return F.filter(jsonx.parse_strict_all(candidates), lambda v: jsonx.has_key(v, "name"))
 
 
 def flat_objects(clean: Column) -> Column:
@@ -43,9 +44,13 @@ def flat_objects(clean: Column) -> Column:
     return F.regexp_extract_all(clean, F.lit(FLAT_OBJECT), 0)
 
 
-def _first_flat_call(clean: Column) -> Column:
-    named = F.filter(jsonx.parse_strict_all(flat_objects(clean)), lambda v: jsonx.has_key(v, "name"))
-    return F.try_element_at(named, F.lit(1))
+def first_matches(clean: Column) -> Column:
+    """First match of the fenced, tool-call-tag and function-call forms, in that order."""
+    return F.array(*[F.regexp_extract(clean, p, 1) for p in (FENCED_BLOCK, TOOL_CALL_TAG, FUNCTION_CALL_TAG)])
+
+
+def tool_call_blocks(clean: Column) -> Column:
+    return F.regexp_extract_all(clean, F.lit(TOOL_CALL_BLOCK), 1)
 
 
 def extract_call(clean: Column) -> Column:
@@ -53,21 +58,18 @@ def extract_call(clean: Column) -> Column:
 
     Each of the three tagged forms is tried on its first match only; the
     first that parses to an object with key ``name`` wins, else the first
-    flat object that does.
+    flat object that does. (Single-expression form; ``with_calls`` in
+    ``operators.rewards`` stages the same steps so each candidate is parsed once.)
     """
-    def first_match(pattern: str) -> Column:
-        return _named(jsonx.parse_strict(F.regexp_extract(clean, pattern, 1)))
-
-    return F.coalesce(first_match(FENCED_BLOCK), first_match(TOOL_CALL_TAG),
-                      first_match(FUNCTION_CALL_TAG), _first_flat_call(clean))
+    return F.try_element_at(F.concat(named_calls(first_matches(clean)), named_calls(flat_objects(clean))),
+                            F.lit(1))
 
 
 def extract_calls(clean: Column) -> Column:
     """Every ``<tool_call>`` block that parses to an object with ``name``;
     if there is none, every flat object that does. ``array<variant>``."""
-    tagged = F.filter(jsonx.parse_strict_all(F.regexp_extract_all(clean, F.lit(TOOL_CALL_BLOCK), 1)),
-                      lambda v: jsonx.has_key(v, "name"))
-    flat = F.filter(jsonx.parse_strict_all(flat_objects(clean)), lambda v: jsonx.has_key(v, "name"))
+    tagged = named_calls(tool_call_blocks(clean))
+    flat = named_calls(flat_objects(clean))
     return F.when(F.size(tagged) > 0, tagged).otherwise(flat)
 
 

@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 def parse_strict(s: Column) -> Column:
     """VARIANT of a string holding exactly one JSON document, else NULL."""
-    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))),
-                            "$", "array<variant>")
-    return F.when(F.size(arr) == 1, F.try_element_at(arr, F.lit(1)))
+    return F.try_element_at(parse_strict_all(F.array(s)), F.lit(1))
 
 
 def parse_strict_all(strings: Column) -> Column:

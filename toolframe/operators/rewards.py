@@ -24,7 +24,7 @@ EMPTY_CHAIN = "[]"
 
 @dataclass(frozen=True)
 class Ctx:
-    """Columns a reward can read."""
+    """Columns a reward can read (all staged once by ``score``)."""
 
     call: Column          # VARIANT first call (E2) or NULL
     calls: Column         # array<variant> all calls (E3)
@@ -32,6 +32,11 @@ class Ctx:
     expected_tool: Column
     expected_args: Column
     expected_chain: Column
+    call_args: Column     # VARIANT arguments/parameters of ``call``; NULL = neither key
+    pred_kv: Column       # key=json(value) pairs of the call's arguments; NULL = not an object
+    exp_kv: Column        # same for expected_args; NULL = not a JSON object
+    pred_names: Column    # lower/stripped names of ``calls``
+    exp_names: Column     # lower/stripped expected chain; NULL = not a JSON array
 
 
 @dataclass(frozen=True)
@@ -84,9 +89,8 @@ def _predicted_names(calls: Column) -> Column:
 def schema_validation(ctx: Ctx) -> Column:
     """A call exists, ``name`` is a non-empty string, arguments are an object."""
     name = extract.call_name(ctx.call)
-    args = jsonx.call_arguments(ctx.call)
     ok = (ctx.call.isNotNull() & name.isNotNull() & (F.length(name) > 0)
-          & (args.isNull() | jsonx.as_object(args).isNotNull()))
+          & (ctx.call_args.isNull() | jsonx.as_object(ctx.call_args).isNotNull()))
     return F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
@@ -98,11 +102,7 @@ def tool_name(ctx: Ctx) -> Column:
 
 def argument_f1(ctx: Ctx) -> Column:
     """F1 of ``key=json(value)`` pairs; both empty -> 1; anything invalid -> 0."""
-    raw = jsonx.call_arguments(ctx.call)
-    reparsed = F.when(jsonx.is_string(raw), jsonx.parse_strict(jsonx.as_string(raw))).otherwise(raw)
-    pred = F.when(raw.isNull(), F.array().cast("array<string>")).otherwise(
-        jsonx.kv_pairs(jsonx.as_object(reparsed)))
-    exp = jsonx.kv_pairs(jsonx.as_object(jsonx.parse_strict(ctx.expected_args)))
+    pred, exp = ctx.pred_kv, ctx.exp_kv
     tp = F.size(F.array_intersect(pred, exp)).cast("double")
     n_pred = F.size(pred).cast("double")
     n_exp = F.size(exp).cast("double")
@@ -116,8 +116,7 @@ def argument_f1(ctx: Ctx) -> Column:
 
 def full_chain(ctx: Ctx) -> Column:
     """Predicted call names equal the expected chain, position by position."""
-    exp = _expected_names(ctx.expected_chain)
-    pred = _predicted_names(ctx.calls)
+    exp, pred = ctx.exp_names, ctx.pred_names
     same = (F.size(pred) == F.size(exp)) & F.forall(
         F.zip_with(pred, exp, lambda p, e: F.coalesce(p == e, F.lit(False))), lambda x: x)
     return F.when(exp.isNotNull() & F.coalesce(same, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -125,8 +124,7 @@ def full_chain(ctx: Ctx) -> Column:
 
 def chain_partial(ctx: Ctx) -> Column:
     """Share of expected positions holding the expected name; empty -> 0."""
-    exp = _expected_names(ctx.expected_chain)
-    pred = _predicted_names(ctx.calls)
+    exp, pred = ctx.exp_names, ctx.pred_names
     hits = F.size(F.filter(F.zip_with(exp, pred, lambda e, p: F.coalesce(e == p, F.lit(False))),
                            lambda x: x))
     return (F.when(exp.isNull() | (F.size(exp) == 0), F.lit(0.0))
@@ -145,13 +143,51 @@ register_reward("chain_partial", chain_partial, _chain_gate)
 
 
 def with_calls(df: DataFrame, completion: str = "completion") -> DataFrame:
-    """Project the think-stripped text, first call and all calls once."""
+    """E1-E3 plus the prediction-side inputs of the rewards, as staged projections.
+
+    Adds ``call`` (first call, E2), ``calls`` (all calls, E3) and the staged
+    ``_call_args``, ``_pred_kv``, ``_pred_names``. Every regex runs at most once
+    per row and every candidate is parsed once. The flat-object scan is a
+    fallback of both extractors, so it only runs for rows that need it.
+    Row-local: run it on the completions side before any join.
+    """
     empty = F.array().cast("array<variant>")
-    staged = df.withColumn("_clean", extract.strip_think(F.col(completion)))
-    return (staged
-            .withColumn("call", extract.extract_call(F.col("_clean")))
-            .withColumn("calls", F.coalesce(extract.extract_calls(F.col("_clean")), empty))
-            .drop("_clean"))
+    need_flat = (F.size("_named_heads") == 0) | (F.size("_named_blocks") == 0)
+    raw = F.col("_call_args")
+    reparsed = F.when(jsonx.is_string(raw), jsonx.parse_strict(jsonx.as_string(raw))).otherwise(raw)
+    return (df
+            .withColumn("_clean", extract.strip_think(F.col(completion)))
+            .withColumn("_named_heads", extract.named_calls(extract.first_matches(F.col("_clean"))))
+            .withColumn("_named_blocks", extract.named_calls(extract.tool_call_blocks(F.col("_clean"))))
+            .withColumn("_named_flat", F.when(need_flat, F.coalesce(
+                extract.named_calls(extract.flat_objects(F.col("_clean"))), empty)).otherwise(empty))
+            .withColumn("call", F.coalesce(F.try_element_at("_named_heads", F.lit(1)),
+                                           F.try_element_at("_named_flat", F.lit(1))))
+            .withColumn("calls", F.when(F.size("_named_blocks") > 0, F.col("_named_blocks"))
+                        .otherwise(F.col("_named_flat")))
+            .drop("_clean", "_named_heads", "_named_blocks", "_named_flat")
+            .withColumn("_call_args", jsonx.call_arguments(F.col("call")))
+            .withColumn("_pred_names", _predicted_names(F.col("calls")))
+            .withColumn("_pred_kv", F.when(raw.isNull(), F.array().cast("array<string>"))
+                        .otherwise(jsonx.kv_pairs(jsonx.as_object(reparsed)))))
+
+
+def with_expected(df: DataFrame, expected_args: str = "expected_args",
+                  expected_chain: str = "expected_chain") -> DataFrame:
+    """Parse the expected side once: ``_exp_kv`` and ``_exp_names``.
+
+    Expectations belong to a prompt, not to a sample: run this on the prompt
+    table before joining it to its G completions.
+    """
+    return (df
+            .withColumn("_exp_kv", jsonx.kv_pairs(jsonx.as_object(
+                jsonx.parse_strict(F.col(expected_args).cast("string")))))
+            .withColumn("_exp_names", _expected_names(F.col(expected_chain).cast("string"))))
+
+
+PRED_STAGED = ["_call_args", "_pred_kv", "_pred_names"]
+EXP_STAGED = ["_exp_kv", "_exp_names"]
+_STAGED = PRED_STAGED + EXP_STAGED
 
 
 def score(df: DataFrame, *, completion: str = "completion", expected_tool: str = "expected_tool",
@@ -163,14 +199,21 @@ def score(df: DataFrame, *, completion: str = "completion", expected_tool: str =
     truthy (the chain also needs to differ from ``"[]"``); ``gating="always"``
     activates all of them, which is what the GRPO loop of the reference
     actually does (its metadata values are one-element lists, always truthy).
+    Columns staged earlier by ``with_calls`` (completions side) and
+    ``with_expected`` (prompt side) are reused, so extraction and parsing can
+    run before the join, each on its own side.
     The sum is taken in registry order, each term divided by ``n`` first,
     matching the reference's floating-point order exactly.
     """
     if gating not in ("intended", "always"):
         raise ValueError(f"unknown gating {gating!r}")
-    scored = with_calls(df, completion)
+    scored = df if "_pred_kv" in df.columns else with_calls(df, completion)
+    if "_exp_kv" not in scored.columns:
+        scored = with_expected(scored, expected_args, expected_chain)
     ctx = Ctx(F.col("call"), F.col("calls"), F.col(completion), F.col(expected_tool).cast("string"),
-              F.col(expected_args).cast("string"), F.col(expected_chain).cast("string"))
+              F.col(expected_args).cast("string"), F.col(expected_chain).cast("string"),
+              F.col("_call_args"), F.col("_pred_kv"), F.col("_exp_kv"), F.col("_pred_names"),
+              F.col("_exp_names"))
     rewards = registered()
     scored = scored.select("*", *[r.fn(ctx).alias(f"reward_{r.name}") for r in rewards])
     active = [F.lit(True) if (gating == "always" or r.gate is None) else F.coalesce(r.gate(ctx), F.lit(False))
@@ -183,7 +226,7 @@ def score(df: DataFrame, *, completion: str = "completion", expected_tool: str =
         term = F.when(F.col(f"_on_{r.name}"), F.col(f"reward_{r.name}") / F.col("n_components").cast("double")) \
             .otherwise(F.lit(0.0))
         total = term if total is None else total + term
-    scored = scored.withColumn("reward", total).drop(*[f"_on_{r.name}" for r in rewards])
+    scored = scored.withColumn("reward", total).drop(*[f"_on_{r.name}" for r in rewards], *_STAGED)
     if not keep_calls:
         scored = scored.drop("call", "calls")
     return scored

@@ -67,28 +67,45 @@ def degenerate_summary(with_adv: DataFrame) -> DataFrame:
 
 
 def step_metrics(with_adv: DataFrame, components: list[str] | None = None) -> DataFrame:
-    """A12 + A13 + A14: one row per step.
+    """A12 + A13 + A14: one row per step, from one lineage.
 
-    ``reward_mean`` is the mean of group means (two-level aggregation),
-    ``n_datums`` counts the sequences of non-degenerate groups, component means
+    Level 1 groups by ``(step, prompt_id)`` (same keys as the W1 window, so no
+    extra shuffle) and keeps per-group partial sums; level 2 groups those G-times
+    smaller rows by ``step``. ``reward_mean`` is the mean of group means,
+    ``n_datums`` counts the sequences of non-degenerate groups; component means
     and advantage statistics are over all sequences, degenerate ones included.
+    The sample standard deviation is rebuilt from count, sum and sum of squares
+    of the advantages, which are centred per group, so there is no cancellation.
     """
     comps = components if components is not None else [f"reward_{r.name}" for r in registered()]
-    groups = group_means(with_adv)
-    per_group = (groups.groupBy("step")
-                 .agg(F.avg("group_mean").alias("reward_mean"),
-                      F.count(F.lit(1)).alias("n_groups"),
-                      F.sum(F.col("degenerate").cast("int")).alias("n_degenerate"),
-                      F.sum(F.when(~F.col("degenerate"), F.col("group_size")).otherwise(F.lit(0)))
-                      .alias("n_datums"))
-                 .withColumn("frac_degenerate", F.col("n_degenerate") / F.col("n_groups")))
-    per_row = (with_adv.groupBy("step")
-               .agg(*[F.avg(c).alias(c) for c in comps],
-                    F.avg("advantage").alias("advantage_mean"),
-                    F.stddev_samp("advantage").alias("advantage_std"),
-                    F.max("advantage").alias("advantage_max"),
-                    F.min("advantage").alias("advantage_min")))
-    return per_group.join(per_row, "step")
+    adv = F.col("advantage")
+    groups = (with_adv.groupBy("step", "prompt_id")
+              .agg(F.first("group_mean").alias("group_mean"),
+                   F.first("degenerate").alias("degenerate"),
+                   F.count(F.lit(1)).alias("group_size"),
+                   *[F.sum(c).alias(f"_s_{c}") for c in comps],
+                   F.sum(adv).alias("_adv_s"), F.sum(adv * adv).alias("_adv_ss"),
+                   F.max(adv).alias("_adv_max"), F.min(adv).alias("_adv_min")))
+    n = F.sum("group_size")
+    steps = (groups.groupBy("step")
+             .agg(F.avg("group_mean").alias("reward_mean"),
+                  F.count(F.lit(1)).alias("n_groups"),
+                  F.sum(F.col("degenerate").cast("long")).alias("n_degenerate"),
+                  F.sum(F.when(~F.col("degenerate"), F.col("group_size")).otherwise(F.lit(0)))
+                  .alias("n_datums"),
+                  n.alias("_n"),
+                  *[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in comps],
+                  F.sum("_adv_s").alias("_adv_s"), F.sum("_adv_ss").alias("_adv_ss"),
+                  F.max("_adv_max").alias("advantage_max"), F.min("_adv_min").alias("advantage_min")))
+    nd = F.col("_n").cast("double")
+    mean = F.col("_adv_s") / nd
+    var = (F.col("_adv_ss") - F.col("_adv_s") * mean) / (nd - F.lit(1.0))
+    return (steps
+            .withColumn("frac_degenerate", F.col("n_degenerate") / F.col("n_groups"))
+            .select("*", *[(F.col(f"_s_{c}") / nd).alias(c) for c in comps],
+                    mean.alias("advantage_mean"),
+                    F.when(nd > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("advantage_std"))
+            .drop("_n", "_adv_s", "_adv_ss", *[f"_s_{c}" for c in comps]))
 
 
 def datum_arrays(with_adv: DataFrame, tokens: str = "tokens", logprobs: str = "logprobs",

@@ -17,6 +17,7 @@ from toolframe.functions import extract, jsonx
 from toolframe.operators import rewards, rollouts
 from toolframe.plans import fixtures as fx
 from toolframe.plans import oracle as o
+from toolframe.session import ensure_parallelism
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, QueryFn] = {}
@@ -44,7 +45,7 @@ def r9(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _calls_f2(spark, sf_dir):
-    return rewards.with_calls(fx.completions_f2(spark, sf_dir))
+    return rewards.with_calls(ensure_parallelism(fx.completions_f2(spark, sf_dir)))
 
 
 _EX = f"WITH {o.F2}, {o.extract_cte('f2')}"
@@ -92,7 +93,7 @@ _RW = f"WITH {o.F2}, {o.extract_cte('f2')}, {o.rewards_cte('ex')}"
 
 
 def _scored_f2(spark, sf_dir, gating="intended"):
-    return rewards.score(fx.completions_f2(spark, sf_dir), gating=gating)
+    return rewards.score(ensure_parallelism(fx.completions_f2(spark, sf_dir)), gating=gating)
 
 
 def _reward_query(rid: str, col: str):
@@ -127,8 +128,9 @@ _composite_query("a09_composite_reward_grpo", "always")
 # --------------------------------------------------------------------------
 
 def scored_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 -> E1-E3 -> R1-R5 -> A9 (GRPO gating) -> W1."""
-    joined = rollouts.join_prompts(fx.rollouts_f2(spark, sf_dir), fx.prompts_f2(spark, sf_dir))
+    """E1-E3 (map side) -> J2 -> R1-R5 -> A9 (GRPO gating) -> W1."""
+    extracted = rewards.with_calls(ensure_parallelism(fx.rollouts_f2(spark, sf_dir)))
+    joined = rollouts.join_prompts(extracted, rewards.with_expected(fx.prompts_f2(spark, sf_dir)))
     scored = rewards.score(joined, gating="always")
     return rollouts.group_advantages(scored)
 

@@ -19,6 +19,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -66,3 +67,17 @@ def cut_lineage(df, spark: SparkSession | None = None):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint directory for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread CPU-heavy row-local work over at least ``min_partitions`` tasks.
+
+    A no-op when the input already has enough splits (always the case for a
+    large scan); otherwise one round-robin repartition. Defaults to the
+    cluster's default parallelism.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
