@@ -247,3 +247,282 @@ def t05(spark, sf_dir):
         F.aggregate("padded_logprobs", F.lit(0.0), lambda a, x: a + x).alias("logprob_sum"),
         F.size("padded_advantages").alias("n_advantages"),
         F.aggregate("padded_advantages", F.lit(0.0), lambda a, x: a + x).alias("advantage_sum")))
+
+
+# --------------------------------------------------------------------------
+# evaluation
+# --------------------------------------------------------------------------
+
+from toolframe.functions.text import md5_bucket  # noqa: E402
+from toolframe.operators import evals  # noqa: E402
+
+_EV = o.eval_ctes()
+_STAGE_ORDER = {s: i for i, s in enumerate(fx.STAGES)}
+_METRIC_RANK = {m: i for i, m in enumerate(evals.METRIC_ORDER)}
+
+
+def _eval_inputs(spark, sf_dir):
+    return fx.examples_f3(spark, sf_dir), ensure_parallelism(fx.stage_completions_f3(spark, sf_dir))
+
+
+def stage_metrics_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex, comp = _eval_inputs(spark, sf_dir)
+    return evals.stage_metrics(ex, comp)
+
+
+def _metric_long(spark, sf_dir):
+    return evals.metric_table(stage_metrics_f3(spark, sf_dir))
+
+
+@query("j01_examples_with_completions", f"""{_EV}
+SELECT stage, example_id, expected_tool, n_tokens FROM f3c""")
+def j01(spark, sf_dir):
+    ex, comp = _eval_inputs(spark, sf_dir)
+    return evals.join_completions(ex, comp).select("stage", "example_id", "expected_tool", "n_tokens")
+
+
+def _stage_query(qid: str, cols: list[str], ints: set[str] = frozenset()):
+    sel = ", ".join(c if c in ints else f"{o.r9(c)} AS {c}" for c in cols)
+
+    @query(qid, f"{_EV} SELECT stage, {sel} FROM sw")
+    def q(spark, sf_dir):
+        return r9(stage_metrics_f3(spark, sf_dir).select("stage", *cols))
+    return q
+
+
+_stage_query("a04_tool_selection_accuracy", ["tool_selection_accuracy"])
+_stage_query("a05_argument_accuracy", ["argument_accuracy"])
+_stage_query("a06_schema_compliance", ["schema_compliance"])
+_stage_query("a07_multi_step_taxonomy",
+             ["n_multi_step", "multi_step_success", "multi_step_zero_calls", "multi_step_one_call_only",
+              "multi_step_wrong_order", "multi_step_partial", "multi_step_other"], {"n_multi_step"})
+_stage_query("a08_latency", ["avg_latency_ms", "ms_per_token"])
+
+
+@query("l04_latency_head", f"{_EV} SELECT stage, example_id, pos FROM lh")
+def l04(spark, sf_dir):
+    _, comp = _eval_inputs(spark, sf_dir)
+    return evals.latency_head(comp).select("stage", "example_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+_ORDER_SQL = ("min(CASE stage " + " ".join(f"WHEN '{s}' THEN {i}" for s, i in _STAGE_ORDER.items())
+              + " END * 1000 + CASE metric " + " ".join(f"WHEN '{m}' THEN {i}" for m, i in _METRIC_RANK.items())
+              + " ELSE 999 END)")
+
+
+@query("c01_stage_comparison", f"""{_EV},
+pv AS (SELECT metric, {_ORDER_SQL} AS metric_order,
+              {', '.join(f"max(value) FILTER (WHERE stage = '{s}') AS {s}" for s in fx.STAGES)}
+       FROM ml GROUP BY metric)
+SELECT metric, metric_order, {', '.join(f'{o.r9(s)} AS {s}' for s in fx.STAGES)},
+       {', '.join(f'{o.display(s)} AS {s}_display' for s in fx.STAGES)}
+FROM pv""")
+def c01(spark, sf_dir):
+    m = _metric_long(spark, sf_dir)
+    order = evals.first_seen_order(m, _STAGE_ORDER, _METRIC_RANK)
+    return r9(evals.compare_stages(m, fx.STAGES, order))
+
+
+@query("p20_metric_display", f"{_EV} SELECT stage, metric, {o.display('value')} AS display FROM ml")
+def p20(spark, sf_dir):
+    m = _metric_long(spark, sf_dir)
+    return m.select("stage", "metric", evals.display_value(F.col("metric"), F.col("value")).alias("display"))
+
+
+@query("k08_comparison_sink_table", f"""{_EV}
+SELECT b.metric, {o.r9('b.value')} AS baseline,
+       {o.r9("coalesce(s.value, 'NaN'::DOUBLE)")} AS sft, {o.r9("coalesce(g.value, 'NaN'::DOUBLE)")} AS grpo
+FROM (SELECT * FROM ml WHERE stage = 'baseline') b
+LEFT JOIN (SELECT * FROM ml WHERE stage = 'sft') s USING (metric)
+LEFT JOIN (SELECT * FROM ml WHERE stage = 'grpo') g USING (metric)""")
+def k08(spark, sf_dir):
+    return r9(evals.comparison_sink_table(_metric_long(spark, sf_dir), fx.STAGES))
+
+
+def _wide_long(spark, sf_dir):
+    """Long table with the multi-step breakdown too (model card needs multi_step_partial)."""
+    sm = stage_metrics_f3(spark, sf_dir)
+    return evals.metric_table(sm, evals.METRIC_ORDER + ["multi_step_partial"])
+
+
+_CARD_VALUES = ", ".join(f"({i}, '{lbl}', '{m}')" for i, (lbl, m) in enumerate(evals.MODEL_CARD_METRICS))
+
+
+@query("k09_model_card_metrics", f"""{_EV},
+ml2 AS (UNPIVOT sw ON tool_selection_accuracy, argument_accuracy, schema_compliance, multi_step_success,
+                       avg_latency_ms, ms_per_token, multi_step_partial INTO NAME metric VALUE value),
+w(pos, label, metric) AS (VALUES {_CARD_VALUES})
+SELECT CAST(w.pos AS INTEGER) AS pos, w.label, w.metric, printf('%.1f%%', 100.0 * coalesce(v.value, 0.0)) AS display
+FROM w LEFT JOIN (SELECT * FROM ml2 WHERE stage = 'grpo') v USING (metric)""")
+def k09(spark, sf_dir):
+    return evals.model_card_table(_wide_long(spark, sf_dir), "grpo")
+
+
+_ALL_BENCH = list(evals.BENCHMARK_KEYS)
+_REQ_VALUES = ", ".join(f"('{s}', '{b}', '{evals.BENCHMARK_KEYS[b]}')" for s in fx.STAGES for b in _ALL_BENCH)
+
+
+@query("j06_pending_benchmarks", f"""{_EV},
+req(stage, benchmark, metric) AS (VALUES {_REQ_VALUES}),
+have AS (SELECT stage, metric FROM ml WHERE stage <> 'sft')
+SELECT r.stage, r.benchmark, r.metric FROM req r
+WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.stage = r.stage AND h.metric = r.metric)""")
+def j06(spark, sf_dir):
+    have = _metric_long(spark, sf_dir).filter(F.col("stage") != "sft")
+    req = evals.requested_table(spark, fx.STAGES, _ALL_BENCH)
+    return evals.pending_benchmarks(req, have).select("stage", "benchmark", "metric")
+
+
+@query("k05_checkpoint_upsert", f"""{_EV},
+old AS (SELECT stage, metric, value FROM ml WHERE stage <> 'grpo'),
+new AS (SELECT stage, metric, value + 1.0 AS value FROM ml WHERE stage <> 'baseline')
+SELECT stage, metric, {o.r9('value')} AS value FROM (
+  SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.stage = o.stage AND n.metric = o.metric)
+  UNION ALL SELECT * FROM new)""")
+def k05(spark, sf_dir):
+    m = _metric_long(spark, sf_dir)
+    old = m.filter(F.col("stage") != "grpo")
+    new = m.filter(F.col("stage") != "baseline").withColumn("value", F.col("value") + 1.0)
+    return r9(evals.upsert_metrics(old, new))
+
+
+_REQUIRED = [(s, m) for s in fx.STAGES + ["dpo"] for m in ("schema_compliance", "multi_step_success")]
+_REQUIRED_VALUES = ", ".join(f"('{s}', '{m}')" for s, m in _REQUIRED)
+
+
+@query("v01_required_metrics", f"""{_EV},
+req(stage, metric) AS (VALUES {_REQUIRED_VALUES})
+SELECT r.stage, r.metric FROM req r
+WHERE NOT EXISTS (SELECT 1 FROM ml h WHERE h.stage = r.stage AND h.metric = r.metric)""")
+def v01(spark, sf_dir):
+    req = spark.createDataFrame(_REQUIRED, "stage string, metric string")
+    return evals.missing_required(_metric_long(spark, sf_dir), req)
+
+
+# -- raw rows -> examples (P8, P9, P10, P13, P16, H9) --
+
+_RAW = r"""
+raw AS (
+  SELECT event_id AS example_id,
+    CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN 'Check ' || event_type END AS instruction,
+    CASE WHEN event_id % 4 IN (0, 3) THEN 'query ' || CAST(user_id AS VARCHAR) END AS query,
+    'fallback' AS text,
+    CASE event_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN ''
+      WHEN 2 THEN '[{"tool": "' || event_type || '", "parameters": ' || props || '}]'
+      WHEN 3 THEN '[{"name": "' || event_type || '", "arguments": ' || props || '}, {"name": "none"}, {"name": ""}]'
+      ELSE '["' || event_type || '"]' END AS tool_calls,
+    '[{"name": "backup", "arguments": {"x": 1}}, {"name": "b2"}]' AS expected_calls,
+    CASE event_id % 3 WHEN 0 THEN '[{"description": "x", "name": "a"}, {"description": "no name"}, {"name": ""}]'
+      WHEN 1 THEN 'not json' END AS tools,
+    '[{"name": "' || event_type || '"}]' AS api_list
+  FROM events
+)"""
+
+
+def _str_key(x: str, k: str) -> str:
+    return f"nullif(CASE WHEN json_type({x}, '$.{k}') = 'VARCHAR' THEN json_extract_string({x}, '$.{k}') END, '')"
+
+
+def _p9_parts(col: str, i: int) -> str:
+    c = (f"(CASE WHEN trim({col}) <> '' AND json_valid(trim({col})) AND json_type(trim({col})) = 'ARRAY' "
+         f"AND json_array_length(trim({col})) > 0 THEN CAST(trim({col}) AS JSON) END)")
+    return f"{c} AS c{i}"
+
+
+_P9 = f"""{_RAW},
+r1 AS (SELECT *, {_p9_parts('tool_calls', 1)}, {_p9_parts('expected_calls', 2)} FROM raw),
+r2 AS (SELECT *, json_extract(c1, '$[0]') AS f1, json_extract(c2, '$[0]') AS f2 FROM r1),
+r3 AS (
+  SELECT *,
+""" + ",\n".join(
+    f"""    CASE WHEN coalesce(json_type(f{i}) = 'OBJECT', false) THEN coalesce({_str_key(f'f{i}', 'name')}, {_str_key(f'f{i}', 'tool')}) END AS t{i},
+    CASE WHEN c{i} IS NULL THEN NULL
+         WHEN NOT coalesce(json_type(f{i}) = 'OBJECT', false)
+              OR {o.args_of(f'f{i}')} IS NULL THEN '{{}}'
+         WHEN json_type({o.args_of(f'f{i}')}) = 'OBJECT' THEN CAST({o.args_of(f'f{i}')} AS VARCHAR) END AS a{i},
+    CASE WHEN c{i} IS NOT NULL THEN nullif(list_transform(list_filter(from_json(c{i}, '["JSON"]'),
+           lambda e: json_type(e) = 'OBJECT'),
+           lambda e: coalesce({_str_key('e', 'name')}, {_str_key('e', 'tool')}, '')), []) END AS ch{i}"""
+    for i in (1, 2)) + """
+  FROM r2
+),
+p9 AS (
+  SELECT example_id, coalesce(t1, t2) AS expected_tool, coalesce(a1, a2) AS expected_args,
+         list_filter(coalesce(ch1, ch2, CAST([] AS VARCHAR[])), lambda n: n <> '') AS expected_chain
+  FROM r3
+)"""
+
+
+@query("p08_prompt_pick", f"""WITH {_RAW}
+SELECT example_id, p AS prompt FROM (
+  SELECT example_id, coalesce(nullif(instruction, ''), nullif(query, ''), nullif(text, '')) AS p FROM raw)
+WHERE trim(p) <> ''""")
+def p08(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    return raw.select("example_id", evals.pick_prompt(raw).alias("prompt")).filter(F.col("prompt").isNotNull())
+
+
+@query("p09_expected_fields", f"""WITH {_P9}
+SELECT example_id, expected_tool, expected_args, array_to_string(expected_chain, ',') AS expected_chain FROM p9""")
+def p09(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    e = evals.expected_fields(raw)
+    return e.select("example_id", "expected_tool", F.to_json("expected_args").alias("expected_args"),
+                    F.array_join("expected_chain", ",").alias("expected_chain"))
+
+
+def _p10_key(col: str) -> str:
+    arr = (f"(CASE WHEN json_valid(trim({col})) AND json_type(trim({col})) = 'ARRAY' "
+           f"THEN from_json(trim({col}), '[\"JSON\"]') END)")
+    defs = (f"list_filter({arr}[1:20], lambda d: json_type(d) = 'OBJECT' AND json_extract(d, '$.name') IS NOT NULL "
+            f"AND CAST(json_extract(d, '$.name') AS VARCHAR) NOT IN ('null', 'false', '0', '\"\"', '[]', '{{}}'))")
+    return (f"(CASE WHEN len({defs}) > 0 THEN '[' || array_to_string(list_transform({defs}, "
+            f"lambda d: CAST(json(d) AS VARCHAR)), ',') || ']' END)")
+
+
+@query("p10_tools_context", f"""WITH {_RAW}
+SELECT example_id, coalesce({_p10_key('tools')}, {_p10_key('api_list')}) AS tools_context FROM raw""")
+def p10(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    return raw.select("example_id", evals.tools_context(raw).alias("tools_context"))
+
+
+_SYS_LEN = len(evals.TOOL_USE_SYSTEM_PROMPT)
+
+
+@query("p13_system_prompt", f"""WITH {_RAW}, p AS (SELECT example_id,
+  coalesce({_p10_key('tools')}, {_p10_key('api_list')}) AS tc FROM raw)
+SELECT example_id, CAST(CASE WHEN tc IS NULL THEN {_SYS_LEN}
+                             ELSE {_SYS_LEN + len(chr(10) + chr(10) + 'Available tools:' + chr(10))} + length(tc) END AS INTEGER)
+       AS system_len, tc IS NOT NULL AS has_tools FROM p""")
+def p13(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    tc = evals.tools_context(raw)
+    return raw.select("example_id", F.length(evals.system_prompt(tc)).alias("system_len"),
+                      tc.isNotNull().alias("has_tools"))
+
+
+@query("p16_multi_step_filter", f"""WITH {_P9}
+SELECT example_id, CAST(len(expected_chain) AS INTEGER) AS n_steps FROM p9 WHERE len(expected_chain) > 1""")
+def p16(spark, sf_dir):
+    e = evals.expected_fields(fx.raw_rows_f3(spark, sf_dir))
+    return e.filter(F.size("expected_chain") > 1).select("example_id", F.size("expected_chain").alias("n_steps"))
+
+
+def _md5_bucket_sql(x: str) -> str:
+    acc = "0"
+    for i in range(4):
+        chunk = f"CAST(('0x' || substr(md5({x}), {8 * i + 1}, 8)) AS BIGINT)"
+        acc = f"(({acc}) * 96 + {chunk} % 100) % 100"
+    return acc
+
+
+@query("h09_holdout_bucket", f"""WITH {_RAW},
+b AS (SELECT example_id, {_md5_bucket_sql("CAST(example_id AS VARCHAR) || '|' || coalesce(tool_calls, '')")} AS bucket
+      FROM raw)
+SELECT example_id, CAST(bucket AS BIGINT) AS bucket FROM b WHERE bucket < 10""")
+def h09(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    key = F.concat_ws("|", F.col("example_id").cast("string"), F.coalesce(F.col("tool_calls"), F.lit("")))
+    b = raw.select("example_id", md5_bucket(key).alias("bucket"))
+    return b.filter(F.col("bucket") < F.lit(int(0.1 * 100)))

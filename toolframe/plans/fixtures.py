@@ -82,3 +82,52 @@ def prompts_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Call "), F.col("expected_tool"), F.lit(" for user "),
                  F.col("user_id").cast("string")).alias("user"),
         "expected_tool", "expected_args", "expected_chain")
+
+
+STAGES = ["baseline", "sft", "grpo"]
+
+
+def examples_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 EVAL_SCHEMA rows: one example per event."""
+    c = completions_f2(spark, sf_dir)
+    eid = F.col("event_id")
+    return c.select(
+        eid.alias("example_id"),
+        F.concat(F.lit("Use "), F.col("expected_tool"), F.lit(" now")).alias("prompt"),
+        "expected_tool",
+        F.parse_json(F.col("expected_args")).alias("expected_args"),
+        F.when(F.pmod(eid, F.lit(7)) < 3, F.array(F.col("expected_tool"), F.lit("none")))
+        .otherwise(F.array().cast("array<string>")).alias("expected_chain"),
+        F.lit("synthetic").alias("source"),
+        F.lit(None).cast("string").alias("tools_context"))
+
+
+def stage_completions_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 COMPLETION_SCHEMA rows: the stage is ``(event_id div 10) mod 3``."""
+    c = completions_f2(spark, sf_dir)
+    stage = F.element_at(F.array(*[F.lit(s) for s in STAGES]),
+                         (F.pmod(F.floor(F.col("event_id") / 10), F.lit(3)) + 1).cast("int"))
+    return c.select(stage.alias("stage"), F.col("event_id").alias("example_id"),
+                    F.col("completion").alias("output"), "n_tokens", "elapsed_s")
+
+
+def raw_rows_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw loaded rows (JSON strings for nested fields) to exercise P8-P10."""
+    e = table(spark, sf_dir, "events")
+    eid, t, p = F.col("event_id"), F.col("event_type"), F.col("props")
+    m4, m5, m3 = F.pmod(eid, F.lit(4)), F.pmod(eid, F.lit(5)), F.pmod(eid, F.lit(3))
+    return e.select(
+        eid.alias("example_id"),
+        F.when(m4 == 0, F.lit("")).when(m4 == 1, F.lit("   "))
+        .when(m4 == 2, F.concat(F.lit("Check "), t)).alias("instruction"),
+        F.when((m4 == 0) | (m4 == 3), F.concat(F.lit("query "), F.col("user_id").cast("string"))).alias("query"),
+        F.lit("fallback").alias("text"),
+        F.when(m5 == 0, F.lit("[]")).when(m5 == 1, F.lit(""))
+        .when(m5 == 2, F.concat(F.lit('[{"tool": "'), t, F.lit('", "parameters": '), p, F.lit("}]")))
+        .when(m5 == 3, F.concat(F.lit('[{"name": "'), t, F.lit('", "arguments": '), p,
+                                F.lit('}, {"name": "none"}, {"name": ""}]')))
+        .otherwise(F.concat(F.lit('["'), t, F.lit('"]'))).alias("tool_calls"),
+        F.lit('[{"name": "backup", "arguments": {"x": 1}}, {"name": "b2"}]').alias("expected_calls"),
+        F.when(m3 == 0, F.lit('[{"description": "x", "name": "a"}, {"description": "no name"}, {"name": ""}]'))
+        .when(m3 == 1, F.lit("not json")).alias("tools"),
+        F.concat(F.lit('[{"name": "'), t, F.lit('"}]')).alias("api_list"))

@@ -172,3 +172,82 @@ def composite(gating: str) -> tuple[str, str]:
 
 def r9(x: str) -> str:
     return f"round({x}, 9)"
+
+
+F3 = r"""
+f3c AS (
+  SELECT ['baseline', 'sft', 'grpo'][CAST((event_id // 10) % 3 AS INTEGER) + 1] AS stage,
+         event_id AS example_id, event_id, completion, n_tokens, elapsed_s, expected_tool, expected_args,
+         CASE WHEN event_id % 7 < 3 THEN [expected_tool, 'none'] ELSE CAST([] AS VARCHAR[]) END AS chain
+  FROM f2
+)"""
+
+
+def eval_ctes() -> str:
+    """CTEs: f2, f3c, extraction, per-row flags (ev), quality (q), latency (lat), wide (sw), long (ml)."""
+    name = name_of("call")
+    args = args_of("call")
+    pred = f"list_transform(calls, lambda x: lower(trim({name_of('x')})))"
+    return f"""WITH {F2}, {F3}, {extract_cte('f3c')},
+ev0 AS (
+  SELECT *, {args} AS _args, {pred} AS _pred, list_transform(chain, lambda n: lower(trim(n))) AS _exp
+  FROM ex
+),
+ev AS (
+  SELECT stage, example_id,
+    CASE WHEN expected_tool IS NOT NULL AND expected_tool <> '' THEN
+      (CASE WHEN {name} IS NOT NULL AND {name} <> '' AND lower({name}) = lower(expected_tool) THEN 1.0 ELSE 0.0 END)
+    END AS _sel,
+    CASE WHEN expected_args IS NOT NULL THEN
+      (CASE WHEN coalesce((CASE WHEN call IS NULL THEN NULL WHEN _args IS NULL THEN '{{}}'
+                                ELSE CAST(_args AS VARCHAR) END) = CAST(json(expected_args) AS VARCHAR), false)
+            THEN 1.0 ELSE 0.0 END)
+    END AS _arg,
+    CASE WHEN call IS NOT NULL AND {name} IS NOT NULL AND (_args IS NULL OR json_type(_args) = 'OBJECT')
+         THEN 1.0 ELSE 0.0 END AS _schema,
+    CASE WHEN len(chain) > 1 THEN
+      CASE WHEN _pred = _exp THEN 'correct'
+           WHEN len(_pred) = 0 THEN 'zero_calls'
+           WHEN len(_pred) = 1 AND len(_exp) > 1 THEN 'one_call_only'
+           WHEN len(list_filter(_exp, lambda n: list_contains(_pred, n))) = len(_exp) THEN 'wrong_order'
+           WHEN len(list_filter(_exp, lambda n: list_contains(_pred, n))) > 0 THEN 'partial'
+           ELSE 'other' END
+    END AS _label
+  FROM ev0
+),
+q AS (
+  SELECT stage,
+    coalesce(avg(_sel), 0.0) AS tool_selection_accuracy,
+    coalesce(avg(_arg), 0.0) AS argument_accuracy,
+    coalesce(avg(_schema), 0.0) AS schema_compliance,
+    count(_label) AS n_multi_step,
+    coalesce(sum(CASE WHEN _label = 'correct' THEN 1 ELSE 0 END) / count(_label), 0.0) AS multi_step_success,
+    coalesce(sum(CASE WHEN _label = 'zero_calls' THEN 1 ELSE 0 END) / count(_label), 0.0) AS multi_step_zero_calls,
+    coalesce(sum(CASE WHEN _label = 'one_call_only' THEN 1 ELSE 0 END) / count(_label), 0.0) AS multi_step_one_call_only,
+    coalesce(sum(CASE WHEN _label = 'wrong_order' THEN 1 ELSE 0 END) / count(_label), 0.0) AS multi_step_wrong_order,
+    coalesce(sum(CASE WHEN _label = 'partial' THEN 1 ELSE 0 END) / count(_label), 0.0) AS multi_step_partial,
+    coalesce(sum(CASE WHEN _label = 'other' THEN 1 ELSE 0 END) / count(_label), 0.0) AS multi_step_other
+  FROM ev GROUP BY stage
+),
+lh AS (
+  SELECT stage, example_id, elapsed_s, n_tokens,
+         row_number() OVER (PARTITION BY stage ORDER BY example_id) AS pos
+  FROM f3c QUALIFY pos <= 100
+),
+lat AS (
+  SELECT stage,
+    CASE WHEN count(*) > 0 AND sum(n_tokens) > 0 THEN sum(elapsed_s) / count(*) * 1000.0 ELSE 0.0 END AS avg_latency_ms,
+    CASE WHEN count(*) > 0 AND sum(n_tokens) > 0
+         THEN 1000.0 * (sum(elapsed_s) / count(*)) / (sum(n_tokens) / count(*)) ELSE 0.0 END AS ms_per_token
+  FROM lh GROUP BY stage
+),
+sw AS (SELECT * FROM q FULL OUTER JOIN lat USING (stage)),
+ml AS (
+  UNPIVOT sw ON tool_selection_accuracy, argument_accuracy, schema_compliance, multi_step_success,
+                avg_latency_ms, ms_per_token INTO NAME metric VALUE value
+)"""
+
+
+def display(v: str, metric: str = "metric") -> str:
+    return (f"CASE WHEN {v} IS NULL THEN '-' WHEN {metric} LIKE '%accuracy%' OR {metric} LIKE '%success%' "
+            f"OR {metric} LIKE '%compliance%' THEN printf('%.1f%%', {v} * 100.0) ELSE printf('%.2f', {v}) END")
