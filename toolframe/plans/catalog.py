@@ -406,7 +406,7 @@ raw AS (
   SELECT event_id AS example_id,
     CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN 'Check ' || event_type END AS instruction,
     CASE WHEN event_id % 4 IN (0, 3) THEN 'query ' || CAST(user_id AS VARCHAR) END AS query,
-    'fallback' AS text,
+    CASE WHEN event_id % 6 = 0 THEN '' ELSE 'fallback' END AS text,
     CASE event_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN ''
       WHEN 2 THEN '[{"tool": "' || event_type || '", "parameters": ' || props || '}]'
       WHEN 3 THEN '[{"name": "' || event_type || '", "arguments": ' || props || '}, {"name": "none"}, {"name": ""}]'
@@ -526,3 +526,253 @@ def h09(spark, sf_dir):
     key = F.concat_ws("|", F.col("example_id").cast("string"), F.coalesce(F.col("tool_calls"), F.lit("")))
     b = raw.select("example_id", md5_bucket(key).alias("bucket"))
     return b.filter(F.col("bucket") < F.lit(int(0.1 * 100)))
+
+
+# --------------------------------------------------------------------------
+# preparation
+# --------------------------------------------------------------------------
+
+from toolframe.operators import prep, rank  # noqa: E402
+from toolframe.sources import readers  # noqa: E402
+
+_F1 = """f1 AS (SELECT doc_id AS row_id, text AS instruction, text, lang AS source, source AS category, n_chars
+        FROM documents)"""
+
+
+def _u(key_sql: str) -> str:
+    """SQL twin of ``rank.order_key``: 60-bit key from md5."""
+    return f"CAST(('0x' || substr(md5({key_sql}), 1, 15)) AS BIGINT)"
+
+
+def _unit(key_sql: str) -> str:
+    """SQL twin of ``rank.unit_draw``."""
+    return f"(CAST(('0x' || substr(md5({key_sql}), 1, 13)) AS BIGINT) / {float(1 << 52)!r})"
+
+
+def _k(*parts: str, seed: str = "'42'") -> str:
+    return " || '|' || ".join([seed] + [f"CAST({p} AS VARCHAR)" for p in parts])
+
+
+@query("s02_multi_source_load", """
+SELECT source, count(*) AS n_rows, count(text) AS n_text FROM (
+  SELECT 'docs' AS source, text FROM documents
+  UNION ALL SELECT 'convs' AS source, text FROM conversations) GROUP BY source""")
+def s02(spark, sf_dir):
+    specs = [readers.SourceSpec("docs", f"{sf_dir}/documents.parquet", "parquet"),
+             readers.SourceSpec("convs", f"{sf_dir}/conversations.parquet", "parquet"),
+             readers.SourceSpec("missing", f"{sf_dir}/no_such_table.parquet", "parquet")]
+    df = readers.load_all(spark, specs)
+    return df.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.count("text").alias("n_text"))
+
+
+@query("a01_dedup_first", f"""WITH {_F1}
+SELECT row_id, source FROM f1 QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1""")
+def a01(spark, sf_dir):
+    f1 = fx.corpus_f1(spark, sf_dir)
+    return prep.dedup_first(f1, F.md5(F.col("text"))).select("row_id", "source")
+
+
+@query("a01_dedup_removed", f"""WITH {_F1}
+SELECT count(*) AS n_in, count(DISTINCT text) AS n_out, count(*) - count(DISTINCT text) AS n_removed FROM f1""")
+def a01r(spark, sf_dir):
+    f1 = fx.corpus_f1(spark, sf_dir)
+    kept = prep.dedup_first(f1, F.md5(F.col("text")))
+    n_in = f1.agg(F.count(F.lit(1)).alias("n_in"))
+    n_out = kept.agg(F.count(F.lit(1)).alias("n_out"))
+    return n_in.join(n_out, how="inner").select("n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_removed"))
+
+
+@query("a02_source_counts", f"WITH {_F1} SELECT source, count(*) AS n FROM f1 GROUP BY source")
+def a02(spark, sf_dir):
+    return prep.source_counts(fx.corpus_f1(spark, sf_dir))
+
+
+_BAL = f"""WITH {_F1},
+c AS (SELECT source, count(*) AS n FROM f1 GROUP BY source),
+s AS (SELECT list_sort(list(n)) AS l, count(*) AS k FROM c),
+t AS (SELECT greatest(CASE WHEN k % 2 = 1 THEN l[k // 2 + 1] ELSE (l[k // 2] + l[k // 2 + 1]) // 2 END,
+                      least(500, l[k])) AS target FROM s),
+r AS (SELECT row_id, source,
+             row_number() OVER (PARTITION BY source ORDER BY {_u(_k('source', 'row_id'))}, source, row_id) AS rk
+      FROM f1),
+under AS (SELECT r.source, r.row_id, 0 AS draw FROM r JOIN c USING (source), t
+          WHERE c.n >= t.target AND r.rk <= t.target),
+draws AS (SELECT c.source, c.n, unnest(range(1, t.target + 1)) AS draw FROM c, t WHERE c.n < t.target),
+over AS (SELECT d.source, r.row_id, d.draw FROM draws d JOIN r
+         ON r.source = d.source AND r.rk = CAST(floor({_unit(_k('d.source', 'd.draw'))} * d.n) AS BIGINT) + 1),
+bal AS (SELECT * FROM under UNION ALL SELECT * FROM over)"""
+
+
+@query("a03_balance_sources", f"{_BAL} SELECT source, row_id, CAST(draw AS BIGINT) AS draw FROM bal")
+def a03(spark, sf_dir):
+    b = prep.balance_sources(fx.corpus_f1(spark, sf_dir))
+    return b.select("source", "row_id", "draw")
+
+
+@query("x03_balance_by_category", f"""WITH {_F1},
+c AS (SELECT category, count(*) AS n FROM f1 GROUP BY category),
+s AS (SELECT list_sort(list(n)) AS l, count(*) AS k FROM c),
+t AS (SELECT greatest(CASE WHEN k % 2 = 1 THEN l[k // 2 + 1] ELSE (l[k // 2] + l[k // 2 + 1]) // 2 END,
+                      least(500, l[k])) AS target FROM s)
+SELECT category, least(c.n, t.target) + CASE WHEN c.n < t.target THEN t.target - c.n ELSE 0 END AS n
+FROM c, t""")
+def x03(spark, sf_dir):
+    b = prep.balance_sources(fx.corpus_f1(spark, sf_dir), source="category")
+    return b.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w04_shuffled_rank", f"""WITH {_F1}
+SELECT row_id, row_number() OVER (ORDER BY {_u(_k('row_id'))}, row_id) AS rank FROM f1""")
+def w04(spark, sf_dir):
+    return rank.shuffled(fx.corpus_f1(spark, sf_dir), ["row_id"]).select("row_id", F.col("rank").cast("bigint"))
+
+
+@query("w03_rank_in_source", f"""WITH {_F1}
+SELECT source, row_id, row_number() OVER (PARTITION BY source ORDER BY {_u(_k('source', 'row_id'))}, source, row_id)
+       AS rank FROM f1""")
+def w03(spark, sf_dir):
+    r = rank.shuffled(fx.corpus_f1(spark, sf_dir), ["source", "row_id"], group=["source"])
+    return r.select("source", "row_id", F.col("rank").cast("bigint"))
+
+
+_SPLIT = f"""WITH {_F1},
+n AS (SELECT count(*) AS n FROM f1),
+a AS (SELECT n, CAST(ceil(greatest(1.0::DOUBLE - 0.8::DOUBLE, 1.0 / n) * n) AS BIGINT) AS n_rest FROM n),
+b AS (SELECT n, CASE WHEN n < 3 THEN n ELSE n - n_rest END AS n_train,
+             CASE WHEN n < 3 THEN 0 WHEN n_rest < 2 THEN n_rest
+                  ELSE n_rest - CAST(ceil(greatest(1.0::DOUBLE - 0.1::DOUBLE / (1.0::DOUBLE - 0.8::DOUBLE),
+                                                   1.0 / n_rest) * n_rest) AS BIGINT) END AS n_val FROM a),
+r AS (SELECT row_id, row_number() OVER (ORDER BY {_u(_k('row_id'))}, row_id) AS rk FROM f1),
+sp AS (SELECT row_id, CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val THEN 'validation'
+                           ELSE 'test' END AS split FROM r, b)"""
+
+
+@query("l08_split_exact", f"{_SPLIT} SELECT row_id, split FROM sp")
+def l08(spark, sf_dir):
+    return prep.split_exact(fx.corpus_f1(spark, sf_dir)).select("row_id", "split")
+
+
+@query("a15_split_counts", f"{_SPLIT} SELECT split, count(*) AS n FROM sp GROUP BY split")
+def a15(spark, sf_dir):
+    s = prep.split_exact(fx.corpus_f1(spark, sf_dir))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l08_split_by_hash", f"""WITH {_F1},
+b AS (SELECT row_id, {_md5_bucket_sql('CAST(row_id AS VARCHAR)')} AS bk FROM f1)
+SELECT row_id, CASE WHEN bk < 80 THEN 'train' WHEN bk < 90 THEN 'validation' ELSE 'test' END AS split FROM b""")
+def l08h(spark, sf_dir):
+    f1 = fx.corpus_f1(spark, sf_dir)
+    return prep.split_by_hash(f1, F.col("row_id").cast("string")).select("row_id", "split")
+
+
+@query("l01_sample_cap", f"""WITH {_F1}
+SELECT row_id FROM f1 QUALIFY row_number() OVER (ORDER BY {_u(_k('row_id'))}, row_id) <= 300""")
+def l01(spark, sf_dir):
+    return prep.cap_rows(fx.corpus_f1(spark, sf_dir), 300).select("row_id")
+
+
+@query("l03_eval_cap", f"""WITH {_RAW}
+SELECT example_id FROM raw QUALIFY row_number() OVER (ORDER BY {_u(_k('example_id'))}, example_id) <= 1000""")
+def l03(spark, sf_dir):
+    return prep.cap_rows(fx.raw_rows_f3(spark, sf_dir), 1000, key="example_id").select("example_id")
+
+
+@query("l09_validation_prefix", f"""WITH {_F1},
+n AS (SELECT greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS n_val FROM f1)
+SELECT row_id, CASE WHEN row_number() OVER (ORDER BY {_u(_k('row_id'))}, row_id) <= n_val
+                    THEN 'validation' ELSE 'train' END AS part FROM f1, n""")
+def l09(spark, sf_dir):
+    return prep.validation_prefix(fx.corpus_f1(spark, sf_dir)).select("row_id", "part")
+
+
+_EPOCHS, _BATCH = 2, 32
+_EB = f"""WITH {_F1},
+n AS (SELECT CAST(ceil(count(*) / {_BATCH}) AS BIGINT) AS spe FROM f1),
+e AS (SELECT f1.row_id, unnest(range(0, {_EPOCHS})) AS epoch FROM f1),
+r AS (SELECT row_id, epoch, row_number() OVER (PARTITION BY epoch
+              ORDER BY {_u("CAST(42 + epoch AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)")}, row_id) AS rk FROM e),
+eb AS (SELECT epoch, row_id, CAST((rk - 1) // {_BATCH} AS BIGINT) AS batch_idx,
+              epoch * spe + (rk - 1) // {_BATCH} + 1 AS global_step, spe FROM r, n)"""
+
+
+@query("l10_epoch_batches", f"""{_EB}
+SELECT CAST(epoch AS INTEGER) AS epoch, row_id, batch_idx, CAST(global_step AS BIGINT) AS global_step,
+       CAST(global_step * {_BATCH} AS BIGINT) AS samples_seen,
+       {o.r9('(batch_idx + 1) / CAST(greatest(spe, 1) AS DOUBLE)')} AS epoch_progress FROM eb""")
+def l10(spark, sf_dir):
+    b = prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH)
+    return r9(b.select("epoch", "row_id", "batch_idx", "global_step", "samples_seen", "epoch_progress"))
+
+
+@query("l11_resume_after", f"""{_EB}
+SELECT CAST(epoch AS INTEGER) AS epoch, row_id, CAST(global_step AS BIGINT) AS global_step FROM eb WHERE global_step > 40""")
+def l11(spark, sf_dir):
+    b = prep.resume_after(prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH), 40)
+    return b.select("epoch", "row_id", "global_step")
+
+
+@query("l12_cadence", f"""{_EB}
+SELECT DISTINCT CAST(global_step AS BIGINT) AS global_step, global_step % 10 = 0 AS do_log,
+       global_step % 25 = 0 AS do_save, (global_step + 1) % 25 = 0 AS do_save_after FROM eb""")
+def l12(spark, sf_dir):
+    b = prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH).select("global_step").distinct()
+    g = F.col("global_step")
+    return b.select("global_step", prep.cadence(g, 10).alias("do_log"), prep.cadence(g, 25).alias("do_save"),
+                    prep.cadence(g, 25, after=True).alias("do_save_after"))
+
+
+@query("a16_steps_per_epoch", f"""WITH {_F1}
+SELECT count(*) AS n, {_BATCH} AS batch_size, CAST(ceil(count(*) / {_BATCH}) AS BIGINT) AS steps_per_epoch,
+       CAST(ceil(count(*) / {_BATCH}) * {_EPOCHS} AS BIGINT) AS total_steps FROM f1""")
+def a16(spark, sf_dir):
+    c = fx.corpus_f1(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    spe = F.ceil(F.col("n") / F.lit(_BATCH)).cast("bigint")
+    return c.select("n", F.lit(_BATCH).alias("batch_size"), spe.alias("steps_per_epoch"),
+                    (spe * _EPOCHS).cast("bigint").alias("total_steps"))
+
+
+@query("p02_complete_rows", f"""WITH {_RAW}
+SELECT example_id FROM raw WHERE coalesce(text <> '', false) OR coalesce(instruction <> '', false)""")
+def p02(spark, sf_dir):
+    return prep.complete_rows(fx.raw_rows_f3(spark, sf_dir)).select("example_id")
+
+
+@query("p03_whitespace_normalize", f"""WITH {_F1}
+SELECT row_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM f1""")
+def p03(spark, sf_dir):
+    return prep.normalize_whitespace(fx.corpus_f1(spark, sf_dir)).select("row_id", "text")
+
+
+@query("p04_unify_text", f"""WITH {_F1}
+SELECT CASE WHEN row_id % 4 <> 0 THEN text ELSE 'inst ' || CAST(row_id AS VARCHAR) END AS text, source FROM f1""")
+def p04(spark, sf_dir):
+    f1 = fx.corpus_f1(spark, sf_dir)
+    shaped = f1.select(F.when(F.pmod("row_id", F.lit(4)) == 0, F.lit("")).otherwise(F.col("text")).alias("text"),
+                       F.concat(F.lit("inst "), F.col("row_id").cast("string")).alias("instruction"), "source")
+    return prep.unify_text(shaped)
+
+
+@query("h10_md5", f"WITH {_F1} SELECT row_id, md5(text) AS text_md5 FROM f1")
+def h10(spark, sf_dir):
+    return fx.corpus_f1(spark, sf_dir).select("row_id", F.md5("text").alias("text_md5"))
+
+
+@query("x01_length_filter", f"WITH {_F1} SELECT row_id FROM f1 WHERE n_chars BETWEEN 100 AND 5000")
+def x01(spark, sf_dir):
+    return prep.length_filter(fx.corpus_f1(spark, sf_dir), F.col("n_chars"), 100, 5000).select("row_id")
+
+
+@query("x05_language_filter", f"WITH {_F1} SELECT row_id FROM f1 WHERE source = 'en'")
+def x05(spark, sf_dir):
+    return fx.corpus_f1(spark, sf_dir).filter(F.col("source") == "en").select("row_id")
+
+
+@query("x07_leakage", f"""WITH {_F1}
+SELECT e.row_id FROM f1 e WHERE e.row_id % 10 = 0
+  AND EXISTS (SELECT 1 FROM f1 t WHERE t.row_id % 10 <> 0 AND md5(t.text) = md5(e.text))""")
+def x07(spark, sf_dir):
+    f1 = fx.corpus_f1(spark, sf_dir)
+    ev = f1.filter(F.pmod("row_id", F.lit(10)) == 0)
+    tr = f1.filter(F.pmod("row_id", F.lit(10)) != 0)
+    return prep.leakage(ev, tr, F.col("text"), F.col("text")).select("row_id")

@@ -121,7 +121,7 @@ def raw_rows_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m4 == 0, F.lit("")).when(m4 == 1, F.lit("   "))
         .when(m4 == 2, F.concat(F.lit("Check "), t)).alias("instruction"),
         F.when((m4 == 0) | (m4 == 3), F.concat(F.lit("query "), F.col("user_id").cast("string"))).alias("query"),
-        F.lit("fallback").alias("text"),
+        F.when(F.pmod(eid, F.lit(6)) == 0, F.lit("")).otherwise(F.lit("fallback")).alias("text"),
         F.when(m5 == 0, F.lit("[]")).when(m5 == 1, F.lit(""))
         .when(m5 == 2, F.concat(F.lit('[{"tool": "'), t, F.lit('", "parameters": '), p, F.lit("}]")))
         .when(m5 == 3, F.concat(F.lit('[{"name": "'), t, F.lit('", "arguments": '), p,
@@ -131,3 +131,10 @@ def raw_rows_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m3 == 0, F.lit('[{"description": "x", "name": "a"}, {"description": "no name"}, {"name": ""}]'))
         .when(m3 == 1, F.lit("not json")).alias("tools"),
         F.concat(F.lit('[{"name": "'), t, F.lit('"}]')).alias("api_list"))
+
+
+def corpus_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 corpus rows: ``row_id = doc_id``, ``instruction = text``, ``source = lang``."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("instruction"), "text",
+                    F.col("lang").alias("source"), F.col("source").alias("category"), "n_chars")
