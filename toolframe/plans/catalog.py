@@ -776,3 +776,134 @@ def x07(spark, sf_dir):
     ev = f1.filter(F.pmod("row_id", F.lit(10)) == 0)
     tr = f1.filter(F.pmod("row_id", F.lit(10)) != 0)
     return prep.leakage(ev, tr, F.col("text"), F.col("text")).select("row_id")
+
+
+# --------------------------------------------------------------------------
+# Conversations and token arrays
+# --------------------------------------------------------------------------
+
+from toolframe.operators import convo, tokens  # noqa: E402
+
+_CONV = "conversations"
+
+
+@query("p07_render_conversation", f"""
+SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text,
+       CAST(count(*) AS INTEGER) AS n_turns
+FROM {_CONV} GROUP BY conv_id""")
+def p07(spark, sf_dir):
+    return convo.render_turns(fx.table(spark, sf_dir, "conversations"))
+
+
+@query("p17_train_on_weights", f"""
+WITH la AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN turn END) AS la FROM {_CONV} GROUP BY conv_id)
+SELECT c.conv_id, c.turn, CASE WHEN la IS NULL OR c.turn = la THEN 1 ELSE 0 END AS weight,
+       la IS NOT NULL AS has_assistant
+FROM {_CONV} c JOIN la USING (conv_id)""")
+def p17(spark, sf_dir):
+    t = convo.train_on(fx.table(spark, sf_dir, "conversations"))
+    return t.select("conv_id", "turn", "weight", "has_assistant")
+
+
+@query("t04_last_assistant_message", f"""
+SELECT conv_id, arg_max(role, turn) AS last_role,
+       length(arg_max(text, turn)) AS last_len,
+       length(arg_max(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END))
+         AS last_assistant_len,
+       max(CASE WHEN role = 'assistant' THEN turn END) AS last_assistant_turn,
+       count(*) AS n_turns
+FROM {_CONV} GROUP BY conv_id""")
+def t04(spark, sf_dir):
+    s = convo.conversation_summary(fx.table(spark, sf_dir, "conversations"))
+    return s.select("conv_id", "last_role", F.length("last_text").alias("last_len"),
+                    F.length("last_assistant_text").alias("last_assistant_len"),
+                    "last_assistant_turn", "n_turns")
+
+
+_VOCAB_N, _MAXLEN = 500, 64
+_TOK = f"""WITH rc AS (
+  SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text
+  FROM {_CONV} GROUP BY conv_id),
+tw AS (SELECT conv_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN CAST([] AS VARCHAR[])
+                  ELSE string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') END AS toks FROM rc),
+vc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM tw) GROUP BY token),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 2 AS INTEGER) AS id, cnt
+          FROM vc ORDER BY cnt DESC, token LIMIT {_VOCAB_N})"""
+
+
+@query("t01_vocabulary", f"""{_TOK}
+SELECT token, id, CAST(cnt AS BIGINT) AS count FROM vocab
+UNION ALL SELECT * FROM (VALUES ('<pad>', 0, CAST(0 AS BIGINT)), ('<unk>', 1, 0), ('<eos>', 2, 0)) v(token, id, count)""")
+def t01(spark, sf_dir):
+    rc = convo.render_turns(fx.table(spark, sf_dir, "conversations"))
+    return tokens.build_vocabulary(rc, max_vocab=_VOCAB_N)
+
+
+@query("t01_encode", f"""{_TOK},
+tk AS (SELECT conv_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM tw),
+ids AS (SELECT tk.conv_id, list(coalesce(v.id, 1) ORDER BY tk.pos) AS l
+        FROM tk LEFT JOIN vocab v USING (token) WHERE tk.pos <= {_MAXLEN} GROUP BY tk.conv_id),
+fl AS (SELECT tw.conv_id, coalesce(ids.l, CAST([] AS INTEGER[])) AS l FROM tw LEFT JOIN ids USING (conv_id))
+SELECT conv_id,
+       list_concat(l, list_transform(range({_MAXLEN} - len(l)), lambda x: 2)) AS input_ids,
+       list_concat(list_transform(l, lambda x: 1), list_transform(range({_MAXLEN} - len(l)), lambda x: 0))
+         AS attention_mask,
+       list_transform(list_concat(l, list_transform(range({_MAXLEN} - len(l)), lambda x: 2)),
+                      lambda t: CASE WHEN t = 2 THEN -100 ELSE t END) AS labels
+FROM fl""")
+def t01e(spark, sf_dir):
+    rc = convo.render_turns(fx.table(spark, sf_dir, "conversations"))
+    vocab = tokens.build_vocabulary(rc, max_vocab=_VOCAB_N)
+    return tokens.encode(rc, vocab, "conv_id", max_length=_MAXLEN)
+
+
+_SYSN = len(evals.TOOL_USE_SYSTEM_PROMPT)
+_AVAIL = len("\n\nAvailable tools:\n")
+
+
+@query("p11_example_to_conversation", f"""WITH {_RAW},
+a AS (SELECT example_id, instruction,
+        CASE WHEN json_valid(trim(tools)) AND json_type(trim(tools)) = 'ARRAY' AND json_array_length(trim(tools)) > 0
+             THEN length(CAST(json(trim(tools)) AS VARCHAR)) END AS tools_len,
+        CASE WHEN trim(tool_calls) <> '' AND json_valid(trim(tool_calls)) AND json_type(trim(tool_calls)) = 'ARRAY'
+                  AND json_array_length(trim(tool_calls)) > 0
+             THEN from_json(trim(tool_calls), '["JSON"]') END AS calls
+      FROM raw)
+SELECT example_id,
+       CAST({_SYSN} + CASE WHEN tools_len IS NULL THEN 0 ELSE {_AVAIL} + tools_len END AS INTEGER) AS system_len,
+       instruction AS user_content,
+       CAST(list_sum(list_transform(calls, lambda c: length(CAST(json(c) AS VARCHAR)) + 25)) + len(calls) - 1 AS INTEGER)
+         AS assistant_len,
+       CAST(len(calls) AS INTEGER) AS n_blocks
+FROM a WHERE instruction IS NOT NULL AND instruction <> '' AND calls IS NOT NULL""")
+def p11(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    conv = raw.select("example_id", convo.example_to_conversation(raw).alias("m")).filter(F.col("m").isNotNull())
+    asst = F.col("m")[2]["content"]
+    return conv.select("example_id", F.length(F.col("m")[0]["content"]).alias("system_len"),
+                       F.col("m")[1]["content"].alias("user_content"), F.length(asst).alias("assistant_len"),
+                       (F.size(F.split(asst, "<tool_call>")) - 1).alias("n_blocks"))
+
+
+@query("p12_grpo_prompts", f"""WITH {_RAW},
+a AS (SELECT example_id,
+        coalesce(nullif(instruction, ''), nullif(query, ''), nullif(text, '')) AS u,
+        CASE WHEN tools IS NOT NULL AND tools <> '' THEN {_SYSN + _AVAIL} + length(tools) ELSE {_SYSN} END AS system_len,
+        CASE WHEN trim(tool_calls) <> '' AND json_valid(trim(tool_calls)) THEN CAST(trim(tool_calls) AS JSON) END AS tc
+      FROM raw),
+b AS (SELECT *, CASE WHEN json_type(tc) = 'ARRAY' THEN from_json(tc, '["JSON"]') END AS arr,
+             CASE WHEN json_type(tc) = 'ARRAY' THEN json_extract(tc, '$[0]')
+                  WHEN json_type(tc) = 'OBJECT' THEN tc END AS first FROM a),
+c AS (SELECT *, {o.args_of('first')} AS args FROM b)
+SELECT example_id, CAST(system_len AS INTEGER) AS system_len, u AS "user",
+       CASE WHEN first IS NOT NULL THEN coalesce({o.name_of('first')}, '') ELSE '' END AS expected_tool,
+       CASE WHEN first IS NOT NULL THEN coalesce(CASE WHEN json_type(args) = 'VARCHAR' THEN json_extract_string(args, '$') END,
+                                               CAST(args AS VARCHAR), '{{}}') ELSE '' END AS expected_args,
+       CASE WHEN len(arr) > 1 THEN CAST(to_json(list_transform(arr, lambda x: coalesce({o.name_of('x')}, ''))) AS VARCHAR)
+            ELSE '[]' END AS expected_chain
+FROM c WHERE u IS NOT NULL""")
+def p12(spark, sf_dir):
+    raw = fx.raw_rows_f3(spark, sf_dir)
+    p = convo.build_prompts(raw)
+    return p.select("example_id", F.length("system").alias("system_len"), "user", "expected_tool",
+                    "expected_args", "expected_chain")
