@@ -188,8 +188,8 @@ def multi_step_label(pred_names: Column, exp_names: Column) -> Column:
 
 
 def score_examples(joined: DataFrame) -> DataFrame:
-    """Row-level flags for A4-A8 (extraction runs once per completion)."""
-    c = with_calls(joined, completion="output")
+    """Row-level flags for A4-A7 (extraction runs once per completion; reused if present)."""
+    c = joined if "calls" in joined.columns else with_calls(joined, completion="output")
     name = extract.call_name(F.col("call"))
     args_raw = jsonx.call_arguments(F.col("call"))
     pred_args = F.when(F.col("call").isNull(), F.lit(None).cast("string")) \
@@ -261,7 +261,8 @@ def quality_metrics(scored: DataFrame) -> DataFrame:
 
 def stage_metrics(examples: DataFrame, completions: DataFrame, order: str = "example_id") -> DataFrame:
     """A4-A8 per stage: quality metrics joined to latency metrics (both one row per stage)."""
-    scored = score_examples(join_completions(examples, completions))
+    extracted = with_calls(completions, completion="output")
+    scored = score_examples(join_completions(examples, extracted))
     return quality_metrics(scored).join(latency_metrics(completions, order), "stage", "full_outer")
 
 
@@ -286,16 +287,23 @@ def display_value(metric: Column, value: Column) -> Column:
             .otherwise(F.format_string("%.2f", value)))
 
 
-def compare_stages(metrics: DataFrame, stages: list[str], order: DataFrame | None = None) -> DataFrame:
+def compare_stages(metrics: DataFrame, stages: list[str], metric_rank: dict[str, int] | None = None) -> DataFrame:
     """One row per metric, one value and one display column per stage.
 
-    ``stages`` are given so the pivot needs no extra job to find them. The
-    metric order is the first appearance over stages (``metric_order``).
+    ``stages`` are given in order so the pivot needs no extra job to find
+    them. ``metric_order`` is the first appearance over stages (stage order,
+    then ``metric_rank``), computed on the pivoted row itself so the metric
+    table is read once.
     """
     piv = metrics.groupBy("metric").pivot("stage", stages).agg(F.first("value"))
-    if order is not None:
-        piv = piv.join(order, "metric", "left")
-    return piv.select("*", *[display_value(F.col("metric"), F.col(s)).alias(f"{s}_display") for s in stages])
+    rank = metric_rank or {}
+    mr = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in rank.items())) \
+        if rank else None
+    m_rank = F.coalesce(mr[F.col("metric")], F.lit(999)) if mr is not None else F.lit(999)
+    order = F.least(*[F.when(F.col(s).isNotNull(), F.lit(i * 1000) + m_rank) for i, s in enumerate(stages)]) \
+        if len(stages) > 1 else F.when(F.col(stages[0]).isNotNull(), m_rank)
+    return piv.select("metric", order.alias("metric_order"), *stages,
+                      *[display_value(F.col("metric"), F.col(s)).alias(f"{s}_display") for s in stages])
 
 
 def first_seen_order(metrics: DataFrame, stage_rank: dict[str, int], metric_rank: dict[str, int]) -> DataFrame:

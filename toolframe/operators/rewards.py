@@ -10,6 +10,7 @@ so the regexes and JSON parses are not repeated per reward.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Callable
 
@@ -55,6 +56,7 @@ def register_reward(name: str, fn: Callable[[Ctx], Column],
     """Add (or replace) a reward column. ``fn`` must return a double Column."""
     global _REGISTRY
     _REGISTRY = [r for r in _REGISTRY if r.name != name] + [Reward(name, fn, gate)]
+    _score_columns.cache_clear() if "_score_columns" in globals() else None
 
 
 def registered() -> list[Reward]:
@@ -142,6 +144,28 @@ register_reward("chain", full_chain, _chain_gate)
 register_reward("chain_partial", chain_partial, _chain_gate)
 
 
+@functools.lru_cache(maxsize=64)
+def _call_stages(completion: str) -> tuple[dict[str, Column], ...]:
+    """Column expressions of ``with_calls``, built once per process (they only name columns)."""
+    empty = F.array().cast("array<variant>")
+    need_flat = (F.size("_named_heads") == 0) | (F.size("_named_blocks") == 0)
+    raw = F.col("_call_args")
+    reparsed = F.when(jsonx.is_string(raw), jsonx.parse_strict(jsonx.as_string(raw))).otherwise(raw)
+    return (
+        {"_clean": extract.strip_think(F.col(completion))},
+        {"_named_heads": extract.named_calls(extract.first_matches(F.col("_clean"))),
+         "_named_blocks": extract.named_calls(extract.tool_call_blocks(F.col("_clean")))},
+        {"_named_flat": F.when(need_flat, F.coalesce(
+            extract.named_calls(extract.flat_objects(F.col("_clean"))), empty)).otherwise(empty)},
+        {"call": F.coalesce(F.try_element_at("_named_heads", F.lit(1)), F.try_element_at("_named_flat", F.lit(1))),
+         "calls": F.when(F.size("_named_blocks") > 0, F.col("_named_blocks")).otherwise(F.col("_named_flat"))},
+        {"_call_args": jsonx.call_arguments(F.col("call")),
+         "_pred_names": _predicted_names(F.col("calls"))},
+        {"_pred_kv": F.when(raw.isNull(), F.array().cast("array<string>"))
+         .otherwise(jsonx.kv_pairs(jsonx.as_object(reparsed)))},
+    )
+
+
 def with_calls(df: DataFrame, completion: str = "completion") -> DataFrame:
     """E1-E3 plus the prediction-side inputs of the rewards, as staged projections.
 
@@ -151,25 +175,13 @@ def with_calls(df: DataFrame, completion: str = "completion") -> DataFrame:
     fallback of both extractors, so it only runs for rows that need it.
     Row-local: run it on the completions side before any join.
     """
-    empty = F.array().cast("array<variant>")
-    need_flat = (F.size("_named_heads") == 0) | (F.size("_named_blocks") == 0)
-    raw = F.col("_call_args")
-    reparsed = F.when(jsonx.is_string(raw), jsonx.parse_strict(jsonx.as_string(raw))).otherwise(raw)
-    return (df
-            .withColumn("_clean", extract.strip_think(F.col(completion)))
-            .withColumn("_named_heads", extract.named_calls(extract.first_matches(F.col("_clean"))))
-            .withColumn("_named_blocks", extract.named_calls(extract.tool_call_blocks(F.col("_clean"))))
-            .withColumn("_named_flat", F.when(need_flat, F.coalesce(
-                extract.named_calls(extract.flat_objects(F.col("_clean"))), empty)).otherwise(empty))
-            .withColumn("call", F.coalesce(F.try_element_at("_named_heads", F.lit(1)),
-                                           F.try_element_at("_named_flat", F.lit(1))))
-            .withColumn("calls", F.when(F.size("_named_blocks") > 0, F.col("_named_blocks"))
-                        .otherwise(F.col("_named_flat")))
-            .drop("_clean", "_named_heads", "_named_blocks", "_named_flat")
-            .withColumn("_call_args", jsonx.call_arguments(F.col("call")))
-            .withColumn("_pred_names", _predicted_names(F.col("calls")))
-            .withColumn("_pred_kv", F.when(raw.isNull(), F.array().cast("array<string>"))
-                        .otherwise(jsonx.kv_pairs(jsonx.as_object(reparsed)))))
+    s = _call_stages(completion)
+    out = df
+    for i, stage in enumerate(s):
+        if i == 4:
+            out = out.drop("_clean", "_named_heads", "_named_blocks", "_named_flat")
+        out = out.withColumns(stage)
+    return out
 
 
 def with_expected(df: DataFrame, expected_args: str = "expected_args",
@@ -179,10 +191,13 @@ def with_expected(df: DataFrame, expected_args: str = "expected_args",
     Expectations belong to a prompt, not to a sample: run this on the prompt
     table before joining it to its G completions.
     """
-    return (df
-            .withColumn("_exp_kv", jsonx.kv_pairs(jsonx.as_object(
-                jsonx.parse_strict(F.col(expected_args).cast("string")))))
-            .withColumn("_exp_names", _expected_names(F.col(expected_chain).cast("string"))))
+    return df.withColumns(_expected_columns(expected_args, expected_chain))
+
+
+@functools.lru_cache(maxsize=64)
+def _expected_columns(expected_args: str, expected_chain: str) -> dict[str, Column]:
+    return {"_exp_kv": jsonx.kv_pairs(jsonx.as_object(jsonx.parse_strict(F.col(expected_args).cast("string")))),
+            "_exp_names": _expected_names(F.col(expected_chain).cast("string"))}
 
 
 PRED_STAGED = ["_call_args", "_pred_kv", "_pred_names"]
@@ -190,6 +205,28 @@ EXP_STAGED = ["_exp_kv", "_exp_names"]
 _STAGED = PRED_STAGED + EXP_STAGED
 
 
+@functools.lru_cache(maxsize=64)
+def _score_columns(names: tuple[str, ...], completion: str, expected_tool: str, expected_args: str,
+                   expected_chain: str, gating: str):
+    """Reward, component-count and composite columns for a registry state (memoised)."""
+    by_name = {r.name: r for r in registered()}
+    rewards = [by_name[n] for n in names]
+    ctx = Ctx(F.col("call"), F.col("calls"), F.col(completion), F.col(expected_tool).cast("string"),
+              F.col(expected_args).cast("string"), F.col(expected_chain).cast("string"),
+              F.col("_call_args"), F.col("_pred_kv"), F.col("_exp_kv"), F.col("_pred_names"),
+              F.col("_exp_names"))
+    comp = {f"reward_{r.name}": r.fn(ctx) for r in rewards}
+    active = {r.name: (F.lit(True) if (gating == "always" or r.gate is None)
+                       else F.coalesce(r.gate(ctx), F.lit(False))) for r in rewards}
+    n = sum((active[r.name].cast("int") for r in rewards), F.lit(0))
+    total = None
+    for r in rewards:
+        term = F.when(active[r.name], F.col(f"reward_{r.name}") / F.col("n_components").cast("double")) \
+            .otherwise(F.lit(0.0))
+        total = term if total is None else total + term
+    return comp, n, total
+
+
 def score(df: DataFrame, *, completion: str = "completion", expected_tool: str = "expected_tool",
           expected_args: str = "expected_args", expected_chain: str = "expected_chain",
           gating: str = "intended", keep_calls: bool = False) -> DataFrame:
@@ -207,26 +244,15 @@ def score(df: DataFrame, *, completion: str = "completion", expected_tool: str =
     """
     if gating not in ("intended", "always"):
         raise ValueError(f"unknown gating {gating!r}")
-    scored = df if "_pred_kv" in df.columns else with_calls(df, completion)
-    if "_exp_kv" not in scored.columns:
+    cols = set(df.columns)
+    scored = df if "_pred_kv" in cols else with_calls(df, completion)
+    if "_exp_kv" not in cols:
         scored = with_expected(scored, expected_args, expected_chain)
-    ctx = Ctx(F.col("call"), F.col("calls"), F.col(completion), F.col(expected_tool).cast("string"),
-              F.col(expected_args).cast("string"), F.col(expected_chain).cast("string"),
-              F.col("_call_args"), F.col("_pred_kv"), F.col("_exp_kv"), F.col("_pred_names"),
-              F.col("_exp_names"))
     rewards = registered()
-    scored = scored.select("*", *[r.fn(ctx).alias(f"reward_{r.name}") for r in rewards])
-    active = [F.lit(True) if (gating == "always" or r.gate is None) else F.coalesce(r.gate(ctx), F.lit(False))
-              for r in rewards]
-    scored = scored.select("*", *[a.alias(f"_on_{r.name}") for a, r in zip(active, rewards)])
-    n = sum((F.col(f"_on_{r.name}").cast("int") for r in rewards), F.lit(0))
-    scored = scored.withColumn("n_components", n)
-    total = None
-    for r in rewards:
-        term = F.when(F.col(f"_on_{r.name}"), F.col(f"reward_{r.name}") / F.col("n_components").cast("double")) \
-            .otherwise(F.lit(0.0))
-        total = term if total is None else total + term
-    scored = scored.withColumn("reward", total).drop(*[f"_on_{r.name}" for r in rewards], *_STAGED)
+    comp_cols, n_col, total = _score_columns(tuple(r.name for r in rewards), completion, expected_tool,
+                                            expected_args, expected_chain, gating)
+    scored = (scored.withColumns(comp_cols).withColumn("n_components", n_col).withColumn("reward", total)
+              .drop(*[c for c in _STAGED]))
     if not keep_calls:
         scored = scored.drop("call", "calls")
     return scored

@@ -318,9 +318,7 @@ SELECT metric, metric_order, {', '.join(f'{o.r9(s)} AS {s}' for s in fx.STAGES)}
        {', '.join(f'{o.display(s)} AS {s}_display' for s in fx.STAGES)}
 FROM pv""")
 def c01(spark, sf_dir):
-    m = _metric_long(spark, sf_dir)
-    order = evals.first_seen_order(m, _STAGE_ORDER, _METRIC_RANK)
-    return r9(evals.compare_stages(m, fx.STAGES, order))
+    return r9(evals.compare_stages(_metric_long(spark, sf_dir), fx.STAGES, _METRIC_RANK))
 
 
 @query("p20_metric_display", f"{_EV} SELECT stage, metric, {o.display('value')} AS display FROM ml")
@@ -465,7 +463,7 @@ def p08(spark, sf_dir):
 @query("p09_expected_fields", f"""WITH {_P9}
 SELECT example_id, expected_tool, expected_args, array_to_string(expected_chain, ',') AS expected_chain FROM p9""")
 def p09(spark, sf_dir):
-    raw = fx.raw_rows_f3(spark, sf_dir)
+    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
     e = evals.expected_fields(raw)
     return e.select("example_id", "expected_tool", F.to_json("expected_args").alias("expected_args"),
                     F.array_join("expected_chain", ",").alias("expected_chain"))
@@ -483,7 +481,7 @@ def _p10_key(col: str) -> str:
 @query("p10_tools_context", f"""WITH {_RAW}
 SELECT example_id, coalesce({_p10_key('tools')}, {_p10_key('api_list')}) AS tools_context FROM raw""")
 def p10(spark, sf_dir):
-    raw = fx.raw_rows_f3(spark, sf_dir)
+    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
     return raw.select("example_id", evals.tools_context(raw).alias("tools_context"))
 
 
@@ -505,7 +503,7 @@ def p13(spark, sf_dir):
 @query("p16_multi_step_filter", f"""WITH {_P9}
 SELECT example_id, CAST(len(expected_chain) AS INTEGER) AS n_steps FROM p9 WHERE len(expected_chain) > 1""")
 def p16(spark, sf_dir):
-    e = evals.expected_fields(fx.raw_rows_f3(spark, sf_dir))
+    e = evals.expected_fields(ensure_parallelism(fx.raw_rows_f3(spark, sf_dir)))
     return e.filter(F.size("expected_chain") > 1).select("example_id", F.size("expected_chain").alias("n_steps"))
 
 
@@ -877,7 +875,7 @@ SELECT example_id,
        CAST(len(calls) AS INTEGER) AS n_blocks
 FROM a WHERE instruction IS NOT NULL AND instruction <> '' AND calls IS NOT NULL""")
 def p11(spark, sf_dir):
-    raw = fx.raw_rows_f3(spark, sf_dir)
+    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
     conv = raw.select("example_id", convo.example_to_conversation(raw).alias("m")).filter(F.col("m").isNotNull())
     asst = F.col("m")[2]["content"]
     return conv.select("example_id", F.length(F.col("m")[0]["content"]).alias("system_len"),
@@ -903,7 +901,7 @@ SELECT example_id, CAST(system_len AS INTEGER) AS system_len, u AS "user",
             ELSE '[]' END AS expected_chain
 FROM c WHERE u IS NOT NULL""")
 def p12(spark, sf_dir):
-    raw = fx.raw_rows_f3(spark, sf_dir)
+    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
     p = convo.build_prompts(raw)
     return p.select("example_id", F.length("system").alias("system_len"), "user", "expected_tool",
                     "expected_args", "expected_chain")

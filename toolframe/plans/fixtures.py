@@ -19,59 +19,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _completion(t, p, eid):
-    """Completion text by ``event_id mod 10`` (FIXTURES F2 table)."""
-    nl = F.lit("\n")
-    call = F.concat(F.lit('{"name": "'), t, F.lit('", "arguments": '), p, F.lit("}"))
-    wrong = F.concat(F.lit('{"name": "none", "arguments": '), p, F.lit("}"))
-    m = F.pmod(eid, F.lit(10))
-    return (F.when(m <= 1, F.concat(F.lit("<tool_call>"), nl, call, nl, F.lit("</tool_call>")))
-            .when(m == 2, F.concat(F.lit("```json"), nl, call, nl, F.lit("```")))
-            .when(m == 3, F.concat(F.lit("<|function_call|>"), call))
-            .when(m == 4, F.concat(F.lit("<think>"), wrong, F.lit("</think>"), nl,
-                                   F.lit("<tool_call>"), call, F.lit("</tool_call>")))
-            .when(m == 5, F.concat(F.lit("<think>open <tool_call>"), call, F.lit("</tool_call>")))
-            .when(m == 6, F.concat(F.lit("<tool_call>"), wrong, F.lit("</tool_call>")))
-            .when(m == 7, F.concat(F.lit('<tool_call>{"name": "'), t, F.lit('", "arguments": '), p,
-                                   F.lit("</tool_call>")))
-            .when(m == 8, F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>"), nl,
-                                   F.lit("<tool_call>"), wrong, F.lit("</tool_call>")))
-            .otherwise(F.lit("no call here")))
+_CALL = """'{"name": "' || event_type || '", "arguments": ' || props || '}'"""
+_WRONG = """'{"name": "none", "arguments": ' || props || '}'"""
+
+# Completion text by ``event_id mod 10`` (FIXTURES F2 table), as one SQL expression.
+_COMPLETION_SQL = f"""CASE pmod(event_id, 10)
+  WHEN 0 THEN '<tool_call>' || char(10) || {_CALL} || char(10) || '</tool_call>'
+  WHEN 1 THEN '<tool_call>' || char(10) || {_CALL} || char(10) || '</tool_call>'
+  WHEN 2 THEN '```json' || char(10) || {_CALL} || char(10) || '```'
+  WHEN 3 THEN '<|function_call|>' || {_CALL}
+  WHEN 4 THEN '<think>' || {_WRONG} || '</think>' || char(10) || '<tool_call>' || {_CALL} || '</tool_call>'
+  WHEN 5 THEN '<think>open <tool_call>' || {_CALL} || '</tool_call>'
+  WHEN 6 THEN '<tool_call>' || {_WRONG} || '</tool_call>'
+  WHEN 7 THEN '<tool_call>{{"name": "' || event_type || '", "arguments": ' || props || '</tool_call>'
+  WHEN 8 THEN '<tool_call>' || {_CALL} || '</tool_call>' || char(10) || '<tool_call>' || {_WRONG} || '</tool_call>'
+  ELSE 'no call here' END"""
+
+_F2_EXPRS = [
+    "event_id",
+    "CAST(event_id DIV 8 AS BIGINT) AS prompt_id",
+    "CAST(pmod(event_id, 8) AS INT) AS sample_id",
+    "CAST(event_id DIV 128 AS INT) AS step",
+    "CAST(pmod(event_id DIV 8, 16) AS INT) AS slot",
+    "user_id",
+    "event_type AS expected_tool",
+    """CASE WHEN pmod(event_id, 3) = 0 THEN props ELSE replace(props, '}', ', "extra": 1}') END AS expected_args""",
+    """CASE WHEN pmod(event_id, 7) < 3 THEN '["' || event_type || '", "none"]' ELSE '[]' END AS expected_chain""",
+    "CAST(1 + pmod(event_id, 50) AS INT) AS n_tokens",
+    "value / 10 AS elapsed_s",
+    "CAST(3 + pmod(event_id DIV 8, 5) AS INT) AS prompt_len",
+    f"{_COMPLETION_SQL} AS completion",
+]
 
 
 def completions_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2: one scored completion per event, with its own expected values."""
-    e = table(spark, sf_dir, "events")
-    eid, t, p = F.col("event_id"), F.col("event_type"), F.col("props")
-    prompt_id = F.floor(eid / 8).cast("long")
-    return e.select(
-        eid.alias("event_id"),
-        prompt_id.alias("prompt_id"),
-        F.pmod(eid, F.lit(8)).cast("int").alias("sample_id"),
-        F.floor(eid / 128).cast("int").alias("step"),
-        F.pmod(prompt_id, F.lit(16)).cast("int").alias("slot"),
-        F.col("user_id"),
-        t.alias("expected_tool"),
-        F.when(F.pmod(eid, F.lit(3)) == 0, p).otherwise(F.replace(p, F.lit("}"), F.lit(', "extra": 1}')))
-        .alias("expected_args"),
-        F.when(F.pmod(eid, F.lit(7)) < 3, F.concat(F.lit('["'), t, F.lit('", "none"]')))
-        .otherwise(F.lit("[]")).alias("expected_chain"),
-        (F.lit(1) + F.pmod(eid, F.lit(50))).cast("int").alias("n_tokens"),
-        (F.col("value") / 10).alias("elapsed_s"),
-        (F.lit(3) + F.pmod(prompt_id, F.lit(5))).cast("int").alias("prompt_len"),
-        _completion(t, p, eid).alias("completion"),
-    )
+    return table(spark, sf_dir, "events").selectExpr(*_F2_EXPRS)
 
 
 def rollouts_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROLLOUT_SCHEMA rows: completions with token ids and log-probs, no expectations."""
     c = completions_f2(spark, sf_dir)
-    tokens = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - 1),
-                         lambda i: F.pmod(F.col("user_id") * 131 + i * 7, F.lit(50000)).cast("int"))
-    return c.select("event_id", "step", "prompt_id", "sample_id", "slot", "completion", "prompt_len",
-                    tokens.alias("tokens"),
-                    F.transform(tokens, lambda x: -(F.pmod(x, F.lit(100)).cast("double")) / 100.0)
-                    .alias("logprobs"))
+    tokens = "transform(sequence(0, n_tokens - 1), i -> CAST(pmod(user_id * 131 + i * 7, 50000) AS INT))"
+    return c.selectExpr("event_id", "step", "prompt_id", "sample_id", "slot", "completion", "prompt_len",
+                        f"{tokens} AS tokens",
+                        f"transform({tokens}, x -> -CAST(pmod(x, 100) AS DOUBLE) / 100.0) AS logprobs")
 
 
 def prompts_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
