@@ -905,3 +905,21 @@ def p12(spark, sf_dir):
     p = convo.build_prompts(raw)
     return p.select("example_id", F.length("system").alias("system_len"), "user", "expected_tool",
                     "expected_args", "expected_chain")
+
+
+# --------------------------------------------------------------------------
+# Streaming scorer, run here on the static table (same code path)
+# --------------------------------------------------------------------------
+
+from toolframe.streaming import scoring as stream_scoring  # noqa: E402
+
+
+@query("x08_stream_step_rewards", f"""{_RW},
+sc AS (SELECT *, {_rew5} AS reward FROM rw)
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, step,
+       count(*) AS n_samples, {o.r9('avg(reward)')} AS reward_mean,
+       {', '.join(f'{o.r9(f"avg({c})")} AS {c}' for c in _COMPS)}
+FROM sc GROUP BY 1, 2""")
+def x08(spark, sf_dir):
+    c = ensure_parallelism(fx.completions_f2(spark, sf_dir))
+    return r9(stream_scoring.step_rewards(stream_scoring.score_stream(c)))

@@ -37,6 +37,7 @@ _COMPLETION_SQL = f"""CASE pmod(event_id, 10)
 
 _F2_EXPRS = [
     "event_id",
+    "ts",
     "CAST(event_id DIV 8 AS BIGINT) AS prompt_id",
     "CAST(pmod(event_id, 8) AS INT) AS sample_id",
     "CAST(event_id DIV 128 AS INT) AS step",

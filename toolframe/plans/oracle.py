@@ -9,7 +9,7 @@ from __future__ import annotations
 
 F2 = r"""
 f2 AS (
-  SELECT event_id,
+  SELECT event_id, ts,
          event_id // 8 AS prompt_id,
          CAST(event_id % 8 AS INTEGER) AS sample_id,
          CAST(event_id // 128 AS INTEGER) AS step,
