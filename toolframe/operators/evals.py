@@ -226,10 +226,10 @@ def latency_metrics(completions: DataFrame, order: str = "example_id", head: int
     agg = h.groupBy("stage").agg(F.sum("elapsed_s").alias("_t"), F.count(F.lit(1)).alias("_n"),
                                  F.sum("n_tokens").alias("_tok"))
     ok = (F.col("_n") > 0) & F.coalesce(F.col("_tok") > 0, F.lit(False))
-    avg_t = F.col("_t") / F.col("_n")
+    avg_t = F.try_divide(F.col("_t"), F.col("_n"))
     return agg.select("stage",
                       F.when(ok, avg_t * 1000.0).otherwise(F.lit(0.0)).alias("avg_latency_ms"),
-                      F.when(ok, F.lit(1000.0) * avg_t / (F.col("_tok") / F.col("_n")))
+                      F.when(ok, F.try_divide(F.lit(1000.0) * avg_t, F.try_divide(F.col("_tok"), F.col("_n"))))
                       .otherwise(F.lit(0.0)).alias("ms_per_token"))
 
 
@@ -244,7 +244,7 @@ def quality_metrics(scored: DataFrame) -> DataFrame:
     n_multi = F.count(lab)
 
     def share(label: str) -> Column:
-        return F.coalesce(F.sum(F.when(lab == label, 1).otherwise(0)) / n_multi, F.lit(0.0))
+        return F.coalesce(F.try_divide(F.sum(F.when(lab == label, 1).otherwise(0)), n_multi), F.lit(0.0))
 
     return scored.groupBy("stage").agg(
         F.coalesce(F.avg("_sel"), F.lit(0.0)).alias("tool_selection_accuracy"),

@@ -24,7 +24,13 @@ SAMPLE_KEY = ("step", "prompt_id", "sample_id")
 def score_stream(completions: DataFrame, prompts: DataFrame | None = None, *, event_time: str = "ts",
                  watermark: str = "10 minutes", key: tuple[str, ...] = SAMPLE_KEY,
                  gating: str = "always") -> DataFrame:
-    """Deduplicated, scored completion rows (one per sample key)."""
+    """Deduplicated, scored completion rows (one per sample key).
+
+    A TIMESTAMP_NTZ event time is read as a session-time-zone TIMESTAMP,
+    which watermarks require.
+    """
+    if completions.schema[event_time].dataType.typeName() == "timestamp_ntz":
+        completions = completions.withColumn(event_time, F.col(event_time).cast("timestamp"))
     if completions.isStreaming:
         s = completions.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(list(key))
     else:  # batch equivalent: redelivered samples are identical, any one is kept
