@@ -63,9 +63,10 @@ def render_messages(messages: Column) -> Column:
         F.coalesce(m["role"], F.lit("")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
 
 
-def unify_text(df: DataFrame) -> DataFrame:
+def unify_text(df: DataFrame, passthrough: tuple[str, ...] = ()) -> DataFrame:
     """P4 + P5: one ``text`` column by the cascade text -> messages -> instruction -> JSON dump,
-    then keep only ``text`` and ``source``."""
+    then keep only ``text`` and ``source`` (plus bookkeeping ``passthrough`` columns such as
+    a row key or split, which are never part of the dumped content)."""
     cands = []
     if "text" in df.columns:
         cands.append(F.when(truthy(F.col("text")), F.col("text")))
@@ -73,9 +74,9 @@ def unify_text(df: DataFrame) -> DataFrame:
         cands.append(F.when(F.col("messages").isNotNull(), render_messages(F.col("messages"))))
     if "instruction" in df.columns:
         cands.append(F.when(truthy(F.col("instruction")), F.col("instruction")))
-    rest = [c for c in df.columns if c != "source"]
+    rest = [c for c in df.columns if c != "source" and c not in passthrough and c != "_corrupt_record"]
     cands.append(F.to_json(F.struct(*[F.col(c) for c in rest])))
-    keep = [F.coalesce(*cands).alias("text")]
+    keep = [F.col(c) for c in passthrough] + [F.coalesce(*cands).alias("text")]
     if "source" in df.columns:
         keep.append(F.col("source"))
     return df.select(*keep)

@@ -225,6 +225,14 @@ def a14(spark, sf_dir):
     return step_metrics_query(spark, sf_dir).select("step", *_A14)
 
 
+@query("k10_sample_log", f"""{_RO}
+SELECT step, slot + 1 AS sample, substr("user", 1, 500) AS prompt, substr(completion, 1, 800) AS completion,
+       expected_tool, reward_tool_name AS reward
+FROM adv WHERE step % 10 = 0 AND slot < 2 AND sample_id = 0""")
+def k10(spark, sf_dir):
+    return rollouts.sample_log(scored_rollouts(spark, sf_dir), every=10, n=2)
+
+
 @query("t05_datum_arrays", f"""{_RO},
 d AS (SELECT step, prompt_id, sample_id, prompt_len - 1 AS ob, tokens, advantage,
              prompt_len + greatest(len(tokens) - 1, 0) AS full_len

@@ -247,3 +247,42 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("size_kb", F.round(F.col("file_size") / 1024.0, 1))
             .withColumn("_ext_order", F.when(F.col("file_name").endswith(".jsonl"), 0).otherwise(1))
             .orderBy("_ext_order", "file_name").drop("_ext_order"))
+
+
+def load_eval_examples(spark: SparkSession, test_raw: str | None, synth_dir: str | None,
+                       max_samples: int = 1000, seed: int = 42) -> DataFrame:
+    """Evaluation rows with priority fallback, then a seeded cap (L3).
+
+    The prepared raw test split is used when it yields rows; otherwise a
+    stable 10% md5 hold-out of the raw synthetic files (H9). Rows get a
+    ``row_id`` from their content hash so the cap is partition independent.
+    """
+    from toolframe.operators.evals import normalize_examples
+    from toolframe.operators.prep import cap_rows, holdout
+
+    def rows_of(path, src):
+        df = read_jsonl(spark, path)
+        key = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c != "_corrupt_record"]))
+        return df.withColumn("row_id", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")), key, src
+
+    chosen = None
+    if test_raw and _exists(spark, test_raw):
+        df, _, src = rows_of(test_raw, "prepared")
+        ex = normalize_examples(df, F.coalesce(F.col("source"), F.lit(src)) if "source" in df.columns else F.lit(src))
+        if ex.limit(1).count() > 0:
+            chosen = ex
+    if chosen is None and synth_dir and _exists(spark, synth_dir):
+        df, key, _ = rows_of(synth_dir, "synthetic")
+        chosen = normalize_examples(holdout(df, key, 0.1), F.lit("synthetic"))
+    if chosen is None:
+        raise SourceError("No evaluation examples available.")
+    return cap_rows(chosen.withColumn("row_id", F.conv(F.substring(F.md5(F.to_json(F.struct("prompt", "source"))),
+                                                                   1, 15), 16, 10).cast("long")),
+                    max_samples, key="row_id", seed=seed)
+
+
+def load_sft_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """Raw JSON-lines examples -> ``messages`` (P11), rows that do not convert dropped."""
+    from toolframe.operators.convo import example_to_conversation
+    df = read_jsonl(spark, path)
+    return df.select(example_to_conversation(df).alias("messages")).filter(F.col("messages").isNotNull())
