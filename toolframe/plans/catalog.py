@@ -931,3 +931,82 @@ FROM sc GROUP BY 1, 2""")
 def x08(spark, sf_dir):
     c = ensure_parallelism(fx.completions_f2(spark, sf_dir))
     return r9(stream_scoring.step_rewards(stream_scoring.score_stream(c)))
+
+
+# --------------------------------------------------------------------------
+# Synthetic corpus, one example per event
+# --------------------------------------------------------------------------
+
+from toolframe.operators import synth, synth_catalog  # noqa: E402
+
+
+def _gen_base(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"))
+    return ensure_parallelism(e)
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.generate(_gen_base(spark, sf_dir))
+
+
+def _weights_sql() -> str:
+    total = sum(t.weight for t in synth_catalog.TEMPLATES)
+    rows, acc = [], 0
+    for i, t in enumerate(synth_catalog.TEMPLATES):
+        rows.append(f"({i}, '{t.name}', '{t.category}', {len(t.calls)}, CAST({acc / total!r} AS DOUBLE), "
+                    f"CAST({(acc + t.weight) / total!r} AS DOUBLE))")
+        acc += t.weight
+    return ", ".join(rows)
+
+
+_GEN = f"""WITH tw(template_idx, template, category, num_steps, lo, hi) AS (VALUES {_weights_sql()}),
+d AS (SELECT event_id AS row_id, {_unit(_k('event_id', "'template'"))} AS u FROM events),
+ch AS (SELECT d.row_id, tw.* FROM d JOIN tw ON d.u >= tw.lo AND d.u < tw.hi)"""
+
+
+@query("j10_weighted_template_choice", f"{_GEN} SELECT row_id, template, category, num_steps FROM ch")
+def j10(spark, sf_dir):
+    return synth.choose_templates(_gen_base(spark, sf_dir)).select("row_id", "template", "category", "num_steps")
+
+
+@query("g02_template_shares", f"{_GEN} SELECT template, count(*) AS n FROM ch GROUP BY template")
+def g02(spark, sf_dir):
+    return generated(spark, sf_dir).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g01_generate_corpus")
+def g01(spark, sf_dir):
+    g = generated(spark, sf_dir)
+    return g.select("row_id", "template", "category", "instruction", F.to_json("tools").alias("tools"),
+                    F.to_json("tool_calls").alias("tool_calls"), "num_steps", "text")
+
+
+@query("k01_split_by_kind", f"""{_GEN}
+SELECT CASE WHEN num_steps = 1 THEN 'single' ELSE 'multistep' END AS kind, count(*) AS n FROM ch GROUP BY 1""")
+def k01(spark, sf_dir):
+    g = generated(spark, sf_dir)
+    kind = F.when(F.col("num_steps") == 1, "single").otherwise("multistep")
+    return g.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g09_tools_exposed", f"{_GEN} SELECT row_id, 25 AS n_tools, 25 AS n_distinct, true AS calls_exposed FROM ch")
+def g09(spark, sf_dir):
+    g = generated(spark, sf_dir)
+    names = F.transform("tools", lambda t: F.try_variant_get(t, "$.name", "string"))
+    called = F.transform("tool_calls", lambda c: F.try_variant_get(c, "$.name", "string"))
+    return g.select("row_id", F.size("tools").alias("n_tools"), F.size(F.array_distinct(names)).alias("n_distinct"),
+                    F.forall(called, lambda n: F.array_contains(names, n)).alias("calls_exposed"))
+
+
+@query("e05_text_after_assistant", f"{_GEN} SELECT row_id, num_steps AS n_blocks FROM ch")
+def e05(spark, sf_dir):
+    from toolframe.functions import extract as ex
+    g = generated(spark, sf_dir)
+    after = ex.after_marker(F.col("text"))
+    return g.select("row_id", F.size(ex.tool_call_blocks(after)).alias("n_blocks"))
+
+
+@query("x04_undersample_majority_tool")
+def x04(spark, sf_dir):
+    g = generated(spark, sf_dir)
+    return synth.undersample_majority_tool(g, 0.5).select("row_id", "template")
