@@ -266,3 +266,26 @@ def leakage(eval_rows: DataFrame, train_rows: DataFrame, key_eval: Column, key_t
     """X7 (extension): evaluation rows whose content hash also occurs in training rows."""
     t = train_rows.select(F.md5(key_train).alias("_h")).distinct()
     return eval_rows.withColumn("_h", F.md5(key_eval)).join(t, "_h", "left_semi").drop("_h")
+
+
+def split_stratified(df: DataFrame, strata: list[str], key: str = "row_id", seed: int = 42,
+                     train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """X2 (extension): the L8 split applied inside every stratum.
+
+    Per-stratum sizes come from a count table (one row per stratum) using the
+    same float order as ``split_sizes``; ranks are exact per stratum (bucketed,
+    so one dominant stratum is still spread over many tasks).
+    """
+    n = F.col("_n").cast("double")
+    rest = F.ceil(F.greatest(F.lit(1.0) - F.lit(train), F.lit(1.0) / n) * n)
+    ratio = val / (1 - train)
+    n_test = F.ceil(F.greatest(F.lit(1.0 - ratio), F.lit(1.0) / rest) * rest)
+    sizes = (df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_train", F.when(F.col("_n") < 3, F.col("_n")).otherwise(F.col("_n") - rest))
+             .withColumn("_val", F.when(F.col("_n") < 3, F.lit(0))
+                         .when(rest < 2, rest).otherwise(rest - n_test)))
+    ranked = shuffled(df, [*strata, key], seed, group=strata, out="_rank").join(sizes, strata, "inner")
+    return (ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_train"), "train")
+                              .when(F.col("_rank") <= F.col("_train") + F.col("_val"), "validation")
+                              .otherwise("test"))
+            .drop("_rank", "_n", "_train", "_val"))

@@ -1010,3 +1010,41 @@ def e05(spark, sf_dir):
 def x04(spark, sf_dir):
     g = generated(spark, sf_dir)
     return synth.undersample_majority_tool(g, 0.5).select("row_id", "template")
+
+
+# --------------------------------------------------------------------------
+# J7 cyclic batches over the GRPO prompts; X2 stratified split
+# --------------------------------------------------------------------------
+
+_BATCH_PROMPTS = 16
+
+
+@query("j07_cyclic_batches", f"""WITH {o.F2}, {o.ROLLOUTS},
+pp AS (SELECT prompt_id, row_number() OVER (ORDER BY {_u(_k('prompt_id'))}, prompt_id) - 1 AS prompt_pos FROM prompts),
+n AS (SELECT count(*) AS n FROM pp),
+g AS (SELECT unnest(range(0, CAST(2 * ceil(n / {_BATCH_PROMPTS}) * {_BATCH_PROMPTS} AS BIGINT))) AS id, n FROM n)
+SELECT CAST(g.id // {_BATCH_PROMPTS} AS BIGINT) AS step, CAST(g.id % {_BATCH_PROMPTS} AS BIGINT) AS slot, pp.prompt_id
+FROM g JOIN pp ON pp.prompt_pos = g.id % g.n""")
+def j07(spark, sf_dir):
+    prompts = fx.prompts_f2(spark, sf_dir).select("prompt_id")
+    n = prompts.count()
+    ranked = rank.shuffled(prompts, ["prompt_id"], out="_r").withColumn("prompt_pos", F.col("_r") - 1)
+    steps = 2 * -(-n // _BATCH_PROMPTS)  # two epochs of cyclic batches
+    b = rollouts.cyclic_batches(ranked, n, steps, _BATCH_PROMPTS)
+    return b.select("step", "slot", "prompt_id")
+
+
+@query("x02_stratified_split", f"""WITH {_F1},
+c AS (SELECT source, count(*) AS n FROM f1 GROUP BY source),
+a AS (SELECT source, n, CAST(ceil(greatest(1.0::DOUBLE - 0.8::DOUBLE, 1.0 / n) * n) AS BIGINT) AS r FROM c),
+b AS (SELECT source, CASE WHEN n < 3 THEN n ELSE n - r END AS n_train,
+             CASE WHEN n < 3 THEN 0 WHEN r < 2 THEN r
+                  ELSE r - CAST(ceil(greatest(1.0::DOUBLE - 0.1::DOUBLE / (1.0::DOUBLE - 0.8::DOUBLE), 1.0 / r) * r)
+                                AS BIGINT) END AS n_val FROM a),
+rk AS (SELECT row_id, source, row_number() OVER (PARTITION BY source
+         ORDER BY {_u(_k('source', 'row_id'))}, source, row_id) AS rk FROM f1)
+SELECT row_id, source, CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val THEN 'validation'
+                            ELSE 'test' END AS split
+FROM rk JOIN b USING (source)""")
+def x02(spark, sf_dir):
+    return prep.split_stratified(fx.corpus_f1(spark, sf_dir), ["source"]).select("row_id", "source", "split")
