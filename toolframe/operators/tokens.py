@@ -49,7 +49,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", max_le
     ``pad_id`` defaults to the eos id (T3). Labels copy the ids with every pad
     id replaced by -100, real tokens equal to the pad id included (T2).
     """
-    pad = vocab.filter(F.col("token") == EOS).select("id").first()[0] if pad_id is None else pad_id
+    pad = SPECIALS.index(EOS) if pad_id is None else pad_id  # ids of the specials are fixed by build_vocabulary
     toks = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "token")).filter(F.col("pos") < max_length)
     ids = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left") \
         .select(key, "pos", F.coalesce(F.col("id"), F.lit(unk_id)).alias("id"))
