@@ -1048,3 +1048,17 @@ SELECT row_id, source, CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train +
 FROM rk JOIN b USING (source)""")
 def x02(spark, sf_dir):
     return prep.split_stratified(fx.corpus_f1(spark, sf_dir), ["source"]).select("row_id", "source", "split")
+
+
+# --------------------------------------------------------------------------
+# Near-duplicate clusters over the whole documents table (checked by brute force in tests)
+# --------------------------------------------------------------------------
+
+from toolframe.operators import neardup  # noqa: E402
+
+
+@query("x06_near_duplicates")
+def x06(spark, sf_dir):
+    docs = ensure_parallelism(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    nd = neardup.near_duplicates(docs, threshold=0.8)
+    return r9(nd.select("doc_id", "cluster", "similarity", "is_near_dup"))
