@@ -33,6 +33,8 @@ HEADLINE = [
     "l10_epoch_batches",
     "p07_render_conversation",
     "t01_encode",
+    "g02_template_shares",         # generator (one example per event)
+    "x06_near_duplicates",         # MinHash + LSH components over all documents
 ]
 
 
@@ -41,7 +43,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
-    spark = build_session(f"local[{cpus}]", app="toolframe-bench", shuffle_partitions=int(cpus) * 2)
+    # local mode runs everything in the driver JVM: give it a realistic heap (default is 1g)
+    spark = build_session(f"local[{cpus}]", app="toolframe-bench", shuffle_partitions=int(cpus) * 2,
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     out = {}
     for name in names:
         fn = catalog.CATALOG[name]

@@ -90,7 +90,8 @@ def lenient(c: Column) -> Column:
 
     The invalid case is returned as a VARIANT string so the column has one type.
     """
-    t = F.btrim(c)
+    from toolframe.functions.text import py_strip
+    t = py_strip(c)  # Python str.strip(): the full whitespace set, not only spaces
     as_variant_string = F.try_variant_get(F.try_parse_json(F.to_json(F.array(t))), "$[0]", "variant")
     return (F.when(c.isNull() | (t == F.lit("")), F.lit(None).cast("variant"))
             .otherwise(F.coalesce(parse_strict(t), as_variant_string)))

@@ -227,7 +227,7 @@ def a14(spark, sf_dir):
 
 @query("k10_sample_log", f"""{_RO}
 SELECT step, slot + 1 AS sample, substr("user", 1, 500) AS prompt, substr(completion, 1, 800) AS completion,
-       expected_tool, reward_tool_name AS reward
+       expected_tool, CAST(reward_tool_name AS DOUBLE) AS reward
 FROM adv WHERE step % 10 = 0 AND slot < 2 AND sample_id = 0""")
 def k10(spark, sf_dir):
     return rollouts.sample_log(scored_rollouts(spark, sf_dir), every=10, n=2)

@@ -171,7 +171,7 @@ def composite(gating: str) -> tuple[str, str]:
 
 
 def r9(x: str) -> str:
-    return f"round({x}, 9)"
+    return f"round(CAST({x} AS DOUBLE), 9)"
 
 
 F3 = r"""
