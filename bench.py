@@ -58,7 +58,46 @@ def main() -> None:
         out[name] = round(statistics.median(times), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(out.values()), 3), "unit": "sec",
-                      "queries": out, "sf": sf}))
+                      "queries": out, "sf": sf, "throughput": throughput(spark, sf_dir, reps)}))
+
+
+def _median_time(fn, reps):
+    fn()
+    times = []
+    for _ in range(reps):
+        t0 = time.perf_counter()
+        fn()
+        times.append(time.perf_counter() - t0)
+    return statistics.median(times)
+
+
+def throughput(spark, sf_dir, reps):
+    """BASELINE "our own" rates: completions scored/s and corpus rows prepared/s."""
+    from pyspark.sql import functions as F
+
+    from toolframe.operators import prep, rewards
+    from toolframe.plans import fixtures as fx
+    from toolframe.session import ensure_parallelism
+
+    comp = fx.completions_f2(spark, sf_dir)
+    n_comp = comp.count()
+
+    def score():
+        rewards.score(ensure_parallelism(comp), gating="always").write.format("noop").mode("overwrite").save()
+
+    corpus = fx.corpus_f1(spark, sf_dir)
+    n_rows = corpus.count()
+
+    def prepare():
+        df = prep.dedup_first(corpus, F.md5(F.col("text")))
+        df = prep.normalize_whitespace(prep.complete_rows(df))
+        df = prep.split_exact(prep.balance_sources(df, materialize=True))
+        df.write.format("noop").mode("overwrite").save()
+
+    t_score = _median_time(score, reps)
+    t_prep = _median_time(prepare, reps)
+    return {"completions_scored_per_sec": round(n_comp / t_score, 1),
+            "rows_prepared_per_sec": round(n_rows / t_prep, 1)}
 
 
 if __name__ == "__main__":

@@ -105,13 +105,13 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
     return df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
-def balance_target(counts: DataFrame, floor_cap: int = BALANCE_FLOOR) -> int:
-    """A3 target: ``max(median, min(floor_cap, max(counts)))``, even-size median = integer mean.
-
-    One aggregate over the per-source count table; only the scalar reaches the driver.
-    """
+def _sorted_counts(counts: DataFrame) -> list[int]:
+    """The per-source counts, sorted (one value per source: bounded by the number of sources)."""
     row = counts.agg(F.array_sort(F.collect_list("n")).alias("l")).first()
-    vals = list(row["l"] or [])
+    return list(row["l"] or [])
+
+
+def _target_of(vals: list[int], floor_cap: int) -> int:
     if not vals:
         return 0
     k = len(vals)
@@ -119,8 +119,17 @@ def balance_target(counts: DataFrame, floor_cap: int = BALANCE_FLOOR) -> int:
     return max(median, min(floor_cap, max(vals)))
 
 
+def balance_target(counts: DataFrame, floor_cap: int = BALANCE_FLOOR) -> int:
+    """A3 target: ``max(median, min(floor_cap, max(counts)))``, even-size median = integer mean.
+
+    One aggregate over the per-source count table; only the sorted counts (one
+    per source) reach the driver.
+    """
+    return _target_of(_sorted_counts(counts), floor_cap)
+
+
 def balance_sources(df: DataFrame, source: str = "source", key: str = "row_id", seed: int = 42,
-                    floor_cap: int = BALANCE_FLOOR, n_buckets: int = 1024) -> DataFrame:
+                    floor_cap: int = BALANCE_FLOOR, n_buckets: int = 1024, materialize: bool = False) -> DataFrame:
     """A3: median-target resampling; adds ``draw`` (0 = kept by undersampling).
 
     Sources with at least ``target`` rows keep their ``target`` first rows in a
@@ -128,15 +137,23 @@ def balance_sources(df: DataFrame, source: str = "source", key: str = "row_id",
     draw ``target`` rows with replacement: draws come from a distributed
     ``range`` over (small source, draw), each picks a rank
     ``floor(u * n) + 1`` and is equi-joined to the ranked rows (J8).
+
+    The target needs one small action; with ``materialize=True`` the input is
+    first written once to the shared checkpoint directory so that action and
+    the resampling do not both recompute an expensive upstream (e.g. dedup).
     """
+    if materialize:
+        from toolframe.session import cut_lineage
+        df = cut_lineage(df)
     counts = source_counts(df, source)
-    target = balance_target(counts, floor_cap)
+    vals = _sorted_counts(counts)
+    target = _target_of(vals, floor_cap)
     ranked = shuffled(df, [source, key], seed, n_buckets, group=[source], out="_rank")
     with_n = ranked.join(counts, source, "inner")
     under = with_n.filter((F.col("n") >= target) & (F.col("_rank") <= target)) \
         .drop("n", "_rank").withColumn("draw", F.lit(0).cast("long"))
     small = counts.filter(F.col("n") < target)
-    k = small.count()
+    k = sum(1 for v in vals if v < target)
     if k == 0:
         return under
     spark = df.sparkSession

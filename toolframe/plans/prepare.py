@@ -50,7 +50,7 @@ def prepare(spark: SparkSession, cfg: PrepareConfig) -> dict[str, DataFrame]:
         df = prep.complete_rows(df)
     df = prep.normalize_whitespace(df)
     if cfg.balance_sources:
-        df = prep.balance_sources(df, seed=cfg.seed).withColumn(
+        df = prep.balance_sources(df, seed=cfg.seed, materialize=True).withColumn(
             "row_id", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("row_id").cast("string"),
                                                              F.col("draw").cast("string"))), 1, 15), 16, 10)
             .cast("long"))
