@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolframe.functions.text import md5_bucket, py_split_join, truthy
-from toolframe.operators.rank import bucketed_rank, order_key, shuffled, unit_draw
+from toolframe.operators.rank import auto_buckets, bucketed_rank, order_key, shuffled, unit_draw
 
 # Fields whose truthiness makes a row "complete" (P2).
 CONTENT_FIELDS = ["text", "messages", "conversations", "id", "instruction", "question", "domain",
@@ -129,7 +129,7 @@ def balance_target(counts: DataFrame, floor_cap: int = BALANCE_FLOOR) -> int:
 
 
 def balance_sources(df: DataFrame, source: str = "source", key: str = "row_id", seed: int = 42,
-                    floor_cap: int = BALANCE_FLOOR, n_buckets: int = 1024, materialize: bool = False) -> DataFrame:
+                    floor_cap: int = BALANCE_FLOOR, n_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """A3: median-target resampling; adds ``draw`` (0 = kept by undersampling).
 
     Sources with at least ``target`` rows keep their ``target`` first rows in a
@@ -196,7 +196,7 @@ def split_exact(df: DataFrame, key: str = "row_id", seed: int = 42, train: float
     n = df.count() if n is None else n
     n_train, n_val, _ = split_sizes(n, train, val)
     from toolframe.operators.rank import bucket_count_for
-    r = shuffled(df, [key], seed, bucket_count_for(n), out="_rank")
+    r = shuffled(df, [key], seed, max(bucket_count_for(n), auto_buckets(df)), out="_rank")
     return (r.withColumn("split", F.when(F.col("_rank") <= n_train, "train")
                          .when(F.col("_rank") <= n_train + n_val, "validation").otherwise("test"))
             .drop("_rank"))
@@ -215,9 +215,11 @@ def holdout(df: DataFrame, key: Column, ratio: float = 0.1) -> DataFrame:
 
 
 def cap_rows(df: DataFrame, limit: int, key: str = "row_id", seed: int = 42) -> DataFrame:
-    """L1 / L3: seeded sample of ``limit`` rows without replacement (all rows if fewer)."""
-    r = shuffled(df, [key], seed, out="_rank")
-    return r.filter(F.col("_rank") <= limit).drop("_rank")
+    """L1 / L3: seeded sample of ``limit`` rows without replacement (all rows if fewer).
+
+    Only the buckets that can hold the first ``limit`` ranks are sorted.
+    """
+    return shuffled(df, [key], seed, out="_rank", max_rank=limit).drop("_rank")
 
 
 def validation_prefix(df: DataFrame, key: str = "row_id", seed: int = 42, frac: float = 0.1,
@@ -248,7 +250,7 @@ def epoch_batches(df: DataFrame, epochs: int, batch_size: int, key: str = "row_i
     keyed = rep.withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws(
         "|", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(key).cast("string"))), 1, 15), 16, 10)
         .cast("long"))
-    r = bucketed_rank(keyed, "_u", [key], ["epoch"], out="_rank").drop("_u")
+    r = bucketed_rank(keyed, "_u", [key], ["epoch"], n_buckets=None, out="_rank").drop("_u")
     batch = F.floor((F.col("_rank") - 1) / batch_size).cast("long")
     gstep = F.col("epoch") * spe + batch + 1
     return (r.withColumn("batch_idx", batch)

@@ -38,14 +38,29 @@ def bucket_count_for(n_rows: int | None, rows_per_bucket: int = 1_000_000, minim
     return b
 
 
+def auto_buckets(df: DataFrame, per_split: int = 4) -> int:
+    """Bucket count from the input's split count (a size proxy that needs no job):
+    about ``per_split`` buckets per input split, a power of two in [1024, 2**20]."""
+    want = df.rdd.getNumPartitions() * per_split
+    b = 1024
+    while b < want and b < (1 << 20):
+        b *= 2
+    return b
+
+
 def bucketed_rank(df: DataFrame, key: str, tiebreak: list[str], group: list[str] | None = None,
-                  n_buckets: int = 1024, out: str = "rank") -> DataFrame:
+                  n_buckets: int | None = 1024, out: str = "rank", max_rank: int | None = None) -> DataFrame:
     """Add ``out`` = ``row_number() over (partition by group order by key, tiebreak)``.
 
     ``key`` must be a non-negative 60-bit long (see ``order_key``). The
     offsets table has ``groups x n_buckets`` rows; AQE broadcasts it when small.
+    ``n_buckets=None`` picks ``auto_buckets``. With ``max_rank`` only rows that
+    can rank ``<= max_rank`` are kept: buckets whose offset is already past it
+    are dropped before the window, so a cap sorts a few buckets, not all rows.
     """
     group = list(group or [])
+    if n_buckets is None:
+        n_buckets = auto_buckets(df)
     shift = KEY_BITS - (n_buckets.bit_length() - 1)
     if n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
@@ -54,13 +69,19 @@ def bucketed_rank(df: DataFrame, key: str, tiebreak: list[str], group: list[str]
     before = Window.partitionBy(*group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_bk", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*group, "_bk").orderBy(F.col(key), *[F.col(c) for c in tiebreak])
-    return (staged.join(offsets, group + ["_bk"], "inner")
-            .withColumn(out, F.row_number().over(inner) + F.col("_off"))
-            .drop("_bk", "_off"))
+    if max_rank is not None:
+        offsets = offsets.filter(F.col("_off") < max_rank)
+    ranked = (staged.join(offsets, group + ["_bk"], "inner")
+              .withColumn(out, F.row_number().over(inner) + F.col("_off"))
+              .drop("_bk", "_off"))
+    return ranked.filter(F.col(out) <= max_rank) if max_rank is not None else ranked
+
 
+def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, n_buckets: int | None = None,
+             group: list[str] | None = None, out: str = "rank", max_rank: int | None = None) -> DataFrame:
+    """Seeded shuffle order as an exact 1-based rank (per group if given).
 
-def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, n_buckets: int = 1024,
-             group: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """Seeded shuffle order as an exact 1-based rank (per group if given)."""
+    The bucket count follows the input size unless given (``auto_buckets``).
+    """
     k = df.withColumn("_u", order_key(*[F.col(c) for c in key_cols], seed=seed))
-    return bucketed_rank(k, "_u", key_cols, group, n_buckets, out).drop("_u")
+    return bucketed_rank(k, "_u", key_cols, group, n_buckets, out, max_rank).drop("_u")
