@@ -3,11 +3,13 @@
 (J6, K5, V1).
 
 Completions are an input table ``(stage, example_id, output, n_tokens,
-elapsed_s)``; extraction runs once per completion and all five benchmarks are
-conditional aggregates of ONE ``groupBy(stage)`` (map-side combined). The
-only per-stage ordering (latency's first 100 rows) is a ranked filter that
-Spark plans as a per-partition top-k before the shuffle (WindowGroupLimit),
-so no task ever sees more than ``100 x partitions`` rows of a stage.
+elapsed_s)``; extraction runs once per completion, on the completions side
+before the join to the examples. A4-A7 are conditional aggregates of one
+``groupBy(stage)`` (map-side combined). A8 (latency over each stage's first
+100 rows) reads only four completion columns; its ranked filter is planned
+as a per-partition top-k before the shuffle (WindowGroupLimit), so no task
+sees more than ``100 x partitions`` rows of a stage. The two per-stage
+results are joined on ``stage`` (one row per stage on each side).
 """
 
 from __future__ import annotations

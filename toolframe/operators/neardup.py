@@ -71,13 +71,19 @@ def band_keys(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFram
         .select(key, F.concat_ws(":", F.col("band").cast("string"), F.col("bucket").cast("string")).alias("bucket"))
 
 
-def components(edges: DataFrame, key: str = "doc_id", max_iter: int = 30) -> DataFrame:
-    """``(key, label)``: minimum key of the connected component (bipartite key-bucket graph)."""
+def components(edges: DataFrame, key: str = "doc_id", max_iter: int | None = None) -> DataFrame:
+    """``(key, label)``: minimum key of the connected component (bipartite key-bucket graph).
+
+    Iterates until no label changes (exact); ``max_iter`` is only an explicit
+    opt-in bound for callers that accept partial propagation.
+    """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     edges = edges.checkpoint()
     labels = edges.select(key).distinct().withColumn("label", F.col(key)).checkpoint()
-    for _ in range(max_iter):
+    step = 0
+    while max_iter is None or step < max_iter:
+        step += 1
         bucket_min = edges.join(labels, key).groupBy("bucket").agg(F.min("label").alias("bl"))
         pulled = edges.join(bucket_min, "bucket").groupBy(key).agg(F.min("bl").alias("nl"))
         new = labels.join(pulled, key, "left").select(
