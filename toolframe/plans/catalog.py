@@ -774,13 +774,16 @@ def x05(spark, sf_dir):
     return fx.corpus_f1(spark, sf_dir).filter(F.col("source") == "en").select("row_id")
 
 
-@query("x07_leakage", f"""WITH {_F1}
-SELECT e.row_id FROM f1 e WHERE e.row_id % 10 = 0
-  AND EXISTS (SELECT 1 FROM f1 t WHERE t.row_id % 10 <> 0 AND md5(t.text) = md5(e.text))""")
+@query("x07_leakage", f"""WITH {_F1},
+b AS (SELECT *, {_md5_bucket_sql('CAST(row_id AS VARCHAR)')} AS bk FROM f1)
+SELECT e.row_id FROM b e WHERE e.bk < 10
+  AND EXISTS (SELECT 1 FROM b t WHERE t.bk >= 10 AND md5(t.text) = md5(e.text))""")
 def x07(spark, sf_dir):
+    """Held-out rows (stable md5 hold-out, S6/H9) whose content also occurs in the training rows."""
     f1 = fx.corpus_f1(spark, sf_dir)
-    ev = f1.filter(F.pmod("row_id", F.lit(10)) == 0)
-    tr = f1.filter(F.pmod("row_id", F.lit(10)) != 0)
+    key = F.col("row_id").cast("string")
+    ev = prep.holdout(f1, key, 0.1)
+    tr = f1.filter(md5_bucket(key) >= 10)
     return prep.leakage(ev, tr, F.col("text"), F.col("text")).select("row_id")
 
 
