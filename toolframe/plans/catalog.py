@@ -1065,3 +1065,52 @@ def x06(spark, sf_dir):
     docs = ensure_parallelism(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
     nd = neardup.near_duplicates(docs, threshold=0.8)
     return r9(nd.select("doc_id", "cluster", "similarity", "is_near_dup"))
+
+
+# --------------------------------------------------------------------------
+# S9 / S10 on table-derived input: an append log and a run summary
+# --------------------------------------------------------------------------
+
+_LOG_SQL = """
+log AS (
+  SELECT event_id AS seq,
+    CASE WHEN event_id % 11 = 0 THEN ''
+         WHEN event_id % 11 = 1 THEN '{oops'
+         WHEN event_id % 11 = 2 THEN '{"sampler_path": ""}'
+         WHEN event_id % 11 = 3 THEN '{"state_path": "s/' || CAST(event_id AS VARCHAR) || '"}'
+         ELSE '{"sampler_path": "tinker://' || event_type || '/' || CAST(event_id AS VARCHAR) || '"}' END AS line,
+    user_id
+  FROM events)"""
+
+
+def _log_lines(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    return e.selectExpr("event_id AS seq", """CASE WHEN pmod(event_id, 11) = 0 THEN ''
+         WHEN pmod(event_id, 11) = 1 THEN '{oops'
+         WHEN pmod(event_id, 11) = 2 THEN '{"sampler_path": ""}'
+         WHEN pmod(event_id, 11) = 3 THEN '{"state_path": "s/' || CAST(event_id AS STRING) || '"}'
+         ELSE '{"sampler_path": "tinker://' || event_type || '/' || CAST(event_id AS STRING) || '"}' END AS line""",
+                        "user_id")
+
+
+@query("s09_last_sampler_path", f"""WITH {_LOG_SQL}
+SELECT user_id % 7 AS run, arg_max(json_extract_string(line, '$.sampler_path'), seq) AS sampler_path
+FROM log WHERE trim(line) <> '' AND json_valid(line) AND json_type(line) = 'OBJECT'
+  AND json_type(line, '$.sampler_path') = 'VARCHAR' AND json_extract_string(line, '$.sampler_path') <> ''
+GROUP BY 1""")
+def s09(spark, sf_dir):
+    """One append log per run (runs keyed by ``user_id mod 7``), line order = ``seq``."""
+    lines = _log_lines(spark, sf_dir).withColumn("run", F.pmod(F.col("user_id"), F.lit(7)))
+    return readers.last_sampler_path_of(lines, "line", ["seq"], group=["run"])
+
+
+@query("s10_run_summary_metrics", f"""{_EV},
+summ AS (SELECT stage || '/' || metric AS key, CAST(value AS VARCHAR) AS value FROM ml
+         UNION ALL SELECT 'other', '1' UNION ALL SELECT 'sft/notes', 'n/a')
+SELECT 'sft' AS stage, substr(key, 5) AS metric, {o.r9('TRY_CAST(value AS DOUBLE)')} AS value
+FROM summ WHERE starts_with(key, 'sft/') AND TRY_CAST(value AS DOUBLE) IS NOT NULL""")
+def s10(spark, sf_dir):
+    m = _metric_long(spark, sf_dir)
+    summary = m.select(F.concat_ws("/", "stage", "metric").alias("key"), F.col("value").cast("string").alias("value"))
+    extra = spark.createDataFrame([("other", "1"), ("sft/notes", "n/a")], "key string, value string")
+    return r9(readers.metrics_from_run_summary(summary.unionByName(extra), "sft"))

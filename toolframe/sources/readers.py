@@ -173,9 +173,19 @@ def last_sampler_path(spark: SparkSession, path: str) -> DataFrame:
              .select(F.col("value"), F.col("_metadata.file_path").alias("_f"),
                      F.col("_metadata.file_block_start").alias("_b"),
                      F.monotonically_increasing_id().alias("_seq")))
-    sp = F.get_json_object(F.col("value"), "$.sampler_path")
-    valid = lines.filter(F.trim(F.col("value")) != "").withColumn("sp", sp).filter(F.col("sp") != "")
-    return valid.agg(F.max_by("sp", F.struct("_f", "_b", "_seq")).alias("sampler_path"))
+    return last_sampler_path_of(lines, "value", ["_f", "_b", "_seq"])
+
+
+def last_sampler_path_of(lines: DataFrame, text: str, order: list[str], group: list[str] | None = None) -> DataFrame:
+    """S9 on a line table: the ``sampler_path`` of the last line (by ``order``) that is a
+    JSON object with a non-empty ``sampler_path``; blank and malformed lines are ignored.
+    With ``group`` one result per log (e.g. per run)."""
+    from toolframe.functions import jsonx
+    v = jsonx.parse_strict(F.col(text))
+    sp = jsonx.as_string(jsonx.key(v, "sampler_path"))
+    valid = lines.filter(F.trim(F.col(text)) != "").withColumn("_sp", sp).filter(F.col("_sp") != "")
+    last = F.max_by("_sp", F.struct(*[F.col(c) for c in order])).alias("sampler_path")
+    return valid.groupBy(*group).agg(last) if group else valid.agg(last)
 
 
 def metrics_from_run_summary(summary: DataFrame, stage: str) -> DataFrame:
