@@ -146,7 +146,7 @@ def test_jsonl_reader(spark, tmp_dir):
 
 def test_stage_results_bom_and_compare(spark, tmp_dir):
     a, b = os.path.join(tmp_dir, "a.json"), os.path.join(tmp_dir, "b.json")
-    _write(a, "﻿" + json.dumps({"baseline": {"tool_selection_accuracy": 0.5}}), encoding="utf-8")
+    _write(a, "\ufeff" + json.dumps({"baseline": {"tool_selection_accuracy": 0.5}}), encoding="utf-8")
     _write(b, json.dumps({"sft": {"tool_selection_accuracy": 0.7, "avg_latency_ms": 3.0}}))
     m = readers.compare_saved(spark, {"baseline": a, "sft": b, "grpo": None})
     assert m.count() == 3

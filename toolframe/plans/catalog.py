@@ -1114,3 +1114,13 @@ def s10(spark, sf_dir):
     summary = m.select(F.concat_ws("/", "stage", "metric").alias("key"), F.col("value").cast("string").alias("value"))
     extra = spark.createDataFrame([("other", "1"), ("sft/notes", "n/a")], "key string, value string")
     return r9(readers.metrics_from_run_summary(summary.unionByName(extra), "sft"))
+
+
+@query("s08_stage_result_documents", f"{_EV} SELECT stage, metric, {o.r9('value')} AS value FROM ml")
+def s08(spark, sf_dir):
+    """Stage-result documents written from the metric table (one with a BOM) and read back."""
+    m = _metric_long(spark, sf_dir)
+    docs = (m.groupBy("stage").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("mv"))
+            .select(F.concat(F.when(F.col("stage") == "baseline", F.lit("\ufeff")).otherwise(F.lit("")),
+                             F.to_json(F.create_map(F.col("stage"), F.col("mv")))).alias("doc")))
+    return r9(readers.stage_results_of(docs, "doc"))

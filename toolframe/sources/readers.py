@@ -155,8 +155,13 @@ def read_stage_results(spark: SparkSession, path: str, stage: str | None = None)
     BOM-tolerant; a non-object stage entry leaves no rows (the reference raises).
     """
     text = spark.read.option("wholetext", True).text(path)
-    doc = F.regexp_replace(F.col("value"), "^\ufeff", "")
-    parsed = text.select(F.from_json(doc, STAGE_RESULTS_SCHEMA).alias("m"))
+    return stage_results_of(text, "value", stage)
+
+
+def stage_results_of(docs: DataFrame, text: str, stage: str | None = None) -> DataFrame:
+    """S8 on a table of JSON documents: ``{stage: {metric: value}}`` -> ``(stage, metric, value)``."""
+    doc = F.regexp_replace(F.col(text), "^\ufeff", "")
+    parsed = docs.select(F.from_json(doc, STAGE_RESULTS_SCHEMA).alias("m"))
     out = (parsed.select(F.explode("m").alias("stage", "metrics"))
            .select("stage", F.explode("metrics").alias("metric", "value")))
     return out.filter(F.col("stage") == stage) if stage else out
