@@ -159,6 +159,15 @@ def system_prompt(tools_ctx: Column, base: str = TOOL_USE_SYSTEM_PROMPT) -> Colu
         .otherwise(F.lit(base))
 
 
+def token_budget(pending: DataFrame) -> DataFrame:
+    """P19 (column form): per stage, the generation budget for its pending benchmarks."""
+    b = F.col("benchmark")
+    return pending.groupBy("stage").agg(F.greatest(
+        F.lit(1024),
+        F.max(F.when(b == "multi_step", F.lit(2048)).otherwise(F.lit(1024))),
+        F.max(F.when(b == "tool_selection", F.lit(4096)).otherwise(F.lit(1024)))).alias("max_new_tokens"))
+
+
 def max_tokens_for(benchmarks: list[str]) -> int:
     """Token budget by requested benchmark set."""
     budget = 1024

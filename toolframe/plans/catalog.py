@@ -1124,3 +1124,20 @@ def s08(spark, sf_dir):
             .select(F.concat(F.when(F.col("stage") == "baseline", F.lit("\ufeff")).otherwise(F.lit("")),
                              F.to_json(F.create_map(F.col("stage"), F.col("mv")))).alias("doc")))
     return r9(readers.stage_results_of(docs, "doc"))
+
+
+@query("p19_token_budget", f"""{_EV},
+req(stage, benchmark, metric) AS (VALUES {_REQ_VALUES}),
+have AS (SELECT stage, metric FROM ml WHERE NOT (stage = 'sft' OR (stage = 'grpo' AND metric = 'tool_selection_accuracy'))),
+pend AS (SELECT r.* FROM req r WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.stage = r.stage AND h.metric = r.metric))
+SELECT stage, CAST(greatest(1024, max(CASE WHEN benchmark = 'multi_step' THEN 2048 ELSE 1024 END),
+                            max(CASE WHEN benchmark = 'tool_selection' THEN 4096 ELSE 1024 END)) AS INTEGER)
+       AS max_new_tokens
+FROM pend GROUP BY stage""")
+def p19(spark, sf_dir):
+    """Token budget per stage from the benchmarks still pending (sft not run; grpo lacks tool selection)."""
+    m = _metric_long(spark, sf_dir)
+    have = m.filter(~((F.col("stage") == "sft")
+                      | ((F.col("stage") == "grpo") & (F.col("metric") == "tool_selection_accuracy"))))
+    pend = evals.pending_benchmarks(evals.requested_table(spark, fx.STAGES, _ALL_BENCH), have)
+    return evals.token_budget(pend)
