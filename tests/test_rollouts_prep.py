@@ -2,7 +2,6 @@
 
 import math
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +168,3 @@ def test_union_by_name_tags_sources(spark):
     with pytest.raises(readers.SourceError):
         readers.load_all(spark, [specs[1]])
 
-
-def test_pandas_sanity():
-    assert pd.__version__
