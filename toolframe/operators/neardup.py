@@ -1,6 +1,6 @@
 """X6 (extension): near-duplicate removal with MinHash + LSH, without pair enumeration.
 
-1. Signatures: word shingles are exploded and every permutation is a grouped
+1. Signatures: word shingles (one regex pass) are exploded and every permutation is a grouped
    ``min`` of ``(a_k * h + b_k) mod p``: whole-stage-codegen aggregates, fully
    combined map-side because a document's shingles come from one input row.
 2. LSH: ``bands`` keys per document, each a hash of ``rows`` signature values.
@@ -31,31 +31,27 @@ def _coefficients(num_perm: int, seed: int) -> list[tuple[int, int]]:
     return [(rng.randrange(1, _PRIME), rng.randrange(0, _PRIME)) for _ in range(num_perm)]
 
 
-def words(text):
-    """Lower-cased whitespace tokens (stage this as a column before ``shingles``)."""
-    return F.split(F.lower(py_split_join(text)), " ")
+def normalized(text):
+    """Lower-cased text with whitespace runs collapsed to single spaces (Python split semantics)."""
+    return F.lower(py_split_join(text))
 
 
-def shingles(words_col, n: int):
-    """Word n-grams of a staged word array (the whole text when shorter than ``n`` words).
-
-    ``words_col`` must be a column reference: the lambda reads it once per
-    position, so passing the split expression itself would re-split the text
-    for every shingle.
-    """
-    words = words_col
-    k = F.size(words)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(k - n, F.lit(0))),
-                        lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(k > 0, grams)
+def shingles(norm_col, n: int):
+    """All overlapping word n-grams of a normalized text in one native regex pass
+    (a lookahead capture at every word start); the whole text when it has fewer
+    than ``n`` words. ``norm_col`` should be a staged column of ``normalized``."""
+    gram = " ".join(["[^ ]+"] * n)
+    grams = F.regexp_extract_all(norm_col, F.lit(f"(?<![^ ])(?=({gram}))"), 1)
+    return (F.when(norm_col == F.lit(""), F.array().cast("array<string>"))
+            .when(F.size(grams) == 0, F.array(norm_col)).otherwise(grams))
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", num_perm: int = 64,
                shingle: int = 5, seed: int = 42) -> DataFrame:
     """``(key, sig array<long>)`` MinHash signatures."""
     h = F.xxhash64(F.lit(seed), F.col("_s")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
-    staged = df.select(key, words(F.col(text)).alias("_w"))
-    ex = staged.select(key, F.explode(shingles(F.col("_w"), shingle)).alias("_s")).select(key, h.alias("_h"))
+    staged = df.select(key, normalized(F.col(text)).alias("_t"))
+    ex = staged.select(key, F.explode(shingles(F.col("_t"), shingle)).alias("_s")).select(key, h.alias("_h"))
     mins = [F.min(F.pmod(F.lit(a).cast("long") * F.col("_h") + F.lit(b).cast("long"), F.lit(_PRIME).cast("long"))).alias(f"_m{i}")
             for i, (a, b) in enumerate(_coefficients(num_perm, seed))]
     g = ex.groupBy(key).agg(*mins)
