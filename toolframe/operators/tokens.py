@@ -5,7 +5,8 @@ a job over the corpus: whitespace tokens are counted with a partial
 aggregation, the ``max_vocab`` most frequent ones (ties by token) get dense ids
 after the special tokens, and encoding is an explode + broadcast join against
 that bounded vocabulary, regrouped per row (partial aggregation: all tokens of
-a row sit in one map partition, so each row's list is built map-side).
+a row sit in one map partition, so each row's list is built map-side). Rows
+without tokens survive the explode (outer), so no join back is needed.
 """
 
 from __future__ import annotations
@@ -48,14 +49,19 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", max_le
 
     ``pad_id`` defaults to the eos id (T3). Labels copy the ids with every pad
     id replaced by -100, real tokens equal to the pad id included (T2).
+    ``key`` must identify a row: tokens are regrouped by it. One shuffle (the
+    regroup) plus the broadcast of the bounded vocabulary.
     """
     pad = SPECIALS.index(EOS) if pad_id is None else pad_id  # ids of the specials are fixed by build_vocabulary
-    toks = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "token")).filter(F.col("pos") < max_length)
+    # posexplode_outer keeps rows with no tokens (pos NULL), so every input row
+    # comes out of the single regroup and no join back to the input is needed
+    toks = df.select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token")) \
+        .filter(F.col("pos").isNull() | (F.col("pos") < max_length))
     ids = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left") \
-        .select(key, "pos", F.coalesce(F.col("id"), F.lit(unk_id)).alias("id"))
-    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    base = df.select(key).join(seqs, key, "left").withColumn(
-        "_ids", F.coalesce(F.transform("_p", lambda s: s["id"]), F.array().cast("array<int>")))
+        .select(key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("id"))
+    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_p"))
+    base = seqs.withColumn("_ids", F.transform("_p", lambda s: s["id"]))
     n = F.size("_ids")
     input_ids = F.concat("_ids", F.array_repeat(F.lit(pad), F.lit(max_length) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
