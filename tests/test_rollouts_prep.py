@@ -168,3 +168,29 @@ def test_union_by_name_tags_sources(spark):
     with pytest.raises(readers.SourceError):
         readers.load_all(spark, [specs[1]])
 
+
+
+def test_capped_rank_is_prefix_of_full_rank(spark):
+    f1 = fx.corpus_f1(spark, SF_ORACLE).select("row_id")
+    full = {r["row_id"]: r["rank"] for r in rank.shuffled(f1, ["row_id"], n_buckets=256).collect()}
+    capped = {r["row_id"]: r["rank"] for r in rank.shuffled(f1, ["row_id"], n_buckets=256, max_rank=37).collect()}
+    assert capped == {k: v for k, v in full.items() if v <= 37}
+
+
+def test_auto_buckets_follow_input_splits(spark):
+    small = spark.range(10, numPartitions=2)
+    large = spark.range(10, numPartitions=600)
+    assert rank.auto_buckets(small) == 1024
+    assert rank.auto_buckets(large) == 4096
+
+
+def test_stratified_split_sizes_per_stratum(spark):
+    f1 = fx.corpus_f1(spark, SF_ORACLE)
+    got = prep.split_stratified(f1, ["source"]).groupBy("source", "split").count().collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["source"], {})[r["split"]] = r["count"]
+    counts = {r["source"]: r["n"] for r in prep.source_counts(f1).collect()}
+    for src, n in counts.items():
+        a, b, c = prep.split_sizes(n)
+        assert per[src] == {k: v for k, v in {"train": a, "validation": b, "test": c}.items() if v}
