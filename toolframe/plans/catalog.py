@@ -574,15 +574,16 @@ def s02(spark, sf_dir):
 @query("a01_dedup_first", f"""WITH {_F1}
 SELECT row_id, source FROM f1 QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1""")
 def a01(spark, sf_dir):
-    f1 = fx.corpus_f1(spark, sf_dir)
-    return prep.dedup_first(f1, F.md5(F.col("text"))).select("row_id", "source")
+    # hash first, so the shuffle carries (hash, id, source), not the texts
+    f1 = fx.corpus_f1(spark, sf_dir).select("row_id", "source", F.md5("text").alias("text_md5"))
+    return prep.dedup_first(f1, F.col("text_md5")).select("row_id", "source")
 
 
 @query("a01_dedup_removed", f"""WITH {_F1}
 SELECT count(*) AS n_in, count(DISTINCT text) AS n_out, count(*) - count(DISTINCT text) AS n_removed FROM f1""")
 def a01r(spark, sf_dir):
-    f1 = fx.corpus_f1(spark, sf_dir)
-    kept = prep.dedup_first(f1, F.md5(F.col("text")))
+    f1 = fx.corpus_f1(spark, sf_dir).select("row_id", F.md5("text").alias("text_md5"))
+    kept = prep.dedup_first(f1, F.col("text_md5"))
     n_in = f1.agg(F.count(F.lit(1)).alias("n_in"))
     n_out = kept.agg(F.count(F.lit(1)).alias("n_out"))
     return n_in.join(n_out, how="inner").select("n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_removed"))
