@@ -326,13 +326,14 @@ def first_seen_order(metrics: DataFrame, stage_rank: dict[str, int], metric_rank
 
 
 def comparison_sink_table(metrics: DataFrame, stages: list[str]) -> DataFrame:
-    """K8: rows = metrics of the FIRST stage only; other stages joined, missing -> NaN."""
-    first = metrics.filter(F.col("stage") == stages[0]).select("metric", F.col("value").alias(stages[0]))
-    out = first
-    for s in stages[1:]:
-        other = metrics.filter(F.col("stage") == s).select("metric", F.col("value").alias(s))
-        out = out.join(other, "metric", "left")
-    return out.select("metric", *[F.coalesce(F.col(s), F.lit(float("nan"))).alias(s) for s in stages])
+    """K8: rows = metrics of the FIRST stage only; other stages' values, missing -> NaN.
+
+    One pivot over the metric table (read once), then the first stage's rows.
+    """
+    piv = metrics.groupBy("metric").pivot("stage", stages).agg(F.first("value"))
+    return (piv.filter(F.col(stages[0]).isNotNull())
+            .select("metric", F.col(stages[0]),
+                    *[F.coalesce(F.col(s), F.lit(float("nan"))).alias(s) for s in stages[1:]]))
 
 
 # Model-card rows (label, metric key).
