@@ -29,7 +29,7 @@ PART_TYPE = "struct<type:string,text:string,ref:string,width:int,height:int,seco
 
 def escape(text: Column) -> Column:
     """Make every control string in a text harmless; reversible by :func:`unescape`."""
-    return F.regexp_replace(text, ESCAPE_PATTERN, r"$1$2\\\\$3")
+    return F.regexp_replace(text, ESCAPE_PATTERN, r"$1$2\\$3")
 
 
 def unescape(text: Column) -> Column:
