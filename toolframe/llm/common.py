@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_CHARS = 1 << 20  # code points that one numpy pass holds at once
@@ -43,7 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = MAX_
         if batch.num_rows == 0:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=float))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=float))
         at = (np.cumsum(sizes) // max_chars).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

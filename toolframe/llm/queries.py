@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolframe.llm import chat, linededup, pii
+from toolframe.llm import chat, langid, linededup, pieces, pii, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file; the same path on every executor."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_topk_bit_sliced", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op1(spark, sf_dir):
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op2_sentencepiece")
+def op2(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op5_line_dedup", r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, p, ls[p + 1] AS a, ls[p + 2] AS b, ls[p + 3] AS c FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS p FROM l WHERE len(ls) >= 3)),
@@ -43,6 +67,11 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    return langid.evaluate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query("op9_pii_spans")
 def op9(spark, sf_dir):
     return pii.digests(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
