@@ -99,3 +99,29 @@ def word_hashes(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.nda
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
         value = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(value), starts
+
+
+WHITE = np.zeros(256, bool)  # the contract's word separators: space, tab to carriage return
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def text_words(text: str, lower: bool = True) -> np.ndarray:
+    """Hashes of the words of a text in order; A-Z lower-cased if asked. Works through long texts in runs that end between words."""
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    if lower:
+        data = _LOWER[data]
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + MAX_CHARS, len(data))
+        while end < len(data):  # go on to the next separator
+            gaps = np.flatnonzero(WHITE[data[end: end + MAX_CHARS]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + MAX_CHARS, len(data))
+        run = data[at:end]
+        out.append(word_hashes(run, WHITE[run])[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)

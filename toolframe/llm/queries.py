@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolframe.llm import chat, langid, linededup, pieces, pii, topk
+from toolframe.llm import chat, langid, linededup, packing, pieces, pii, simhash, topk, warc
+from toolframe.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +51,26 @@ def op2(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query("op3_simhash")
+def op3(spark, sf_dir):
+    """Fingerprints of all texts and of their edited texts; n_near for every hundredth document."""
+    return simhash.evaluate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_warc_revisits", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 100""")
+def op4(spark, sf_dir):
+    """Write all pages as archives into the shared folder, then read the archives back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).drop("url")
+
+
 @query("op5_line_dedup", r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, p, ls[p + 1] AS a, ls[p + 2] AS b, ls[p + 3] AS c FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS p FROM l WHERE len(ls) >= 3)),
@@ -72,6 +93,12 @@ def op6(spark, sf_dir):
     return langid.evaluate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@query("op8_curve_packing")
+def op8(spark, sf_dir):
+    """All documents in sequences of 2048 ids along the curve."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), length=2048)
+
+
 @query("op9_pii_spans")
 def op9(spark, sf_dir):
     return pii.digests(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
