@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return value
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python tasks can import it wherever the driver runs."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED or not root.is_dir():  # a package that is itself in an archive was shipped by its user
+        return
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="toolframe-ship-")), "toolframe_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, os.path.join(root.name, f.relative_to(root)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; no two calls share one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

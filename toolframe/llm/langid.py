@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolframe.llm.common import mix64, slices
+from toolframe.llm.common import mix64, ship, slices
 
 DIMENSIONS = 512
 CHUNK_CHARS = 1 << 17  # trigrams counted together
@@ -167,6 +167,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = D
         for x, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([x] * dims, pa.string()), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], names=["lang", "d", "v"])
 
+    ship(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
     sums = rows.mapInArrow(run, "lang string, d int, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("x")).select("lang", F.transform("x", lambda y: y["v"]).alias("x")).collect()
@@ -182,6 +183,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     """
     from pyspark.sql import types as T
 
+    ship(docs.sparkSession)
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names]).reshape(len(names), -1)
     pred, score = f"{prefix}pred", f"{prefix}score"

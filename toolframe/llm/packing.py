@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolframe.llm.common import mix64, slices, text_words
+from toolframe.llm.common import mix64, ship, slices, text_words
 
 DIMENSIONS, BITS = 4, 8  # coordinates, and binary digits of each
 END_ID = 1
@@ -208,6 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_ARROW)
 
+    ship(docs.sparkSession)
     slim: list[Column] = [F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")]
     keyed = docs.select(*slim).mapInArrow(keys, "k long, i long, t string")
     return keyed.repartitionByRange("k").sortWithinPartitions("k", "i").mapInArrow(cut, PIECE)

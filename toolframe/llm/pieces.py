@@ -21,6 +21,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from toolframe.llm.common import ship, slices
+
 SPACE = "▁"
 CACHE_WORDS = 120_000  # words of each of the two generations a worker keeps
 CACHE_CHARS = 64  # longer words are encoded each time
@@ -160,11 +162,11 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "ids"]
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from toolframe.llm.common import slices
         pieces = table(model)
         for b in slices(batches, text):
             ids = pa.array([pieces.encode(t or "")[0] for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.list_(pa.int32()))
@@ -177,6 +179,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded (with ``ids``) and the column ``decoded``; null ids decode to the empty text."""
     from pyspark.sql import types as T
 
+    ship(encoded.sparkSession)
     keep = [c for c in encoded.columns if c != "decoded"]
     schema = T.StructType([*encoded.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("decoded", T.StringType())])
 
@@ -195,7 +198,6 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text: encoding, decoding and hashing in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from toolframe.llm.common import slices
         pieces = table(model)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for b in slices(batches, "text"):
@@ -208,4 +210,5 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolframe.llm.common import mix64, slices, text_words, written
+from toolframe.llm.common import mix64, ship, slices, text_words, written
 
 RADIUS, BLOCKS = 3, 5
 _LAST = -(1 << 63)  # the place of null ids in descending order
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     range that follows, so texts are shuffled once and read in order.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("o"), F.coalesce("text", F.lit("")).alias("text"))
     n = min(buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 512)
     bounds = rows.select("o").agg(F.percentile_approx("o", [(i + 1) / n for i in range(n - 1)] or [1.0], 100 * n).alias("b")).first()["b"] or []

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from toolframe.llm.common import ship
+
 BLOCK_ROWS = 16384  # rows of one index block
 QUERY_ROWS = 4096  # queries answered together against one block
 
@@ -149,7 +151,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     travel once per query block, queries once per row block, and only k rows
     per query and row block come back.
     """
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     v = (vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
                 .select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vector_col), scale).alias("v"), is_query.alias("ask")))
     n, asked = v.agg(F.count(F.lit(1)), F.count(F.when(F.col("ask"), 1))).first()
