@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolframe.llm import chat, langid, linededup, packing, pieces, pii, simhash, topk, warc
+from toolframe.llm import chat, langid, linededup, minhash, packing, pieces, pii, simhash, topk, warc
 from toolframe.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,12 @@ def op6(spark, sf_dir):
     return langid.evaluate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@query("op7_bottom_k_dedup")
+def op7(spark, sf_dir):
+    """Components of documents whose sets of five-word shingles are alike to 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op8_curve_packing")
 def op8(spark, sf_dir):
     """All documents in sequences of 2048 ids along the curve."""
