@@ -185,7 +185,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
 
     ship(docs.sparkSession)
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names]).reshape(len(names), -1)
+    matrix = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names] or [[]])
     pred, score = f"{prefix}pred", f"{prefix}score"
     keep = [c for c in docs.columns if c not in (pred, score)]
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])

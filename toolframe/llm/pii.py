@@ -124,6 +124,7 @@ def candidates(docs: DataFrame, row: str, text: str) -> DataFrame:
 
     empty = F.expr("cast(array() as array<struct<k:int,i:int,p:struct<n:int,first:string,tail:string>,m:string>>)")
     rows = found.select(row, F.explode(F.flatten(F.array(*[numbered(k, kind) for k, kind in enumerate(KINDS)]))).alias("x")).select(row, "x.*")
+    rows = rows.dropDuplicates([row, "k", "i"])  # equal rows have equal pieces
     w = Window.partitionBy(row, "k").orderBy("i")
     length = F.coalesce(F.length("m"), F.lit(0))
     rows = (rows.withColumn("end", F.sum((F.col("p.n") + length).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -206,19 +207,22 @@ def _odds(model: dict) -> Column:
     return odds
 
 
-def find_spans(docs: DataFrame, text: str = "text", model: dict | None = None, threshold: float = 0.5) -> DataFrame:
+def find_spans(docs: DataFrame, text: str = "text", model: dict | None = None, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """docs with a column ``pii``: array of (k, kind, start, end, base), by kind as listed, then start.
 
-    Null and empty texts have no spans; texts are read whole. Repeated rows
-    are answered one by one. Other columns stay, whatever their names, except
+    Null and empty texts have no spans; texts are read whole. Spans are keyed
+    by 128 bits over id (where there is one) and text, so repeated rows share
+    theirs and count once in training. Other columns stay, whatever their names, except
     one named pii. No rows give no rows. An added span is dropped when it
     overlaps a base span of any kind.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, "pii")]).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = own.withColumn("row", F.monotonically_increasing_id())
-    if model is None:
-        model = train(candidates(keyed.select("row", "text"), "row", "text"))
+    rest = [c for c in docs.columns if c not in (text, "pii")]
+    own = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = [F.col("doc")[id_col].cast("string")] if id_col in rest else []
+    keyed = own.withColumn("row", F.struct(F.xxhash64(*named, "text").alias("h"), F.xxhash64(F.lit(7), *named, "text").alias("g")))
     spans = candidates(keyed.select("row", "text"), "row", "text")
+    if model is None:
+        model = train(spans)
     taken = spans.select("row", "k", "kind", "start", "end", "base", ((_odds(model) >= math.log(threshold / (1 - threshold))) & (F.col("regex_vote") != 0)).alias("likely"))
     w = Window.partitionBy("row").orderBy("start")
     before = F.max(F.when(F.col("base"), F.col("end"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
