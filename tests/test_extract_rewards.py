@@ -1,98 +1,92 @@
-"""Native expressions against a plain-Python restatement."""
+"""E1-E5, H6, R1-R5, A9 against results worked out by hand."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests import pyref
 from toolframe.functions import extract, jsonx
 from toolframe.operators import rewards
 
-NL = "\n"
-C = '{"name": "get_weather", "arguments": {"city": "Paris"}}'
-
-# Hostile completions (FIXTURES F6) plus the F2 patterns.
-HOSTILE = [
-    f"<tool_call>{NL}{C}{NL}</tool_call>",
-    f"```json{NL}{C}{NL}```",
-    f"<|function_call|>{C}",                                   # Q3: nested braces never parse here
-    f"<think>{C}</think>{NL}<tool_call>{C}</tool_call>",
-    f"<think>open <tool_call>{C}</tool_call>",                 # unclosed think swallows the rest
-    '<tool_call>{"name": "a", "arguments": {"k": 1}} trailing</tool_call>',   # trailing garbage
-    '<tool_call>{"name": "a"} {"name": "b"}</tool_call>',      # two objects in one block
-    '<tool_call>{"name": "a", "name": "b"}</tool_call>',       # duplicate keys (Q10)
-    '<tool_call>{"name": "a", "arguments": {"x": NaN}}</tool_call>',
-    "<tool_call>{'name': 'a'}</tool_call>",                    # single quotes
-    '<tool_call>["name"]</tool_call>',                         # top-level array (Q6)
-    '<tool_call>"name"</tool_call>',                           # top-level string
-    "<tool_call>42</tool_call>",
-    '<tool_call>{"name": "a", "arguments": null}</tool_call>',
-    '<tool_call>{"name": 5, "arguments": {}}</tool_call>',     # numeric name
-    '<tool_call>{"name": "", "arguments": {}}</tool_call>',    # empty name
-    '<tool_call>{"name": "a", "arguments": {"k": 1}}</tool_call>',
-    '<tool_call>{"name": "a", "arguments": {"k": "1"}}</tool_call>',
-    'text {"outer": {"name": "inner", "x": 1}} more',         # Q4: inner object wins
-    '<tool_call>{"name": "a", "parameters": {"k": 1}}</tool_call>',
-    '<tool_call>{"name": "a", "arguments": "{\\"k\\": 1}"}</tool_call>',   # arguments as a JSON string
-    '<tool_call>{"name": "a", "arguments": "not json"}</tool_call>',
-    "no call here",
-    "",
-    '<tool_call>{"name": " A ", "arguments": {}}</tool_call><tool_call>{"name": "b", "arguments": {}}</tool_call>',
-    '{"name": "flat1", "arguments": 1} and {"name": "flat2"}',
-]
-
-EXPECT = [
-    ("get_weather", '{"city": "Paris"}', '["get_weather"]'),
-    ("a", '{"k": 1}', '["a", "b"]'),
-    ("a", "", "[]"),
-    ("a", '{"k": "1"}', '[{"name": "a"}]'),
-    (None, None, None),
-    ("b", "{}", '["b"]'),
+A = '{"name": "a", "arguments": {"k": 1}}'
+EXPECT = ("a", '{"k": 1}', '["a", "b"]')  # tool, arguments, chain that every completion below is scored against
+NONE = (None, [], (0, 0, 0, 0, 0))
+
+
+def tag(body):
+    return f"<tool_call>{body}</tool_call>"
+
+
+# completion -> first call, names of all calls, rewards (schema, tool name, argument F1, chain, chain partial)
+TABLE = [
+    (tag(f"\n{A}\n"), json.loads(A), ["a"], (1, 1, 1, 0, 0.5)),
+    (f"```json\n{A}\n```", json.loads(A), [], (1, 1, 1, 0, 0)),                    # Q5: fences make no call list
+    (f"<|function_call|>{A}", *NONE),                                               # Q3: nested braces never parse here
+    ("<think>" + tag('{"name": "z"}') + "</think>\n" + tag(A), json.loads(A), ["a"], (1, 1, 1, 0, 0.5)),
+    (f"<think>open {tag(A)}", *NONE),                                               # an open think swallows the rest
+    (tag(f"{A} trailing"), *NONE),
+    (tag(f"{A}]"), *NONE),                                                          # a stray ] is no JSON
+    (tag(f"{A}] trailing"), *NONE),
+    (tag(f"{A}]["), *NONE),
+    (tag(f"{A}, {A}"), *NONE),
+    (tag('{"name": "a"} {"name": "b"}'), {"name": "a"}, ["a", "b"], (1, 1, 0, 1, 1)),  # two flat objects instead
+    (tag('{"name": "a", "name": "b"}'), {"name": "b"}, ["b"], (1, 0, 0, 0, 0)),      # the last of two keys
+    (tag('{"name": "a", "arguments": {"x": NaN}}'), *NONE),
+    (tag("{'name': 'a'}"), *NONE),
+    (tag('["name"]'), *NONE),                                                       # Q6: only objects are calls
+    (tag('"name"'), *NONE),
+    (tag("42"), *NONE),
+    (tag('{"name": "a", "arguments": null}'), {"name": "a", "arguments": None}, ["a"], (0, 1, 0, 0, 0.5)),
+    (tag('{"name": 5, "arguments": {}}'), {"name": 5, "arguments": {}}, [None], (0, 0, 0, 0, 0)),
+    (tag('{"name": "", "arguments": {}}'), {"name": "", "arguments": {}}, [""], (0, 0, 0, 0, 0)),
+    (tag('{"name": "a", "arguments": {"k": "1"}}'), {"name": "a", "arguments": {"k": "1"}}, ["a"], (1, 1, 0, 0, 0.5)),
+    (tag('{"name": "a", "arguments": {"k": 1.0}}'), {"name": "a", "arguments": {"k": 1}}, ["a"], (1, 1, 0, 0, 0.5)),  # 1.0 is not 1
+    (tag('{"name": "a", "arguments": {"k": 1, "z": 2}}'), {"name": "a", "arguments": {"k": 1, "z": 2}}, ["a"], (1, 1, 2 / 3, 0, 0.5)),
+    ('text {"outer": {"name": "inner", "x": 1}} more', {"name": "inner", "x": 1}, ["inner"], (1, 0, 0, 0, 0)),  # Q4
+    (tag('{"name": "a", "parameters": {"k": 1}}'), {"name": "a", "parameters": {"k": 1}}, ["a"], (1, 1, 1, 0, 0.5)),
+    (tag('{"name": "a", "arguments": "{\\"k\\": 1}"}'), {"name": "a", "arguments": '{"k": 1}'}, ["a"], (0, 1, 1, 0, 0.5)),
+    (tag('{"name": "a", "arguments": "not json"}'), {"name": "a", "arguments": "not json"}, ["a"], (0, 1, 0, 0, 0.5)),
+    (tag('{"name": " A ", "arguments": {}}') + tag('{"name": "b", "arguments": {}}'), {"name": " A ", "arguments": {}}, [" A ", "b"], (1, 1, 0, 1, 1)),
+    ('{"name": "flat1", "arguments": 1} and {"name": "flat2"}', {"name": "flat1", "arguments": 1}, ["flat1", "flat2"], (0, 0, 0, 0, 0)),
+    ("no call here", *NONE),
+    ("", *NONE),
 ]
 
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    rows = [(i, t, e[0], e[1], e[2]) for i, t in enumerate(HOSTILE) for e in [EXPECT[i % len(EXPECT)]]]
-    df = spark.createDataFrame(rows, "id int, completion string, expected_tool string, expected_args string, "
-                                     "expected_chain string")
+    df = spark.createDataFrame([(i, t[0], *EXPECT) for i, t in enumerate(TABLE)],
+                               "id int, completion string, expected_tool string, expected_args string, expected_chain string")
     out = rewards.score(df, gating="always", keep_calls=True)
-    return {r["id"]: r for r in out.select("*", F.to_json("call").alias("call_json"),
-                                           F.to_json("calls").alias("calls_json")).collect()}, rows
-
+    return {r["id"]: r for r in out.select("*", F.to_json("call").alias("call_json"), extract.call_names(F.col("calls")).alias("names"),
+                                           F.size("calls").alias("n")).collect()}
 
-def _canon(v):
-    return None if v is None else json.loads(json.dumps(v, sort_keys=True))
 
+@pytest.mark.parametrize("i", range(len(TABLE)))
+def test_calls_and_rewards_by_hand(scored, i):
+    text, call, names, values = TABLE[i]
+    got = scored[i]
+    assert (json.loads(got["call_json"]) if got["call_json"] else None) == call, text
+    assert got["n"] == len(names) and got["names"] == names, text
+    for name, v in zip(("schema", "tool_name", "argument_f1", "chain", "chain_partial"), values, strict=True):
+        assert got[f"reward_{name}"] == pytest.approx(v), (text, name)
 
-def test_first_call_matches_python(scored):
-    got, rows = scored
-    for i, text, *_ in rows:
-        want = pyref.call(text)
-        have = got[i]["call_json"]
-        assert _canon(json.loads(have) if have else None) == _canon(want), (i, text, have, want)
 
-
-def test_all_calls_match_python(scored):
-    got, rows = scored
-    for i, text, *_ in rows:
-        want = pyref.calls(text)
-        have = json.loads(got[i]["calls_json"])
-        assert [_canon(x) for x in have] == [_canon(x) for x in want], (i, text)
+ARGUMENTS = [  # predicted, expected, F1
+    ("500", "500.0", 0), ("500.0", "500.0", 1), ("500.00", "500.0", 1), ("1e2", "100.0", 1), ("100", "1e2", 0), ("[1.0]", "[1]", 0), ("[1.5]", "[1.5]", 1),
+    ('{"x": 2.0}', '{"x": 2}', 0), ('{"x": 1, "y": 2}', '{"y": 2, "x": 1}', 1), ("123456789012345678901234567890", "123456789012345678901234567890", 1), ("true", "1", 0), ("null", "null", 1),
+]
 
 
-def test_rewards_match_python(scored):
-    got, rows = scored
-    for i, text, et, ea, ec in rows:
-        want = pyref.rewards(text, et, ea, ec)
-        for k, v in want.items():
-            assert got[i][k] == pytest.approx(v), (i, text, k, got[i][k], v)
+def test_arguments_compare_as_json_text(spark):
+    rows = [(i, tag('{"name": "a", "arguments": {"k": %s}}' % p), "a", '{"k": %s}' % e, "[]") for i, (p, e, _) in enumerate(ARGUMENTS)]
+    df = spark.createDataFrame(rows, "id int, completion string, expected_tool string, expected_args string, expected_chain string")
+    got = {r["id"]: r["reward_argument_f1"] for r in rewards.score(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [f for *_, f in ARGUMENTS]
 
 
 def test_composite_always_is_mean_of_five(scored):
-    got, _ = scored
-    for r in got.values():
+    for r in scored.values():
         parts = [r[f"reward_{n}"] for n in ("schema", "tool_name", "argument_f1", "chain", "chain_partial")]
         acc = 0.0
         for p in parts:
@@ -120,10 +114,11 @@ def test_q2_empty_chain_full_credit_only_without_calls(spark):
 
 
 def test_strict_parse_rejects_garbage(spark):
-    cases = ['{"a":1} x', '{"a":1}, {"b":2}', '{"a":1,"a":2}', "NaN", "'x'", "", '  {"a": 1}  ']
+    jsonx.last_key_wins(spark)
+    cases = ['{"a":1} x', '{"a":1}, {"b":2}', '{"a":1}]', '{"a":1}] x', '{"a":1}][', "NaN", "'x'", "", '  {"a": 1}  ', '{"a":1,"a":2}']
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = [r[0] for r in df.select(jsonx.parse_strict(F.col("s")).isNotNull()).collect()]
-    assert got == [False, False, False, False, False, False, True]
+    assert got == [False] * 8 + [True, True]
 
 
 def test_key_presence_vs_null(spark):

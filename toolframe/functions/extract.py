@@ -53,31 +53,11 @@ def tool_call_blocks(clean: Column) -> Column:
     return F.regexp_extract_all(clean, F.lit(TOOL_CALL_BLOCK), 1)
 
 
-def extract_call(clean: Column) -> Column:
-    """First call in a think-stripped completion, as VARIANT (NULL if none).
-
-    Each of the three tagged forms is tried on its first match only; the
-    first that parses to an object with key ``name`` wins, else the first
-    flat object that does. (Single-expression form; ``with_calls`` in
-    ``operators.rewards`` stages the same steps so each candidate is parsed once.)
-    """
-    return F.try_element_at(F.concat(named_calls(first_matches(clean)), named_calls(flat_objects(clean))),
-                            F.lit(1))
-
-
-def extract_calls(clean: Column) -> Column:
-    """Every ``<tool_call>`` block that parses to an object with ``name``;
-    if there is none, every flat object that does. ``array<variant>``."""
-    tagged = named_calls(tool_call_blocks(clean))
-    flat = named_calls(flat_objects(clean))
-    return F.when(F.size(tagged) > 0, tagged).otherwise(flat)
-
-
 def after_marker(text: Column, marker: str = ASSISTANT_MARKER) -> Column:
     """E5: text after the first ``marker``, Python-stripped; NULL when absent."""
     from toolframe.functions.text import py_strip
     pos = F.locate(marker, text)
-    return F.when(pos > 0, py_strip(F.substr(text, pos + F.lit(len(marker)), F.lit(1 << 30))))
+    return F.when(pos > 0, py_strip(F.substr(text, pos + F.lit(len(marker)))))
 
 
 def call_name(call: Column) -> Column:

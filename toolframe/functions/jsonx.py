@@ -1,11 +1,13 @@
 """Strict JSON on VARIANT, as native Catalyst expressions.
 
 Spark's JSON readers accept trailing garbage (``{"a":1} x``) and do not tell
-"one document" from "two documents". Wrapping a candidate in ``[`` ``]`` and
-parsing it as a VARIANT array fixes both: trailing garbage makes the array
-invalid (NULL) and two documents give two elements. ``try_parse_json``
-also rejects duplicate keys, single quotes and NaN, so those strings are
-"not JSON" here (Python's ``json.loads`` would accept the first and the last).
+"one document" from "two documents". A candidate is therefore parsed as the
+first of two array elements, the second being an end mark: a candidate that
+closes the array itself (``{"a":1}] x``) loses the mark, two documents give
+three elements, anything else that isn't one document makes the array invalid.
+Single quotes and NaN are not JSON here. Of duplicate keys the last wins, once
+``last_key_wins`` has set the session that way (registered queries and the
+reward functions do).
 
 Key presence is distinct from a JSON null value: ``try_variant_get(v,
 '$.k', 'variant')`` is SQL NULL when the key is missing and a variant null
@@ -14,9 +16,16 @@ when the key holds ``null``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+END_MARK = "end of candidate 6f1d0c"
+
+
+def last_key_wins(spark: SparkSession) -> None:
+    """Let VARIANT parsing accept duplicate keys and keep the last, as Python's ``json`` does."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
 
 def parse_strict(s: Column) -> Column:
     """VARIANT of a string holding exactly one JSON document, else NULL."""
@@ -29,8 +38,9 @@ def parse_strict_all(strings: Column) -> Column:
     Each candidate is parsed once; invalid ones are dropped, order is kept.
     """
     wrapped = F.transform(strings, lambda s: F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>"))
-    single = F.filter(wrapped, lambda a: F.size(a) == 1)
+        F.try_parse_json(F.concat(F.lit("["), s, F.lit(f', "{END_MARK}"]'))), "$", "array<variant>"))
+    single = F.filter(wrapped, lambda a: (F.size(a) == 2) & F.coalesce(
+        F.try_variant_get(F.try_element_at(a, F.lit(2)), "$", "string") == END_MARK, F.lit(False)))
     return F.transform(single, lambda a: F.try_element_at(a, F.lit(1)))
 
 
@@ -66,15 +76,26 @@ def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def canonical(v: Column) -> Column:
-    """Canonical compact JSON text: sorted keys, ``1.0`` folded into ``1``."""
-    return F.to_json(v)
+def value_text(v: Column) -> Column:
+    """Text of a JSON value in which ``1.0`` differs from ``1``, as in its JSON text.
+
+    VARIANT prints both as ``1``: a number with a fraction part is printed as a
+    double, and a nested value carries its types where one of them is not an
+    integer. Integers beyond 64 bits stay integers. (An array that mixes
+    ``1`` and ``1.0`` has one type for both and is told apart by position no more.)
+    """
+    kind, text = F.schema_of_variant(v), F.to_json(v)
+    big = F.coalesce(F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int") >= 19, F.lit(False))
+    number = (kind.startswith("DECIMAL") & ~big) | kind.isin("DOUBLE", "FLOAT")
+    nested = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & kind.rlike("DECIMAL|DOUBLE|FLOAT")
+    return (F.when(number, F.try_variant_get(v, "$", "double").cast("string"))
+            .when(nested, F.concat(text, F.lit("#"), F.regexp_replace(kind, r"DECIMAL\(\d+,\d+\)|FLOAT", "DOUBLE")))
+            .otherwise(text))
 
 
 def kv_pairs(obj_map: Column) -> Column:
-    """Object as a ``key=canonical_json(value)`` string array (order unspecified)."""
-    return F.transform(F.map_entries(obj_map),
-                       lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))
+    """Object as a ``key=text of value`` string array (order unspecified)."""
+    return F.transform(F.map_entries(obj_map), lambda e: F.concat(e["key"], F.lit("="), value_text(e["value"])))
 
 
 def call_arguments(call: Column) -> Column:

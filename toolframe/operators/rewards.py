@@ -175,6 +175,7 @@ def with_calls(df: DataFrame, completion: str = "completion") -> DataFrame:
     fallback of both extractors, so it only runs for rows that need it.
     Row-local: run it on the completions side before any join.
     """
+    jsonx.last_key_wins(df.sparkSession)
     s = _call_stages(completion)
     out = df
     for i, stage in enumerate(s):
@@ -191,6 +192,7 @@ def with_expected(df: DataFrame, expected_args: str = "expected_args",
     Expectations belong to a prompt, not to a sample: run this on the prompt
     table before joining it to its G completions.
     """
+    jsonx.last_key_wins(df.sparkSession)
     return df.withColumns(_expected_columns(expected_args, expected_chain))
 
 

@@ -26,7 +26,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        CATALOG[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            jsonx.last_key_wins(spark)
+            return fn(spark, sf_dir)
+        run.__doc__ = fn.__doc__
+        CATALOG[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -59,7 +63,7 @@ def e01(spark, sf_dir):
 
 @query("e02_extract_call", f"""{_EX}
 SELECT event_id, {o.name_of('call')} AS call_name,
-       CAST({o.args_of('call')} AS VARCHAR) AS call_args
+       {o.fold(f"CAST({o.args_of('call')} AS VARCHAR)")} AS call_args
 FROM ex""")
 def e02(spark, sf_dir):
     c = _calls_f2(spark, sf_dir)

@@ -22,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CALL = """'{"name": "' || event_type || '", "arguments": ' || props || '}'"""
 _WRONG = """'{"name": "none", "arguments": ' || props || '}'"""
 
-# Completion text by ``event_id mod 10`` (FIXTURES F2 table), as one SQL expression.
-_COMPLETION_SQL = f"""CASE pmod(event_id, 10)
+# Completion text by ``event_id mod 10`` (FIXTURES F2 table), as one SQL expression; every eleventh is hostile.
+_COMPLETION_SQL = f"""CASE WHEN pmod(event_id, 11) = 10 THEN CASE pmod(event_id DIV 11, 6)
+    WHEN 0 THEN '<tool_call>' || {_CALL} || ']</tool_call>'
+    WHEN 1 THEN '<tool_call>' || {_CALL} || '] trailing</tool_call>'
+    WHEN 2 THEN '<tool_call>' || {_CALL} || '][</tool_call>'
+    WHEN 3 THEN '<tool_call>{{"name": "none", "name": "' || event_type || '", "arguments": ' || props || '}}</tool_call>'
+    WHEN 4 THEN '<tool_call>{{"name": "' || event_type || '", "arguments": ' || replace(props, '}}', '.0}}') || '}}</tool_call>'
+    ELSE '<tool_call>' || {_CALL} || ', ' || {_WRONG} || '</tool_call>' END
+  ELSE CASE pmod(event_id, 10)
   WHEN 0 THEN '<tool_call>' || char(10) || {_CALL} || char(10) || '</tool_call>'
   WHEN 1 THEN '<tool_call>' || char(10) || {_CALL} || char(10) || '</tool_call>'
   WHEN 2 THEN '```json' || char(10) || {_CALL} || char(10) || '```'
@@ -33,7 +40,7 @@ _COMPLETION_SQL = f"""CASE pmod(event_id, 10)
   WHEN 6 THEN '<tool_call>' || {_WRONG} || '</tool_call>'
   WHEN 7 THEN '<tool_call>{{"name": "' || event_type || '", "arguments": ' || props || '</tool_call>'
   WHEN 8 THEN '<tool_call>' || {_CALL} || '</tool_call>' || char(10) || '<tool_call>' || {_WRONG} || '</tool_call>'
-  ELSE 'no call here' END"""
+  ELSE 'no call here' END END"""
 
 _F2_EXPRS = [
     "event_id",

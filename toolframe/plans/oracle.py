@@ -21,7 +21,14 @@ f2 AS (
          CAST(1 + event_id % 50 AS INTEGER) AS n_tokens,
          value / 10 AS elapsed_s,
          CAST(3 + (event_id // 8) % 5 AS INTEGER) AS prompt_len,
-         CASE event_id % 10
+         CASE WHEN event_id % 11 = 10 THEN CASE (event_id // 11) % 6
+           WHEN 0 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || ']</tool_call>'
+           WHEN 1 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || '] trailing</tool_call>'
+           WHEN 2 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || '][</tool_call>'
+           WHEN 3 THEN '<tool_call>{"name": "none", "name": "' || event_type || '", "arguments": ' || props || '}</tool_call>'
+           WHEN 4 THEN '<tool_call>{"name": "' || event_type || '", "arguments": ' || replace(props, '}', '.0}') || '}</tool_call>'
+           ELSE '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || ', ' || '{"name": "none", "arguments": ' || props || '}' || '</tool_call>' END
+         ELSE CASE event_id % 10
            WHEN 0 THEN '<tool_call>' || chr(10) || '{"name": "' || event_type || '", "arguments": ' || props || '}' || chr(10) || '</tool_call>'
            WHEN 1 THEN '<tool_call>' || chr(10) || '{"name": "' || event_type || '", "arguments": ' || props || '}' || chr(10) || '</tool_call>'
            WHEN 2 THEN '```json' || chr(10) || '{"name": "' || event_type || '", "arguments": ' || props || '}' || chr(10) || '```'
@@ -32,7 +39,7 @@ f2 AS (
            WHEN 7 THEN '<tool_call>{"name": "' || event_type || '", "arguments": ' || props || '</tool_call>'
            WHEN 8 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || '</tool_call>' || chr(10) || '<tool_call>' || '{"name": "none", "arguments": ' || props || '}' || '</tool_call>'
            ELSE 'no call here'
-         END AS completion
+         END END AS completion
   FROM events
 )"""
 
@@ -55,6 +62,17 @@ def ok(x: str) -> str:
             f"AND json_extract({x}, '$.name') IS NOT NULL ELSE false END)")
 
 
+def last_name(x: str) -> str:
+    """SQL: of two ``name`` keys in a row only the last stays (the JSON functions here take the first)."""
+    return f"""regexp_replace({x}, '"name": "[^"]*", ("name": )', '\\1')"""
+
+
+def fold(x: str) -> str:
+    """SQL: ``1.0`` printed as ``1``, where values and not texts are compared."""
+    return f"regexp_replace({x}, '\\.0([,}}])', '\\1', 'g')"
+
+
+# The extraction patterns.
 FENCED = r"'(?s)```(?:json)?\s*(\{.*?\})\s*```'"
 TAGGED = r"'(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>'"
 FUNC = r"'(?s)<\|function_call\|>\s*(\{.*?\})'"
@@ -74,7 +92,7 @@ def extract_cte(src: str, name: str = "ex") -> str:
     tagged = f"list_filter(regexp_extract_all(clean, {BLOCK}, 1), lambda x: {ok('x')})"
     return f"""
 {name}_c AS (SELECT *, {clean('completion')} AS clean FROM {src}),
-{name} AS (
+{name}_r AS (
   SELECT *,
     CASE WHEN {ok(p['p1'])} THEN {p['p1']}
          WHEN {ok(p['p2'])} THEN {p['p2']}
@@ -82,7 +100,8 @@ def extract_cte(src: str, name: str = "ex") -> str:
          ELSE {flat}[1] END AS call,
     CASE WHEN len({tagged}) > 0 THEN {tagged} ELSE {flat} END AS calls
   FROM {name}_c
-)"""
+),
+{name} AS (SELECT * REPLACE ({last_name('call')} AS call, list_transform(calls, lambda x: {last_name('x')}) AS calls) FROM {name}_r)"""
 
 
 def name_of(x: str) -> str:
@@ -200,7 +219,7 @@ ev AS (
     END AS _sel,
     CASE WHEN expected_args IS NOT NULL THEN
       (CASE WHEN coalesce((CASE WHEN call IS NULL THEN NULL WHEN _args IS NULL THEN '{{}}'
-                                ELSE CAST(_args AS VARCHAR) END) = CAST(json(expected_args) AS VARCHAR), false)
+                                ELSE {fold("CAST(_args AS VARCHAR)")} END) = CAST(json(expected_args) AS VARCHAR), false)
             THEN 1.0 ELSE 0.0 END)
     END AS _arg,
     CASE WHEN call IS NOT NULL AND {name} IS NOT NULL AND (_args IS NULL OR json_type(_args) = 'OBJECT')
