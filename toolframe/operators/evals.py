@@ -294,8 +294,13 @@ def display_value(metric: Column, value: Column) -> Column:
     """P20: percent for accuracy/success/compliance metrics, two decimals otherwise, NULL -> '-'."""
     pct = metric.contains("accuracy") | metric.contains("success") | metric.contains("compliance")
     return (F.when(value.isNull(), F.lit("-"))
-            .when(pct, F.format_string("%.1f%%", value * 100.0))
-            .otherwise(F.format_string("%.2f", value)))
+            .when(pct, F.concat(fixed(value * 100.0, 1), F.lit("%")))
+            .otherwise(fixed(value, 2)))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """``%.<digits>f`` as Python prints it: the double's exact value, ties to even (``format_string`` rounds them up)."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
 
 
 def compare_stages(metrics: DataFrame, stages: list[str], metric_rank: dict[str, int] | None = None) -> DataFrame:
@@ -317,14 +322,6 @@ def compare_stages(metrics: DataFrame, stages: list[str], metric_rank: dict[str,
                       *[display_value(F.col("metric"), F.col(s)).alias(f"{s}_display") for s in stages])
 
 
-def first_seen_order(metrics: DataFrame, stage_rank: dict[str, int], metric_rank: dict[str, int]) -> DataFrame:
-    """U4: metric order by first appearance over stages (stage order, then metric order)."""
-    sr = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in stage_rank.items()))
-    mr = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in metric_rank.items()))
-    key = sr[F.col("stage")] * 1000 + F.coalesce(mr[F.col("metric")], F.lit(999))
-    return metrics.groupBy("metric").agg(F.min(key).alias("metric_order"))
-
-
 def comparison_sink_table(metrics: DataFrame, stages: list[str]) -> DataFrame:
     """K8: rows = metrics of the FIRST stage only; other stages' values, missing -> NaN.
 
@@ -354,8 +351,7 @@ def model_card_table(metrics: DataFrame, stage: str) -> DataFrame:
     have = metrics.filter(F.col("stage") == stage).select("metric", "value")
     return (wanted.join(F.broadcast(have), "metric", "left")
             .select("pos", "label", "metric",
-                    F.format_string("%.1f%%", F.lit(100.0) * F.coalesce(F.col("value"), F.lit(0.0)))
-                    .alias("display")))
+                    F.concat(fixed(F.lit(100.0) * F.coalesce(F.col("value"), F.lit(0.0)), 1), F.lit("%")).alias("display")))
 
 
 # --------------------------------------------------------------------------

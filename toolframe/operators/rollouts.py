@@ -1,13 +1,15 @@
 """Group-relative advantages and per-step training metrics over scored rollouts.
 
-Input rows are keyed ``(step, prompt_id, sample_id)``; a *group* is the G
-samples drawn for one prompt in one step. Shuffles:
+Input rows are keyed ``(step, slot, sample_id)``; a *group* is the G samples
+drawn for one batch slot of one step. A prompt list shorter than the batch puts
+one prompt into several slots of a step: those are separate groups. Shuffles:
 
 - J2 (rollouts x prompts) is an equi-join on ``prompt_id``; AQE turns it into
   a broadcast join at runtime when the prompt side is small, otherwise it is a
   sort-merge join with skew splitting.
-- W1 partitions by ``(step, prompt_id)``: a group holds G rows by construction
-  (G samples of one prompt in one step), however hot a prompt is over steps.
+- W1 exchanges on ``(step, slot)``, which the join on ``prompt_id`` does not
+  already satisfy: a group holds G rows by construction, and a prompt that
+  occurs in every step is spread over all of them.
 - A10-A14 are partial (map-side combined) aggregations; the step-level tables
   have one row per step.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from toolframe.operators.rewards import registered
 
-GROUP_KEYS = ("step", "prompt_id")
+GROUP_KEYS = ("step", "slot")
 
 
 def join_prompts(rollouts: DataFrame, prompts: DataFrame, on: str = "prompt_id") -> DataFrame:
@@ -27,6 +29,19 @@ def join_prompts(rollouts: DataFrame, prompts: DataFrame, on: str = "prompt_id")
     return rollouts.join(prompts, on=on, how="inner")
 
 
+def explode_samples(groups: DataFrame, completions: str = "completions", aligned: tuple[str, ...] = ()) -> DataFrame:
+    """One row per completion of a prompt's array, with its position as ``sample_id``.
+
+    Arrays named in ``aligned`` (tokens, log-probabilities) are taken apart by
+    the same position; they must be as long as the completions. Null and empty
+    arrays give no rows. The element columns keep their names without a final s.
+    """
+    names = [completions, *aligned]
+    out = groups.select(*[c for c in groups.columns if c not in names],
+                        F.posexplode(F.arrays_zip(*[F.col(n) for n in names])).alias("sample_id", "_x"))
+    return out.select(*[c for c in out.columns if c != "_x"], *[F.col("_x")[n].alias(n.removesuffix("s")) for n in names])
+
+
 def group_advantages(scored: DataFrame, reward: str = "reward", normalize: bool = False,
                      keys: tuple[str, ...] = GROUP_KEYS) -> DataFrame:
     """W1 + A10 + A11: ``advantage = reward - mean(group)``, group mean and a degenerate flag.
@@ -69,7 +84,7 @@ def degenerate_summary(with_adv: DataFrame) -> DataFrame:
 def step_metrics(with_adv: DataFrame, components: list[str] | None = None) -> DataFrame:
     """A12 + A13 + A14: one row per step, from one lineage.
 
-    Level 1 groups by ``(step, prompt_id)`` (same keys as the W1 window, so no
+    Level 1 groups by ``(step, slot)`` (same keys as the W1 window, so no
     extra shuffle) and keeps per-group partial sums; level 2 groups those G-times
     smaller rows by ``step``. ``reward_mean`` is the mean of group means,
     ``n_datums`` counts the sequences of non-degenerate groups; component means
@@ -79,7 +94,7 @@ def step_metrics(with_adv: DataFrame, components: list[str] | None = None) -> Da
     """
     comps = components if components is not None else [f"reward_{r.name}" for r in registered()]
     adv = F.col("advantage")
-    groups = (with_adv.groupBy("step", "prompt_id")
+    groups = (with_adv.groupBy(*GROUP_KEYS)
               .agg(F.first("group_mean").alias("group_mean"),
                    F.first("degenerate").alias("degenerate"),
                    F.count(F.lit(1)).alias("group_size"),

@@ -149,30 +149,40 @@ adv AS (
   SELECT *, avg(reward) OVER g AS group_mean, count(*) OVER g AS group_size,
          max(reward) OVER g = min(reward) OVER g AS degenerate,
          reward - avg(reward) OVER g AS advantage
-  FROM sc WINDOW g AS (PARTITION BY step, prompt_id)
+  FROM sc WINDOW g AS (PARTITION BY step, slot)
 )"""
 
-_GROUPS = """grp AS (SELECT step, prompt_id, any_value(group_mean) AS group_mean,
+_GROUPS = """grp AS (SELECT step, slot, any_value(group_mean) AS group_mean,
                     count(*) AS group_size, any_value(degenerate) AS degenerate
-             FROM adv GROUP BY step, prompt_id)"""
+             FROM adv GROUP BY step, slot)"""
 
 
 @query("j02_rollout_prompt_join", f"""WITH {o.F2}, {o.ROLLOUTS}
-SELECT r.step, r.prompt_id, r.sample_id, p.expected_tool, p.expected_chain
+SELECT r.step, r.slot, r.prompt_id, r.sample_id, p.expected_tool, p.expected_chain
 FROM rollouts r JOIN prompts p USING (prompt_id)""")
 def j02(spark, sf_dir):
     j = rollouts.join_prompts(fx.rollouts_f2(spark, sf_dir), fx.prompts_f2(spark, sf_dir))
-    return j.select("step", "prompt_id", "sample_id", "expected_tool", "expected_chain")
+    return j.select("step", "slot", "prompt_id", "sample_id", "expected_tool", "expected_chain")
+
+
+@query("j03_explode_samples", f"""WITH {o.F2}, {o.ROLLOUTS}
+SELECT step, slot, sample_id, completion, array_to_string(tokens, ',') AS tokens FROM rollouts""")
+def j03(spark, sf_dir):
+    """Completions and token arrays of each batch slot, taken apart by position."""
+    rows = fx.rollouts_f2(spark, sf_dir).groupBy("step", "slot").agg(F.array_sort(F.collect_list(F.struct("sample_id", "completion", "tokens"))).alias("g"))
+    groups = rows.select("step", "slot", F.transform("g", lambda x: x["completion"]).alias("completions"), F.transform("g", lambda x: x["tokens"]).alias("token_lists"))
+    out = rollouts.explode_samples(groups, "completions", ("token_lists",))
+    return out.select("step", "slot", "sample_id", "completion", F.array_join(F.col("token_list").cast("array<string>"), ",").alias("tokens"))
 
 
 @query("w01_group_advantage", f"""{_RO}
-SELECT step, prompt_id, sample_id, {o.r9('reward')} AS reward, {o.r9('advantage')} AS advantage FROM adv""")
+SELECT step, slot, sample_id, {o.r9('reward')} AS reward, {o.r9('advantage')} AS advantage FROM adv""")
 def w01(spark, sf_dir):
-    return r9(scored_rollouts(spark, sf_dir).select("step", "prompt_id", "sample_id", "reward", "advantage"))
+    return r9(scored_rollouts(spark, sf_dir).select("step", "slot", "sample_id", "reward", "advantage"))
 
 
 @query("a10_group_mean_reward", f"""{_RO}, {_GROUPS}
-SELECT step, prompt_id, {o.r9('group_mean')} AS group_mean, group_size, degenerate FROM grp""")
+SELECT step, slot, {o.r9('group_mean')} AS group_mean, group_size, degenerate FROM grp""")
 def a10(spark, sf_dir):
     return r9(rollouts.group_means(scored_rollouts(spark, sf_dir)))
 
@@ -238,27 +248,24 @@ def k10(spark, sf_dir):
 
 
 @query("t05_datum_arrays", f"""{_RO},
-d AS (SELECT step, prompt_id, sample_id, prompt_len - 1 AS ob, tokens, advantage,
+d AS (SELECT step, slot, sample_id, prompt_len - 1 AS ob, tokens, advantage,
              prompt_len + greatest(len(tokens) - 1, 0) AS full_len
       FROM adv WHERE NOT degenerate)
-SELECT step, prompt_id, sample_id,
-       CAST(ob + len(tokens) AS INTEGER) AS n_target,
-       CAST(full_len AS INTEGER) AS model_input_len,
-       CAST(list_sum(tokens) AS BIGINT) AS target_sum,
-       {o.r9('coalesce(list_sum(list_transform(tokens, lambda x: -CAST(x % 100 AS DOUBLE) / 100.0)), 0.0)')} AS logprob_sum,
-       CAST(ob + full_len - ob AS INTEGER) AS n_advantages,
-       {o.r9('advantage * (full_len - ob)')} AS advantage_sum
+SELECT step, slot, sample_id, CAST(full_len AS INTEGER) AS model_input_len,
+       md5(array_to_string(list_concat(list_transform(range(ob), lambda i: 0), tokens), ',')) AS target_md5,
+       md5(array_to_string(list_concat(list_transform(range(ob), lambda i: 0), list_transform(tokens, lambda x: x % 100)), ',')) AS logprob_md5,
+       md5(array_to_string(list_concat(list_transform(range(ob), lambda i: '0.000000'),
+                                       list_transform(range(full_len - ob), lambda i: printf('%.6f', round(advantage, 6) + 0.0))), ',')) AS advantage_md5
 FROM d""")
 def t05(spark, sf_dir):
+    """The three arrays themselves, as digests of their values in order (log-probabilities as hundredths)."""
     d = rollouts.datum_arrays(scored_rollouts(spark, sf_dir))
-    return r9(d.select(
-        "step", "prompt_id", "sample_id",
-        F.size("target_tokens").alias("n_target"),
-        F.col("model_input_len").cast("int").alias("model_input_len"),
-        F.aggregate("target_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("target_sum"),
-        F.aggregate("padded_logprobs", F.lit(0.0), lambda a, x: a + x).alias("logprob_sum"),
-        F.size("padded_advantages").alias("n_advantages"),
-        F.aggregate("padded_advantages", F.lit(0.0), lambda a, x: a + x).alias("advantage_sum")))
+    joined = lambda c: F.md5(F.array_join(c, ","))
+    return d.select(
+        "step", "slot", "sample_id", F.col("model_input_len").cast("int").alias("model_input_len"),
+        joined(F.col("target_tokens").cast("array<string>")).alias("target_md5"),
+        joined(F.transform("padded_logprobs", lambda x: F.round(-x * 100).cast("int").cast("string"))).alias("logprob_md5"),
+        joined(F.transform("padded_advantages", lambda x: F.format_string("%.6f", F.round(x, 6) + F.lit(0.0)))).alias("advantage_md5"))
 
 
 # --------------------------------------------------------------------------

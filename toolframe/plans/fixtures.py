@@ -66,8 +66,11 @@ def completions_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollouts_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROLLOUT_SCHEMA rows: completions with token ids and log-probs, no expectations."""
-    c = completions_f2(spark, sf_dir)
+    """ROLLOUT_SCHEMA rows: completions with token ids and log-probs, no expectations.
+
+    Slots 5 and 9 of every step are drawn for prompt 0: one prompt is hot, and occurs twice in a step.
+    """
+    c = completions_f2(spark, sf_dir).withColumn("prompt_id", F.expr("CASE WHEN slot IN (5, 9) THEN 0L ELSE prompt_id END"))
     tokens = "transform(sequence(0, n_tokens - 1), i -> CAST(pmod(user_id * 131 + i * 7, 50000) AS INT))"
     return c.selectExpr("event_id", "step", "prompt_id", "sample_id", "slot", "completion", "prompt_len",
                         f"{tokens} AS tokens",

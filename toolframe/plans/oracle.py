@@ -45,7 +45,7 @@ f2 AS (
 
 ROLLOUTS = r"""
 rollouts AS (
-  SELECT event_id, step, prompt_id, sample_id, slot, completion, prompt_len,
+  SELECT event_id, step, CASE WHEN slot IN (5, 9) THEN 0 ELSE prompt_id END AS prompt_id, sample_id, slot, completion, prompt_len,
          list_transform(range(0, n_tokens), lambda i: CAST((user_id * 131 + i * 7) % 50000 AS INTEGER)) AS tokens
   FROM f2
 ),
