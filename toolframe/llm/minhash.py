@@ -36,7 +36,7 @@ from toolframe.llm.graph import components
 WORDS, THRESHOLD = 5, 0.85
 SKETCH, SHARED = 48, 20  # k, and the values that two linked sketches share at least
 CLOSE = 0.5  # estimates below this are no links
-BLOCK = 512  # members of one side of a block
+BLOCK = 512  # members of one side of a block of full sets; sketches are compared in blocks twice as wide
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -123,9 +123,9 @@ def _forest(ids: np.ndarray, labels: np.ndarray, good: np.ndarray) -> list[tuple
 def _close(members: list[np.ndarray], sizes: np.ndarray, threshold: float, close: float) -> np.ndarray:
     """Pairs of sketches whose estimate reaches ``close`` and whose sizes allow a link."""
     both = overlaps(members)
-    last = np.array([m[-1] for m in members])
-    below = np.array([np.searchsorted(m, last, side="right") for m in members])  # values of row's sketch up to column's last
-    low = np.where(last[:, None] <= last[None, :], np.array([len(m) for m in members])[:, None] + below.T, below + np.array([len(m) for m in members])[None, :])
+    last, full = np.array([m[-1] for m in members]), np.array([len(m) for m in members], np.int32)
+    below = np.stack([np.searchsorted(m, last, side="right") for m in members]).astype(np.int32)  # values of row's sketch up to column's last
+    low = np.where(last[:, None] <= last[None, :], full[:, None] + below.T, below + full[None, :])
     ratio = np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
     return (both >= close * (low - both)) & ratio
 
@@ -177,7 +177,7 @@ def candidates(classes: DataFrame, threshold: float, k: int, shared: int, close:
     marked = marked.withColumn("label", F.when(F.col("hit").isNotNull(), F.col("head")).otherwise(F.col("id")))
     open_ = marked.groupBy("value").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("value")
     rest = marked.join(open_.hint("shuffle_merge"), "value").select("value", "id", "label")
-    blocks = _blocks(rest, "value", block, "id").join(slim, "id")
+    blocks = _blocks(rest.join(slim, "id"), "value", 2 * block, "id")
 
     def compare(table: pa.Table) -> pa.Table:
         members = _listed(table, "sketch")
