@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -179,10 +180,29 @@ def test_hilbert_is_a_walk():
         assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_token_parts_equal_whole_texts():
-    own = packing.Tokens(tokenizer("byte_bpe_50k.json"))
-    for t in [*hostile(6, 6000), LONG, "y" * 3000, "end of line.\nNext, line"]:
-        assert own.encode(t) == own.whole(t), repr(t[:60])
+def test_ids_equal_the_tokenizers_library():
+    from tokenizers import Tokenizer
+    own, library = packing.Tokens(tokenizer("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    for t in [*hostile(6, 6000), LONG, "y" * 3000, "end of line.\nNext, line", "a<|endoftext|> b <|endoftext|>"]:
+        assert own.encode(t) == np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t[:60])
+
+
+def test_cells_see_whole_texts():
+    import pyarrow as pa
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdé \n") for _ in range(rnd.choice([0, 1, 5, 500]))) for _ in range(200)] + [LONG, None, "", "a", "end"]
+    want = []
+    for t in texts:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+        signs = np.zeros(4)
+        data = (t or "").encode()
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+            h = int(packing.mix64(np.array([int.from_bytes(data[m.start(): m.start() + 4], "little")], np.uint64))[0])
+            signs += [1 if h >> d & 1 else -1 for d in range(4)]
+        want.append(np.clip((signs / max(len(words), 1) ** 0.5 + 4) / 8 * 256, 0, 255).astype(int).tolist())
+    assert packing.cells(pa.array(texts)).tolist() == want
+    assert packing.cells(pa.array(texts).slice(50, 60)).tolist() == want[50:110]
+    assert packing.cells(pa.array(texts, pa.large_string())).tolist() == want
 
 
 @pytest.mark.parametrize("length", [16, 2048])
