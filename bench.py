@@ -33,7 +33,6 @@ HEADLINE = [
     "l10_epoch_batches",
     "p07_render_conversation",
     "t01_encode",
-    "g02_template_shares",         # generator (one example per event)
     "x06_near_duplicates",         # MinHash + LSH components over all documents
 ]
 
@@ -46,6 +45,7 @@ def main() -> None:
     # local mode runs everything in the driver JVM: give it a realistic heap (default is 1g)
     spark = build_session(f"local[{cpus}]", app="toolframe-bench", shuffle_partitions=int(cpus) * 2,
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+    spark.conf.set("toolframe.spread", str(2 * int(cpus)))  # the tables here are one split each
     out = {}
     for name in names:
         fn = catalog.CATALOG[name]
@@ -77,13 +77,13 @@ def throughput(spark, sf_dir, reps):
 
     from toolframe.operators import prep, rewards
     from toolframe.plans import fixtures as fx
-    from toolframe.session import ensure_parallelism
+    from toolframe.session import spread
 
     comp = fx.completions_f2(spark, sf_dir)
     n_comp = comp.count()
 
     def score():
-        rewards.score(ensure_parallelism(comp), gating="always").write.format("noop").mode("overwrite").save()
+        rewards.score(spread(comp), gating="always").write.format("noop").mode("overwrite").save()
 
     corpus = fx.corpus_f1(spark, sf_dir)
     n_rows = corpus.count()
@@ -91,7 +91,7 @@ def throughput(spark, sf_dir, reps):
     def prepare():
         df = prep.dedup_first(corpus, F.md5(F.col("text")))
         df = prep.normalize_whitespace(prep.complete_rows(df))
-        df = prep.split_exact(prep.balance_sources(df, materialize=True))
+        df = prep.split_exact(prep.balance_sources(df))
         df.write.format("noop").mode("overwrite").save()
 
     t_score = _median_time(score, reps)

@@ -50,3 +50,20 @@ def test_prepare_end_to_end(spark, tmp_dir):
     m = conv.first()["messages"]
     assert [x["role"] for x in m] == ["system", "user", "assistant"]
     assert m[2]["content"].startswith("<tool_call>\n{")
+
+
+def test_clashing_and_missing_ids_lose_no_row(spark):
+    from toolframe.plans.prepare import PrepareConfig, prepare_rows
+    from toolframe.operators import tokens
+    a = spark.createDataFrame([(i, f"a {i} x", "a") for i in range(30)], "row_id long, text string, source string")
+    b = spark.createDataFrame([(i, f"b {i} y", "b") for i in range(30)] + [(0, "b 0 y", "b")], "row_id long, text string, source string")
+    c = spark.createDataFrame([(f"c {i} z", "c") for i in range(10)] + [("c 0 z", "c")], "text string, source string")
+    rows = a.unionByName(b).unionByName(c, allowMissingColumns=True)
+    for dupes, want in ((False, 72), (True, 70)):
+        cfg = PrepareConfig(sources=(), out_dir="", balance_sources=False, remove_duplicates=dupes, dedup_key=("source", "text"))
+        split = prepare_rows(rows, cfg)
+        assert split.count() == want == split.select("row_id").distinct().count()
+        assert split.where("split = 'train'").count() == int(0.8 * want)
+        enc = tokens.encode(split, tokens.build_vocabulary(split), ["row_id", "source"], max_length=8)
+        got = enc.collect()
+        assert len(got) == want and all(len(r["input_ids"]) == 8 and sum(r["attention_mask"]) == 3 for r in got)

@@ -17,13 +17,13 @@ def adv(spark):
 
 
 def test_advantages_sum_to_zero_per_group(adv):
-    g = adv.groupBy("step", "prompt_id").agg(F.sum("advantage").alias("s")).collect()
+    g = adv.groupBy("step", "slot").agg(F.sum("advantage").alias("s")).collect()
     assert g and all(abs(r["s"]) < 1e-9 for r in g)
 
 
 def test_degenerate_iff_all_equal(adv):
-    pdf = adv.select("step", "prompt_id", "reward", "degenerate").toPandas()
-    for _, grp in pdf.groupby(["step", "prompt_id"]):
+    pdf = adv.select("step", "slot", "reward", "degenerate").toPandas()
+    for _, grp in pdf.groupby(["step", "slot"]):
         assert grp["degenerate"].iloc[0] == (grp["reward"].nunique() == 1)
 
 
@@ -32,7 +32,7 @@ def test_step_metrics_against_pandas(spark, adv):
     pdf = adv.select("step", "prompt_id", "reward", "advantage", "degenerate",
                      "reward_schema").toPandas()
     for step, grp in pdf.groupby("step"):
-        groups = grp.groupby("prompt_id")
+        groups = grp.groupby("slot")
         r = sm[step]
         assert r["reward_mean"] == pytest.approx(groups["reward"].mean().mean())
         assert r["n_groups"] == groups.ngroups
@@ -177,13 +177,6 @@ def test_capped_rank_is_prefix_of_full_rank(spark):
     assert capped == {k: v for k, v in full.items() if v <= 37}
 
 
-def test_auto_buckets_follow_input_splits(spark):
-    small = spark.range(10, numPartitions=2)
-    large = spark.range(10, numPartitions=600)
-    assert rank.auto_buckets(small) == 1024
-    assert rank.auto_buckets(large) == 4096
-
-
 def test_stratified_split_sizes_per_stratum(spark):
     f1 = fx.corpus_f1(spark, SF_ORACLE)
     got = prep.split_stratified(f1, ["source"]).groupBy("source", "split").count().collect()

@@ -36,10 +36,6 @@ def truthy(c: Column, dtype: str = "string") -> Column:
     return c.isNotNull() & (c != F.lit(0))
 
 
-def nullif_blank(c: Column) -> Column:
-    return F.when(c != F.lit(""), c)
-
-
 def md5_bucket(c: Column, modulus: int = 100) -> Column:
     """``int(md5(s).hexdigest(), 16) % modulus`` without 128-bit integers.
 
@@ -54,13 +50,3 @@ def md5_bucket(c: Column, modulus: int = 100) -> Column:
         chunk = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
         acc = F.pmod(acc * factor + F.pmod(chunk, F.lit(modulus)), F.lit(modulus))
     return acc
-
-
-def md5_unit(c: Column) -> Column:
-    """Deterministic uniform draw in [0, 1) from the first 52 bits of ``md5(c)``."""
-    return F.conv(F.substring(F.md5(c), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
-def hash_key(*parts: Column) -> Column:
-    """Canonical text of a composite hashing key (``|``-separated)."""
-    return F.concat_ws("|", *[p.cast("string") for p in parts])

@@ -95,12 +95,6 @@ def example_to_conversation(df: DataFrame, instruction: str = "instruction", too
     return F.when(truthy(F.col(instruction)) & assistant.isNotNull(), msgs)
 
 
-def training_text(category: Column, instruction: Column, calls: Column) -> Column:
-    """``[category] USER: <instruction>\\nASSISTANT: <tool_call> blocks`` (compact JSON)."""
-    blocks = F.array_join(F.transform(calls, _call_block), "\n")
-    return F.concat(F.lit("["), category, F.lit("] USER: "), instruction, F.lit("\nASSISTANT: "), blocks)
-
-
 def build_prompts(df: DataFrame, system: str = TOOL_USE_SYSTEM_PROMPT) -> DataFrame:
     """Prepared rows -> GRPO prompts ``(system, user, expected_tool, expected_args,
     expected_chain, source)``; rows without a prompt are dropped.

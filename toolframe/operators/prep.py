@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolframe.functions.text import md5_bucket, py_split_join, truthy
-from toolframe.operators.rank import auto_buckets, bucketed_rank, order_key, shuffled, unit_draw
+from toolframe.operators.rank import bucketed_rank, order_key, shuffled, unit_draw, with_cuts
+from toolframe.session import written
 
 # Fields whose truthiness makes a row "complete" (P2).
 CONTENT_FIELDS = ["text", "messages", "conversations", "id", "instruction", "question", "domain",
@@ -90,14 +91,13 @@ def content_key(df: DataFrame, cols: list[str]) -> Column:
 def dedup_first(df: DataFrame, key: Column, order: str = "row_id") -> DataFrame:
     """A1: keep the first row (lowest ``order``) of every key.
 
-    ``groupBy(key).agg(min_by(row, order))`` is partially aggregated on the map
-    side, so a key shared by a third of all rows collapses to one row per map
-    task before the shuffle; only representatives are shuffled.
+    The smallest order per key is a hash aggregate over two slim columns,
+    combined on the map side (a key shared by a third of all rows is one row per
+    map task); rows are then semi-joined to it. ``order`` must be unique and not
+    null.
     """
-    cols = df.columns
-    packed = df.select(key.alias("_k"), F.col(order).alias("_o"), F.struct(*cols).alias("_r"))
-    firsts = packed.groupBy("_k").agg(F.min_by("_r", "_o").alias("_r"))
-    return firsts.select("_r.*")
+    firsts = df.select(key.alias("_k"), F.col(order).alias("_o")).groupBy("_k").agg(F.min("_o").alias("_o")).select("_o")
+    return df.join(firsts, F.col(order) == F.col("_o"), "left_semi")
 
 
 def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
@@ -105,64 +105,47 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
     return df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sorted_counts(counts: DataFrame) -> list[int]:
-    """The per-source counts, sorted (one value per source: bounded by the number of sources)."""
-    row = counts.agg(F.array_sort(F.collect_list("n")).alias("l")).first()
-    return list(row["l"] or [])
-
-
-def _target_of(vals: list[int], floor_cap: int) -> int:
-    if not vals:
-        return 0
-    k = len(vals)
-    median = vals[k // 2] if k % 2 else (vals[k // 2 - 1] + vals[k // 2]) // 2
-    return max(median, min(floor_cap, max(vals)))
-
-
 def balance_target(counts: DataFrame, floor_cap: int = BALANCE_FLOOR) -> int:
     """A3 target: ``max(median, min(floor_cap, max(counts)))``, even-size median = integer mean.
 
-    One aggregate over the per-source count table; only the sorted counts (one
-    per source) reach the driver.
+    One aggregate over the per-source count table; two numbers reach the driver.
     """
-    return _target_of(_sorted_counts(counts), floor_cap)
+    row = counts.agg(F.expr("percentile(n, 0.5)").alias("median"), F.max("n").alias("top")).first()
+    return 0 if row["top"] is None else max(math.floor(row["median"]), min(floor_cap, row["top"]))
 
 
 def balance_sources(df: DataFrame, source: str = "source", key: str = "row_id", seed: int = 42,
-                    floor_cap: int = BALANCE_FLOOR, n_buckets: int | None = None, materialize: bool = False) -> DataFrame:
+                    floor_cap: int = BALANCE_FLOOR, n_buckets: int = 1024, tie: str | None = None) -> DataFrame:
     """A3: median-target resampling; adds ``draw`` (0 = kept by undersampling).
 
     Sources with at least ``target`` rows keep their ``target`` first rows in a
-    seeded shuffle (exact bucketed rank per source, W3/W4). Smaller sources
-    draw ``target`` rows with replacement: draws come from a distributed
-    ``range`` over (small source, draw), each picks a rank
-    ``floor(u * n) + 1`` and is equi-joined to the ranked rows (J8).
-
-    The target needs one small action; with ``materialize=True`` the input is
-    first written once to the shared checkpoint directory so that action and
-    the resampling do not both recompute an expensive upstream (e.g. dedup).
+    seeded shuffle: one cut point per source, no rank. Smaller sources (all
+    their rows together are fewer than target times their number) draw
+    ``target`` rows with replacement: draws come from a distributed ``range``
+    over (small source, draw), each picks a rank ``floor(u * n) + 1`` and is
+    equi-joined to the ranked rows (J8).
+
+    Runs two small jobs over the counts per source while it is built (target,
+    number of small sources), and what ``with_cuts`` needs. Equal keys are told
+    apart by ``tie``.
     """
-    if materialize:
-        from toolframe.session import cut_lineage
-        df = cut_lineage(df)
-    counts = source_counts(df, source)
-    vals = _sorted_counts(counts)
-    target = _target_of(vals, floor_cap)
-    ranked = shuffled(df, [source, key], seed, n_buckets, group=[source], out="_rank")
-    with_n = ranked.join(counts, source, "inner")
-    under = with_n.filter((F.col("n") >= target) & (F.col("_rank") <= target)) \
-        .drop("n", "_rank").withColumn("draw", F.lit(0).cast("long"))
-    small = counts.filter(F.col("n") < target)
-    k = sum(1 for v in vals if v < target)
+    spark, tie = df.sparkSession, tie or key
+    counts = written(source_counts(df, source), "counts")
+    target = balance_target(counts, floor_cap)
+    k = counts.where(F.col("n") < target).count()
+    keyed = df.withColumn("_u", order_key(F.col(source), F.col(key), seed=seed))
+    large = counts.where(F.col("n") >= target).select(source, F.lit("keep").alias("name"), F.lit(target).cast("long").alias("at"))
+    under = with_cuts(keyed, "_u", tie, large, ["keep"], source).where("keep").drop("keep", "_u").withColumn("draw", F.lit(0).cast("long"))
     if k == 0:
         return under
-    spark = df.sparkSession
+    small = counts.filter(F.col("n") < target)
+    ranked = bucketed_rank(keyed.join(small, source), "_u", [tie], [source], n_buckets, "_rank").drop("_u", "n")
     small_idx = bucketed_rank(small.withColumn("_u", order_key(F.col(source), seed=seed)),
                               "_u", [source], None, 1024, "_sidx").drop("_u")
     draws = (spark.range(0, k * target)
              .select((F.floor(F.col("id") / target) + 1).cast("long").alias("_sidx"),
                      (F.pmod(F.col("id"), F.lit(target)) + 1).alias("draw"))
-             .join(F.broadcast(small_idx), "_sidx", "inner"))
+             .join(small_idx, "_sidx", "inner"))
     picks = draws.select(source, "draw",
                          (F.floor(unit_draw(F.col(source), F.col("draw"), seed=seed) * F.col("n")) + 1)
                          .cast("long").alias("_rank"))
@@ -191,15 +174,18 @@ def split_sizes(n: int, train: float = 0.8, val: float = 0.1) -> tuple[int, int,
 
 
 def split_exact(df: DataFrame, key: str = "row_id", seed: int = 42, train: float = 0.8, val: float = 0.1,
-                n: int | None = None) -> DataFrame:
-    """Exact 3-way split by seeded rank; adds ``split`` in {train, validation, test}."""
+                n: int | None = None, tie: str | None = None) -> DataFrame:
+    """Exact 3-way split in seeded order; adds ``split`` in {train, validation, test}.
+
+    Two cut points label the rows (``with_cuts``); no row is shuffled. Counts
+    the rows unless ``n`` is given. Equal keys are told apart by ``tie``.
+    """
     n = df.count() if n is None else n
     n_train, n_val, _ = split_sizes(n, train, val)
-    from toolframe.operators.rank import bucket_count_for
-    r = shuffled(df, [key], seed, max(bucket_count_for(n), auto_buckets(df)), out="_rank")
-    return (r.withColumn("split", F.when(F.col("_rank") <= n_train, "train")
-                         .when(F.col("_rank") <= n_train + n_val, "validation").otherwise("test"))
-            .drop("_rank"))
+    wanted = df.sparkSession.createDataFrame([("_train", n_train), ("_val", n_train + n_val)], "name string, at long")
+    cut = with_cuts(df.withColumn("_u", order_key(F.col(key), seed=seed)), "_u", tie or key, wanted, ["_train", "_val"])
+    return (cut.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_val"), "validation").otherwise("test"))
+            .drop("_train", "_val", "_u"))
 
 
 def split_by_hash(df: DataFrame, key: Column, train: float = 0.8, val: float = 0.1) -> DataFrame:
@@ -214,21 +200,20 @@ def holdout(df: DataFrame, key: Column, ratio: float = 0.1) -> DataFrame:
     return df.filter(md5_bucket(key) < F.lit(int(ratio * 100)))
 
 
-def cap_rows(df: DataFrame, limit: int, key: str = "row_id", seed: int = 42) -> DataFrame:
-    """L1 / L3: seeded sample of ``limit`` rows without replacement (all rows if fewer).
-
-    Only the buckets that can hold the first ``limit`` ranks are sorted.
-    """
-    return shuffled(df, [key], seed, out="_rank", max_rank=limit).drop("_rank")
+def cap_rows(df: DataFrame, limit: int, key: str = "row_id", seed: int = 42, tie: str | None = None) -> DataFrame:
+    """L1 / L3: seeded sample of ``limit`` rows without replacement (all rows if fewer), by one cut point."""
+    wanted = df.sparkSession.createDataFrame([("_in", limit)], "name string, at long")
+    cut = with_cuts(df.withColumn("_u", order_key(F.col(key), seed=seed)), "_u", tie or key, wanted, ["_in"])
+    return cut.where("_in").drop("_in", "_u")
 
 
 def validation_prefix(df: DataFrame, key: str = "row_id", seed: int = 42, frac: float = 0.1,
                       n: int | None = None) -> DataFrame:
     """``n_val = max(1, int(n * frac))`` first shuffled rows are validation."""
     n = df.count() if n is None else n
-    n_val = max(1, int(n * frac))
-    r = shuffled(df, [key], seed, out="_rank")
-    return r.withColumn("part", F.when(F.col("_rank") <= n_val, "validation").otherwise("train")).drop("_rank")
+    wanted = df.sparkSession.createDataFrame([("_val", max(1, int(n * frac)))], "name string, at long")
+    cut = with_cuts(df.withColumn("_u", order_key(F.col(key), seed=seed)), "_u", key, wanted, ["_val"])
+    return cut.withColumn("part", F.when(F.col("_val"), "validation").otherwise("train")).drop("_val", "_u")
 
 
 def steps_per_epoch(n: int, batch_size: int) -> int:
@@ -250,7 +235,7 @@ def epoch_batches(df: DataFrame, epochs: int, batch_size: int, key: str = "row_i
     keyed = rep.withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws(
         "|", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(key).cast("string"))), 1, 15), 16, 10)
         .cast("long"))
-    r = bucketed_rank(keyed, "_u", [key], ["epoch"], n_buckets=None, out="_rank").drop("_u")
+    r = bucketed_rank(keyed, "_u", [key], ["epoch"], out="_rank").drop("_u")
     batch = F.floor((F.col("_rank") - 1) / batch_size).cast("long")
     gstep = F.col("epoch") * spe + batch + 1
     return (r.withColumn("batch_idx", batch)
@@ -292,19 +277,22 @@ def split_stratified(df: DataFrame, strata: list[str], key: str = "row_id", seed
     """X2 (extension): the L8 split applied inside every stratum.
 
     Per-stratum sizes come from a count table (one row per stratum) using the
-    same float order as ``split_sizes``; ranks are exact per stratum (bucketed,
-    so one dominant stratum is still spread over many tasks).
+    same float order as ``split_sizes``; two cut points per stratum label the
+    rows (``with_cuts``), so a dominant stratum is neither shuffled nor sorted.
     """
     n = F.col("_n").cast("double")
     rest = F.ceil(F.greatest(F.lit(1.0) - F.lit(train), F.lit(1.0) / n) * n)
     ratio = val / (1 - train)
     n_test = F.ceil(F.greatest(F.lit(1.0 - ratio), F.lit(1.0) / rest) * rest)
-    sizes = (df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    named = df.withColumn("_s", F.to_json(F.struct(*strata)))
+    sizes = (named.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_train", F.when(F.col("_n") < 3, F.col("_n")).otherwise(F.col("_n") - rest))
              .withColumn("_val", F.when(F.col("_n") < 3, F.lit(0))
                          .when(rest < 2, rest).otherwise(rest - n_test)))
-    ranked = shuffled(df, [*strata, key], seed, group=strata, out="_rank").join(sizes, strata, "inner")
-    return (ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_train"), "train")
-                              .when(F.col("_rank") <= F.col("_train") + F.col("_val"), "validation")
-                              .otherwise("test"))
-            .drop("_rank", "_n", "_train", "_val"))
+    wanted = sizes.select("_s", F.explode(F.array(
+        F.struct(F.lit("_train").alias("name"), F.col("_train").cast("long").alias("at")),
+        F.struct(F.lit("_val").alias("name"), (F.col("_train") + F.col("_val")).cast("long").alias("at")))).alias("x")).select("_s", "x.*")
+    keyed = named.withColumn("_u", order_key(*[F.col(c) for c in (*strata, key)], seed=seed))
+    cut = with_cuts(keyed, "_u", key, wanted, ["_train", "_val"], "_s")
+    return (cut.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_val"), "validation").otherwise("test"))
+            .drop("_train", "_val", "_u", "_s"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from toolframe.session import written
+
 KEY_BITS = 60  # 15 hex digits of md5
 
 
@@ -30,37 +32,17 @@ def unit_draw(*parts: Column, seed: int | str = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def bucket_count_for(n_rows: int | None, rows_per_bucket: int = 1_000_000, minimum: int = 1024) -> int:
-    """Power-of-two bucket count keeping buckets near ``rows_per_bucket`` rows."""
-    b = minimum
-    while n_rows is not None and n_rows // b > rows_per_bucket and b < (1 << 20):
-        b *= 2
-    return b
-
-
-def auto_buckets(df: DataFrame, per_split: int = 4) -> int:
-    """Bucket count from the input's split count (a size proxy that needs no job):
-    about ``per_split`` buckets per input split, a power of two in [1024, 2**20]."""
-    want = df.rdd.getNumPartitions() * per_split
-    b = 1024
-    while b < want and b < (1 << 20):
-        b *= 2
-    return b
-
-
 def bucketed_rank(df: DataFrame, key: str, tiebreak: list[str], group: list[str] | None = None,
-                  n_buckets: int | None = 1024, out: str = "rank", max_rank: int | None = None) -> DataFrame:
+                  n_buckets: int = 1024, out: str = "rank", max_rank: int | None = None) -> DataFrame:
     """Add ``out`` = ``row_number() over (partition by group order by key, tiebreak)``.
 
     ``key`` must be a non-negative 60-bit long (see ``order_key``). The
     offsets table has ``groups x n_buckets`` rows; AQE broadcasts it when small.
-    ``n_buckets=None`` picks ``auto_buckets``. With ``max_rank`` only rows that
+    With ``max_rank`` only rows that
     can rank ``<= max_rank`` are kept: buckets whose offset is already past it
     are dropped before the window, so a cap sorts a few buckets, not all rows.
     """
     group = list(group or [])
-    if n_buckets is None:
-        n_buckets = auto_buckets(df)
     shift = KEY_BITS - (n_buckets.bit_length() - 1)
     if n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
@@ -77,11 +59,59 @@ def bucketed_rank(df: DataFrame, key: str, tiebreak: list[str], group: list[str]
     return ranked.filter(F.col(out) <= max_rank) if max_rank is not None else ranked
 
 
-def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, n_buckets: int | None = None,
+def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, n_buckets: int = 1024,
              group: list[str] | None = None, out: str = "rank", max_rank: int | None = None) -> DataFrame:
-    """Seeded shuffle order as an exact 1-based rank (per group if given).
-
-    The bucket count follows the input size unless given (``auto_buckets``).
-    """
+    """Seeded shuffle order as an exact 1-based rank (per group if given)."""
     k = df.withColumn("_u", order_key(*[F.col(c) for c in key_cols], seed=seed))
     return bucketed_rank(k, "_u", key_cols, group, n_buckets, out, max_rank).drop("_u")
+
+
+CUT_BITS = 16  # leading key bits that one count looks at
+BROADCAST_GROUPS = 100_000  # more groups than this and their cut points are joined, not broadcast
+
+
+def with_cuts(df: DataFrame, key: str, tie: str, wanted: DataFrame, names: list[str], group: str | None = None) -> DataFrame:
+    """df with a boolean per name: is the row among its group's first ``at`` rows in order of (key, tie)?
+
+    wanted: (group,) name, at. For labels (splits, caps) only the cut points
+    are needed, not everyone's rank: rows are counted by the key's leading bits,
+    the boundary bucket of each cut is ranked on (key, tie) alone, and a narrow
+    comparison labels the rows. No row with its texts is shuffled or sorted.
+    (key, tie) must identify a row of its group. A cut that is absent, or at 0,
+    is false; one beyond the group is true. key: see ``order_key``.
+    """
+    g = group or "_g"
+    base = df if group else df.withColumn(g, F.lit(0))
+    slim = base.select(g, F.col(key).alias("_k"), F.col(tie).alias("_t"), F.shiftright(F.col(key), KEY_BITS - CUT_BITS).alias("_b"))
+    counts = slim.groupBy(g, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counts.withColumn("_hi", F.sum("_c").over(Window.partitionBy(g).orderBy("_b")))
+    want = wanted if group else wanted.withColumn(g, F.lit(0))
+    edge = (upto.join(want, g).where((F.col("at") > F.col("_hi") - F.col("_c")) & (F.col("at") <= F.col("_hi")))
+                .select(g, "_b", "name", (F.col("at") - F.col("_hi") + F.col("_c")).alias("_r")))
+    ranked = slim.join(edge, [g, "_b"]).withColumn("_n", F.row_number().over(Window.partitionBy(g, "_b", "name").orderBy("_k", "_t")))
+    cut = ranked.where(F.col("_n") == F.col("_r")).select(g, "name", F.struct("_k", "_t").alias("_cut"))
+    size = counts.groupBy(g).agg(F.sum("_c").alias("_size"))
+    table = want.join(size, g).join(cut, [g, "name"], "left").select(
+        g, "name", F.struct((F.col("at") > F.col("_size")).alias("all"), F.col("_cut").alias("cut")).alias("_x"))
+    table = written(table.groupBy(g).pivot("name", names).agg(F.first("_x")).select(g, *[F.col(n).alias(f"_cut_{n}") for n in names]), "cuts")
+    if table.count() <= BROADCAST_GROUPS:
+        table = F.broadcast(table)
+    out = base.join(table, g, "left")
+    here = F.struct(F.col(key).alias("_k"), F.col(tie).alias("_t"))
+    for n in names:
+        x = F.col(f"_cut_{n}")
+        out = out.withColumn(n, F.coalesce(x["all"] | (here <= x["cut"]), x["all"], F.lit(False)))
+    return out.drop(*[f"_cut_{n}" for n in names], *([] if group else [g]))
+
+
+def range_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """Exact 1-based rank over all rows in the order given, without a one-task window.
+
+    Rows are range-partitioned and written with their range's number; rows are
+    counted per range, and the rank is the range's offset plus the place in it.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    offsets = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (ranged.join(F.broadcast(offsets), "_p")  # one row per range
+            .withColumn(out, F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_off")).drop("_p", "_off"))

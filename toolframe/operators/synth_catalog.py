@@ -749,4 +749,3 @@ MULTI = [
 
 # Relative weights are multiplied by 50 in the reference; the shares are the same.
 TEMPLATES = SINGLE + MULTI
-WEIGHT_SCALE = 50

@@ -2,19 +2,21 @@
 
 The reference calls an external BPE tokenizer; here the vocabulary is itself
 a job over the corpus: whitespace tokens are counted with a partial
-aggregation, the ``max_vocab`` most frequent ones (ties by token) get dense ids
-after the special tokens, and encoding is an explode + broadcast join against
-that bounded vocabulary, regrouped per row (partial aggregation: all tokens of
-a row sit in one map partition, so each row's list is built map-side). Rows
-without tokens survive the explode (outer), so no join back is needed.
+aggregation and get dense ids after the special tokens, by count, ties by
+token, from an exact range rank (no window over one partition). Encoding joins
+tokens to the vocabulary (which side is small enough to broadcast, adaptive
+execution decides from its size; a hot token's rows are split by the adaptive
+skew join) and regroups them per row. Rows without tokens survive the explode
+(outer), so no join back is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolframe.functions.text import py_split_join
+from toolframe.operators.rank import range_rank
 
 PAD, UNK, EOS = "<pad>", "<unk>", "<eos>"
 SPECIALS = [PAD, UNK, EOS]
@@ -26,40 +28,41 @@ def words(text: Column) -> Column:
     return F.when(norm == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(norm, " "))
 
 
-def build_vocabulary(df: DataFrame, text: str = "text", max_vocab: int = 50_000, min_count: int = 1) -> DataFrame:
+def build_vocabulary(df: DataFrame, text: str = "text", max_vocab: int | None = None, min_count: int = 1) -> DataFrame:
     """T1 vocabulary: ``(token, id, count)``; ids 0..2 are ``<pad> <unk> <eos>``.
 
-    ``max_vocab`` bounds the table (top-k by count, then token), so it can be
-    broadcast to the encoder.
+    Every token of the corpus gets an id; ``max_vocab`` keeps only the most
+    frequent ones, where a caller wants that.
     """
     counts = (df.select(F.explode(words(F.col(text))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
               .filter(F.col("count") >= min_count))
-    top = counts.orderBy(F.desc("count"), F.asc("token")).limit(max_vocab)
-    ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("token")))
-                                   + len(SPECIALS) - 1).cast("int"))
-    spark = df.sparkSession
-    specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, count long")
-    return specials.unionByName(ranked.select("token", "id", "count"))
+    ranked = range_rank(counts, [F.desc("count"), F.asc("token")], "_r")
+    if max_vocab is not None:
+        ranked = ranked.where(F.col("_r") <= max_vocab)
+    specials = df.sparkSession.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, count long")
+    return specials.unionByName(ranked.select("token", (F.col("_r") + len(SPECIALS) - 1).cast("int").alias("id"), "count"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", max_length: int = 2048,
+def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], text: str = "text", max_length: int = 2048,
            pad_id: int | None = None, unk_id: int = 1) -> DataFrame:
     """T1 + T2 + T3: truncate to ``max_length``, pad to ``max_length``, attention mask, labels.
 
     ``pad_id`` defaults to the eos id (T3). Labels copy the ids with every pad
     id replaced by -100, real tokens equal to the pad id included (T2).
-    ``key`` must identify a row: tokens are regrouped by it. One shuffle (the
-    regroup) plus the broadcast of the bounded vocabulary.
+    ``key``: one or more columns that together identify a row (tokens are
+    regrouped by them, so equal keys would merge rows); they come out with the
+    arrays. ``prepare`` numbers its rows for that.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     pad = SPECIALS.index(EOS) if pad_id is None else pad_id  # ids of the specials are fixed by build_vocabulary
     # posexplode_outer keeps rows with no tokens (pos NULL), so every input row
     # comes out of the single regroup and no join back to the input is needed
-    toks = df.select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token")) \
+    toks = df.select(*keys, F.posexplode_outer(words(F.col(text))).alias("pos", "token")) \
         .filter(F.col("pos").isNull() | (F.col("pos") < max_length))
-    ids = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left") \
-        .select(key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("id"))
-    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(
+    ids = toks.join(vocab.select("token", "id"), "token", "left") \
+        .select(*keys, "pos", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("id"))
+    seqs = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_p"))
     base = seqs.withColumn("_ids", F.transform("_p", lambda s: s["id"]))
     n = F.size("_ids")

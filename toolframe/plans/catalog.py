@@ -17,7 +17,7 @@ from toolframe.functions import extract, jsonx
 from toolframe.operators import rewards, rollouts
 from toolframe.plans import fixtures as fx
 from toolframe.plans import oracle as o
-from toolframe.session import ensure_parallelism
+from toolframe.session import spread
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, QueryFn] = {}
@@ -49,7 +49,7 @@ def r9(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _calls_f2(spark, sf_dir):
-    return rewards.with_calls(ensure_parallelism(fx.completions_f2(spark, sf_dir)))
+    return rewards.with_calls(spread(fx.completions_f2(spark, sf_dir)))
 
 
 _EX = f"WITH {o.F2}, {o.extract_cte('f2')}"
@@ -97,7 +97,7 @@ _RW = f"WITH {o.F2}, {o.extract_cte('f2')}, {o.rewards_cte('ex')}"
 
 
 def _scored_f2(spark, sf_dir, gating="intended"):
-    return rewards.score(ensure_parallelism(fx.completions_f2(spark, sf_dir)), gating=gating)
+    return rewards.score(spread(fx.completions_f2(spark, sf_dir)), gating=gating)
 
 
 def _reward_query(rid: str, col: str):
@@ -133,7 +133,7 @@ _composite_query("a09_composite_reward_grpo", "always")
 
 def scored_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E3 (map side) -> J2 -> R1-R5 -> A9 (GRPO gating) -> W1."""
-    extracted = rewards.with_calls(ensure_parallelism(fx.rollouts_f2(spark, sf_dir)))
+    extracted = rewards.with_calls(spread(fx.rollouts_f2(spark, sf_dir)))
     joined = rollouts.join_prompts(extracted, rewards.with_expected(fx.prompts_f2(spark, sf_dir)))
     scored = rewards.score(joined, gating="always")
     return rollouts.group_advantages(scored)
@@ -281,7 +281,7 @@ _METRIC_RANK = {m: i for i, m in enumerate(evals.METRIC_ORDER)}
 
 
 def _eval_inputs(spark, sf_dir):
-    return fx.examples_f3(spark, sf_dir), ensure_parallelism(fx.stage_completions_f3(spark, sf_dir))
+    return fx.examples_f3(spark, sf_dir), spread(fx.stage_completions_f3(spark, sf_dir))
 
 
 def stage_metrics_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,7 +482,7 @@ def p08(spark, sf_dir):
 @query("p09_expected_fields", f"""WITH {_P9}
 SELECT example_id, expected_tool, expected_args, array_to_string(expected_chain, ',') AS expected_chain FROM p9""")
 def p09(spark, sf_dir):
-    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
+    raw = spread(fx.raw_rows_f3(spark, sf_dir))
     e = evals.expected_fields(raw)
     return e.select("example_id", "expected_tool", F.to_json("expected_args").alias("expected_args"),
                     F.array_join("expected_chain", ",").alias("expected_chain"))
@@ -500,7 +500,7 @@ def _p10_key(col: str) -> str:
 @query("p10_tools_context", f"""WITH {_RAW}
 SELECT example_id, coalesce({_p10_key('tools')}, {_p10_key('api_list')}) AS tools_context FROM raw""")
 def p10(spark, sf_dir):
-    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
+    raw = spread(fx.raw_rows_f3(spark, sf_dir))
     return raw.select("example_id", evals.tools_context(raw).alias("tools_context"))
 
 
@@ -522,7 +522,7 @@ def p13(spark, sf_dir):
 @query("p16_multi_step_filter", f"""WITH {_P9}
 SELECT example_id, CAST(len(expected_chain) AS INTEGER) AS n_steps FROM p9 WHERE len(expected_chain) > 1""")
 def p16(spark, sf_dir):
-    e = evals.expected_fields(ensure_parallelism(fx.raw_rows_f3(spark, sf_dir)))
+    e = evals.expected_fields(spread(fx.raw_rows_f3(spark, sf_dir)))
     return e.filter(F.size("expected_chain") > 1).select("example_id", F.size("expected_chain").alias("n_steps"))
 
 
@@ -593,11 +593,28 @@ def a01(spark, sf_dir):
 @query("a01_dedup_removed", f"""WITH {_F1}
 SELECT count(*) AS n_in, count(DISTINCT text) AS n_out, count(*) - count(DISTINCT text) AS n_removed FROM f1""")
 def a01r(spark, sf_dir):
-    f1 = fx.corpus_f1(spark, sf_dir).select("row_id", F.md5("text").alias("text_md5"))
-    kept = prep.dedup_first(f1, F.col("text_md5"))
-    n_in = f1.agg(F.count(F.lit(1)).alias("n_in"))
-    n_out = kept.agg(F.count(F.lit(1)).alias("n_out"))
-    return n_in.join(n_out, how="inner").select("n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_removed"))
+    counts = fx.corpus_f1(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_in"), F.count_distinct(F.md5("text")).alias("n_out"))
+    return counts.withColumn("n_removed", F.col("n_in") - F.col("n_out"))
+
+
+@query("k03_prepare_two_sources", """
+WITH a AS (SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'turns', text FROM conversations),
+d AS (SELECT DISTINCT source, text FROM a WHERE text IS NOT NULL AND text <> ''),
+t AS (SELECT source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM d)
+SELECT source, count(*) AS n_rows, count(*) AS n_ids,
+       CAST(sum(least(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END, 2048)) AS BIGINT) AS n_tokens, count(*) AS n_known FROM t GROUP BY source""")
+def k03(spark, sf_dir):
+    """Two sources whose row ids clash through dedup, split and encoding: no row lost, merged or doubled."""
+    from toolframe.plans.prepare import PrepareConfig, prepare_rows
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", F.lit("documents").alias("source"))
+    turns = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("row_id"), "text", F.lit("turns").alias("source"))
+    cfg = PrepareConfig(sources=(), out_dir="", balance_sources=False, dedup_key=("source", "text"))
+    split = prepare_rows(docs.unionByName(turns), cfg)
+    enc = tokens.encode(split, tokens.build_vocabulary(split), ["row_id", "source", "split"])
+    n = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, m: s + m)
+    unk = F.exists("input_ids", lambda i: i == 1)
+    return enc.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.sum(n).alias("n_tokens"),
+                                     F.count(F.when(~unk, 1)).alias("n_known"))
 
 
 @query("a02_source_counts", f"WITH {_F1} SELECT source, count(*) AS n FROM f1 GROUP BY source")
@@ -841,7 +858,7 @@ def t04(spark, sf_dir):
                     "last_assistant_turn", "n_turns")
 
 
-_VOCAB_N, _MAXLEN = 500, 64
+_MAXLEN = 2048
 _TOK = f"""WITH rc AS (
   SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text
   FROM {_CONV} GROUP BY conv_id),
@@ -849,7 +866,7 @@ tw AS (SELECT conv_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) =
                   ELSE string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') END AS toks FROM rc),
 vc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM tw) GROUP BY token),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 2 AS INTEGER) AS id, cnt
-          FROM vc ORDER BY cnt DESC, token LIMIT {_VOCAB_N})"""
+          FROM vc)"""
 
 
 @query("t01_vocabulary", f"""{_TOK}
@@ -857,7 +874,7 @@ SELECT token, id, CAST(cnt AS BIGINT) AS count FROM vocab
 UNION ALL SELECT * FROM (VALUES ('<pad>', 0, CAST(0 AS BIGINT)), ('<unk>', 1, 0), ('<eos>', 2, 0)) v(token, id, count)""")
 def t01(spark, sf_dir):
     rc = convo.render_turns(fx.table(spark, sf_dir, "conversations"))
-    return tokens.build_vocabulary(rc, max_vocab=_VOCAB_N)
+    return tokens.build_vocabulary(rc)
 
 
 @query("t01_encode", f"""{_TOK},
@@ -874,7 +891,7 @@ SELECT conv_id,
 FROM fl""")
 def t01e(spark, sf_dir):
     rc = convo.render_turns(fx.table(spark, sf_dir, "conversations"))
-    vocab = tokens.build_vocabulary(rc, max_vocab=_VOCAB_N)
+    vocab = tokens.build_vocabulary(rc)
     return tokens.encode(rc, vocab, "conv_id", max_length=_MAXLEN)
 
 
@@ -898,7 +915,7 @@ SELECT example_id,
        CAST(len(calls) AS INTEGER) AS n_blocks
 FROM a WHERE instruction IS NOT NULL AND instruction <> '' AND calls IS NOT NULL""")
 def p11(spark, sf_dir):
-    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
+    raw = spread(fx.raw_rows_f3(spark, sf_dir))
     conv = raw.select("example_id", convo.example_to_conversation(raw).alias("m")).filter(F.col("m").isNotNull())
     asst = F.col("m")[2]["content"]
     return conv.select("example_id", F.length(F.col("m")[0]["content"]).alias("system_len"),
@@ -924,7 +941,7 @@ SELECT example_id, CAST(system_len AS INTEGER) AS system_len, u AS "user",
             ELSE '[]' END AS expected_chain
 FROM c WHERE u IS NOT NULL""")
 def p12(spark, sf_dir):
-    raw = ensure_parallelism(fx.raw_rows_f3(spark, sf_dir))
+    raw = spread(fx.raw_rows_f3(spark, sf_dir))
     p = convo.build_prompts(raw)
     return p.select("example_id", F.length("system").alias("system_len"), "user", "expected_tool",
                     "expected_args", "expected_chain")
@@ -944,7 +961,7 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window
        {', '.join(f'{o.r9(f"avg({c})")} AS {c}' for c in _COMPS)}
 FROM sc GROUP BY 1, 2""")
 def x08(spark, sf_dir):
-    c = ensure_parallelism(fx.completions_f2(spark, sf_dir))
+    c = spread(fx.completions_f2(spark, sf_dir))
     return r9(stream_scoring.step_rewards(stream_scoring.score_stream(c)))
 
 
@@ -957,7 +974,7 @@ from toolframe.operators import synth, synth_catalog  # noqa: E402
 
 def _gen_base(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"))
-    return ensure_parallelism(e)
+    return spread(e)
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1074,7 +1091,7 @@ from toolframe.operators import neardup  # noqa: E402
 
 @query("x06_near_duplicates")
 def x06(spark, sf_dir):
-    docs = ensure_parallelism(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
     nd = neardup.near_duplicates(docs, threshold=0.8)
     return r9(nd.select("doc_id", "cluster", "similarity", "is_near_dup"))
 

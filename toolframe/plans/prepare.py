@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolframe.operators import prep, tokens
-from toolframe.session import scratch_path
+from toolframe.session import written
 from toolframe.sources import readers
 
 
@@ -35,33 +35,49 @@ class PrepareConfig:
     balance_sources: bool = True
     dedup_key: tuple[str, ...] = ("instruction", "tool_calls")
     max_length: int = 2048
-    max_vocab: int = 50_000
+    max_vocab: int | None = None
 
 
-def prepare(spark: SparkSession, cfg: PrepareConfig) -> dict[str, DataFrame]:
-    df = readers.load_all(spark, list(cfg.sources))
-    if "row_id" not in df.columns:
-        key = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c != "_corrupt_record"]))
-        df = df.withColumn("row_id", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Add ``row_key`` and ``row_id`` and write the rows once.
+
+    row_key is 128 bits of (source, the source's own row id, content): a
+    function of the row alone, so seeded draws don't depend on partitioning.
+    row_id is row_key and the row's number in the written table: unique whatever
+    ids the sources carry, even for rows that are equal in every column. Both
+    keep the order of the source's own ids, numbers before rows without one.
+    """
+    content = [F.col(c) for c in sorted(df.columns) if c not in ("_corrupt_record", "row_id")]
+    own = F.col("row_id").cast("string") if "row_id" in df.columns else F.lit(None).cast("string")
+    place = F.coalesce(F.lpad(own, 20, "0"), F.lit("~"))
+    key = F.concat(place, F.lit("-"), F.md5(F.to_json(F.struct(own.alias("own"), *content))))
+    keyed = df.drop("row_id").withColumn("row_key", key) if "row_id" not in df.columns else df.withColumn("row_key", key).drop("row_id")
+    return written(keyed.withColumn("row_id", F.concat("row_key", F.lit("-"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))), "rows")
+
+
+def prepare_rows(df: DataFrame, cfg: PrepareConfig) -> DataFrame:
+    """The rows of all sources (tagged) -> dedup, completeness, whitespace, balance, split; written, with a unique row_id."""
+    df = with_row_ids(df)
     if cfg.remove_duplicates:
-        cols = [c for c in cfg.dedup_key if c in df.columns] or [c for c in df.columns if c != "row_id"]
+        cols = [c for c in cfg.dedup_key if c in df.columns] or [c for c in df.columns if c not in ("row_id", "row_key")]
         df = prep.dedup_first(df, prep.content_key(df, cols))
     if cfg.remove_incomplete:
         df = prep.complete_rows(df)
     df = prep.normalize_whitespace(df)
     if cfg.balance_sources:
-        df = prep.balance_sources(df, seed=cfg.seed, materialize=True).withColumn(
-            "row_id", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("row_id").cast("string"),
-                                                             F.col("draw").cast("string"))), 1, 15), 16, 10)
-            .cast("long"))
-    split = prep.split_exact(df, seed=cfg.seed, train=cfg.train, val=cfg.validation)
-    staged = scratch_path(spark, "prepare_split")
-    split.write.mode("overwrite").parquet(staged)
-    split = spark.read.parquet(staged)
-    readers.write_json(split.filter(F.col("split") == "test").drop("split"), f"{cfg.out_dir}/test_raw")
-    flat = prep.unify_text(split.drop("draw") if "draw" in split.columns else split,
-                           passthrough=("row_id", "split"))
-    vocab = tokens.build_vocabulary(flat.filter(F.col("split") == "train"), max_vocab=cfg.max_vocab)
-    enc = tokens.encode(flat, vocab, "row_id", max_length=cfg.max_length).join(flat.select("row_id", "split"), "row_id")
+        df = prep.balance_sources(df, key="row_key", tie="row_id", seed=cfg.seed)
+        df = df.withColumn("row_key", F.concat_ws("|", "row_key", F.col("draw").cast("string"))) \
+            .withColumn("row_id", F.concat_ws("|", "row_id", F.col("draw").cast("string")))
+    df = written(df, "balanced")
+    return written(prep.split_exact(df, key="row_key", tie="row_id", seed=cfg.seed, train=cfg.train, val=cfg.validation), "split")
+
+
+def prepare(spark: SparkSession, cfg: PrepareConfig) -> dict[str, DataFrame]:
+    split = prepare_rows(readers.load_all(spark, list(cfg.sources)), cfg)
+    raw = split.filter(F.col("split") == "test").drop("split", "row_key")
+    readers.write_json(raw, f"{cfg.out_dir}/test_raw")
+    flat = prep.unify_text(split.drop("draw", "row_key"), passthrough=("row_id", "split"))
+    vocab = written(tokens.build_vocabulary(flat.filter(F.col("split") == "train"), max_vocab=cfg.max_vocab), "vocabulary")
+    enc = tokens.encode(flat, vocab, ["row_id", "split"], max_length=cfg.max_length)
     readers.write_splits(enc, f"{cfg.out_dir}/tokenized")
     return {"split": split, "vocab": vocab, "encoded": enc}

@@ -7,10 +7,10 @@ On a cluster the session already exists and carries its own configuration;
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults tuned for correctness-first local runs; every one is overridable.
 _DEFAULTS = {
@@ -43,41 +43,39 @@ def build_session(master: str | None = None, app: str = "toolframe",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared directory for lineage cuts.
+    """Shared directory for lineage cuts, from ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a private scratch directory is created and registered, so a
-    cluster job never writes to a machine-local folder.
+    Where it is unset, a local master gets a private scratch directory (as in
+    tests); on a cluster that would be a folder other machines don't see, so it
+    raises.
     """
     value = spark.conf.get("spark.checkpoint.dir", None)
     if not value:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         value = tempfile.mkdtemp(prefix="toolframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", value)
     spark.sparkContext.setCheckpointDir(value)
     return value
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint into the shared checkpoint directory."""
-    spark = spark or df.sparkSession
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared directory; two runs never share one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint directory for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared directory: computed once, lineage ends here."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_parallelism(df, min_partitions: int | None = None):
-    """Spread CPU-heavy row-local work over at least ``min_partitions`` tasks.
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over as many tasks as the caller sets in ``toolframe.spread``; as it is where that is unset.
 
-    A no-op when the input already has enough splits (always the case for a
-    large scan); otherwise one round-robin repartition. Defaults to the
-    cluster's default parallelism.
+    For CPU-heavy row-local work over an input with fewer splits than cores.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    n = df.sparkSession.conf.get("toolframe.spread", None)
+    return df.repartition(int(n)) if n else df
