@@ -1,16 +1,17 @@
-"""X6 (extension): near-duplicate removal with MinHash + LSH, without pair enumeration.
+"""X6 (extension): near-duplicate removal with MinHash + LSH on verified edges.
 
-1. Signatures: word shingles (one regex pass) are exploded and every permutation is a grouped
-   ``min`` of ``(a_k * h + b_k) mod p``: whole-stage-codegen aggregates, fully
-   combined map-side because a document's shingles come from one input row.
+1. Signatures and shingle hashes, once per document and written to the shared
+   folder: shingles (one regex pass) are exploded, every permutation is a
+   grouped ``min`` of ``(a_k * h + b_k) mod p``, combined on the map side
+   because a document's shingles come from one input row.
 2. LSH: ``bands`` keys per document, each a hash of ``rows`` signature values.
-3. Clusters: connected components of the document-bucket graph by min-label
-   propagation (a grouped ``min`` per side per step). Candidate pairs are never
-   materialised, so a bucket shared by a third of all documents costs one
-   partially aggregated group, not a quadratic pair set. Lineage is cut with
-   ``checkpoint()`` into the shared checkpoint directory every step.
-4. Verification: each document is compared with its cluster representative
-   only (one comparison per document), by signature agreement.
+   Each document is a candidate of the smallest key in each of its buckets: at
+   most ``bands`` candidates per document, never a bucket's pairs.
+3. Verification: exact Jaccard of the two shingle sets.
+4. Clusters: connected components of the verified edges alone, so a chain of
+   similar documents is one cluster even where its ends are not similar.
+
+Hashes are taken from md5, so another engine can follow every step.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolframe.functions.text import py_split_join
-from toolframe.session import checkpoint_dir
+from toolframe.operators.components import components
+from toolframe.session import written
 
 _PRIME = (1 << 31) - 1
 
 
-def _coefficients(num_perm: int, seed: int) -> list[tuple[int, int]]:
+def coefficients(num_perm: int, seed: int) -> list[tuple[int, int]]:
     rng = random.Random(seed)
     return [(rng.randrange(1, _PRIME), rng.randrange(0, _PRIME)) for _ in range(num_perm)]
 
@@ -48,66 +50,50 @@ def shingles(norm_col, n: int):
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", num_perm: int = 64,
                shingle: int = 5, seed: int = 42) -> DataFrame:
-    """``(key, sig array<long>)`` MinHash signatures."""
-    h = F.xxhash64(F.lit(seed), F.col("_s")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    """``(key, sig array<long>, grams array<string>)``: MinHash signature and the distinct shingles' md5 prefixes (64 bits)."""
     staged = df.select(key, normalized(F.col(text)).alias("_t"))
-    ex = staged.select(key, F.explode(shingles(F.col("_t"), shingle)).alias("_s")).select(key, h.alias("_h"))
+    ex = staged.select(key, F.explode(shingles(F.col("_t"), shingle)).alias("_s")).select(key, F.substring(F.md5("_s"), 1, 16).alias("_g"))
+    ex = ex.select(key, "_g", F.conv(F.substring("_g", 1, 7), 16, 10).cast("long").alias("_h"))
     mins = [F.min(F.pmod(F.lit(a).cast("long") * F.col("_h") + F.lit(b).cast("long"), F.lit(_PRIME).cast("long"))).alias(f"_m{i}")
-            for i, (a, b) in enumerate(_coefficients(num_perm, seed))]
+            for i, (a, b) in enumerate(coefficients(num_perm, seed))]
     g = ex.groupBy(key).agg(*mins)
-    return g.select(key, F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig"))
+    grams = staged.select(key, F.array_distinct(F.transform(shingles(F.col("_t"), shingle), lambda s: F.substring(F.md5(s), 1, 16))).alias("grams"))
+    return g.select(key, F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig")).join(grams, key)
 
 
-def band_keys(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
-    """``(key, bucket)``: one LSH bucket per band."""
+def candidates(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
+    """``(a, b)``: each document and the smallest key of each of its buckets, once."""
     rows = F.size("sig") / bands
-    return sigs.select(key, F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.xxhash64(b, F.slice("sig", (b * rows + 1).cast("int"), rows.cast("int"))))).alias("band", "bucket")) \
-        .select(key, F.concat_ws(":", F.col("band").cast("string"), F.col("bucket").cast("string")).alias("bucket"))
-
-
-def components(edges: DataFrame, key: str = "doc_id", max_iter: int | None = None) -> DataFrame:
-    """``(key, label)``: minimum key of the connected component (bipartite key-bucket graph).
-
-    Iterates until no label changes (exact); ``max_iter`` is only an explicit
-    opt-in bound for callers that accept partial propagation.
-    """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    edges = edges.checkpoint()
-    labels = edges.select(key).distinct().withColumn("label", F.col(key)).checkpoint()
-    step = 0
-    while max_iter is None or step < max_iter:
-        step += 1
-        bucket_min = edges.join(labels, key).groupBy("bucket").agg(F.min("label").alias("bl"))
-        pulled = edges.join(bucket_min, "bucket").groupBy(key).agg(F.min("bl").alias("nl"))
-        new = labels.join(pulled, key, "left").select(
-            key, F.least(F.col("label"), F.coalesce(F.col("nl"), F.col("label"))).alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), key).filter(F.col("label") != F.col("old")) \
-            .limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(",", F.slice("sig", (b * rows + 1).cast("int"), rows.cast("int")).cast("array<string>"))))
+    keyed = sigs.select(F.col(key).alias("a"), band.alias("band", "v")).select("a", "band", F.md5("v").alias("bucket"))
+    least = keyed.groupBy("band", "bucket").agg(F.min("a").alias("b"))
+    return keyed.join(least, ["band", "bucket"]).where("a <> b").select("a", "b").distinct()
+
+
+def verified_edges(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
+                   num_perm: int = 64, bands: int = 16, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """``(a, b, similarity)``: candidates whose exact Jaccard reaches the threshold."""
+    sigs = written(signatures(df, key, text, num_perm, shingle, seed), "signatures")
+    sets = sigs.select(F.col(key).alias("k"), "grams")
+    both = (candidates(sigs, key, bands).join(sets.withColumnRenamed("k", "a"), "a")
+            .join(sets.select(F.col("k").alias("b"), F.col("grams").alias("other")), "b"))
+    inter = F.size(F.array_intersect("grams", "other"))
+    return both.select("a", "b", (inter / (F.size("grams") + F.size("other") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
                     num_perm: int = 64, bands: int = 16, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """Adds ``cluster`` (representative key), ``similarity`` (estimated Jaccard with the
-    representative) and ``is_near_dup`` (not the representative and similarity >= threshold)."""
-    sigs = signatures(df, key, text, num_perm, shingle, seed)
-    labels = components(band_keys(sigs, key, bands), key)
-    rep = sigs.select(F.col(key).alias("label"), F.col("sig").alias("rep_sig"))
-    matched = F.size(F.filter(F.zip_with("sig", "rep_sig", lambda a, b: a == b), lambda x: x))
-    scored = (sigs.join(labels, key).join(rep, "label")
-              .select(key, F.col("label").alias("cluster"), (matched / F.lit(float(num_perm))).alias("similarity")))
-    out = df.join(scored, key, "left")
-    return out.withColumn("cluster", F.coalesce(F.col("cluster"), F.col(key))) \
-        .withColumn("is_near_dup", F.coalesce((F.col("cluster") != F.col(key))
-                                              & (F.col("similarity") >= threshold), F.lit(False)))
+    """Adds ``cluster`` (smallest key of the component), ``similarity`` (highest exact Jaccard with
+    another member among the verified edges, null where there is none) and ``is_near_dup`` (not the cluster's smallest)."""
+    edges = written(verified_edges(df, key, text, threshold, num_perm, bands, shingle, seed), "edges")
+    roots = components(edges, "a", "b")
+    best = (edges.select(F.col("a").alias("node"), "similarity").unionByName(edges.select(F.col("b").alias("node"), "similarity"))
+            .groupBy("node").agg(F.max("similarity").alias("similarity")))
+    found = roots.join(best, "node")
+    out = df.join(found, F.col(key) == F.col("node"), "left").withColumn("cluster", F.coalesce("root", key)).drop("node", "root")
+    return out.withColumn("is_near_dup", F.col("cluster") != F.col(key))
 
 
 def remove_near_duplicates(df: DataFrame, **kw) -> DataFrame:
-    """Keep representatives and documents not similar enough to theirs."""
+    """One document of each cluster."""
     return near_duplicates(df, **kw).filter(~F.col("is_near_dup")).drop("cluster", "similarity", "is_near_dup")

@@ -1089,11 +1089,34 @@ def x02(spark, sf_dir):
 from toolframe.operators import neardup  # noqa: E402
 
 
-@query("x06_near_duplicates")
+_X6_PERM = neardup.coefficients(64, 42)
+_X6_MINS = ", ".join(f"min(({a} * h + {b}) % 2147483647) AS m{i}" for i, (a, b) in enumerate(_X6_PERM))
+_X6_BANDS = " UNION ALL ".join(f"SELECT doc_id AS a, {b} AS band, concat_ws(',', {', '.join(f'm{4 * b + i}' for i in range(4))}) AS bucket FROM sig" for b in range(16))
+
+
+@query("x06_near_duplicates", rf"""WITH RECURSIVE
+t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS s FROM documents),
+w AS (SELECT doc_id, s, string_split(s, ' ') AS ws FROM t WHERE s <> ''),
+g AS (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [s] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
+x AS (SELECT DISTINCT doc_id, substr(md5(gram), 1, 16) AS gram FROM g),
+hx AS (SELECT doc_id, CAST(('0x' || substr(gram, 1, 7)) AS BIGINT) AS h FROM x),
+sig AS (SELECT doc_id, {_X6_MINS} FROM hx GROUP BY doc_id),
+bk AS ({_X6_BANDS}),
+cand AS (SELECT DISTINCT a, b FROM (SELECT a, min(a) OVER (PARTITION BY band, bucket) AS b FROM bk) WHERE a <> b),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+i AS (SELECT c.a, c.b, count(*) AS k FROM cand c JOIN x p ON p.doc_id = c.a JOIN x q ON q.doc_id = c.b AND q.gram = p.gram GROUP BY c.a, c.b),
+e AS (SELECT i.a, i.b, CAST(k AS DOUBLE) / (na.n + nb.n - k) AS s FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b),
+v AS (SELECT a, b, s FROM e WHERE s >= 0.8),
+l AS (SELECT a AS x, b AS y FROM v UNION SELECT b, a FROM v),
+r AS (SELECT x, x AS y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x),
+m AS (SELECT x, max(s) AS s FROM (SELECT a AS x, s FROM v UNION ALL SELECT b, s FROM v) GROUP BY x)
+SELECT doc_id, coalesce(cluster, doc_id) AS cluster, round(m.s, 9) AS similarity, coalesce(cluster <> doc_id, false) AS is_near_dup
+FROM documents LEFT JOIN c ON c.x = doc_id LEFT JOIN m ON m.x = doc_id""")
 def x06(spark, sf_dir):
     docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    nd = neardup.near_duplicates(docs, threshold=0.8)
-    return r9(nd.select("doc_id", "cluster", "similarity", "is_near_dup"))
+    out = neardup.near_duplicates(docs)
+    return out.select("doc_id", "cluster", F.round("similarity", 9).alias("similarity"), "is_near_dup")
 
 
 # --------------------------------------------------------------------------
