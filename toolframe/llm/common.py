@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,21 +11,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-MAX_CHARS = 1 << 20  # code points that one numpy pass holds at once
+from pyspark.sql import SparkSession
 
+from toolframe.session import scratch_path, written  # noqa: F401  the shared folder's tables
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is set and the master is local."""
-    value = spark.conf.get("spark.checkpoint.dir", None)
-    if value:
-        return value
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    value = tempfile.mkdtemp(prefix="toolframe-shared-")
-    spark.conf.set("spark.checkpoint.dir", value)
-    return value
+MAX_CHARS = 1 << 20  # code points that one numpy pass holds at once
 
 
 _SHIPPED: set[str] = set()
@@ -45,18 +34,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; no two calls share one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and nothing is computed twice."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = MAX_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_chars bytes of a string column, or one row."""
     for batch in batches:
