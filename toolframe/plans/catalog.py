@@ -1013,14 +1013,6 @@ def g01(spark, sf_dir):
                     F.to_json("tool_calls").alias("tool_calls"), "num_steps", "text")
 
 
-@query("k01_split_by_kind", f"""{_GEN}
-SELECT CASE WHEN num_steps = 1 THEN 'single' ELSE 'multistep' END AS kind, count(*) AS n FROM ch GROUP BY 1""")
-def k01(spark, sf_dir):
-    g = generated(spark, sf_dir)
-    kind = F.when(F.col("num_steps") == 1, "single").otherwise("multistep")
-    return g.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("g09_tools_exposed", f"{_GEN} SELECT row_id, 25 AS n_tools, 25 AS n_distinct, true AS calls_exposed FROM ch")
 def g09(spark, sf_dir):
     g = generated(spark, sf_dir)
@@ -1030,14 +1022,6 @@ def g09(spark, sf_dir):
                     F.forall(called, lambda n: F.array_contains(names, n)).alias("calls_exposed"))
 
 
-@query("e05_text_after_assistant", f"{_GEN} SELECT row_id, num_steps AS n_blocks FROM ch")
-def e05(spark, sf_dir):
-    from toolframe.functions import extract as ex
-    g = generated(spark, sf_dir)
-    after = ex.after_marker(F.col("text"))
-    return g.select("row_id", F.size(ex.tool_call_blocks(after)).alias("n_blocks"))
-
-
 @query("x04_undersample_majority_tool")
 def x04(spark, sf_dir):
     g = generated(spark, sf_dir)
@@ -1130,7 +1114,7 @@ log AS (
          WHEN event_id % 11 = 1 THEN '{oops'
          WHEN event_id % 11 = 2 THEN '{"sampler_path": ""}'
          WHEN event_id % 11 = 3 THEN '{"state_path": "s/' || CAST(event_id AS VARCHAR) || '"}'
-         ELSE '{"sampler_path": "tinker://' || event_type || '/' || CAST(event_id AS VARCHAR) || '"}' END AS line,
+         ELSE '{"sampler_path": "ckpt://' || event_type || '/' || CAST(event_id AS VARCHAR) || '"}' END AS line,
     user_id
   FROM events)"""
 
@@ -1141,7 +1125,7 @@ def _log_lines(spark, sf_dir):
          WHEN pmod(event_id, 11) = 1 THEN '{oops'
          WHEN pmod(event_id, 11) = 2 THEN '{"sampler_path": ""}'
          WHEN pmod(event_id, 11) = 3 THEN '{"state_path": "s/' || CAST(event_id AS STRING) || '"}'
-         ELSE '{"sampler_path": "tinker://' || event_type || '/' || CAST(event_id AS STRING) || '"}' END AS line""",
+         ELSE '{"sampler_path": "ckpt://' || event_type || '/' || CAST(event_id AS STRING) || '"}' END AS line""",
                         "user_id")
 
 
@@ -1170,12 +1154,103 @@ def s10(spark, sf_dir):
 
 @query("s08_stage_result_documents", f"{_EV} SELECT stage, metric, {o.r9('value')} AS value FROM ml")
 def s08(spark, sf_dir):
-    """Stage-result documents written from the metric table (one with a BOM) and read back."""
+    """Stage-result documents written from the metric table and read back: one with a BOM, all with a value and an entry that are no numbers."""
+    return r9(readers.stage_results_of(_stage_documents(spark, sf_dir), "doc"))
+
+
+def _stage_documents(spark, sf_dir):
     m = _metric_long(spark, sf_dir)
-    docs = (m.groupBy("stage").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("mv"))
-            .select(F.concat(F.when(F.col("stage") == "baseline", F.lit("\ufeff")).otherwise(F.lit("")),
-                             F.to_json(F.create_map(F.col("stage"), F.col("mv")))).alias("doc")))
-    return r9(readers.stage_results_of(docs, "doc"))
+    parts = F.array_join(F.collect_list(F.concat(F.lit('"'), "metric", F.lit('": '), F.col("value").cast("string"))), ", ")
+    docs = m.groupBy("stage").agg(parts.alias("p"))
+    return docs.select("stage", F.concat(F.when(F.col("stage") == "baseline", F.lit("\ufeff")).otherwise(F.lit("")),
+                                         F.lit('{"'), "stage", F.lit('": {"note": "n/a", '), "p", F.lit('}, "other": "oops"}')).alias("doc"))
+
+
+@query("s11_compare_saved", f"{_EV} SELECT stage, metric, {o.r9('value')} AS value FROM ml WHERE stage IN ('baseline', 'grpo')")
+def s11(spark, sf_dir):
+    docs = _stage_documents(spark, sf_dir)
+    return r9(readers.compare_documents([readers.stage_results_of(docs.where(F.col("stage") == n), "doc", n) for n in ("baseline", "grpo")]))
+
+
+# Raw lines of a JSON-lines source, as texts of a table: blank, malformed and whole ones with every accepted name.
+_LINES_SPARK = """CASE pmod(event_id, 9) WHEN 0 THEN '  ' WHEN 1 THEN '{oops'
+  WHEN 2 THEN '{"query": "find ' || event_type || '", "expected_calls": [{"name": "' || event_type || '", "arguments": ' || props || '}], "source": "hub"}'
+  WHEN 3 THEN ' {"instruction": "do ' || event_type || '", "tool_calls": [{"tool": "' || event_type || '"}], "num_steps": 1} '
+  WHEN 4 THEN '{"text": "plain ' || CAST(user_id AS STRING) || '", "num_steps": 2}'
+  ELSE '{"instruction": "call ' || event_type || '", "tools": [{"name": "t"}], "tool_calls": [{"name": "' || event_type || '", "arguments": ' || props || '}]}' END"""
+_LINES_SQL = f"""ln AS (SELECT event_id, trim({_LINES_SPARK.replace('pmod(event_id, 9)', 'event_id % 9').replace('AS STRING', 'AS VARCHAR')}) AS line FROM events),
+js AS (SELECT event_id, line, json_valid(line) AS good, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM ln WHERE line <> '')"""
+
+
+def _parsed_lines(spark, sf_dir):
+    lines = fx.table(spark, sf_dir, "events").selectExpr("event_id", f"{_LINES_SPARK} AS line")
+    return readers.parse_lines(lines, "line")
+
+
+@query("s01_json_lines", f"""WITH {_LINES_SQL}
+SELECT event_id, json_extract_string(j, '$.instruction') AS instruction, json_extract_string(j, '$.query') AS "query",
+       json_extract_string(j, '$.source') AS source, CAST(json_extract(j, '$.expected_calls') AS VARCHAR) AS expected_calls,
+       CAST(json_extract(j, '$.num_steps') AS INTEGER) AS num_steps, CASE WHEN NOT good THEN line END AS corrupt FROM js""")
+def s01(spark, sf_dir):
+    """S1 and S5 share the parser: one line, one row, whichever file it came from."""
+    rows = _parsed_lines(spark, sf_dir)
+    calls = F.regexp_replace("expected_calls", r"\s", "")
+    return rows.select("event_id", "instruction", "query", "source", calls.alias("expected_calls"), "num_steps", F.col("_corrupt_record").alias("corrupt"))
+
+
+@query("s04_flat_strings", f"""WITH {_LINES_SQL}
+SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(json_extract_string(j, '$.instruction'), '') AS instruction,
+       coalesce(CAST(json_extract(j, '$.num_steps') AS VARCHAR), '') AS num_steps, coalesce(json_extract_string(j, '$.text'), '') AS text FROM js WHERE good""")
+def s04(spark, sf_dir):
+    rows = _parsed_lines(spark, sf_dir).where(F.col("_corrupt_record").isNull())
+    return readers.flatten_to_strings(rows.select("text", "num_steps", "instruction", "event_id"))
+
+
+@query("s06_eval_examples", f"""WITH {_LINES_SQL},
+e AS (SELECT event_id, coalesce(json_extract_string(j, '$.instruction'), json_extract_string(j, '$.query'), json_extract_string(j, '$.text')) AS prompt,
+             coalesce(json_extract(j, '$.tool_calls[0]'), json_extract(j, '$.expected_calls[0]')) AS c,
+             coalesce(json_extract_string(j, '$.source'), 'prepared') AS source FROM js WHERE good)
+SELECT event_id AS example_id, prompt, source, coalesce(json_extract_string(c, '$.name'), json_extract_string(c, '$.tool')) AS expected_tool,
+       CASE WHEN c IS NOT NULL THEN coalesce(CAST(json_extract(c, '$.arguments') AS VARCHAR), '{{}}') END AS expected_args FROM e""")
+def s06(spark, sf_dir):
+    """Raw lines to evaluation examples: no accepted name is lost, a row's own source stays."""
+    rows = _parsed_lines(spark, sf_dir).where(F.col("_corrupt_record").isNull()).withColumnRenamed("event_id", "example_id")
+    return readers.eval_examples_of(rows, "prepared").select("example_id", "prompt", "source", "expected_tool", F.to_json("expected_args").alias("expected_args"))
+
+
+@query("s07_sft_conversations", f"""WITH {_LINES_SQL}
+SELECT event_id, json_extract_string(j, '$.instruction') AS user_content, json_extract_string(j, '$.tool_calls[0].name') AS call_name,
+       CAST(json_extract(j, '$.tool_calls[0].arguments') AS VARCHAR) AS call_args
+FROM js WHERE good AND json_extract_string(j, '$.instruction') IS NOT NULL AND json_extract(j, '$.tool_calls[0].name') IS NOT NULL""")
+def s07(spark, sf_dir):
+    """Raw lines to conversations; the assistant's call is read back from its text."""
+    rows = _parsed_lines(spark, sf_dir).where(F.col("_corrupt_record").isNull() & F.col("tools").isNotNull())
+    conv = readers.conversations_of(rows, ("event_id",))
+    block = extract.tool_call_blocks(F.col("messages")[2]["content"])[0]
+    return conv.select("event_id", F.col("messages")[1]["content"].alias("user_content"), F.get_json_object(block, "$.name").alias("call_name"),
+                       F.get_json_object(block, "$.arguments").alias("call_args"))
+
+
+@query("k01_split_by_kind", f"""WITH {_LINES_SQL},
+k AS (SELECT event_id, CASE WHEN json_extract(j, '$.num_steps') = 1 THEN 'single' ELSE 'multistep' END AS kind FROM js WHERE good)
+SELECT kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM k GROUP BY kind""")
+def k01(spark, sf_dir):
+    """The two kinds written as JSON lines (K1, K2) and read back."""
+    from toolframe.session import scratch_path
+    path = scratch_path(spark, "by-kind")
+    rows = _parsed_lines(spark, sf_dir).where(F.col("_corrupt_record").isNull()).select("event_id", "instruction", "num_steps")
+    readers.write_by_kind(rows, path)
+    back = spark.read.schema("event_id long, kind string").json(path)
+    return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("e05_text_after_assistant", f"""WITH {o.F2}
+SELECT event_id, CASE WHEN event_id % 5 > 0 THEN md5(regexp_replace(completion, '^\\s+|\\s+$', '', 'g')) END AS after_md5 FROM f2""")
+def e05(spark, sf_dir):
+    """The text after the first marker, whole; null without one."""
+    text = F.concat(F.lit("USER: x\n"), F.when(F.col("event_id") % 5 > 0, F.lit("ASSISTANT: ")).otherwise(F.lit("")), "completion", F.lit(" \n"))
+    c = fx.completions_f2(spark, sf_dir).select("event_id", text.alias("t"))
+    return c.select("event_id", F.md5(extract.after_marker(F.col("t"))).alias("after_md5"))
 
 
 @query("p19_token_budget", f"""{_EV},

@@ -38,26 +38,9 @@ class PrepareConfig:
     max_vocab: int | None = None
 
 
-def with_row_ids(df: DataFrame) -> DataFrame:
-    """Add ``row_key`` and ``row_id`` and write the rows once.
-
-    row_key is 128 bits of (source, the source's own row id, content): a
-    function of the row alone, so seeded draws don't depend on partitioning.
-    row_id is row_key and the row's number in the written table: unique whatever
-    ids the sources carry, even for rows that are equal in every column. Both
-    keep the order of the source's own ids, numbers before rows without one.
-    """
-    content = [F.col(c) for c in sorted(df.columns) if c not in ("_corrupt_record", "row_id")]
-    own = F.col("row_id").cast("string") if "row_id" in df.columns else F.lit(None).cast("string")
-    place = F.coalesce(F.lpad(own, 20, "0"), F.lit("~"))
-    key = F.concat(place, F.lit("-"), F.md5(F.to_json(F.struct(own.alias("own"), *content))))
-    keyed = df.drop("row_id").withColumn("row_key", key) if "row_id" not in df.columns else df.withColumn("row_key", key).drop("row_id")
-    return written(keyed.withColumn("row_id", F.concat("row_key", F.lit("-"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))), "rows")
-
-
 def prepare_rows(df: DataFrame, cfg: PrepareConfig) -> DataFrame:
     """The rows of all sources (tagged) -> dedup, completeness, whitespace, balance, split; written, with a unique row_id."""
-    df = with_row_ids(df)
+    df = prep.with_row_ids(df)
     if cfg.remove_duplicates:
         cols = [c for c in cfg.dedup_key if c in df.columns] or [c for c in df.columns if c not in ("row_id", "row_key")]
         df = prep.dedup_first(df, prep.content_key(df, cols))

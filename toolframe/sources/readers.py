@@ -7,72 +7,83 @@ split / kind). Nothing is read into the driver except tiny control values.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 from typing import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, MapType, StringType,
-                               StructField, StructType)
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
+
+from toolframe.functions import jsonx
 
 MESSAGE = StructType([StructField("role", StringType()), StructField("content", StringType())])
 
+#: Every name that a raw example may carry (objects and lists as JSON text): what the loader unifies and the evaluation looks at.
+TEXT_FIELDS = ["source", "instruction", "user_instruction", "query", "question", "text", "tools", "api_list", "function", "tool_calls",
+               "expected_calls", "api_calls", "api_call", "category", "domain", "id", "conversations"]
 RAW_SCHEMA = StructType([
-    StructField("row_id", LongType()), StructField("source", StringType()),
-    StructField("instruction", StringType()), StructField("user_instruction", StringType()),
-    StructField("query", StringType()), StructField("question", StringType()),
-    StructField("text", StringType()), StructField("messages", ArrayType(MESSAGE)),
-    StructField("tools", StringType()), StructField("tool_calls", StringType()),
-    StructField("expected_calls", StringType()), StructField("api_calls", StringType()),
-    StructField("category", StringType()), StructField("num_steps", IntegerType()),
-])
-
-# A generated example as written by the generator (nested JSON objects kept as strings on read).
-JSONL_SCHEMA = StructType([
-    StructField("instruction", StringType()), StructField("tools", StringType()),
-    StructField("tool_calls", StringType()), StructField("category", StringType()),
-    StructField("num_steps", IntegerType()), StructField("text", StringType()),
+    StructField("row_id", LongType()), *[StructField(n, StringType()) for n in TEXT_FIELDS],
+    StructField("messages", ArrayType(MESSAGE)), StructField("num_steps", IntegerType()),
 ])
 
-STAGE_RESULTS_SCHEMA = MapType(StringType(), MapType(StringType(), DoubleType()))
-
 
 class SourceError(RuntimeError):
     pass
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType = JSONL_SCHEMA,
+def read_jsonl(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA,
                mode: str = "PERMISSIVE") -> DataFrame:
-    """JSON-lines scan of a file or a directory of ``*.jsonl`` / ``*.json`` files.
+    """JSON-lines scan of a file or a directory of ``*.jsonl`` / ``*.json`` files, on any file system.
 
     Blank lines are skipped by the reader. ``mode="FAILFAST"`` raises on a
     malformed line (reference parity); the default keeps them in
-    ``_corrupt_record``. A missing path raises; an empty input raises.
+    ``_corrupt_record``. A missing path raises; an empty input raises. Names
+    outside the schema are not read: pass a schema to read others.
     """
     if not _exists(spark, path):
-        raise FileNotFoundError(f"Local dataset path not found: {path}")
-    fields = list(schema.fields)
-    if mode != "FAILFAST":
-        fields.append(StructField("_corrupt_record", StringType()))
-    reader = spark.read.schema(StructType(fields)).option("mode", mode)
+        raise FileNotFoundError(f"no such input: {path}")
+    reader = spark.read.option("mode", mode)
     if mode != "FAILFAST":
+        schema = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
         reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-    if os.path.isdir(path):
+    if _status(spark, path).isDirectory():
         reader = reader.option("pathGlobFilter", "*.{jsonl,json}")
-    df = reader.json(path)
-    if df.limit(1).count() == 0:
-        raise ValueError(f"No data found in {path}")
+    df = reader.schema(schema).json(path)
+    if not df.take(1):
+        raise ValueError(f"{path} holds no rows")
     return df
 
 
+def parse_lines(lines: DataFrame, text: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
+    """S1 / S5 on a table of lines: the other columns of ``lines`` and the parsed fields.
+
+    Blank lines give no row; a malformed line keeps its text in ``_corrupt_record``.
+    """
+    from toolframe.functions.text import py_strip
+    line = py_strip(F.col(text))
+    full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.where(line != "").withColumn("_p", F.from_json(line, full, options))
+    return parsed.select(*[F.col(c) for c in lines.columns if c != text], "_p.*")
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _file_system(spark, path)
     return bool(fs.exists(hpath))
 
 
+def _status(spark: SparkSession, path: str):
+    fs, hpath = _file_system(spark, path)
+    return fs.getFileStatus(hpath)
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """One configured source (``type`` is local / parquet / table)."""
@@ -106,12 +117,11 @@ READERS: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {
 def load_single(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """S3: read one source by type; unknown types raise ValueError."""
     if spec.type not in READERS:
-        raise ValueError(f"Unknown dataset type: {spec.type}")
+        raise ValueError(f"no reader for sources of type {spec.type!r}")
     df = READERS[spec.type](spark, spec)
     if spec.samples:
-        from toolframe.operators.prep import cap_rows
-        key = "row_id" if "row_id" in df.columns else df.columns[0]
-        df = cap_rows(df, spec.samples, key=key)
+        from toolframe.operators.prep import cap_rows, with_row_ids
+        df = cap_rows(with_row_ids(df), spec.samples, key="row_key", tie="row_id").select(*df.columns)
     return df
 
 
@@ -131,7 +141,7 @@ def load_all(spark: SparkSession, specs: list[SourceSpec]) -> DataFrame:
             errors[spec.name] = f"{type(exc).__name__}: {exc}"
     load_all.errors = errors
     if not frames:
-        raise SourceError("No datasets were successfully loaded.")
+        raise SourceError(f"no source could be read: {errors}")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -152,19 +162,29 @@ def flatten_to_strings(df: DataFrame) -> DataFrame:
 def read_stage_results(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
     """``{stage: {metric: value}}`` JSON documents -> ``(stage, metric, value)``.
 
-    BOM-tolerant; a non-object stage entry leaves no rows (the reference raises).
+    BOM-tolerant; see ``stage_results_of``.
     """
     text = spark.read.option("wholetext", True).text(path)
     return stage_results_of(text, "value", stage)
 
 
 def stage_results_of(docs: DataFrame, text: str, stage: str | None = None) -> DataFrame:
-    """S8 on a table of JSON documents: ``{stage: {metric: value}}`` -> ``(stage, metric, value)``."""
-    doc = F.regexp_replace(F.col(text), "^\ufeff", "")
-    parsed = docs.select(F.from_json(doc, STAGE_RESULTS_SCHEMA).alias("m"))
-    out = (parsed.select(F.explode("m").alias("stage", "metrics"))
-           .select("stage", F.explode("metrics").alias("metric", "value")))
-    return out.filter(F.col("stage") == stage) if stage else out
+    """S8 on a table of JSON documents: ``{stage: {metric: value}}`` -> ``(stage, metric, value)``.
+
+    Numbers are read one by one: a value that isn't a number leaves out that
+    metric alone, a stage that isn't an object that stage alone. Asked for one
+    stage whose entry isn't an object, the job raises.
+    """
+    jsonx.last_key_wins(docs.sparkSession)
+    doc = jsonx.as_object(jsonx.parse_strict(F.regexp_replace(F.col(text), "^\ufeff", "")))
+    entries = docs.select(F.explode(doc).alias("stage", "entry"))
+    metrics = jsonx.as_object(F.col("entry"))
+    if stage:
+        entries = entries.filter(F.col("stage") == stage)
+        metrics = F.when(metrics.isNull(), F.raise_error(F.lit(f"the results of stage {stage} are no object"))).otherwise(metrics)
+    out = entries.select("stage", F.explode(metrics).alias("metric", "v"))
+    number = F.schema_of_variant("v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return out.select("stage", "metric", F.when(number, F.try_variant_get("v", "$", "double")).alias("value")).where(F.col("value").isNotNull())
 
 
 def last_sampler_path(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +205,6 @@ def last_sampler_path_of(lines: DataFrame, text: str, order: list[str], group: l
     """S9 on a line table: the ``sampler_path`` of the last line (by ``order``) that is a
     JSON object with a non-empty ``sampler_path``; blank and malformed lines are ignored.
     With ``group`` one result per log (e.g. per run)."""
-    from toolframe.functions import jsonx
     v = jsonx.parse_strict(F.col(text))
     sp = jsonx.as_string(jsonx.key(v, "sampler_path"))
     valid = lines.filter(F.trim(F.col(text)) != "").withColumn("_sp", sp).filter(F.col("_sp") != "")
@@ -198,7 +217,7 @@ def metrics_from_run_summary(summary: DataFrame, stage: str) -> DataFrame:
     keys ``"{stage}/x"`` with numeric values -> ``(stage, metric, value)``."""
     prefix = f"{stage}/"
     return (summary.filter(F.col("key").startswith(prefix))
-            .select(F.lit(stage).alias("stage"), F.substring(F.col("key"), len(prefix) + 1, 1 << 20).alias("metric"),
+            .select(F.lit(stage).alias("stage"), F.substr(F.col("key"), F.lit(len(prefix) + 1)).alias("metric"),
                     F.col("value").try_cast("double").alias("value"))
             .filter(F.col("value").isNotNull()))
 
@@ -206,13 +225,16 @@ def metrics_from_run_summary(summary: DataFrame, stage: str) -> DataFrame:
 def compare_saved(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Load saved stage documents, need at least two stages."""
     frames = [read_stage_results(spark, p, s) for s, p in paths.items() if p and _exists(spark, p)]
-    if len(frames) < 2:
-        raise SourceError("local-compare requires at least two saved stage result files.")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    if out.select("stage").distinct().count() < 2:
-        raise SourceError("local-compare requires at least two saved stage result files.")
+    return compare_documents(frames)
+
+
+def compare_documents(frames: list[DataFrame]) -> DataFrame:
+    """S11 on parsed results: their union, of two stages at least."""
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    if out is None or out.select("stage").distinct().limit(2).count() < 2:
+        raise SourceError("a comparison needs saved results of two or more stages")
     return out
 
 
@@ -226,9 +248,9 @@ def write_by_kind(df: DataFrame, path: str, steps_col: str = "num_steps") -> Non
     df.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").json(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """K2 / K4 / K6: JSON lines sink."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, append: bool = False) -> None:
+    """K2 / K4: JSON lines sink; K6 with ``append``: a log that grows by new files."""
+    df.write.mode("append" if append else "overwrite").json(path)
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
@@ -240,14 +262,16 @@ def upsert_table(old_path: str | None, new: DataFrame, out_path: str, keys=("sta
     """K5: keyed upsert written to a NEW path (atomic swap is the caller's rename)."""
     spark = new.sparkSession
     from toolframe.operators.evals import upsert_metrics
+    merged = new
     if old_path and _exists(spark, old_path):
         try:
-            old = spark.read.parquet(old_path)
-            merged = upsert_metrics(old, new, keys)
-        except Exception:  # corrupt -> start empty, like the reference
-            merged = new
-    else:
-        merged = new
+            merged = upsert_metrics(spark.read.parquet(old_path), new, keys)
+        except AnalysisException as exc:  # no readable table there: start empty; any other error is the caller's
+            if exc.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+                raise
+        except Py4JJavaError as exc:
+            if "is not a Parquet file" not in str(exc.java_exception):
+                raise
     merged.write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
 
@@ -272,32 +296,40 @@ def load_eval_examples(spark: SparkSession, test_raw: str | None, synth_dir: str
     stable 10% md5 hold-out of the raw synthetic files (H9). Rows get a
     ``row_id`` from their content hash so the cap is partition independent.
     """
-    from toolframe.operators.evals import normalize_examples
-    from toolframe.operators.prep import cap_rows, holdout
-
-    def rows_of(path, src):
-        df = read_jsonl(spark, path)
-        key = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c != "_corrupt_record"]))
-        return df.withColumn("row_id", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")), key, src
+    from toolframe.operators.prep import cap_rows, with_row_ids
 
     chosen = None
     if test_raw and _exists(spark, test_raw):
-        df, _, src = rows_of(test_raw, "prepared")
-        ex = normalize_examples(df, F.coalesce(F.col("source"), F.lit(src)) if "source" in df.columns else F.lit(src))
-        if ex.limit(1).count() > 0:
-            chosen = ex
+        ex = eval_examples_of(read_jsonl(spark, test_raw), "prepared")
+        chosen = ex if ex.take(1) else None
     if chosen is None and synth_dir and _exists(spark, synth_dir):
-        df, key, _ = rows_of(synth_dir, "synthetic")
-        chosen = normalize_examples(holdout(df, key, 0.1), F.lit("synthetic"))
+        chosen = eval_examples_of(held_out_rows(read_jsonl(spark, synth_dir)), "synthetic", keep_source=False)
     if chosen is None:
-        raise SourceError("No evaluation examples available.")
-    return cap_rows(chosen.withColumn("row_id", F.conv(F.substring(F.md5(F.to_json(F.struct("prompt", "source"))),
-                                                                   1, 15), 16, 10).cast("long")),
-                    max_samples, key="row_id", seed=seed)
+        raise SourceError("neither the prepared split nor the raw files give an evaluation example")
+    numbered = with_row_ids(chosen.withColumn("expected_args", F.to_json("expected_args")))
+    capped = cap_rows(numbered, max_samples, key="row_key", tie="row_id", seed=seed).drop("row_key")
+    return capped.withColumn("expected_args", F.parse_json("expected_args"))
+
+
+def held_out_rows(rows: DataFrame, ratio: float = 0.1) -> DataFrame:
+    """H9 on raw rows: the stable share whose content hash falls below the ratio."""
+    from toolframe.operators.prep import holdout
+    return holdout(rows, F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns) if c != "_corrupt_record"])), ratio)
+
+
+def eval_examples_of(rows: DataFrame, default_source: str, keep_source: bool = True) -> DataFrame:
+    """S6 on raw rows: evaluation examples; a row's own ``source`` wins over the default."""
+    from toolframe.operators.evals import normalize_examples
+    own = F.coalesce(F.col("source"), F.lit(default_source)) if keep_source and "source" in rows.columns else F.lit(default_source)
+    return normalize_examples(rows, own)
 
 
 def load_sft_conversations(spark: SparkSession, path: str) -> DataFrame:
     """Raw JSON-lines examples -> ``messages`` (P11), rows that do not convert dropped."""
+    return conversations_of(read_jsonl(spark, path)).select("messages")
+
+
+def conversations_of(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """S7 on raw rows: the kept columns and ``messages``; rows that do not convert are dropped."""
     from toolframe.operators.convo import example_to_conversation
-    df = read_jsonl(spark, path)
-    return df.select(example_to_conversation(df).alias("messages")).filter(F.col("messages").isNotNull())
+    return rows.select(*keep, example_to_conversation(rows).alias("messages")).filter(F.col("messages").isNotNull())
