@@ -504,19 +504,18 @@ def p10(spark, sf_dir):
     return raw.select("example_id", evals.tools_context(raw).alias("tools_context"))
 
 
-_SYS_LEN = len(evals.TOOL_USE_SYSTEM_PROMPT)
+
+
+_SYS_SQL = "'" + evals.TOOL_USE_SYSTEM_PROMPT.replace("'", "''") + "'"
 
 
 @query("p13_system_prompt", f"""WITH {_RAW}, p AS (SELECT example_id,
   coalesce({_p10_key('tools')}, {_p10_key('api_list')}) AS tc FROM raw)
-SELECT example_id, CAST(CASE WHEN tc IS NULL THEN {_SYS_LEN}
-                             ELSE {_SYS_LEN + len(chr(10) + chr(10) + 'Available tools:' + chr(10))} + length(tc) END AS INTEGER)
-       AS system_len, tc IS NOT NULL AS has_tools FROM p""")
+SELECT example_id, md5(CASE WHEN tc IS NULL THEN {_SYS_SQL}
+                            ELSE {_SYS_SQL} || chr(10) || chr(10) || 'Available tools:' || chr(10) || tc END) AS system_md5 FROM p""")
 def p13(spark, sf_dir):
     raw = fx.raw_rows_f3(spark, sf_dir)
-    tc = evals.tools_context(raw)
-    return raw.select("example_id", F.length(evals.system_prompt(tc)).alias("system_len"),
-                      tc.isNotNull().alias("has_tools"))
+    return raw.select("example_id", F.md5(evals.system_prompt(evals.tools_context(raw))).alias("system_md5"))
 
 
 @query("p16_multi_step_filter", f"""WITH {_P9}
@@ -622,20 +621,21 @@ def a02(spark, sf_dir):
     return prep.source_counts(fx.corpus_f1(spark, sf_dir))
 
 
-_BAL = f"""WITH {_F1},
-c AS (SELECT source, count(*) AS n FROM f1 GROUP BY source),
+_BAL_TAIL = f"""
+c AS (SELECT source, count(*) AS n FROM b1 GROUP BY source),
 s AS (SELECT list_sort(list(n)) AS l, count(*) AS k FROM c),
 t AS (SELECT greatest(CASE WHEN k % 2 = 1 THEN l[k // 2 + 1] ELSE (l[k // 2] + l[k // 2 + 1]) // 2 END,
                       least(500, l[k])) AS target FROM s),
 r AS (SELECT row_id, source,
              row_number() OVER (PARTITION BY source ORDER BY {_u(_k('source', 'row_id'))}, source, row_id) AS rk
-      FROM f1),
+      FROM b1),
 under AS (SELECT r.source, r.row_id, 0 AS draw FROM r JOIN c USING (source), t
           WHERE c.n >= t.target AND r.rk <= t.target),
 draws AS (SELECT c.source, c.n, unnest(range(1, t.target + 1)) AS draw FROM c, t WHERE c.n < t.target),
 over AS (SELECT d.source, r.row_id, d.draw FROM draws d JOIN r
          ON r.source = d.source AND r.rk = CAST(floor({_unit(_k('d.source', 'd.draw'))} * d.n) AS BIGINT) + 1),
 bal AS (SELECT * FROM under UNION ALL SELECT * FROM over)"""
+_BAL = f"WITH {_F1}, b1 AS (SELECT row_id, source FROM f1), {_BAL_TAIL}"
 
 
 @query("a03_balance_sources", f"{_BAL} SELECT source, row_id, CAST(draw AS BIGINT) AS draw FROM bal")
@@ -644,16 +644,10 @@ def a03(spark, sf_dir):
     return b.select("source", "row_id", "draw")
 
 
-@query("x03_balance_by_category", f"""WITH {_F1},
-c AS (SELECT category, count(*) AS n FROM f1 GROUP BY category),
-s AS (SELECT list_sort(list(n)) AS l, count(*) AS k FROM c),
-t AS (SELECT greatest(CASE WHEN k % 2 = 1 THEN l[k // 2 + 1] ELSE (l[k // 2] + l[k // 2 + 1]) // 2 END,
-                      least(500, l[k])) AS target FROM s)
-SELECT category, least(c.n, t.target) + CASE WHEN c.n < t.target THEN t.target - c.n ELSE 0 END AS n
-FROM c, t""")
+@query("x03_balance_by_category", f"WITH {_F1}, b1 AS (SELECT row_id, category AS source FROM f1), {_BAL_TAIL} SELECT source AS category, row_id, CAST(draw AS BIGINT) AS draw FROM bal")
 def x03(spark, sf_dir):
     b = prep.balance_sources(fx.corpus_f1(spark, sf_dir), source="category")
-    return b.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return b.select("category", "row_id", "draw")
 
 
 @query("w04_shuffled_rank", f"""WITH {_F1}
@@ -895,20 +889,18 @@ def t01e(spark, sf_dir):
     return tokens.encode(rc, vocab, "conv_id", max_length=_MAXLEN)
 
 
-_SYSN = len(evals.TOOL_USE_SYSTEM_PROMPT)
-_AVAIL = len("\n\nAvailable tools:\n")
 
 
 @query("p11_example_to_conversation", f"""WITH {_RAW},
 a AS (SELECT example_id, instruction,
         CASE WHEN json_valid(trim(tools)) AND json_type(trim(tools)) = 'ARRAY' AND json_array_length(trim(tools)) > 0
-             THEN length(CAST(json(trim(tools)) AS VARCHAR)) END AS tools_len,
+             THEN CAST(json(trim(tools)) AS VARCHAR) END AS tools_text,
         CASE WHEN trim(tool_calls) <> '' AND json_valid(trim(tool_calls)) AND json_type(trim(tool_calls)) = 'ARRAY'
                   AND json_array_length(trim(tool_calls)) > 0
              THEN from_json(trim(tool_calls), '["JSON"]') END AS calls
       FROM raw)
 SELECT example_id,
-       CAST({_SYSN} + CASE WHEN tools_len IS NULL THEN 0 ELSE {_AVAIL} + tools_len END AS INTEGER) AS system_len,
+       md5({_SYS_SQL} || CASE WHEN tools_text IS NULL THEN '' ELSE chr(10) || chr(10) || 'Available tools:' || chr(10) || tools_text END) AS system_md5,
        instruction AS user_content,
        CAST(list_sum(list_transform(calls, lambda c: length(CAST(json(c) AS VARCHAR)) + 25)) + len(calls) - 1 AS INTEGER)
          AS assistant_len,
@@ -918,7 +910,7 @@ def p11(spark, sf_dir):
     raw = spread(fx.raw_rows_f3(spark, sf_dir))
     conv = raw.select("example_id", convo.example_to_conversation(raw).alias("m")).filter(F.col("m").isNotNull())
     asst = F.col("m")[2]["content"]
-    return conv.select("example_id", F.length(F.col("m")[0]["content"]).alias("system_len"),
+    return conv.select("example_id", F.md5(F.col("m")[0]["content"]).alias("system_md5"),
                        F.col("m")[1]["content"].alias("user_content"), F.length(asst).alias("assistant_len"),
                        (F.size(F.split(asst, "<tool_call>")) - 1).alias("n_blocks"))
 
@@ -926,14 +918,14 @@ def p11(spark, sf_dir):
 @query("p12_grpo_prompts", f"""WITH {_RAW},
 a AS (SELECT example_id,
         coalesce(nullif(instruction, ''), nullif(query, ''), nullif(text, '')) AS u,
-        CASE WHEN tools IS NOT NULL AND tools <> '' THEN {_SYSN + _AVAIL} + length(tools) ELSE {_SYSN} END AS system_len,
+        md5(CASE WHEN tools IS NOT NULL AND tools <> '' THEN {_SYS_SQL} || chr(10) || chr(10) || 'Available tools:' || chr(10) || tools ELSE {_SYS_SQL} END) AS system_md5,
         CASE WHEN trim(tool_calls) <> '' AND json_valid(trim(tool_calls)) THEN CAST(trim(tool_calls) AS JSON) END AS tc
       FROM raw),
 b AS (SELECT *, CASE WHEN json_type(tc) = 'ARRAY' THEN from_json(tc, '["JSON"]') END AS arr,
              CASE WHEN json_type(tc) = 'ARRAY' THEN json_extract(tc, '$[0]')
                   WHEN json_type(tc) = 'OBJECT' THEN tc END AS first FROM a),
 c AS (SELECT *, {o.args_of('first')} AS args FROM b)
-SELECT example_id, CAST(system_len AS INTEGER) AS system_len, u AS "user",
+SELECT example_id, system_md5, u AS "user",
        CASE WHEN first IS NOT NULL THEN coalesce({o.name_of('first')}, '') ELSE '' END AS expected_tool,
        CASE WHEN first IS NOT NULL THEN coalesce(CASE WHEN json_type(args) = 'VARCHAR' THEN json_extract_string(args, '$') END,
                                                CAST(args AS VARCHAR), '{{}}') ELSE '' END AS expected_args,
@@ -943,7 +935,7 @@ FROM c WHERE u IS NOT NULL""")
 def p12(spark, sf_dir):
     raw = spread(fx.raw_rows_f3(spark, sf_dir))
     p = convo.build_prompts(raw)
-    return p.select("example_id", F.length("system").alias("system_len"), "user", "expected_tool",
+    return p.select("example_id", F.md5("system").alias("system_md5"), "user", "expected_tool",
                     "expected_args", "expected_chain")
 
 
