@@ -83,6 +83,65 @@ def test_compare_display_and_order(spark):
     assert rows["tool_selection_accuracy"]["metric_order"] < rows["avg_latency_ms"]["metric_order"]
 
 
+def test_displays_round_ties_as_python_does(spark):
+    values = [31.25, 6.25, 18.75, 0.125, 0.375, 0.15, 2.5, 1234567.885, 0.0, 1.0, 1e-9, 99.95]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(evals.fixed(F.col("v"), 1), evals.fixed(F.col("v"), 2)).collect()
+    assert [tuple(r) for r in got] == [("%.1f" % v, "%.2f" % v) for v in values]
+
+
+def test_comparison_as_markdown(spark):
+    m = spark.createDataFrame([("b", "tool_selection_accuracy", 0.3125), ("s", "tool_selection_accuracy", 0.5), ("b", "avg_latency_ms", 2.0)],
+                              "stage string, metric string, value double")
+    out = evals.comparison_markdown(evals.compare_stages(m, ["b", "s"], {"tool_selection_accuracy": 0, "avg_latency_ms": 4}), ["b", "s"])
+    assert [r["text"] for r in out.orderBy("line").collect()] == [
+        "| Metric | b | s |", "| --- | --- | --- |", "| tool_selection_accuracy | 31.2% | 50.0% |", "| avg_latency_ms | 2.00 | - |"]
+
+
+def test_latency_only_runs_read_the_head(spark):
+    comp = _comp(spark, [(i, "x", 2, 1.0) for i in range(150)])
+    assert evals.scoring_input(comp, ["latency"]).count() == 100 and evals.scoring_input(comp, ["latency", "multi_step"]).count() == 150
+
+
+def test_more_than_twenty_tools(spark):
+    tools = json.dumps([{"name": f"t{i}"} for i in range(30)])
+    raw = spark.createDataFrame([("x", tools)], "instruction string, tools string")
+    assert [t["name"] for t in json.loads(raw.select(evals.tools_context(raw)).first()[0])] == [f"t{i}" for i in range(20)]
+
+
+def test_unify_text_messages_and_dump(spark):
+    from toolframe.operators import prep
+    df = spark.createDataFrame([(None, [("user", "hi"), (None, "x")], None, "s"), ("", None, None, "s")],
+                               "text string, messages array<struct<role:string,content:string>>, instruction string, source string")
+    got = [r["text"] for r in prep.unify_text(df).collect()]
+    assert got == ["user: hi\n: x", '{"text":""}']
+
+
+def test_explode_samples(spark):
+    from toolframe.operators import rollouts
+    df = spark.createDataFrame([(1, ["a", "b"], [[1], [2, 3]]), (2, [], []), (3, None, None)], "step int, completions array<string>, tokens array<array<int>>")
+    assert [tuple(r) for r in rollouts.explode_samples(df, "completions", ("tokens",)).collect()] == [(1, 0, "a", [1]), (1, 1, "b", [2, 3])]
+
+
+def test_stage_results_keep_what_is_a_number(spark):
+    docs = spark.createDataFrame([('{"sft": {"a": 0.5, "note": "n/a", "b": null}, "grpo": {"a": 1}, "bad": "oops"}',)], "doc string")
+    assert sorted(tuple(r) for r in readers.stage_results_of(docs, "doc").collect()) == [("grpo", "a", 1.0), ("sft", "a", 0.5)]
+    assert [r["value"] for r in readers.stage_results_of(docs, "doc", "grpo").collect()] == [1.0]
+    with pytest.raises(Exception, match="no object"):
+        readers.stage_results_of(docs, "doc", "bad").collect()
+
+
+def test_directory_filter_on_a_uri(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "uri")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.jsonl"), '{"query": "q", "expected_calls": [{"name": "t"}], "source": "hub"}\n')
+    _write(os.path.join(d, "notes.txt"), "not a row\n")
+    rows = readers.read_jsonl(spark, f"file://{d}").collect()
+    assert len(rows) == 1 and rows[0]["query"] == "q"
+    ex = readers.load_eval_examples(spark, f"file://{d}", None).collect()
+    assert [(r["prompt"], r["source"], r["expected_tool"]) for r in ex] == [("q", "hub", "t")]
+
+
 def test_pending_upsert_required(spark):
     m = spark.createDataFrame([("baseline", "tool_selection_accuracy", 0.5)], "stage string, metric string, value double")
     req = evals.requested_table(spark, ["baseline"], ["tool_selection", "latency"])

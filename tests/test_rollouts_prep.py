@@ -29,7 +29,7 @@ def test_degenerate_iff_all_equal(adv):
 
 def test_step_metrics_against_pandas(spark, adv):
     sm = {r["step"]: r for r in rollouts.step_metrics(adv).collect()}
-    pdf = adv.select("step", "prompt_id", "reward", "advantage", "degenerate",
+    pdf = adv.select("step", "slot", "reward", "advantage", "degenerate",
                      "reward_schema").toPandas()
     for step, grp in pdf.groupby("step"):
         groups = grp.groupby("slot")
@@ -53,8 +53,8 @@ def test_datum_arrays_aligned(adv):
 
 def test_normalized_advantage_option(spark):
     df = spark.createDataFrame([(0, 1, 1.0), (0, 1, 0.0), (0, 2, 0.5), (0, 2, 0.5)],
-                               "step int, prompt_id long, reward double")
-    out = {(r["prompt_id"], r["reward"]): r["advantage"]
+                               "step int, slot long, reward double")
+    out = {(r["slot"], r["reward"]): r["advantage"]
            for r in rollouts.group_advantages(df, normalize=True).collect()}
     assert out[(1, 1.0)] == pytest.approx(0.5 / math.sqrt(0.5))
     assert out[(2, 0.5)] == 0.0

@@ -221,6 +221,11 @@ def score_examples(joined: DataFrame) -> DataFrame:
         F.when(F.size("expected_chain") > 1, multi_step_label(pred, exp)).alias("_label")))
 
 
+def scoring_input(completions: DataFrame, benchmarks: list[str]) -> DataFrame:
+    """L4, second half: where latency is all that is asked for, only its head is read on; else every completion."""
+    return latency_head(completions) if list(benchmarks) == ["latency"] else completions
+
+
 def latency_head(completions: DataFrame, order: str = "example_id", head: int = LATENCY_HEAD) -> DataFrame:
     """L4: the first ``head`` completions of each stage in evaluation order.
 
@@ -322,6 +327,14 @@ def compare_stages(metrics: DataFrame, stages: list[str], metric_rank: dict[str,
                       *[display_value(F.col("metric"), F.col(s)).alias(f"{s}_display") for s in stages])
 
 
+def comparison_markdown(compared: DataFrame, stages: list[str]) -> DataFrame:
+    """C1 as a markdown table: rows ``(line, text)`` of a ``compare_stages`` result, header lines first."""
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = compared.sparkSession.createDataFrame(
+        [(-2, "| " + " | ".join(["Metric", *stages]) + " |"), (-1, "|" + " --- |" * (len(stages) + 1))], "line long, text string")
+    return head.unionByName(compared.select(F.col("metric_order").cast("long").alias("line"), bar([F.col("metric"), *[F.col(f"{s}_display") for s in stages]]).alias("text")))
+
+
 def comparison_sink_table(metrics: DataFrame, stages: list[str]) -> DataFrame:
     """K8: rows = metrics of the FIRST stage only; other stages' values, missing -> NaN.
 
