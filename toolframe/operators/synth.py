@@ -319,6 +319,9 @@ def undersample_majority_tool(df: DataFrame, ratio: float, seed: int = 42) -> Da
     md5 threshold, so no rank or shuffle is needed.
     """
     first = F.get_json_object(F.to_json(F.col("tool_calls")[0]), "$.name")
-    top = df.groupBy(first.alias("t")).count().orderBy(F.desc("count"), "t").first()["t"]
+    most = df.groupBy(first.alias("t")).count().orderBy(F.desc("count"), "t").first()
+    if most is None:  # no rows
+        return df
+    top = most["t"]
     u = unit_draw(F.col("row_id"), F.lit("undersample"), seed=seed)
     return df.filter((first != F.lit(top)) | (u < ratio))

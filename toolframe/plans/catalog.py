@@ -1014,10 +1014,15 @@ def g09(spark, sf_dir):
                     F.forall(called, lambda n: F.array_contains(names, n)).alias("calls_exposed"))
 
 
-@query("x04_undersample_majority_tool")
+@query("x04_undersample_majority_tool", f"""{_EX},
+c AS (SELECT event_id, {o.name_of('calls[1]')} AS t FROM ex WHERE len(calls) > 0),
+top AS (SELECT t AS most FROM c GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)
+SELECT event_id AS row_id, t AS tool FROM c, top WHERE t <> most OR {_unit(_k('event_id', "'undersample'"))} < 0.5""")
 def x04(spark, sf_dir):
-    g = generated(spark, sf_dir)
-    return synth.undersample_majority_tool(g, 0.5).select("row_id", "template")
+    """Half of the rows whose first call names the most frequent tool, and all others."""
+    rows = _calls_f2(spark, sf_dir).where(F.size("calls") > 0).select(F.col("event_id").alias("row_id"), F.col("calls").alias("tool_calls"))
+    kept = synth.undersample_majority_tool(rows, 0.5)
+    return kept.select("row_id", extract.call_name(F.col("tool_calls")[0]).alias("tool"))
 
 
 # --------------------------------------------------------------------------
