@@ -93,7 +93,19 @@ def op6(spark, sf_dir):
     return langid.evaluate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-@query("op7_bottom_k_dedup")
+@query("op7_bottom_k_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                                 ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w WHERE len(ws) > 0),
+x AS (SELECT DISTINCT doc_id, gram FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM x p JOIN x q ON p.gram = q.gram AND p.doc_id < q.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+l AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+r AS (SELECT x, x AS y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id, coalesce(c.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.x = w.doc_id""")
 def op7(spark, sf_dir):
     """Components of documents whose sets of five-word shingles are alike to 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
