@@ -23,6 +23,7 @@ from toolframe.llm.common import mix64, ship, slices
 DIMENSIONS = 512
 CHUNK_CHARS = 1 << 17  # trigrams counted together
 COMPACT = 128  # letters of a worker's table; texts with others are counted by sorting
+GATHER = 1 << 12  # trigram vectors added up at once
 TABLE_ROWS = 1 << 16  # trigram vectors a worker keeps; beyond, the table starts anew
 _SPACE = np.uint64(32)
 _IS_LETTER: list[np.ndarray] = []
@@ -125,12 +126,14 @@ class Bundler:
             rows = self._rows(part)
             if rows is None:
                 ids, n = np.unique(part, return_counts=True)
-                vectors = trigram_vectors(ids, self.dims)
             else:
                 counts = np.bincount(rows, minlength=self.used)
                 ids = np.flatnonzero(counts)
-                n, vectors = counts[ids], self.rows[ids]
-            out += n.astype(np.float32) @ vectors.astype(np.float32)
+                n = counts[ids]
+            for i in range(0, len(ids), GATHER):
+                some = ids[i: i + GATHER]
+                vectors = trigram_vectors(some, self.dims) if rows is None else self.rows[some]
+                out += n[i: i + GATHER].astype(np.float32) @ vectors.astype(np.float32)
         return out
 
 

@@ -88,7 +88,7 @@ class Forest:
         return a != b
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted distinct arrays."""
     n = len(sets)
     who = np.repeat(np.arange(n), [len(s) for s in sets])
