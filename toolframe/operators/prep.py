@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolframe.functions.text import md5_bucket, py_split_join, truthy
-from toolframe.operators.rank import bucketed_rank, order_key, shuffled, unit_draw, with_cuts
+from toolframe.operators.rank import bucketed_rank, order_key, unit_draw, with_cuts
 from toolframe.session import written
 
 # Fields whose truthiness makes a row "complete" (P2).
