@@ -205,6 +205,36 @@ def test_cells_see_whole_texts():
     assert packing.cells(pa.array(texts, pa.large_string())).tolist() == want
 
 
+def test_cells_read_whole_words(monkeypatch):
+    import pyarrow as pa
+    from toolframe.llm.common import text_words
+    rnd = random.Random(5)
+    ends = ["ation", "ing", "ed", "ово", "的人"]
+    texts = [" ".join("pref" + rnd.choice(ends) for _ in range(rnd.choice([0, 1, 5, 300]))) for _ in range(100)] + [None, "", "prefix", "preface", " a", "b "]
+    want = []
+    for t in texts:
+        hashes = text_words(t or "", lower=False)
+        signs = np.array([2 * int((hashes >> np.uint64(d) & np.uint64(1)).sum()) - len(hashes) for d in range(4)])
+        want.append(np.clip((signs / max(len(hashes), 1) ** 0.5 + 4) / 8 * 256, 0, 255).astype(int).tolist())
+    for array in (pa.array(texts), pa.array(texts, pa.large_string())):
+        assert packing.word_cells(array).tolist() == want
+        assert packing.word_cells(array.slice(40, 66)).tolist() == want[40:]
+    monkeypatch.setattr(packing, "MAX_CHARS", 100)  # the path of long texts
+    assert packing.word_cells(pa.array(texts)).tolist() == want
+    assert len({tuple(c) for c in packing.word_cells(pa.array([f"pref{i}" for i in range(64)])).tolist()}) > 8
+
+
+def test_pack_sorts_by_whole_words(spark):
+    # words that differ after the fourth byte alone lie in several cells: ids of one cell would follow one order
+    import pyarrow as pa
+    texts = [f"pref{i} " * 4 for i in range(64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = sorted(packing.pack(df, tokenizer("byte_bpe_50k.json"), 16).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = list(dict.fromkeys(r.doc_id for r in rows if r.start == 0))
+    keys = packing.hilbert(packing.word_cells(pa.array(texts)), packing.BITS)
+    assert len(set(keys.tolist())) > 8 and [int(keys[d]) for d in order] == sorted(keys.tolist())
+
+
 @pytest.mark.parametrize("length", [16, 2048])
 def test_packing_covers_every_id_once(spark, length):
     from tokenizers import Tokenizer

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolframe.llm.common import WHITE, mix64, ship, slices
+from toolframe.llm.common import MAX_CHARS, WHITE, mix64, ship, slices, text_words, word_hashes
 
 DIMENSIONS, BITS = 4, 8  # coordinates, and binary digits of each
 END_ID = 1
@@ -52,7 +52,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
-    """Each text's cell, straight from the batch's bytes. A word is hashed by the four bytes at its start; the hash's bits
+    """Cells by word prefixes, which :func:`pack` no longer uses (see :func:`word_cells`): a word is hashed by the four bytes at its start; the hash's bits
     are the signs with which it adds to the coordinates, which are scaled by the root of the number of words."""
     _, at, body = texts.buffers()
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -74,6 +74,26 @@ def cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarr
     return np.clip((total / np.maximum(n, 1)[:, None] ** 0.5 + 4) / 8 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
 
 
+def word_cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
+    """Each text's cell. Every whole word is hashed; the hash's bits are the signs with which it adds to the coordinates,
+    which are scaled by the root of the number of words. One pass over the batch's bytes, long texts in runs."""
+    _, at, body = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    edges = np.frombuffer(at, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
+    if edges[-1] - edges[0] > 2 * MAX_CHARS:
+        each = [text_words(t or "", lower=False) for t in texts.to_pylist()]
+        hashes, owner = np.concatenate(each), np.repeat(np.arange(len(texts)), [len(x) for x in each])
+    else:
+        data = np.frombuffer(body, np.uint8)[edges[0]: edges[-1]] if body is not None else np.empty(0, np.uint8)
+        edges -= edges[0]
+        data = np.insert(data, edges[1:-1], 32)  # texts are borders of words too
+        hashes, starts = word_hashes(data, WHITE[data])
+        owner = np.searchsorted(edges[:-1] + np.arange(len(texts)), starts, side="right") - 1
+    n = np.bincount(owner, minlength=len(texts))
+    total = np.stack([2 * np.bincount(owner, weights=(hashes >> np.uint64(d) & np.uint64(1)).astype(np.float64), minlength=len(texts)) - n for d in range(dims)], axis=1)
+    return np.clip((total / np.maximum(n, 1)[:, None] ** 0.5 + 4) / 8 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+
+
 #: How a byte-level tokenizer splits a text before its merges, and the order of its printable bytes (fixed values).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -177,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
         for b in slices(batches, "t"):
             ids = b.column(0)
             spread = mix64(np.asarray(ids.fill_null(0)).astype(np.uint64)) >> np.uint64(64 - 62 + DIMENSIONS * BITS)
-            curve = hilbert(cells(b.column(1)), BITS)
+            curve = hilbert(word_cells(b.column(1)), BITS)
             key = curve << np.uint64(62 - DIMENSIONS * BITS) | spread
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *b.columns], names=["k", "i", "t"])
 
