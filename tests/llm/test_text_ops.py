@@ -317,3 +317,33 @@ def test_em_finds_the_good_labelers():
     hit = [c[1][1] / (c[1][1] + c[1][0]) for c in model["chance"]]
     assert abs(model["share"] - 0.4) < 0.05 and hit[0] > hit[1] > hit[2] and abs(hit[0] - 0.95) < 0.04
     assert pii.posterior(model, (1, 1, 1)) > 0.9 > 0.1 > pii.posterior(model, (0, 0, 0))
+
+
+IBANS = {"DE": "DE89370400440532013000", "FR": "FR1420041010050500013M02606", "ES": "ES9121000418450200051332", "GB": "GB29NWBK60161331926819",
+         "IT": "IT60X0542811101000000123456", "NL": "NL91ABNA0417164300", "BE": "BE68539007547034", "CH": "CH9300762011623852957", "AT": "AT611904300234573201", "NO": "NO9386011117947"}
+
+
+def _ibans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.candidates(df.select(F.col("doc_id").alias("row"), "text"), "row", "text").where("kind = 'iban'").collect()
+    return {r.row: (texts[r.row][r.start: r.end], r.regex_vote) for r in found}
+
+
+def test_ibans_of_every_country(spark):
+    spaced = {c: " ".join(x[i: i + 4] for i in range(0, len(x), 4)) for c, x in IBANS.items()}
+    whole = [*IBANS.values(), *spaced.values()]
+    texts = [f"iban {x}{after}" for x in whole for after in (".", " EUR 12", " THEN PAID", "")]
+    assert _ibans(spark, texts) == {4 * i + j: (x, 1) for i, x in enumerate(whole) for j in range(4)}
+    wrong = [f"iban {x[:-1]}{(int(x[-1]) + 1) % 10}" for x in whole]
+    assert {vote for _, vote in _ibans(spark, wrong).values()} == {0}
+    df = spark.createDataFrame([(i, f"my iban {x}, and {i}") for i, x in enumerate(whole)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    cards = {i for i, x in enumerate(whole) if base_spans(x)}  # a base span inside one wins
+    assert len(cards) < 4 and {clean[i] for i in clean if i not in cards} == {f"my iban [IBAN], and {i}" for i in clean if i not in cards}
+
+
+def test_secrets_of_any_length(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    said = [f'AWS_SECRET_ACCESS_KEY="{value}"', f'key2 = "{value}"', f'token="{value * 50}"', f'S3_TOKEN_FOR_THE_LONGEST_OF_NAMES: "{value}"', f'password="{value}"']
+    df = spark.createDataFrame([(i, f"login {x} end") for i, x in enumerate(said)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {i: "login [SECRET] end" for i in range(len(said))}

@@ -31,10 +31,18 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Length of an IBAN by country: what follows a complete one ("EUR", the next word) is not part of it.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = [rf"(?:{of.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, of in IBAN.items()]
+_IBANS.append(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")  # other countries
 #: Looser candidates that only the classifier can admit.
 ADDED = {
-    "secret": r"(?:(?<![A-Za-z0-9_])|\G)[A-Za-z_]{2,20}+ ?[=:] ?\"[A-Za-z0-9+/_=-]{16,512}\"",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "secret": r"(?:(?<![A-Za-z0-9_])|\G)[A-Za-z0-9_]{2,}+ ?[=:] ?\"[A-Za-z0-9+/_=-]{16,}+\"",
+    "iban": rf"(?<![A-Za-z0-9])(?:{'|'.join(_IBANS)})(?![A-Za-z0-9])",
     "local": r"(?<![0-9+(])\(?[0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 KINDS = [*BASE, *ADDED]
@@ -64,6 +72,14 @@ def _luhn(x: Column) -> Column:
     return F.coalesce(F.aggregate(d, F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 10 == 0, F.lit(False))
 
 
+def _mod97(x: Column) -> Column:
+    """Checksum of an IBAN: its first four characters moved to the end, letters as 10 to 35, leave 1 modulo 97."""
+    plain = F.regexp_replace(x, " ", "")
+    c = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+    step = lambda s, v: F.when(v.rlike("[A-Z]"), (s * 100 + F.ascii(v) - 55) % 97).when(v == "", s).otherwise((s * 10 + F.coalesce(v.try_cast("int"), F.lit(0))) % 97)
+    return F.coalesce(F.aggregate(c, F.lit(0), step) == 1, F.lit(False))
+
+
 def valid(kind: str, x: Column) -> Column:
     """Does a match of a base pattern pass the contract's check?"""
     if kind == "email":
@@ -76,7 +92,7 @@ def valid(kind: str, x: Column) -> Column:
 
 def _votes(kind: str, x: Column, left: Column, right: Column) -> dict[str, Column]:
     """Votes 1 (personal data), 0 (not) or -1 (abstain) of the three labelers."""
-    rule = valid(kind, x) if kind in BASE else {"secret": x.rlike(r"[0-9]") & x.rlike(r"[A-Za-z]{1}.*[=:]"), "iban": F.length(x).between(15, 42),
+    rule = valid(kind, x) if kind in BASE else {"secret": x.rlike(r'"[^"]*[0-9]') & x.rlike(r"^[0-9_]*[A-Za-z]"), "iban": _mod97(x),
                                                 "local": F.length(_digits(x)) == 10}[kind]
     d = _digits(x)
     lists = {
@@ -84,7 +100,7 @@ def _votes(kind: str, x: Column, left: Column, right: Column) -> dict[str, Colum
         "ip": ~F.regexp_extract(x, "^[0-9]+", 0).isin("0", "127", "255"),
         "card": F.substring(d, 1, 1).isin("3", "4", "5", "6"),
         "phone": F.substring(d, 1, 1).isin(*COUNTRY) | F.substring(d, 1, 2).isin(*COUNTRY),
-        "secret": F.lower(F.regexp_extract(x, "^[A-Za-z_]+", 0)).isin(*SECRETS),
+        "secret": F.arrays_overlap(F.split(F.lower(F.regexp_extract(x, "^[A-Za-z0-9_]+", 0)), "[0-9_]+"), F.array(*[F.lit(w) for w in SECRETS])),
         "iban": F.substring(x, 1, 2).isin("DE", "FR", "ES", "GB", "IT", "NL", "BE", "CH", "AT"),
         "local": ~F.substring(d, 1, 1).isin("0", "1"),
     }[kind]
