@@ -7,6 +7,8 @@ the shared folder as Parquet and gives the next stage what it reads there.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from toolframe.llm import langid, linededup, minhash, packing, pii
 from toolframe.llm.common import written
 from toolframe.llm.queries import tokenizer
 
+CHANCE, FEW = 1e-4, 64  # of the language stage: chance that noise passes, letters below which no text is judged
+
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The same columns, n_chars taken anew from the text."""
@@ -24,11 +28,17 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Profiles learned from all labelled documents; texts without a letter, or no closer to any language than chance, go.
 
     The cosine of unrelated profiles spreads by one over the root of the
-    dimensions: below that, nothing in the text speaks for a language.
+    dimensions, and the best of all languages is taken: the bound is what that
+    best reaches with a chance of at most CHANCE. Texts whose distinct words
+    have fewer than FEW letters can score as low in their own language, so they
+    stay.
     """
     prototypes = langid.train(docs)
     scored = langid.predict(docs, prototypes, prefix="__lang_")
-    return scored.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= langid.DIMENSIONS ** -0.5)).select(*[f"`{c}`" for c in docs.columns])
+    bound = math.sqrt(2 * math.log(max(len(prototypes), 1) / CHANCE) / langid.DIMENSIONS)
+    letters = F.length(F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)), ""))
+    judged = (F.col("__lang_score") >= bound) | (letters < FEW)
+    return scored.where((F.col("__lang_pred") != "und") & judged).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage against plain restatements, and run() as their chain."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ def test_language_stage_drops_what_speaks_for_no_language(stages):
     assert not {9000, 9001, 9002} & kept.keys() and 9003 in kept
 
 
+def test_language_stage_drops_noise_and_keeps_clean_texts(spark):
+    rnd = random.Random(7)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", [chr(0x4E00 + i) for i in range(2000)]]
+    noise = [" ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(words)) for letters in alphabets for words in (30, 60, 200) for _ in range(10)]
+    noise += ["".join(rnd.choices(alphabets[0], k=400)) for _ in range(20)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows_ = [(9000 + i, t, None, None, len(t)) for i, t in enumerate(noise)]
+    short = [(8000, "Avec.", "fr", "s", 5), (8001, "Von.", "de", "s", 4), (8002, "Reouti anatha.", "en", "s", 14)]
+    kept = rows(corpus_pipeline.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(rows_ + short, docs.schema)), SF))
+    clean = {d for d, r in rows(docs).items() if any(c.isalpha() for c in r["text"] or "")}
+    assert kept.keys() == clean | {8000, 8001, 8002}
+
+
 def test_line_stage(stages):
     _, before, after = stages[1]
     want = brute_lines([(d, r["text"]) for d, r in rows(before).items()])
