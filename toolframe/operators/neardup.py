@@ -5,10 +5,13 @@
    grouped ``min`` of ``(a_k * h + b_k) mod p``, combined on the map side
    because a document's shingles come from one input row.
 2. LSH: ``bands`` keys per document, each a hash of ``rows`` signature values.
-   Each document is a candidate of the smallest key in each of its buckets: at
-   most ``bands`` candidates per document, never a bucket's pairs.
+   Each document is first compared with the smallest key in each of its
+   buckets: at most ``bands`` candidates per document.
 3. Verification: exact Jaccard of the two shingle sets.
-4. Clusters: connected components of the verified edges alone, so a chain of
+4. Buckets whose members these links don't join into one cluster: all members
+   are compared in blocks of bounded size, and a block hands on a spanning
+   forest of the verified links between clusters, never a bucket's pairs.
+5. Clusters: connected components of the verified edges alone, so a chain of
    similar documents is one cluster even where its ends are not similar.
 
 Hashes are taken from md5, so another engine can follow every step.
@@ -26,6 +29,7 @@ from toolframe.operators.components import components
 from toolframe.session import written
 
 _PRIME = (1 << 31) - 1
+BLOCK = 256  # members of one side of a block
 
 
 def coefficients(num_perm: int, seed: int) -> list[tuple[int, int]]:
@@ -61,24 +65,90 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", num_perm:
     return g.select(key, F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig")).join(grams, key)
 
 
-def candidates(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
-    """``(a, b)``: each document and the smallest key of each of its buckets, once."""
+def buckets(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
+    """``(a, band, bucket)``: every document in one bucket per band."""
     rows = F.size("sig") / bands
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(",", F.slice("sig", (b * rows + 1).cast("int"), rows.cast("int")).cast("array<string>"))))
-    keyed = sigs.select(F.col(key).alias("a"), band.alias("band", "v")).select("a", "band", F.md5("v").alias("bucket"))
+    return sigs.select(F.col(key).alias("a"), band.alias("band", "v")).select("a", "band", F.md5("v").alias("bucket"))
+
+
+def candidates(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
+    """``(a, b)``: each document and the smallest key of each of its buckets, once."""
+    keyed = buckets(sigs, key, bands)
     least = keyed.groupBy("band", "bucket").agg(F.min("a").alias("b"))
     return keyed.join(least, ["band", "bucket"]).where("a <> b").select("a", "b").distinct()
 
 
+def bucket_links(sigs: DataFrame, near: DataFrame, key: str, threshold: float, bands: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b, similarity)``: links between members of a bucket that ``near`` leaves in different clusters.
+
+    Chunks of about ``block`` members meet in pairs, so no bucket has to fit
+    into one task. Of each pair of chunks a spanning forest of the most similar
+    links goes on.
+    """
+    roots = components(near, "a", "b")
+    keyed = buckets(sigs, key, bands).join(roots, F.col("a") == F.col("node"), "left").select("a", "band", "bucket", F.coalesce("root", "a").alias("label"))
+    size = F.count(F.lit(1))
+    open_ = keyed.groupBy("band", "bucket").agg(F.ceil(size / block).cast("int").alias("chunks"), size.alias("n"), (F.min("label") != F.max("label")).alias("open"))
+    open_ = open_.where("open and n > 2").select("band", "bucket", "chunks")  # of two members one is the head
+    dealt = keyed.join(open_, ["band", "bucket"]).withColumn("c", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("c", o).alias("x"), F.greatest("c", o).alias("y")))
+    rows = dealt.withColumn("p", F.explode(pair)).select("a", "label", "band", "bucket", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    rows = rows.join(sigs.select(F.col(key).alias("a"), "grams"), "a")
+
+    def compare(table):  # nested: executors need numpy and pyarrow, not this package
+        import numpy as np
+        import pyarrow as pa
+        table = table.sort_by("a")
+        grams, names = table["grams"].combine_chunks(), table["a"].to_pylist()
+        edges = grams.offsets.to_numpy()
+        codes = grams.values.dictionary_encode().indices.to_numpy(zero_copy_only=False)[edges[0]: edges[-1]]
+        sizes = np.diff(edges)
+        who, n = np.repeat(np.arange(len(names)), sizes), len(names)
+        counts = np.bincount(codes)
+        kept = counts[codes] > 1  # only shingles that two sets hold
+        who, codes = who[kept], (np.cumsum(counts > 1) - 1)[codes[kept]]
+        order = np.argsort(codes, kind="stable")
+        who, codes, both = who[order], codes[order], np.zeros((n, n), np.float32)
+        for first in range(0, int(codes[-1]) + 1 if len(codes) else 0, 2048):
+            i, j = np.searchsorted(codes, [first, first + 2048])
+            part = np.zeros((n, 2048), np.float32)
+            part[who[i:j], codes[i:j] - first] = 1
+            both += part @ part.T
+        both = both.astype(np.float64)
+        like = np.tril(both / (sizes[:, None] + sizes[None, :] - both), -1)
+        x, y = np.nonzero(like >= threshold)
+        of = {}  # label by label: a root to follow
+        labels, out = table["label"].to_pylist(), []
+
+        def find(v):
+            while of.get(v, v) != v:
+                v = of[v]
+            return v
+
+        for k in np.lexsort((y, x, -like[x, y])):
+            u, v = find(labels[x[k]]), find(labels[y[k]])
+            if u != v:
+                of[u] = v
+                out.append((names[x[k]], names[y[k]], float(like[x[k], y[k]])))
+        schema = pa.schema([("a", table.schema.field("a").type), ("b", table.schema.field("a").type), ("similarity", pa.float64())])
+        return pa.table([pa.array([e[i] for e in out], schema.field(i).type) for i in range(3)], schema=schema)
+
+    kind = sigs.schema[key].dataType.simpleString()
+    return rows.groupBy("band", "bucket", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").distinct()
+
+
 def verified_edges(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
                    num_perm: int = 64, bands: int = 16, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """``(a, b, similarity)``: candidates whose exact Jaccard reaches the threshold."""
+    """``(a, b, similarity)``: bucket members whose exact Jaccard reaches the threshold, as many as join the clusters."""
     sigs = written(signatures(df, key, text, num_perm, shingle, seed), "signatures")
     sets = sigs.select(F.col(key).alias("k"), "grams")
     both = (candidates(sigs, key, bands).join(sets.withColumnRenamed("k", "a"), "a")
             .join(sets.select(F.col("k").alias("b"), F.col("grams").alias("other")), "b"))
     inter = F.size(F.array_intersect("grams", "other"))
-    return both.select("a", "b", (inter / (F.size("grams") + F.size("other") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
+    heads = both.select("a", "b", (inter / (F.size("grams") + F.size("other") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = written(heads, "heads")
+    return near.unionByName(bucket_links(sigs, near, key, threshold, bands))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
