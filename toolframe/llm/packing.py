@@ -75,8 +75,8 @@ def cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarr
 
 
 def word_cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
-    """Each text's cell. Every whole word is hashed; the hash's bits are the signs with which it adds to the coordinates,
-    which are scaled by the root of the number of words. One pass over the batch's bytes, long texts in runs."""
+    """Each text's cell. Every whole word is hashed; the hash's bits are the signs with which each distinct word adds
+    1 + ln(count) to the coordinates, which are scaled by the vector's length, so that frequent words don't push long texts to the cube's faces. One pass over the batch's bytes, long texts in runs."""
     _, at, body = texts.buffers()
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     edges = np.frombuffer(at, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
@@ -89,9 +89,16 @@ def word_cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.
         data = np.insert(data, edges[1:-1], 32)  # texts are borders of words too
         hashes, starts = word_hashes(data, WHITE[data])
         owner = np.searchsorted(edges[:-1] + np.arange(len(texts)), starts, side="right") - 1
-    n = np.bincount(owner, minlength=len(texts))
-    total = np.stack([2 * np.bincount(owner, weights=(hashes >> np.uint64(d) & np.uint64(1)).astype(np.float64), minlength=len(texts)) - n for d in range(dims)], axis=1)
-    return np.clip((total / np.maximum(n, 1)[:, None] ** 0.5 + 4) / 8 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+    order = np.lexsort((hashes, owner))
+    hashes, owner, fresh = hashes[order], owner[order], np.ones(len(order), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    weight = 1 + np.log(np.diff(first, append=len(order)))
+    hashes, owner = hashes[first], owner[first]
+    signs = [2 * (hashes >> np.uint64(d) & np.uint64(1)).astype(np.float64) - 1 for d in range(dims)]
+    total = np.stack([np.bincount(owner, weights=weight * x, minlength=len(texts)) for x in signs], axis=1)
+    size = np.bincount(owner, weights=weight ** 2, minlength=len(texts)) ** 0.5
+    return np.clip((total / np.maximum(size, 1)[:, None] + 4) / 8 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
 
 
 #: How a byte-level tokenizer splits a text before its merges, and the order of its printable bytes (fixed values).
