@@ -103,7 +103,8 @@ def test_near_equals_brute_force(spark):
     items = [(0, "a b c"), (1, "f F e"), (2, "d"), (3, "a zz"), (4, None)]
     d, b = tables(spark, docs, items)
     asked = decontam.phrases(b)
-    postings = decontam.index(d, decontam.vocabulary(asked))
+    terms = decontam.vocabulary(asked)
+    postings = decontam.index(d, terms)
     for span in (3, 5):
         want = set()
         for i, t in items:
@@ -115,5 +116,5 @@ def test_near_equals_brute_force(spark):
                     if starts and (best is None or starts[-1] > best):
                         best = starts[-1]
                         want.add((i, doc, best, end))
-        got = decontam.find_near(postings, asked, span).where(F.col("doc_id").isNotNull()).select("item_id", "doc_id", "start", "end")
+        got = decontam.find_near(postings, asked, terms, span).where(F.col("doc_id").isNotNull()).select("item_id", "doc_id", "start", "end")
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)

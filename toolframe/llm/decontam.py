@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index. Only DataFrame functions.
 
-The index holds a row per posting (term, document, position). Lists of terms
+The index holds a row per posting (term's number, document, position). Lists of terms
 that no query asks for are never read, so they aren't stored: ``index`` takes
 the asked terms. An exact phrase is found by intersecting lists moved by the
 term's offset in the phrase: postings of one occurrence agree in
@@ -20,23 +20,20 @@ from pyspark.sql import functions as F
 from toolframe.llm.common import written
 from toolframe.operators.rank import range_rank
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of texts whose A-Z aren't lower-cased yet
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words once A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WIDTH = 10  # words of a window
-RAREST = 3  # lists of a window that are intersected first
+RAREST = 2  # lists of a window that are intersected first
 SMALL = 200_000  # rows up to which a counted table is broadcast; larger ones are joined by shuffle
-END = ""  # the term of the posting behind a document's last word: its position is the number of words
+END = -1  # the term of the posting behind a document's last word: its position is the number of words
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins, beside the text's hash
 
 
-def lowered(word: Column) -> Column:
-    """A-Z in lower case, all other letters as they are."""
-    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
-
-
 def words(text: Column) -> Column:
-    """The words of a text as written; null has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text, A-Z in lower case and all other letters as they are, and an empty string behind the last; null has no words."""
+    plain = F.octet_length(text) == F.char_length(text)
+    lower = F.regexp_replace(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), "^" + GAPS, "")
+    return F.when(F.coalesce(lower, F.lit("")) == "", F.array(F.lit(""))).otherwise(F.split(F.concat(lower, F.lit(" ")), GAPS))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -45,29 +42,30 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (doc_id, h, term, pos) of the given terms (column ``term``, distinct), and one of END per document.
+    """Postings (doc_id, h, t, pos) of the given terms (see ``vocabulary``), and one of term END per document.
 
     docs: doc_id, text. h: hash of the text, which tells rows that repeat an id
     apart. Narrow where the terms are few enough to be broadcast.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
-                       F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
-    lower = rows.select("doc_id", "h", lowered(F.col("word")).alias("term"), "pos")
-    asked = terms.select("term").unionByName(terms.sparkSession.sql("SELECT '' AS term"))
-    return lower.join(F.broadcast(asked) if terms.count() <= SMALL else asked, "term", "left_semi").select("doc_id", "h", "term", "pos")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    asked = terms.select("term", "t").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(END).cast("long").alias("t")))
+    asked = asked.withColumn("x", F.xxhash64("term"))
+    same = F.startswith("word", "term") & F.startswith("term", "word")  # the hash says where to look, the words decide
+    found = rows.withColumn("x", F.xxhash64("word")).join(F.broadcast(asked) if terms.count() <= SMALL else asked, "x")
+    return found.where(same).select("doc_id", "h", "t", "pos")
 
 
 def phrases(items: DataFrame, id_col: str = "item_id") -> DataFrame:
     """(q, item_id, n, off, term) of every word of every item, written. q numbers the different (id, text); texts without words are left out."""
     own = items.select(F.col(id_col).alias("item_id"), "text").distinct()
-    numbered = range_rank(own, [F.col("item_id"), F.col("text")], "q").withColumn("w", words(F.col("text"))).where(F.size("w") > 0)
-    exploded = numbered.select("q", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("off", "word"))
-    return written(exploded.select("q", "item_id", "n", "off", lowered(F.col("word")).alias("term")), "phrases")
+    numbered = range_rank(own, [F.col("item_id"), F.col("text")], "q").withColumn("w", words(F.col("text")))
+    exploded = numbered.select("q", "item_id", (F.size("w") - 1).alias("n"), F.posexplode("w").alias("off", "term"))
+    return written(exploded.where("term <> ''"), "phrases")
 
 
 def vocabulary(asked: DataFrame) -> DataFrame:
-    """The distinct terms of phrases, written."""
-    return written(asked.select("term").distinct(), "terms")
+    """(term, t): the distinct terms of phrases and a number for each, written."""
+    return written(asked.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
 
 
 def _key() -> list[Column]:
@@ -75,27 +73,28 @@ def _key() -> list[Column]:
 
 
 def _rarest(asked: DataFrame, counts: DataFrame, width: int, rarest: int) -> DataFrame:
-    """(q, off, term, need): the terms of each window that have the shortest lists. Windows with a term that no document has can't occur."""
+    """(q, off, t, need): the terms of each window that have the shortest lists. Windows with a term that no document has can't occur."""
     need = F.least(F.lit(rarest), F.lit(width), F.col("n"))
-    sized = asked.join(counts, "term", "left")
+    sized = asked.join(counts, "t", "left")
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.greatest(F.lit(0), F.least(F.col("off"), F.col("n") - width))))
-    rows = sized.select("q", "n", "off", "term", "cf", starts.alias("w"))
+    rows = sized.select("q", "n", "off", "t", "cf", starts.alias("w"))
     window = Window.partitionBy("q", "w")
     ranked = rows.withColumn("r", F.row_number().over(window.orderBy(F.col("cf").asc_nulls_first(), "off"))).withColumn("least", F.min(F.coalesce("cf", F.lit(0))).over(window))
-    return ranked.where((F.col("r") <= need) & (F.col("least") > 0)).select("q", "off", "term", "n", need.alias("need")).distinct()
+    return ranked.where((F.col("r") <= need) & (F.col("least") > 0)).select("q", "off", "t", "n", need.alias("need")).distinct()
 
 
-def find_phrases(postings: DataFrame, asked: DataFrame, width: int = WIDTH, rarest: int = RAREST) -> DataFrame:
+def find_phrases(postings: DataFrame, asked: DataFrame, terms: DataFrame, width: int = WIDTH, rarest: int = RAREST) -> DataFrame:
     """(q, item_id, o, h, pos): every word of a document inside an occurrence of a window.
 
-    postings: a written ``index`` over at least the terms of ``asked`` (see
-    ``phrases``). A window: ``width`` consecutive words of an item; an item of
+    postings: a written ``index`` over ``terms``, which hold at least those of
+    ``asked`` (see ``phrases``). A window: ``width`` consecutive words of an item; an item of
     fewer is one window. (o, h) identify the document: o is its doc_id, or
     NO_ID for null. Repeated documents have the same (o, h).
     """
-    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    asked = asked.join(terms, "term").drop("term")
+    counts = postings.groupBy("t").agg(F.count(F.lit(1)).alias("cf"))
     first = written(_rarest(asked, counts, width, rarest), "rarest")
-    lists = postings.join(_small(first), "term")
+    lists = postings.join(_small(first), "t")
     delta = (F.col("pos") - F.col("off")).alias("delta")
     met = lists.select("q", *_key(), delta, "off", "n", "need").groupBy("q", "o", "h", "delta", "n", "need").agg(F.sort_array(F.collect_set("off")).alias("offs"))
     near = lambda i: F.col("offs")[i + F.col("need") - 1] - F.col("offs")[i] < width
@@ -105,18 +104,18 @@ def find_phrases(postings: DataFrame, asked: DataFrame, width: int = WIDTH, rare
 
     around = F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - width + 1), F.least(F.col("n") - 1, F.col("off") + width - 1)))
     open_ = met.select("q", "o", "h", "delta", "n", F.explode("offs").alias("off")).select("q", "o", "h", "delta", "n", around.alias("off")).distinct()
-    table = asked.select("q", "off", "term", "item_id")
+    table = asked.select("q", "off", "t", "item_id")
     wanted = open_.join(_small(table), ["q", "off"]).withColumn("pos", F.col("delta") + F.col("off"))
     docs = written(met.select("o", "h").distinct(), "met-documents")
-    rest = postings.select(*_key(), "term", "pos").join(_small(docs), ["o", "h"], "left_semi").distinct()
-    found = wanted.join(rest, ["o", "h", "term", "pos"]).select("q", "item_id", "o", "h", "delta", "n", "off", "pos")
+    rest = postings.select(*_key(), "t", "pos").join(_small(docs), ["o", "h"], "left_semi").distinct()
+    found = wanted.join(rest, ["o", "h", "t", "pos"]).select("q", "item_id", "o", "h", "delta", "n", "off", "pos")
     place = Window.partitionBy("q", "o", "h", "delta")
     runs = found.withColumn("run", F.col("off") - F.row_number().over(place.orderBy("off")))
     sized = runs.withColumn("long", F.count(F.lit(1)).over(Window.partitionBy("q", "o", "h", "delta", "run")))
     return sized.where(F.col("long") >= F.least(F.lit(width), F.col("n"))).select("q", "item_id", "o", "h", "pos")
 
 
-def find_near(postings: DataFrame, asked: DataFrame, span: int) -> DataFrame:
+def find_near(postings: DataFrame, asked: DataFrame, terms: DataFrame, span: int) -> DataFrame:
     """(q, item_id, doc_id, h, start, end): the shortest stretches of at most ``span`` words that hold all terms of an item, in any order.
 
     Repeated terms count once. The rarest term's list says where to look: other
@@ -124,19 +123,19 @@ def find_near(postings: DataFrame, asked: DataFrame, span: int) -> DataFrame:
     postings. A stretch that contains a shorter one is left out; end is
     inclusive.
     """
-    terms = asked.select("q", "item_id", "term").distinct()
-    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    own = asked.join(terms, "term").select("q", "item_id", "t").distinct()
+    counts = postings.groupBy("t").agg(F.count(F.lit(1)).alias("cf"))
     whole = Window.partitionBy("q")
-    sized = terms.join(counts, "term", "left").withColumn("r", F.row_number().over(whole.orderBy(F.col("cf").asc_nulls_first(), "term"))).withColumn("size", F.count(F.lit(1)).over(whole))
+    sized = own.join(counts, "t", "left").withColumn("r", F.row_number().over(whole.orderBy(F.col("cf").asc_nulls_first(), "t"))).withColumn("size", F.count(F.lit(1)).over(whole))
     sized = written(sized, "near-terms")
-    rows = postings.select(*_key(), "doc_id", "term", "pos", F.floor(F.col("pos") / span).alias("b"))
-    rare = rows.join(sized.where("r = 1 and cf is not null").select("term", "q"), "term")
+    rows = postings.select(*_key(), "doc_id", "t", "pos", F.floor(F.col("pos") / span).alias("b"))
+    rare = rows.join(sized.where("r = 1 and cf is not null").select("t", "q"), "t")
     blocks = rare.select("q", "o", "h", F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)).alias("b")).distinct()
-    near = rows.join(sized.select("term", "q", "item_id", "size"), "term").join(blocks, ["q", "o", "h", "b"]).dropDuplicates(["q", "o", "h", "pos"])
+    near = rows.join(sized.select("t", "q", "item_id", "size"), "t").join(blocks, ["q", "o", "h", "b"]).dropDuplicates(["q", "o", "h", "pos"])
     here = Window.partitionBy("q", "o", "h").orderBy("pos")
-    seen = F.collect_list(F.struct("term", "pos")).over(here.rangeBetween(-(span - 1), 0))
-    full = near.withColumn("seen", seen).withColumn("names", F.array_distinct(F.col("seen.term"))).where(F.size("names") == F.col("size"))
-    last = F.transform("names", lambda t: F.array_max(F.transform(F.filter("seen", lambda s: s["term"] == t), lambda s: s["pos"])))
+    seen = F.collect_list(F.struct("t", "pos")).over(here.rangeBetween(-(span - 1), 0))
+    full = near.withColumn("seen", seen).withColumn("names", F.array_distinct(F.col("seen.t"))).where(F.size("names") == F.col("size"))
+    last = F.transform("names", lambda t: F.array_max(F.transform(F.filter("seen", lambda s: s["t"] == t), lambda s: s["pos"])))
     ends = full.withColumn("start", F.array_min(last)).withColumn("before", F.lag("start").over(here))
     return ends.where(F.col("before").isNull() | (F.col("start") > F.col("before"))).select("q", "item_id", "doc_id", "h", "start", F.col("pos").alias("end"))
 
@@ -154,11 +153,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     stays null. No documents give no rows, no items give no hits.
     """
     asked = phrases(benchmark)
-    postings = written(index(docs, vocabulary(asked)), "postings")
-    hits = find_phrases(postings, asked, width)
+    terms = vocabulary(asked)
+    postings = written(index(docs, terms), "postings")
+    hits = find_phrases(postings, asked, terms, width)
     items = hits.select("o", "h", F.col("item_id").cast("string").alias("i")).distinct().groupBy("o", "h").agg(F.array_sort(F.collect_set("i")).alias("items"))
     places = hits.select("o", "h", "pos").distinct().groupBy("o", "h").agg(F.count(F.lit(1)).alias("n_hit"))
-    ends = postings.where(F.col("term") == END).select("doc_id", F.col("pos").cast("long").alias("n_words"), *_key())
+    ends = postings.where(F.col("t") == END).select("doc_id", F.col("pos").cast("long").alias("n_words"), *_key())
     n_hit = F.coalesce("n_hit", F.lit(0))
     return (ends.join(places.join(items, ["o", "h"]), ["o", "h"], "left")
                 .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
