@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from toolframe.llm.common import ship, slices
 
 SPACE = "▁"
-CACHE_WORDS = 120_000  # words of each of the two generations a worker keeps
+CACHE_WORDS = 400_000  # words of each of the two generations a worker keeps
 CACHE_CHARS = 64  # longer words are encoded each time
 
 
@@ -48,7 +48,7 @@ class PieceTable:
         self.pieces, self.size = pieces, [len(p) for p in pieces]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            if self._merged(p) == [p]:  # a token that its own text doesn't merge into is never used
+            if len(p) > 1 and self._merged(p) == [p]:  # a token that its own text doesn't merge into is never used
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.chars = {c for p in self.ids for c in p}
@@ -83,13 +83,19 @@ class PieceTable:
         return known
 
     def _known(self, text: str) -> list[int]:
-        """Ids of a text whose characters are all in the vocabulary: fill the table of last tokens by prefix, then walk it backwards."""
-        last, size, pairs = [-1] * (len(text) + 1), self.size, self.pairs
-        for end, token in self.automaton.iter(text):  # by end, longest first; exactly one token fits an end
+        """Ids of a text whose characters are all in the vocabulary: fill the table of last tokens by prefix, then walk it backwards.
+
+        Exactly one token fits an end. Where none of the automaton's matches
+        does, it is the character's own token, which needs no match and no test.
+        """
+        last, size, pairs, ids = [-1] * (len(text) + 1), self.size, self.pairs, self.ids
+        for end, token in self.automaton.iter(text):  # by end, longest first
             if last[end + 1] < 0:
                 before = end + 1 - size[token]
                 if before:
                     left = last[before]
+                    if left < 0:
+                        left = last[before] = ids[text[before - 1]]
                     fits = pairs.get(left << 20 | token)
                     if fits is None:
                         fits = self._compatible(left, token)
@@ -98,23 +104,30 @@ class PieceTable:
                 last[end + 1] = token
         out, i = [], len(text)
         while i:
-            out.append(last[i])
-            i -= size[last[i]]
+            token = last[i]
+            if token < 0:
+                token = ids[text[i - 1]]
+            out.append(token)
+            i -= size[token]
         return out[::-1]
 
-    def _encode(self, word: str) -> tuple[tuple[int, ...], str]:
+    def _encode(self, word: str) -> tuple[bytes, str]:
         if 1 < len(word) <= CACHE_CHARS and word[-2:] not in self.inner:  # nothing merges across the last character's border
             a, b = self.word(word[:-1]), self.word(word[-1])
             return a[0] + b[0], f"{a[1]},{b[1]}"
-        ids: list[int] = []
-        for part in self.unknown.split(word):  # characters outside the vocabulary become bytes; no token holds one
-            if part and part[0] in self.chars:
-                ids += self._known(part)
-            else:
-                ids += [self.byte[b] for b in part.encode("utf-8")]
-        return tuple(ids), ",".join(map(str, ids))
-
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
+        if self.chars.issuperset(word):
+            ids = self._known(word)
+        else:
+            ids = []
+            for part in self.unknown.split(word):  # characters outside the vocabulary become bytes; no token holds one
+                if part and part[0] in self.chars:
+                    ids += self._known(part)
+                else:
+                    ids += [self.byte[b] for b in part.encode("utf-8")]
+        return array("i", ids).tobytes(), ",".join(map(str, ids))
+
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids as 32-bit integers in bytes, and as decimals joined by commas."""
         got = self.new.get(word) or self.old.get(word)
         if got is None:
             got = self._encode(word)
@@ -140,7 +153,8 @@ class PieceTable:
         found = list(map(self.new.get, words))
         if None in found:
             found = [f or self.word(w) for f, w in zip(found, words, strict=True)]
-        return list(chain.from_iterable(f[0] for f in found)), ",".join([f[1] for f in found])
+        ids = array("i", b"".join([f[0] for f in found]))
+        return ids.tolist(), ",".join([f[1] for f in found])
 
 
 _TABLES: dict[str, PieceTable] = {}
