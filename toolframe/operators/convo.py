@@ -45,13 +45,13 @@ def train_on(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     (weight 1, others 0); without one, every turn is (weight 1). The last
     assistant turn is a partial aggregation per conversation joined back.
     """
-    last = turns.groupBy(conv).agg(
+    last = turns.groupBy(F.col(conv).alias("_conv")).agg(
         F.max(F.when(F.col(role) == "assistant", F.col(turn))).alias("_last_assistant"))
-    j = turns.join(last, conv, "inner")
+    j = turns.join(last, F.col(conv).eqNullSafe(F.col("_conv")), "inner")  # turns without an id are one conversation
     w = F.when(F.col("_last_assistant").isNull(), F.lit(1)) \
         .when(F.col(turn) == F.col("_last_assistant"), F.lit(1)).otherwise(F.lit(0))
     return j.withColumn("weight", w).withColumn("has_assistant", F.col("_last_assistant").isNotNull()) \
-        .drop("_last_assistant")
+        .drop("_last_assistant", "_conv")
 
 
 def conversation_summary(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",

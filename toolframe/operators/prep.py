@@ -88,6 +88,26 @@ def content_key(df: DataFrame, cols: list[str]) -> Column:
     return F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])))
 
 
+def dedup_key(df: DataFrame, cols: tuple[str, ...] = ()) -> Column:
+    """A1's key of a row: md5 of the chosen columns, or of the whole row where none is chosen.
+
+    The whole row leaves out the numbering (row_id, row_key) and the parser's
+    audit column. A row that has none of the chosen columns (the tag ``source``
+    doesn't count) would be a copy of all others like it: it is keyed by its
+    whole content instead.
+    """
+    content = [c for c in df.columns if c not in ("row_id", "row_key", "_corrupt_record")]
+    chosen = [c for c in cols if c in df.columns]
+    whole = content_key(df, content)
+    if not chosen:
+        return whole
+    filled = F.lit(False)
+    for c in chosen:
+        if c != "source":
+            filled = filled | F.col(c).isNotNull()
+    return F.when(filled, content_key(df, chosen)).otherwise(whole)
+
+
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Add ``row_key`` and ``row_id`` and write the rows once.
 
@@ -132,7 +152,7 @@ def balance_target(counts: DataFrame, floor_cap: int = BALANCE_FLOOR) -> int:
 
 
 def balance_sources(df: DataFrame, source: str = "source", key: str = "row_id", seed: int = 42,
-                    floor_cap: int = BALANCE_FLOOR, n_buckets: int = 1024, tie: str | None = None) -> DataFrame:
+                    floor_cap: int = BALANCE_FLOOR, n_buckets: int | None = None, tie: str | None = None) -> DataFrame:
     """A3: median-target resampling; adds ``draw`` (0 = kept by undersampling).
 
     Sources with at least ``target`` rows keep their ``target`` first rows in a
@@ -144,29 +164,30 @@ def balance_sources(df: DataFrame, source: str = "source", key: str = "row_id",
 
     Runs two small jobs over the counts per source while it is built (target,
     number of small sources), and what ``with_cuts`` needs. Equal keys are told
-    apart by ``tie``.
+    apart by ``tie``. Rows without a source are a source of their own.
     """
-    spark, tie = df.sparkSession, tie or key
-    counts = written(source_counts(df, source), "counts")
+    spark, tie, given = df.sparkSession, tie or key, df.columns
+    df = df.withColumn("_g", F.to_json(F.struct(F.col(source).alias("g"))))  # never null
+    counts = written(df.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.first(source).alias(source)), "counts")
     target = balance_target(counts, floor_cap)
     k = counts.where(F.col("n") < target).count()
     keyed = df.withColumn("_u", order_key(F.col(source), F.col(key), seed=seed))
-    large = counts.where(F.col("n") >= target).select(source, F.lit("keep").alias("name"), F.lit(target).cast("long").alias("at"))
-    under = with_cuts(keyed, "_u", tie, large, ["keep"], source).where("keep").drop("keep", "_u").withColumn("draw", F.lit(0).cast("long"))
+    large = counts.where(F.col("n") >= target).select("_g", F.lit("keep").alias("name"), F.lit(target).cast("long").alias("at"))
+    under = with_cuts(keyed, "_u", tie, large, ["keep"], "_g").where("keep").withColumn("draw", F.lit(0).cast("long")).select(*given, "draw")
     if k == 0:
         return under
     small = counts.filter(F.col("n") < target)
-    ranked = bucketed_rank(keyed.join(small, source), "_u", [tie], [source], n_buckets, "_rank").drop("_u", "n")
+    ranked = bucketed_rank(keyed.join(small.select("_g"), "_g", "left_semi"), "_u", [tie], ["_g"], n_buckets, "_rank").drop("_u")
     small_idx = bucketed_rank(small.withColumn("_u", order_key(F.col(source), seed=seed)),
-                              "_u", [source], None, 1024, "_sidx").drop("_u")
+                              "_u", ["_g"], None, n_buckets, "_sidx").drop("_u")
     draws = (spark.range(0, k * target)
              .select((F.floor(F.col("id") / target) + 1).cast("long").alias("_sidx"),
                      (F.pmod(F.col("id"), F.lit(target)) + 1).alias("draw"))
              .join(small_idx, "_sidx", "inner"))
-    picks = draws.select(source, "draw",
+    picks = draws.select("_g", "draw",
                          (F.floor(unit_draw(F.col(source), F.col("draw"), seed=seed) * F.col("n")) + 1)
                          .cast("long").alias("_rank"))
-    over = picks.join(ranked, [source, "_rank"], "inner").drop("_rank")
+    over = picks.join(ranked, ["_g", "_rank"], "inner").select(*given, "draw")
     return under.unionByName(over)
 
 

@@ -6,6 +6,7 @@ Instead rows get a 60-bit hash key; its top bits pick one of ``n_buckets``
 order-preserving buckets. Counting rows per (group, bucket) gives a small table
 whose prefix sums are each bucket's rank offset; the rank inside a bucket is a
 ``row_number`` over a partition holding about ``1 / n_buckets`` of a group.
+The number of buckets grows with the rows, so a bucket's size doesn't.
 
 The hash is md5-based so the same ranks can be computed in other engines.
 """
@@ -32,17 +33,24 @@ def unit_draw(*parts: Column, seed: int | str = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+BUCKET_ROWS = 65_536  # rows that a bucket holds on average, however many there are in all
+
+
 def bucketed_rank(df: DataFrame, key: str, tiebreak: list[str], group: list[str] | None = None,
-                  n_buckets: int = 1024, out: str = "rank", max_rank: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None, out: str = "rank", max_rank: int | None = None) -> DataFrame:
     """Add ``out`` = ``row_number() over (partition by group order by key, tiebreak)``.
 
-    ``key`` must be a non-negative 60-bit long (see ``order_key``). The
+    ``key`` must be a non-negative 60-bit long (see ``order_key``). Unless
+    ``n_buckets`` (a power of two) is given, the rows are counted and dealt into
+    buckets of about BUCKET_ROWS. Rows whose group is null are a group. The
     offsets table has ``groups x n_buckets`` rows; AQE broadcasts it when small.
     With ``max_rank`` only rows that
     can rank ``<= max_rank`` are kept: buckets whose offset is already past it
     are dropped before the window, so a cap sorts a few buckets, not all rows.
     """
     group = list(group or [])
+    if n_buckets is None:
+        n_buckets = 1 << max(0, df.count() // BUCKET_ROWS).bit_length()
     shift = KEY_BITS - (n_buckets.bit_length() - 1)
     if n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
@@ -53,13 +61,17 @@ def bucketed_rank(df: DataFrame, key: str, tiebreak: list[str], group: list[str]
     inner = Window.partitionBy(*group, "_bk").orderBy(F.col(key), *[F.col(c) for c in tiebreak])
     if max_rank is not None:
         offsets = offsets.filter(F.col("_off") < max_rank)
-    ranked = (staged.join(offsets, group + ["_bk"], "inner")
+    named = offsets.select(*[F.col(g).alias(f"_off_{g}") for g in group], F.col("_bk").alias("_off_bk"), "_off")
+    same = F.col("_bk") == F.col("_off_bk")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_off_{g}"))
+    ranked = (staged.join(named, same, "inner")
               .withColumn(out, F.row_number().over(inner) + F.col("_off"))
-              .drop("_bk", "_off"))
+              .drop("_bk", "_off", *named.columns))
     return ranked.filter(F.col(out) <= max_rank) if max_rank is not None else ranked
 
 
-def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, n_buckets: int = 1024,
+def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, n_buckets: int | None = None,
              group: list[str] | None = None, out: str = "rank", max_rank: int | None = None) -> DataFrame:
     """Seeded shuffle order as an exact 1-based rank (per group if given)."""
     k = df.withColumn("_u", order_key(*[F.col(c) for c in key_cols], seed=seed))

@@ -597,19 +597,23 @@ def a01r(spark, sf_dir):
 
 
 @query("k03_prepare_two_sources", """
-WITH a AS (SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'turns', text FROM conversations),
+WITH a AS (SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'turns', text FROM conversations
+           UNION ALL SELECT 'items', text FROM benchmark UNION ALL SELECT 'items', text FROM benchmark WHERE item_id % 3 = 0),
 d AS (SELECT DISTINCT source, text FROM a WHERE text IS NOT NULL AND text <> ''),
 t AS (SELECT source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM d)
 SELECT source, count(*) AS n_rows, count(*) AS n_ids,
        CAST(sum(least(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END, 2048)) AS BIGINT) AS n_tokens, count(*) AS n_known FROM t GROUP BY source""")
 def k03(spark, sf_dir):
-    """Two sources whose row ids clash through dedup, split and encoding: no row lost, merged or doubled."""
+    """Three sources whose row ids clash, one without the key's column, through dedup, split and encoding: no row lost, merged or doubled."""
     from toolframe.plans.prepare import PrepareConfig, prepare_rows
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", F.lit("documents").alias("source"))
     turns = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("row_id"), "text", F.lit("turns").alias("source"))
+    bench = fx.table(spark, sf_dir, "benchmark")
+    items = bench.unionByName(bench.where("item_id % 3 = 0")).select(F.col("item_id").alias("row_id"), F.col("text").alias("instruction"), F.lit("items").alias("source"))
     cfg = PrepareConfig(sources=(), out_dir="", balance_sources=False, dedup_key=("source", "text"))
-    split = prepare_rows(docs.unionByName(turns), cfg)
-    enc = tokens.encode(split, tokens.build_vocabulary(split), ["row_id", "source", "split"])
+    split = prepare_rows(docs.unionByName(turns).unionByName(items, allowMissingColumns=True), cfg)
+    flat = prep.unify_text(split.drop("row_key"), passthrough=("row_id", "split"))
+    enc = tokens.encode(flat, tokens.build_vocabulary(flat), ["row_id", "source", "split"])
     n = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, m: s + m)
     unk = F.exists("input_ids", lambda i: i == 1)
     return enc.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.sum(n).alias("n_tokens"),
@@ -627,26 +631,28 @@ s AS (SELECT list_sort(list(n)) AS l, count(*) AS k FROM c),
 t AS (SELECT greatest(CASE WHEN k % 2 = 1 THEN l[k // 2 + 1] ELSE (l[k // 2] + l[k // 2 + 1]) // 2 END,
                       least(500, l[k])) AS target FROM s),
 r AS (SELECT row_id, source,
-             row_number() OVER (PARTITION BY source ORDER BY {_u(_k('source', 'row_id'))}, source, row_id) AS rk
+             row_number() OVER (PARTITION BY source ORDER BY {_u("concat_ws('|', '42', source, row_id)")}, source, row_id) AS rk
       FROM b1),
-under AS (SELECT r.source, r.row_id, 0 AS draw FROM r JOIN c USING (source), t
+under AS (SELECT r.source, r.row_id, 0 AS draw FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source, t
           WHERE c.n >= t.target AND r.rk <= t.target),
 draws AS (SELECT c.source, c.n, unnest(range(1, t.target + 1)) AS draw FROM c, t WHERE c.n < t.target),
 over AS (SELECT d.source, r.row_id, d.draw FROM draws d JOIN r
-         ON r.source = d.source AND r.rk = CAST(floor({_unit(_k('d.source', 'd.draw'))} * d.n) AS BIGINT) + 1),
+         ON r.source IS NOT DISTINCT FROM d.source AND r.rk = CAST(floor({_unit("concat_ws('|', '42', d.source, d.draw)")} * d.n) AS BIGINT) + 1),
 bal AS (SELECT * FROM under UNION ALL SELECT * FROM over)"""
-_BAL = f"WITH {_F1}, b1 AS (SELECT row_id, source FROM f1), {_BAL_TAIL}"
+_SOME = "CASE WHEN row_id % 9 = 0 THEN NULL ELSE source END"  # some rows without a source
+_BAL = f"WITH {_F1}, b1 AS (SELECT row_id, {_SOME} AS source FROM f1), {_BAL_TAIL}"
 
 
 @query("a03_balance_sources", f"{_BAL} SELECT source, row_id, CAST(draw AS BIGINT) AS draw FROM bal")
 def a03(spark, sf_dir):
-    b = prep.balance_sources(fx.corpus_f1(spark, sf_dir))
+    b = prep.balance_sources(fx.corpus_f1(spark, sf_dir).withColumn("source", F.expr(_SOME)))
     return b.select("source", "row_id", "draw")
 
 
-@query("x03_balance_by_category", f"WITH {_F1}, b1 AS (SELECT row_id, category AS source FROM f1), {_BAL_TAIL} SELECT source AS category, row_id, CAST(draw AS BIGINT) AS draw FROM bal")
+@query("x03_balance_by_category", f"WITH {_F1}, b1 AS (SELECT row_id, CASE WHEN row_id % 11 = 0 THEN NULL ELSE category END AS source FROM f1), {_BAL_TAIL} SELECT source AS category, row_id, CAST(draw AS BIGINT) AS draw FROM bal")
 def x03(spark, sf_dir):
-    b = prep.balance_sources(fx.corpus_f1(spark, sf_dir), source="category")
+    some = F.expr("CASE WHEN row_id % 11 = 0 THEN NULL ELSE category END")
+    b = prep.balance_sources(fx.corpus_f1(spark, sf_dir).withColumn("category", some), source="category")
     return b.select("category", "row_id", "draw")
 
 
@@ -657,10 +663,11 @@ def w04(spark, sf_dir):
 
 
 @query("w03_rank_in_source", f"""WITH {_F1}
-SELECT source, row_id, row_number() OVER (PARTITION BY source ORDER BY {_u(_k('source', 'row_id'))}, source, row_id)
-       AS rank FROM f1""")
+SELECT source, row_id, row_number() OVER (PARTITION BY source ORDER BY {_u("concat_ws('|', '42', source, row_id)")}, source, row_id)
+       AS rank FROM (SELECT row_id, {_SOME} AS source FROM f1)""")
 def w03(spark, sf_dir):
-    r = rank.shuffled(fx.corpus_f1(spark, sf_dir), ["source", "row_id"], group=["source"])
+    f1 = fx.corpus_f1(spark, sf_dir).withColumn("source", F.expr(_SOME))
+    r = rank.shuffled(f1, ["source", "row_id"], group=["source"])
     return r.select("source", "row_id", F.col("rank").cast("bigint"))
 
 
@@ -828,12 +835,13 @@ def p07(spark, sf_dir):
 
 
 @query("p17_train_on_weights", f"""
-WITH la AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN turn END) AS la FROM {_CONV} GROUP BY conv_id)
+WITH c AS (SELECT nullif(conv_id, 3) AS conv_id, turn, role FROM {_CONV}),
+la AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN turn END) AS la FROM c GROUP BY conv_id)
 SELECT c.conv_id, c.turn, CASE WHEN la IS NULL OR c.turn = la THEN 1 ELSE 0 END AS weight,
        la IS NOT NULL AS has_assistant
-FROM {_CONV} c JOIN la USING (conv_id)""")
+FROM c JOIN la ON c.conv_id IS NOT DISTINCT FROM la.conv_id""")
 def p17(spark, sf_dir):
-    t = convo.train_on(fx.table(spark, sf_dir, "conversations"))
+    t = convo.train_on(fx.table(spark, sf_dir, "conversations").withColumn("conv_id", F.nullif("conv_id", F.lit(3))))
     return t.select("conv_id", "turn", "weight", "has_assistant")
 
 
@@ -953,7 +961,8 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window
        {', '.join(f'{o.r9(f"avg({c})")} AS {c}' for c in _COMPS)}
 FROM sc GROUP BY 1, 2""")
 def x08(spark, sf_dir):
-    c = spread(fx.completions_f2(spark, sf_dir))
+    twice = F.expr("CASE WHEN slot IN (5, 9) THEN 0L ELSE prompt_id END")  # one prompt in two slots of a step
+    c = spread(fx.completions_f2(spark, sf_dir).withColumn("prompt_id", twice))
     return r9(stream_scoring.step_rewards(stream_scoring.score_stream(c)))
 
 

@@ -33,7 +33,7 @@ class PrepareConfig:
     remove_duplicates: bool = True
     remove_incomplete: bool = True
     balance_sources: bool = True
-    dedup_key: tuple[str, ...] = ("instruction", "tool_calls")
+    dedup_key: tuple[str, ...] = ()  # none: the whole row
     max_length: int = 2048
     max_vocab: int | None = None
 
@@ -42,8 +42,7 @@ def prepare_rows(df: DataFrame, cfg: PrepareConfig) -> DataFrame:
     """The rows of all sources (tagged) -> dedup, completeness, whitespace, balance, split; written, with a unique row_id."""
     df = prep.with_row_ids(df)
     if cfg.remove_duplicates:
-        cols = [c for c in cfg.dedup_key if c in df.columns] or [c for c in df.columns if c not in ("row_id", "row_key")]
-        df = prep.dedup_first(df, prep.content_key(df, cols))
+        df = prep.dedup_first(df, prep.dedup_key(df, cfg.dedup_key))
     if cfg.remove_incomplete:
         df = prep.complete_rows(df)
     df = prep.normalize_whitespace(df)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from toolframe.operators import rewards
 
-SAMPLE_KEY = ("step", "prompt_id", "sample_id")
+#: What a redelivered sample shares with its first delivery. A prompt may fill two slots of a step, so the slot tells samples apart.
+SAMPLE_KEY = ("step", "slot", "sample_id")
 
 
 def score_stream(completions: DataFrame, prompts: DataFrame | None = None, *, event_time: str = "ts",
