@@ -162,10 +162,19 @@ def _call_stages(completion: str) -> tuple[dict[str, Column], ...]:
         {"_call_args": jsonx.call_arguments(F.col("call")),
          "_pred_names": _predicted_names(F.col("calls"))},
         {"_pred_kv": F.when(raw.isNull(), F.array().cast("array<string>"))
-         .otherwise(jsonx.kv_pairs(jsonx.as_object(reparsed)))},
+         .otherwise(jsonx.kv_pairs(jsonx.as_object(reparsed), jsonx.as_object(_exact_arguments(raw))))},
     )
 
 
+def _exact_arguments(args: Column) -> Column:
+    """The first call's arguments parsed from ``jsonx.tagged`` text: of the text itself if they are a string, else of the candidate they came from."""
+    clean = F.col("_clean")
+    text = F.try_element_at(F.filter(F.concat(extract.first_matches(clean), extract.flat_objects(clean)), lambda c: jsonx.has_key(jsonx.parse_strict(c), "name")), F.lit(1))
+    call = jsonx.parse_strict(jsonx.tagged(text))
+    return F.when(jsonx.is_string(args), jsonx.parse_strict(jsonx.tagged(jsonx.as_string(args)))).otherwise(
+        F.coalesce(jsonx.key(call, "sarguments"), jsonx.key(call, "sparameters")))
+
+
 def with_calls(df: DataFrame, completion: str = "completion") -> DataFrame:
     """E1-E3 plus the prediction-side inputs of the rewards, as staged projections.
 
@@ -180,9 +189,9 @@ def with_calls(df: DataFrame, completion: str = "completion") -> DataFrame:
     out = df
     for i, stage in enumerate(s):
         if i == 4:
-            out = out.drop("_clean", "_named_heads", "_named_blocks", "_named_flat")
+            out = out.drop("_named_heads", "_named_blocks", "_named_flat")
         out = out.withColumns(stage)
-    return out
+    return out.drop("_clean")
 
 
 def with_expected(df: DataFrame, expected_args: str = "expected_args",
@@ -198,7 +207,8 @@ def with_expected(df: DataFrame, expected_args: str = "expected_args",
 
 @functools.lru_cache(maxsize=64)
 def _expected_columns(expected_args: str, expected_chain: str) -> dict[str, Column]:
-    return {"_exp_kv": jsonx.kv_pairs(jsonx.as_object(jsonx.parse_strict(F.col(expected_args).cast("string")))),
+    args = F.col(expected_args).cast("string")
+    return {"_exp_kv": jsonx.kv_pairs(jsonx.as_object(jsonx.parse_strict(args)), jsonx.as_object(jsonx.parse_strict(jsonx.tagged(args)))),
             "_exp_names": _expected_names(F.col(expected_chain).cast("string"))}
 
 

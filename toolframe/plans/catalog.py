@@ -1274,3 +1274,75 @@ def p19(spark, sf_dir):
                       | ((F.col("stage") == "grpo") & (F.col("metric") == "tool_selection_accuracy"))))
     pend = evals.pending_benchmarks(evals.requested_table(spark, fx.STAGES, _ALL_BENCH), have)
     return evals.token_budget(pend)
+
+
+# --------------------------------------------------------------------------
+# Keys nobody listed, JSON text with its numbers kept
+# --------------------------------------------------------------------------
+
+from toolframe.sources import openjson  # noqa: E402
+
+# A key per event type, each with its own nested keys; mixed kinds, nulls, blank and malformed lines. Nested keys stand sorted.
+_OPEN = """CASE event_id % 8 WHEN 0 THEN ' ' WHEN 1 THEN '{"' || event_type || '": 1' WHEN 2 THEN '[1]'
+  WHEN 3 THEN '{"id": ' || event_id || ', "' || event_type || '": ' || props || ', "mixed": ' || user_id || ', "none": null}'
+  WHEN 4 THEN '{"id": ' || event_id || ', "' || event_type || '": {"k":1,"of_' || event_type || '":"x"}, "mixed": "text", "list": [1,2]}'
+  WHEN 5 THEN '{"' || event_type || '": null, "list": [], "flag": true, "mixed": ["a"]}'
+  ELSE '{"id": null, "text": "line ' || user_id || '", "list": [3]}' END"""
+_OPEN_SQL = f"""ln AS (SELECT event_id, trim({_OPEN}) AS line FROM events),
+js AS (SELECT event_id, CAST(line AS JSON) AS j FROM (SELECT * FROM ln WHERE line <> '' AND json_valid(line)) WHERE json_type(line) = 'OBJECT'),
+ky AS (SELECT event_id, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT event_id, j, unnest(json_keys(j)) AS k FROM js)),
+tp AS (SELECT event_id, k, v, json_type(v) AS t FROM ky)"""
+
+
+def _open_documents(spark, sf_dir):
+    return openjson.parse_documents(fx.table(spark, sf_dir, "events").selectExpr("event_id", f"{_OPEN} AS line"), "line")
+
+
+@query("s04_open_schema", f"""WITH {_OPEN_SQL},
+nk AS (SELECT k, n, CASE WHEN bool_and(json_type(x) = 'VARCHAR') THEN 'STRING' ELSE 'BIGINT' END AS nt
+       FROM (SELECT k, n, json_extract(v, '$."' || n || '"') AS x FROM (SELECT k, v, unnest(json_keys(v)) AS n FROM tp WHERE t = 'OBJECT')) GROUP BY k, n),
+st AS (SELECT k, 'STRUCT<' || string_agg(n || ': ' || nt, ', ' ORDER BY n) || '>' AS s FROM nk GROUP BY k),
+ag AS (SELECT k, count(*) AS n_rows, min(event_id) AS first_seen, list_sort(list(DISTINCT t) FILTER (WHERE t <> 'NULL')) AS ts FROM tp GROUP BY k)
+SELECT ag.k AS key, CASE WHEN ts IS NULL THEN 'VOID' WHEN len(list_filter(ts, lambda x: x NOT IN ('BIGINT', 'UBIGINT'))) = 0 THEN 'BIGINT' WHEN ts = ['VARCHAR'] THEN 'STRING'
+            WHEN ts = ['BOOLEAN'] THEN 'BOOLEAN' WHEN ts = ['OBJECT'] THEN s WHEN ts = ['ARRAY'] THEN 'ARRAY<BIGINT>' ELSE 'VARIANT' END AS type, n_rows, first_seen
+FROM ag LEFT JOIN st ON st.k = ag.k""")
+def s04_open(spark, sf_dir):
+    """The union of all keys with their merged types, as one aggregate over the lines."""
+    return openjson.schema_of(_open_documents(spark, sf_dir), order="event_id")
+
+
+_OPEN_KEYS = ["click", "error", "flag", "id", "list", "mixed", "none", "purchase", "signup", "text", "view"]  # what the oracle looks for; the query finds them
+
+
+def _open_text(k: str) -> str:
+    v = f"json_extract(j, '$.{k}')"
+    return f"coalesce(CASE json_type({v}) WHEN 'NULL' THEN '' WHEN 'VARCHAR' THEN json_extract_string(j, '$.{k}') ELSE CAST({v} AS VARCHAR) END, '') AS {k}"
+
+
+@query("u04_open_columns", f"WITH {_OPEN_SQL} SELECT event_id, {', '.join(map(_open_text, _OPEN_KEYS))} FROM js")
+def u04_open(spark, sf_dir):
+    """Every key a column, found by the query itself; gaps and nulls are empty, nested values JSON text."""
+    documents = _open_documents(spark, sf_dir).where("doc is not null")
+    return openjson.flat_columns_of(documents, openjson.schema_of(documents), keep=("event_id",))
+
+
+@query("u04_open_types", f"""WITH {_OPEN_SQL}
+SELECT event_id, CAST(json_extract(j, '$.id') AS BIGINT) AS id, CAST(json_extract(j, '$.' || e || '.k') AS BIGINT) AS k, json_extract_string(j, '$.' || e || '.of_' || e) AS own,
+       coalesce(CAST(json_array_length(j, '$.list') AS INTEGER), -1) AS n_list, CAST(json_extract(j, '$.flag') AS BOOLEAN) AS flag
+FROM js JOIN (SELECT event_id, event_type AS e FROM events) USING (event_id)""")
+def u04_types(spark, sf_dir):
+    """The same keys with their own types: numbers, structs with the keys of all rows, arrays."""
+    documents = _open_documents(spark, sf_dir).where("doc is not null")
+    typed = openjson.columns_of(documents, openjson.schema_of(documents), keep=("event_id",))
+    kinds = [c for c, t in typed.dtypes if t.startswith("struct<k:")]
+    return typed.select("event_id", "id", F.coalesce(*[F.col(f"{c}.k") for c in kinds]).alias("k"), F.coalesce(*[F.col(f"{c}.of_{c}") for c in kinds]).alias("own"),
+                        F.coalesce(F.size("list"), F.lit(-1)).alias("n_list"), "flag")
+
+
+@query("h08_sorted_json_text", r"""
+SELECT event_id, '{"a":{"x":100.0,"y":' || replace(props, ' ', '') || '},"z":[2.0,{"a":0,"b":' || user_id || ',"é":"é' || event_type || '"}]}' AS exact,
+       '{"a": {"x": 100.0, "y": ' || props || '}, "z": [2.0, {"a": 0, "b": ' || user_id || ', "\u00e9": "\u00e9' || event_type || '"}]}' AS dumped FROM events""")
+def h08(spark, sf_dir):
+    """Sorted keys, the last of two equal ones, numbers as written: compact, and as Python prints it."""
+    raw = F.expr("""concat('{"z": [1, ', user_id, '.0], "a": {"y": ', props, ', "x": 1e2}, "z": [2.0, {"é": "\\\\u00e9', event_type, '", "b": ', user_id, ', "a": -0}]}')""")
+    return fx.table(spark, sf_dir, "events").select("event_id", jsonx.exact_json(raw).alias("exact"), jsonx.python_json(raw).alias("dumped"))

@@ -23,12 +23,13 @@ _CALL = """'{"name": "' || event_type || '", "arguments": ' || props || '}'"""
 _WRONG = """'{"name": "none", "arguments": ' || props || '}'"""
 
 # Completion text by ``event_id mod 10`` (FIXTURES F2 table), as one SQL expression; every eleventh is hostile.
-_COMPLETION_SQL = f"""CASE WHEN pmod(event_id, 11) = 10 THEN CASE pmod(event_id DIV 11, 6)
+_COMPLETION_SQL = f"""CASE WHEN pmod(event_id, 11) = 10 THEN CASE pmod(event_id DIV 11, 7)
     WHEN 0 THEN '<tool_call>' || {_CALL} || ']</tool_call>'
     WHEN 1 THEN '<tool_call>' || {_CALL} || '] trailing</tool_call>'
     WHEN 2 THEN '<tool_call>' || {_CALL} || '][</tool_call>'
     WHEN 3 THEN '<tool_call>{{"name": "none", "name": "' || event_type || '", "arguments": ' || props || '}}</tool_call>'
     WHEN 4 THEN '<tool_call>{{"name": "' || event_type || '", "arguments": ' || replace(props, '}}', '.0}}') || '}}</tool_call>'
+    WHEN 6 THEN '<tool_call>{{"name": "' || event_type || '", "arguments": {{"k": [1, 2.0]}}}}</tool_call>'
     ELSE '<tool_call>' || {_CALL} || ', ' || {_WRONG} || '</tool_call>' END
   ELSE CASE pmod(event_id, 10)
   WHEN 0 THEN '<tool_call>' || char(10) || {_CALL} || char(10) || '</tool_call>'
@@ -51,7 +52,8 @@ _F2_EXPRS = [
     "CAST(pmod(event_id DIV 8, 16) AS INT) AS slot",
     "user_id",
     "event_type AS expected_tool",
-    """CASE WHEN pmod(event_id, 3) = 0 THEN props ELSE replace(props, '}', ', "extra": 1}') END AS expected_args""",
+    """CASE WHEN pmod(event_id, 11) = 10 AND pmod(event_id DIV 11, 7) = 6 THEN CASE WHEN pmod(event_id, 2) = 0 THEN '{"k": [1.0, 2]}' ELSE '{"k": [1, 2.0]}' END
+        WHEN pmod(event_id, 3) = 0 THEN props ELSE replace(props, '}', ', "extra": 1}') END AS expected_args""",
     """CASE WHEN pmod(event_id, 7) < 3 THEN '["' || event_type || '", "none"]' ELSE '[]' END AS expected_chain""",
     "CAST(1 + pmod(event_id, 50) AS INT) AS n_tokens",
     "value / 10 AS elapsed_s",

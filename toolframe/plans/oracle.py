@@ -16,17 +16,19 @@ f2 AS (
          CAST((event_id // 8) % 16 AS INTEGER) AS slot,
          user_id,
          event_type AS expected_tool,
-         CASE WHEN event_id % 3 = 0 THEN props ELSE replace(props, '}', ', "extra": 1}') END AS expected_args,
+         CASE WHEN event_id % 11 = 10 AND (event_id // 11) % 7 = 6 THEN CASE WHEN event_id % 2 = 0 THEN '{"k": [1.0, 2]}' ELSE '{"k": [1, 2.0]}' END
+              WHEN event_id % 3 = 0 THEN props ELSE replace(props, '}', ', "extra": 1}') END AS expected_args,
          CASE WHEN event_id % 7 < 3 THEN '["' || event_type || '", "none"]' ELSE '[]' END AS expected_chain,
          CAST(1 + event_id % 50 AS INTEGER) AS n_tokens,
          value / 10 AS elapsed_s,
          CAST(3 + (event_id // 8) % 5 AS INTEGER) AS prompt_len,
-         CASE WHEN event_id % 11 = 10 THEN CASE (event_id // 11) % 6
+         CASE WHEN event_id % 11 = 10 THEN CASE (event_id // 11) % 7
            WHEN 0 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || ']</tool_call>'
            WHEN 1 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || '] trailing</tool_call>'
            WHEN 2 THEN '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || '][</tool_call>'
            WHEN 3 THEN '<tool_call>{"name": "none", "name": "' || event_type || '", "arguments": ' || props || '}</tool_call>'
            WHEN 4 THEN '<tool_call>{"name": "' || event_type || '", "arguments": ' || replace(props, '}', '.0}') || '}</tool_call>'
+           WHEN 6 THEN '<tool_call>{"name": "' || event_type || '", "arguments": {"k": [1, 2.0]}}</tool_call>'
            ELSE '<tool_call>' || '{"name": "' || event_type || '", "arguments": ' || props || '}' || ', ' || '{"name": "none", "arguments": ' || props || '}' || '</tool_call>' END
          ELSE CASE event_id % 10
            WHEN 0 THEN '<tool_call>' || chr(10) || '{"name": "' || event_type || '", "arguments": ' || props || '}' || chr(10) || '</tool_call>'
@@ -69,7 +71,7 @@ def last_name(x: str) -> str:
 
 def fold(x: str) -> str:
     """SQL: ``1.0`` printed as ``1``, where values and not texts are compared."""
-    return f"regexp_replace({x}, '\\.0([,}}])', '\\1', 'g')"
+    return f"regexp_replace({x}, '\\.0([],}}])', '\\1', 'g')"
 
 
 # The extraction patterns.
@@ -219,7 +221,7 @@ ev AS (
     END AS _sel,
     CASE WHEN expected_args IS NOT NULL THEN
       (CASE WHEN coalesce((CASE WHEN call IS NULL THEN NULL WHEN _args IS NULL THEN '{{}}'
-                                ELSE {fold("CAST(_args AS VARCHAR)")} END) = CAST(json(expected_args) AS VARCHAR), false)
+                                ELSE {fold("CAST(_args AS VARCHAR)")} END) = {fold("CAST(json(expected_args) AS VARCHAR)")}, false)
             THEN 1.0 ELSE 0.0 END)
     END AS _arg,
     CASE WHEN call IS NOT NULL AND {name} IS NOT NULL AND (_args IS NULL OR json_type(_args) = 'OBJECT')

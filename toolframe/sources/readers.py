@@ -40,7 +40,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA,
     Blank lines are skipped by the reader. ``mode="FAILFAST"`` raises on a
     malformed line (reference parity); the default keeps them in
     ``_corrupt_record``. A missing path raises; an empty input raises. Names
-    outside the schema are not read: pass a schema to read others.
+    outside the schema are not read: pass a schema to read others, or read
+    every key that occurs with ``openjson.read_open_jsonl``.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(f"no such input: {path}")
@@ -56,6 +57,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA,
     return df
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (``value``) of a file or of a directory's ``*.jsonl`` / ``*.json`` files; a missing path raises."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no such input: {path}")
+    reader = spark.read
+    if _status(spark, path).isDirectory():
+        reader = reader.option("pathGlobFilter", "*.{jsonl,json}")
+    return reader.text(path)
+
+
 def parse_lines(lines: DataFrame, text: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
     """S1 / S5 on a table of lines: the other columns of ``lines`` and the parsed fields.
 
@@ -108,9 +119,14 @@ def _read_local(spark, spec):
     return read_jsonl(spark, spec.path, **spec.options)
 
 
+def _read_open(spark, spec):
+    from toolframe.sources.openjson import read_open_jsonl
+    return read_open_jsonl(spark, spec.path, **spec.options)
+
+
 # S3: source-type dispatch.
 READERS: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {
-    "local": _read_local, "json": _read_local, "parquet": _read_parquet, "table": _read_table,
+    "local": _read_local, "json": _read_local, "open": _read_open, "parquet": _read_parquet, "table": _read_table,
 }
 
 
