@@ -17,7 +17,7 @@ from toolframe.functions import extract, jsonx
 from toolframe.operators import rewards, rollouts
 from toolframe.plans import fixtures as fx
 from toolframe.plans import oracle as o
-from toolframe.session import spread
+from toolframe.session import scratch_path, spread, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, QueryFn] = {}
@@ -181,6 +181,19 @@ def w01(spark, sf_dir):
     return r9(scored_rollouts(spark, sf_dir).select("step", "slot", "sample_id", "reward", "advantage"))
 
 
+@query("w01_stream_advantages", f"""{_RO}
+SELECT step, slot, sample_id, {o.r9('reward')} AS reward, {o.r9('group_mean')} AS group_mean, group_size, degenerate, {o.r9('advantage')} AS advantage FROM adv""")
+def w01_stream(spark, sf_dir):
+    """W1 and A11 from a stream of scored samples, a fifth of them delivered twice, equal to the window over all rows."""
+    from toolframe.streaming import groups
+    scored = scored_rollouts(spark, sf_dir).select("step", "slot", "sample_id", "reward", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, step)").alias("ts"))
+    rows = written(scored.unionByName(scored.where("(step + slot) % 5 = 0")).repartitionByRange(8, "step"), "stream-in")
+    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    out = groups.run_available(groups.stream_advantages(stream, 8), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
+    return r9(out.where("complete and not late").select("step", "slot", F.col("sample_id").cast("int").alias("sample_id"), "reward", "group_mean", F.col("group_size").cast("long").alias("group_size"), "degenerate", "advantage"))
+
+
 @query("a10_group_mean_reward", f"""{_RO}, {_GROUPS}
 SELECT step, slot, {o.r9('group_mean')} AS group_mean, group_size, degenerate FROM grp""")
 def a10(spark, sf_dir):
@@ -390,6 +403,26 @@ def j06(spark, sf_dir):
     return evals.pending_benchmarks(req, have).select("stage", "benchmark", "metric")
 
 
+@query("k05_atomic_commits", """
+WITH a AS (SELECT event_id, user_id, value FROM events WHERE event_id % 3 <> 0),
+b AS (SELECT event_id, user_id, value + 1 AS value FROM events WHERE event_id % 2 = 0),
+c AS (SELECT event_id, -1 AS user_id, 0.5 AS value FROM events WHERE event_id % 10 = 7),
+ab AS (SELECT * FROM a WHERE event_id NOT IN (SELECT event_id FROM b) UNION ALL SELECT * FROM b)
+SELECT 1 AS version, event_id, user_id, round(value, 9) AS value FROM ab
+UNION ALL SELECT 3, event_id, user_id, round(value, 9) FROM ab WHERE event_id NOT IN (SELECT event_id FROM c) UNION ALL SELECT 3, event_id, user_id, value FROM c""")
+def k05_commits(spark, sf_dir):
+    """Two writers that began with the same version, a third after them and a compaction: what readers of versions 1 and 3 see."""
+    from toolframe.sources import versions
+    events, path = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "value"), scratch_path(spark, "versions")
+    first, second = versions.stage(path, events.where("event_id % 3 <> 0"), ["event_id"]), versions.stage(path, events.where("event_id % 2 = 0").withColumn("value", F.col("value") + 1), ["event_id"])
+    versions.commit(spark, path, first, ["event_id"])
+    pinned = versions.commit(spark, path, second, ["event_id"])
+    versions.upsert(path, events.where("event_id % 10 = 7").select("event_id", F.lit(-1).cast("long").alias("user_id"), F.lit(0.5).alias("value")), ["event_id"])
+    versions.compact(spark, path)
+    both = versions.read(spark, path, pinned).withColumn("version", F.lit(1)).unionByName(versions.read(spark, path).withColumn("version", F.lit(3)))
+    return r9(both.select("version", "event_id", "user_id", "value"))
+
+
 @query("k05_checkpoint_upsert", f"""{_EV},
 old AS (SELECT stage, metric, value FROM ml WHERE stage <> 'grpo'),
 new AS (SELECT stage, metric, value + 1.0 AS value FROM ml WHERE stage <> 'baseline')
