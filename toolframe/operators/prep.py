@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolframe.functions.text import md5_bucket, py_split_join, truthy
+from toolframe.functions.permute import number_rows, permuted
 from toolframe.operators.rank import bucketed_rank, order_key, unit_draw, with_cuts
 from toolframe.session import written
 
@@ -259,28 +260,31 @@ def steps_per_epoch(n: int, batch_size: int) -> int:
     return math.ceil(n / batch_size)
 
 
-def epoch_batches(df: DataFrame, epochs: int, batch_size: int, key: str = "row_id", seed: int = 42,
+def epoch_batches(df: DataFrame, epochs: int, batch_size: int, index: str | None = None, seed: int = 42,
                   n: int | None = None) -> DataFrame:
     """L10 + T7: per epoch a reshuffle with seed ``seed + epoch``, cut in batches.
 
-    Rows are replicated per epoch with ``explode(sequence)`` (narrow, no join);
-    the rank is exact per epoch (bucketed, grouped by epoch). Adds ``epoch``,
-    ``batch_idx``, ``global_step`` (1-based), ``samples_seen``, ``epoch_progress``.
+    A row's place in an epoch is a function of its number (``permute``): rows
+    are replicated per epoch with ``explode(sequence)`` and labelled where they
+    are; nothing is ranked or shuffled. ``index``: a column of dense row numbers
+    from 0; without one the rows are numbered first (written once). Adds
+    ``epoch``, ``batch_idx``, ``global_step`` (1-based), ``samples_seen``,
+    ``epoch_progress``. A null number has null places.
     """
-    n = df.count() if n is None else n
+    if index is None:
+        df, n = number_rows(df, "_index")
+    else:
+        df, n = df.withColumn("_index", F.col(index)), df.count() if n is None else n
     spe = steps_per_epoch(n, batch_size)
     rep = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    keyed = rep.withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws(
-        "|", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(key).cast("string"))), 1, 15), 16, 10)
-        .cast("long"))
-    r = bucketed_rank(keyed, "_u", [key], ["epoch"], out="_rank").drop("_u")
-    batch = F.floor((F.col("_rank") - 1) / batch_size).cast("long")
-    gstep = F.col("epoch") * spe + batch + 1
-    return (r.withColumn("batch_idx", batch)
+    placed = rep.withColumn("_place", permuted(F.col("_index"), n, F.lit(seed) + F.col("epoch")))
+    batch = F.floor(F.col("_place") / batch_size).cast("long")
+    gstep = F.col("epoch") * spe + F.col("batch_idx") + 1
+    return (placed.withColumn("batch_idx", batch)
             .withColumn("global_step", gstep)
-            .withColumn("samples_seen", gstep * batch_size)
-            .withColumn("epoch_progress", (batch + 1) / F.lit(float(max(spe, 1))))
-            .drop("_rank"))
+            .withColumn("samples_seen", F.col("global_step") * batch_size)
+            .withColumn("epoch_progress", (F.col("batch_idx") + 1) / F.lit(float(max(spe, 1))))
+            .drop("_place", "_index"))
 
 
 def resume_after(batches: DataFrame, start_step: int) -> DataFrame:

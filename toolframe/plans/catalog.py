@@ -581,6 +581,7 @@ def h09(spark, sf_dir):
 # preparation
 # --------------------------------------------------------------------------
 
+from toolframe.functions.permute import permuted  # noqa: E402
 from toolframe.operators import prep, rank  # noqa: E402
 from toolframe.sources import readers  # noqa: E402
 
@@ -689,9 +690,36 @@ def x03(spark, sf_dir):
     return b.select("category", "row_id", "draw")
 
 
-@query("w04_shuffled_rank", f"""WITH {_F1}
-SELECT row_id, row_number() OVER (ORDER BY {_u(_k('row_id'))}, row_id) AS rank FROM f1""")
+def _feistel_sql(source: str, x: str, keep: str) -> str:
+    """SQL twin of one pass of ``permute``: ``source`` has the columns ``keep``, seed, a, b and the number ``x``; gives keep, seed, a, b, y."""
+    text = f"SELECT {keep}, seed, a, b, {x} % a AS l, {x} // a AS r FROM {source}"
+    for i in range(1, 5):
+        value = f"CAST('0x' || substr(md5(CAST(seed AS VARCHAR) || '|{i}|' || CAST(r AS VARCHAR)), 1, 13) AS BIGINT)"
+        text = f"SELECT {keep}, seed, a, b, r AS l, (l + {value}) % {'a' if i % 2 else 'b'} AS r FROM ({text})"
+    return f"SELECT {keep}, seed, a, b, l + r * a AS y FROM ({text})"
+
+
+def _places_sql(source: str, index: str) -> str:
+    """CTEs up to ``places`` (the columns of ``source``, seed among them, and place): the permutation of ``index`` over all rows of f1."""
+    keep = "row_id, epoch, n"
+    return f"""size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM f1),
+start AS (SELECT row_id, epoch, n, seed, a, CAST(ceil(n / CAST(a AS DOUBLE)) AS BIGINT) AS b, {index} AS i FROM {source}, size),
+walk AS ({_feistel_sql('start', 'i', keep)} UNION ALL {_feistel_sql('(SELECT * FROM walk WHERE y >= n)', 'y', keep)}),
+places AS (SELECT row_id, epoch, y AS place FROM walk WHERE y < n)"""
+
+
+@query("w04_shuffled_rank", f"""WITH RECURSIVE {_F1}, {_places_sql('(SELECT row_id, 0 AS epoch, 42 AS seed FROM f1)', 'row_id')}
+SELECT row_id, place + 1 AS rank FROM places""")
 def w04(spark, sf_dir):
+    """A global shuffled rank as an expression over row numbers: no sort, no join, no shuffle."""
+    f1 = fx.corpus_f1(spark, sf_dir)
+    return f1.select("row_id", (permuted(F.col("row_id"), f1.count()) + 1).alias("rank"))
+
+
+@query("w04_ranked_by_key", f"""WITH {_F1}
+SELECT row_id, row_number() OVER (ORDER BY {_u(_k('row_id'))}, row_id) AS rank FROM f1""")
+def w04_key(spark, sf_dir):
+    """The same by hash keys, for rows without dense numbers: exact ranks from counted buckets."""
     return rank.shuffled(fx.corpus_f1(spark, sf_dir), ["row_id"]).select("row_id", F.col("rank").cast("bigint"))
 
 
@@ -756,13 +784,11 @@ def l09(spark, sf_dir):
 
 
 _EPOCHS, _BATCH = 2, 32
-_EB = f"""WITH {_F1},
-n AS (SELECT CAST(ceil(count(*) / {_BATCH}) AS BIGINT) AS spe FROM f1),
-e AS (SELECT f1.row_id, unnest(range(0, {_EPOCHS})) AS epoch FROM f1),
-r AS (SELECT row_id, epoch, row_number() OVER (PARTITION BY epoch
-              ORDER BY {_u("CAST(42 + epoch AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)")}, row_id) AS rk FROM e),
-eb AS (SELECT epoch, row_id, CAST((rk - 1) // {_BATCH} AS BIGINT) AS batch_idx,
-              epoch * spe + (rk - 1) // {_BATCH} + 1 AS global_step, spe FROM r, n)"""
+_EB = f"""WITH RECURSIVE {_F1},
+ep AS (SELECT row_id, epoch, 42 + epoch AS seed FROM (SELECT row_id, unnest(range(0, {_EPOCHS})) AS epoch FROM f1)),
+{_places_sql('ep', 'row_id')},
+eb AS (SELECT epoch, row_id, CAST(place // {_BATCH} AS BIGINT) AS batch_idx, epoch * spe + place // {_BATCH} + 1 AS global_step, spe
+       FROM places, (SELECT CAST(ceil(count(*) / {_BATCH}) AS BIGINT) AS spe FROM f1))"""
 
 
 @query("l10_epoch_batches", f"""{_EB}
@@ -770,14 +796,14 @@ SELECT CAST(epoch AS INTEGER) AS epoch, row_id, batch_idx, CAST(global_step AS B
        CAST(global_step * {_BATCH} AS BIGINT) AS samples_seen,
        {o.r9('(batch_idx + 1) / CAST(greatest(spe, 1) AS DOUBLE)')} AS epoch_progress FROM eb""")
 def l10(spark, sf_dir):
-    b = prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH)
+    b = prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH, index="row_id")
     return r9(b.select("epoch", "row_id", "batch_idx", "global_step", "samples_seen", "epoch_progress"))
 
 
 @query("l11_resume_after", f"""{_EB}
 SELECT CAST(epoch AS INTEGER) AS epoch, row_id, CAST(global_step AS BIGINT) AS global_step FROM eb WHERE global_step > 40""")
 def l11(spark, sf_dir):
-    b = prep.resume_after(prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH), 40)
+    b = prep.resume_after(prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH, index="row_id"), 40)
     return b.select("epoch", "row_id", "global_step")
 
 
@@ -785,7 +811,7 @@ def l11(spark, sf_dir):
 SELECT DISTINCT CAST(global_step AS BIGINT) AS global_step, global_step % 10 = 0 AS do_log,
        global_step % 25 = 0 AS do_save, (global_step + 1) % 25 = 0 AS do_save_after FROM eb""")
 def l12(spark, sf_dir):
-    b = prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH).select("global_step").distinct()
+    b = prep.epoch_batches(fx.corpus_f1(spark, sf_dir), _EPOCHS, _BATCH, index="row_id").select("global_step").distinct()
     g = F.col("global_step")
     return b.select("global_step", prep.cadence(g, 10).alias("do_log"), prep.cadence(g, 25).alias("do_save"),
                     prep.cadence(g, 25, after=True).alias("do_save_after"))
