@@ -14,7 +14,7 @@ PY_WHITESPACE = (
 )
 
 # Regex class equal to PY_WHITESPACE (Java syntax).
-_PY_WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+PY_WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def py_strip(c: Column) -> Column:
@@ -24,7 +24,7 @@ def py_strip(c: Column) -> Column:
 
 def py_split_join(c: Column) -> Column:
     """``" ".join(s.split())``: collapse whitespace runs to one space and trim."""
-    return py_strip(F.regexp_replace(c, _PY_WS_CLASS + "+", " "))
+    return py_strip(F.regexp_replace(c, PY_WS_CLASS + "+", " "))
 
 
 def truthy(c: Column, dtype: str = "string") -> Column:

@@ -9,7 +9,7 @@ that output is one value per conversation by definition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolframe.functions import extract, jsonx
@@ -54,6 +54,36 @@ def train_on(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         .drop("_last_assistant", "_conv")
 
 
+def content_spans(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Where each turn's text stands in ``render_turns``: (conv, start, end, weight), code points, end exclusive; weight as in ``train_on``."""
+    head = F.concat(F.coalesce(F.col(role), F.lit("")), F.lit(": "))
+    line = F.concat(head, F.coalesce(F.col(text), F.lit("")))
+    lines = train_on(turns, conv, turn, role).select(conv, F.col(turn).alias("_t"), line.alias("_l"), F.length(head).alias("_h"), "weight")
+    before = Window.partitionBy(conv).orderBy("_t", "_l").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("_l") + 1).over(before), F.lit(0))
+    return lines.withColumn("_s", start).select(conv, (F.col("_s") + F.col("_h")).alias("start"), (F.col("_s") + F.length("_l")).alias("end"), "weight")
+
+
+def token_weights(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """T4 per token: (conv, i, token, start, end, weight) over the rendered conversation.
+
+    Tokens of the last assistant turn's text weigh 1; without an assistant
+    turn, those of every turn's text. Role names never do. Tokens and order are
+    those of ``tokens.encode`` on the rendered text.
+    """
+    from toolframe.operators import tokens
+    return tokens.span_weights(tokens.token_offsets(render_turns(turns, conv, turn, role, text), conv), content_spans(turns, conv, turn, role, text), conv)
+
+
+def loss_weights(turns: DataFrame, max_length: int = 2048, conv: str = "conv_id", **names) -> DataFrame:
+    """T4 as arrays: (conv, loss_weights), one weight per position of ``tokens.encode``: cut at ``max_length``, padding weighs 0."""
+    rows = token_weights(turns, conv, **names).where(F.col("i") < max_length)
+    arrays = rows.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("_w")).select(F.col(conv).alias("_c"), "_w")
+    every = turns.select(conv).distinct().join(arrays, F.col(conv).eqNullSafe(F.col("_c")), "left")
+    w = F.coalesce(F.transform("_w", lambda x: x["weight"]), F.array().cast("array<int>"))
+    return every.select(conv, F.concat(w, F.array_repeat(F.lit(0), F.lit(max_length) - F.size(w))).alias("loss_weights"))
+
+
 def conversation_summary(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text") -> DataFrame:
     """Last message and last assistant message per conversation (they differ when a user turn ends it)."""

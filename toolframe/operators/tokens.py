@@ -12,10 +12,10 @@ skew join) and regroups them per row. Rows without tokens survive the explode
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolframe.functions.text import py_split_join
+from toolframe.functions.text import PY_WS_CLASS, py_split_join
 from toolframe.operators.rank import range_rank
 
 PAD, UNK, EOS = "<pad>", "<unk>", "<eos>"
@@ -28,6 +28,39 @@ def words(text: Column) -> Column:
     return F.when(norm == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(norm, " "))
 
 
+def token_offsets(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """A row per whitespace token: keys, ``i`` (place among the row's tokens, from 0), token, start and end (code points, end exclusive).
+
+    The text is cut into tokens and gaps; a running sum of their lengths per
+    row gives the offsets. Texts without tokens give no rows. ``key`` must
+    identify a row; a null key is one key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    gap = PY_WS_CLASS
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{gap}++|[^{gap[1:-1]}]++"), 0)
+    cut = df.select(*keys, F.posexplode(pieces).alias("pos", "token")).withColumn("gap", F.col("token").rlike(f"^{gap}"))
+    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cut.withColumn("end", F.sum(F.length("token")).over(so_far)).withColumn("i", F.sum((~F.col("gap")).cast("long")).over(so_far) - 1)
+    return placed.where(~F.col("gap")).select(*keys, "i", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+
+
+def span_weights(tokens: DataFrame, spans: DataFrame, key: str | list[str]) -> DataFrame:
+    """tokens (keys, start, end, ...) with ``weight``: that of the span (keys, start, end, weight) which holds the token's first character, else 0.
+
+    A sweep over both in order of their starts: each token looks back to the
+    last span that began. Spans of a key may touch but not overlap. Tokens of
+    any tokenizer will do, as long as their offsets count what the spans count.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    names = [c for c in tokens.columns if c not in keys]
+    marks = spans.where("end > start").select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct("end", "weight").alias("_span"))
+    both = tokens.select(*keys, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.struct(*names).alias("_token")).unionByName(marks, allowMissingColumns=True)
+    back = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("_span", F.last("_span", ignorenulls=True).over(back)).where("_token is not null")
+    weight = F.when(F.col("_at") < F.col("_span.end"), F.col("_span.weight")).otherwise(F.lit(0))
+    return swept.select(*keys, *[F.col("_token")[c].alias(c) for c in names if c != "weight"], weight.alias("weight"))
+
+
 def build_vocabulary(df: DataFrame, text: str = "text", max_vocab: int | None = None, min_count: int = 1) -> DataFrame:
     """T1 vocabulary: ``(token, id, count)``; ids 0..2 are ``<pad> <unk> <eos>``.
 

@@ -919,6 +919,36 @@ def t04(spark, sf_dir):
                     "last_assistant_turn", "n_turns")
 
 
+_T4_SQL = f"""c AS (SELECT nullif(conv_id, 3) AS conv_id, turn, role, text FROM {_CONV}),
+la AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN turn END) AS la FROM c GROUP BY conv_id),
+w AS (SELECT c.conv_id, c.turn, coalesce(role, '') || ': ' || coalesce(text, '') AS line, CASE WHEN la IS NULL OR c.turn = la THEN 1 ELSE 0 END AS weight,
+             list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS body,
+             list_filter(string_split(trim(regexp_replace(coalesce(role, '') || ':', '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS head
+      FROM c JOIN la ON c.conv_id IS NOT DISTINCT FROM la.conv_id),
+tw4 AS (SELECT conv_id, flatten(list(head || body ORDER BY turn, line)) AS toks,
+               flatten(list(list_transform(head, lambda x: 0) || list_transform(body, lambda x: weight) ORDER BY turn, line)) AS ws FROM w GROUP BY conv_id)"""
+
+
+@query("t04_token_weights", f"""WITH {_T4_SQL},
+k AS (SELECT conv_id, unnest(toks) AS token, unnest(ws) AS weight, unnest(range(0, len(toks))) AS i FROM tw4)
+SELECT conv_id, count(*) AS n_tokens, CAST(sum(weight) AS BIGINT) AS n_weighted, md5(coalesce(string_agg(token, ' ' ORDER BY i) FILTER (WHERE weight = 1), '')) AS weighted_md5
+FROM k GROUP BY conv_id""")
+def t04_tokens(spark, sf_dir):
+    """Weights per token of the rendered conversations, held against the trained turns' own texts."""
+    turns = fx.table(spark, sf_dir, "conversations").withColumn("conv_id", F.nullif("conv_id", F.lit(3)))
+    kept = F.array_sort(F.collect_list(F.when(F.col("weight") == 1, F.struct("i", "token"))))
+    rows = convo.token_weights(turns).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("weight").alias("n_weighted"), kept.alias("kept"))
+    return rows.select("conv_id", "n_tokens", "n_weighted", F.md5(F.array_join(F.transform("kept", lambda x: x["token"]), " ")).alias("weighted_md5"))
+
+
+@query("t04_loss_weights", f"""WITH {_T4_SQL}
+SELECT conv_id, md5(array_to_string(list_transform(ws[1:256] || list_transform(range(greatest(0, 256 - len(ws))), lambda x: 0), lambda x: CAST(x AS VARCHAR)), '')) AS weights_md5 FROM tw4""")
+def t04_loss(spark, sf_dir):
+    """One weight per position of the encoded conversation, cut and padded as its ids are."""
+    turns = fx.table(spark, sf_dir, "conversations").withColumn("conv_id", F.nullif("conv_id", F.lit(3)))
+    return convo.loss_weights(turns, 256).select("conv_id", F.md5(F.array_join("loss_weights", "")).alias("weights_md5"))
+
+
 _MAXLEN = 2048
 _TOK = f"""WITH rc AS (
   SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text
