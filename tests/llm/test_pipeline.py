@@ -46,11 +46,27 @@ def test_language_stage_drops_what_speaks_for_no_language(stages):
     for d, r in rows(before).items():
         vector, some = langid.bundles([r["text"] or ""], langid.DIMENSIONS)
         best = max((float(vector[0] @ p) / ((vector[0] @ vector[0]) ** 0.5 * (p @ p) ** 0.5) for p in prototypes.values()), default=0) if some[0] else -1
-        assert (d in kept) == (best >= 1 / math.sqrt(langid.DIMENSIONS))
+        k = len(set(langid.trigrams(r["text"] or "").tolist()))
+        bound = min(math.sqrt(2 * math.log(len(prototypes) / 1e-4) / 512), 0.036 * math.sqrt(k) - 3 / math.sqrt(512))
+        assert (d in kept) == (bool(some[0]) and best >= bound)
         assert d not in kept or kept[d] == r
     assert not {9000, 9001, 9002} & kept.keys() and 9003 in kept
 
 
+def test_short_noise_goes_too(spark):
+    """Ten words of five random letters, and runs of 60 Chinese characters: all but a few of a hundred go; short clean documents stay (above)."""
+    rnd = random.Random(11)
+    latin = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(10)) for _ in range(200)]
+    chinese = ["".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(60)) for _ in range(200)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = spark.createDataFrame([(9000 + i, t, None, None, len(t)) for i, t in enumerate(latin + chinese)], docs.schema)
+    extra = docs.unionByName(noise).selectExpr("*", "'x' as __lang_pred", "1 as __lang_score")
+    kept = corpus_pipeline.keep_known_languages(spark, extra, SF)
+    assert kept.columns == extra.columns
+    left = [d for d in rows(kept) if d >= 9000]
+    assert len([d for d in left if d < 9200]) <= 12 and len([d for d in left if d >= 9200]) <= 4
+
+
 def test_language_stage_drops_noise_and_keeps_clean_texts(spark):
     rnd = random.Random(7)
     alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", [chr(0x4E00 + i) for i in range(2000)]]
@@ -78,6 +94,18 @@ def test_near_duplicate_stage(stages):
     assert rows(after) == {d: r for d, r in rows(before).items() if want[d] == d}
 
 
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    """Unrelated texts that share a doc_id, rows without one and repeated rows: one row of each text stays, nothing else goes."""
+    say = lambda k, n=40: " ".join(f"{k}w{i}" for i in range(n))
+    texts = [(5, say("a")), (5, say("b")), (6, say("b")), (7, say("a") + " tail"), (None, say("c")), (None, say("c")), (8, say("c")), (None, say("d")), (9, None), (9, ""), (5, say("a"))]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], schema).repartition(3).selectExpr("*", "1 as __n", "2 as component_id")
+    out = corpus_pipeline.keep_one_of_each(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(5, say("a")), (5, say("b")), (8, say("c")), (None, say("d")), (9, None), (9, "")], key=str)
+
+
 def test_personal_data_stage(stages):
     _, before, after = stages[3]
     got, changed = rows(after), 0

@@ -1,3 +1,4 @@
+import pytest
 import collections
 import datetime
 import gzip
@@ -85,7 +86,7 @@ def test_archives_are_plain_warc(spark, tmp_path):
     _, df = pages(spark)
     path = str(tmp_path / "archives")
     warc.write_archives(df, path)
-    heads = [h for f in glob.glob(path + "/part-*") for h, _ in warc.records(gzip.open(f).read())]
+    heads = [h for f in glob.glob(path + "/part-*") for h, _ in warc.records(warc.inflated(open(f, "rb").read()))]
     assert len(heads) == df.count() and all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= h.keys() for h in heads)
     assert all("warc-refers-to" in h and "warc-profile" in h for h in heads if h["warc-type"] == "revisit")
     empty = str(tmp_path / "empty")
@@ -207,3 +208,22 @@ def test_chat_parts_become_placeholders(spark):
     assert out[1].attachment_tokens == 836 and out[2].formatted == "<s>[INST]user[/INST]</s>" and out[2].attachments == []
     s = out[1].loss_spans[0]
     assert out[1].formatted[s.start: s.start + s.length] == "<|document|><|image|>ok"
+
+
+def test_archives_with_a_member_per_record(spark, tmp_path):
+    """As others write them: every record a gzip member of its own, long and empty payloads, padding behind; read in small runs."""
+    def record(i, payload):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: u{i}\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+    payloads = [b"one", b"", b"x\r\n\r\n" * 50_000, "é".encode() * 10, b"two"]
+    whole = [record(i, p) for i, p in enumerate(payloads)]
+    (tmp_path / "part-0.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in whole[:3]) + gzip.compress(b"".join(whole[3:])) + b"\0" * 7)
+    (tmp_path / "part-1.warc").write_bytes(record(9, b"plain"))
+    got = {r.page_id: bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path), payloads=True).collect()}
+    assert got == dict(enumerate(payloads)) | {9: b"plain"}
+    cut = gzip.compress(whole[0]) + gzip.compress(whole[2])
+    assert [b for _, b in warc.records(warc.inflated(cut, 7))] == [b for _, b in warc.records([whole[0] + whole[2]])]
+    for bad in (cut[:-9], gzip.compress(whole[0][:-2]), gzip.compress(b"WARC/1.1\r\nno end")):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(bad)))

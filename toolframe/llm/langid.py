@@ -11,6 +11,7 @@ map-side combining and brings one vector per language to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,6 +208,54 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
 
 
+CHANCE = 1e-4  # that noise reaches the bound for some language
+GROWTH = 0.036  # cosine per root of a text's distinct trigrams that texts in a learned language reach at least, before noise
+SPREADS = 3  # standard deviations of a cosine's noise by which such a text may fall below
+
+
+def noise_bound(languages: int, dims: int = DIMENSIONS) -> float:
+    """What the best of so many cosines of unrelated profiles reaches with a chance of CHANCE: each spreads by one over the root of the dimensions."""
+    return math.sqrt(2 * math.log(max(languages, 1) / CHANCE) / dims)
+
+
+def least_score(distinct: int, languages: int, dims: int = DIMENSIONS) -> float:
+    """The least cosine at which a text with so many distinct trigrams is taken to be in a learned language.
+
+    The cosine of a text in its own language grows with the root of its
+    distinct trigrams, and spreads as noise does; a text below what its length
+    lets expect goes, at most the noise bound is asked. A word or two can't be
+    told from noise and stay.
+    """
+    return min(noise_bound(languages, dims), GROWTH * math.sqrt(distinct) - SPREADS / math.sqrt(dims))
+
+
+def known(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs in a learned language (see ``least_score``), all columns as they are.
+
+    Texts that are null or without a letter go; with no prototypes all rows go.
+    Trigrams are counted over the whole text, and only where the cosine is
+    below the noise bound, since longer texts aren't asked for more.
+    """
+    ship(docs.sparkSession)
+    names = sorted(prototypes)
+    matrix = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names] or [[]])
+
+    def stays(x: str, some: bool, score: float) -> bool:
+        if not some or not names:
+            return False
+        bound = noise_bound(len(names), matrix.shape[1])
+        return score >= bound or score >= least_score(len(np.unique(trigrams(x))), len(names), matrix.shape[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            vectors, some = bundles(texts, matrix.shape[1] or DIMENSIONS)
+            best = (vectors @ matrix.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]).max(axis=1) if names else np.zeros(len(texts))
+            yield b.filter(pa.array([stays(x, s, v) for x, s, v in zip(texts, some, best, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The contract's fold: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -51,29 +51,6 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
-    """Cells by word prefixes, which :func:`pack` no longer uses (see :func:`word_cells`): a word is hashed by the four bytes at its start; the hash's bits
-    are the signs with which it adds to the coordinates, which are scaled by the root of the number of words."""
-    _, at, body = texts.buffers()
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    edges = np.frombuffer(at, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(body, np.uint8)[edges[0]: edges[-1]] if body is not None else np.empty(0, np.uint8)
-    edges -= edges[0]
-    space, begins = WHITE[data], np.ones(len(data), bool)
-    begins[1:] = space[:-1]
-    begins[edges[:-1][edges[:-1] < len(data)]] = True
-    starts = np.flatnonzero(begins & ~space)
-    owner = np.searchsorted(edges, starts, side="right") - 1
-    head = np.zeros(len(starts), np.uint64)
-    for i in range(4):
-        here = starts + i
-        inside = here < edges[owner + 1]
-        head[inside] |= data[here[inside]].astype(np.uint64) << np.uint64(8 * i)
-    hashes, n = mix64(head), np.bincount(owner, minlength=len(texts))
-    total = np.stack([2 * np.bincount(owner, weights=(hashes >> np.uint64(d) & np.uint64(1)).astype(np.float64), minlength=len(texts)) - n for d in range(dims)], axis=1)
-    return np.clip((total / np.maximum(n, 1)[:, None] ** 0.5 + 4) / 8 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-
-
 def word_cells(texts: pa.Array, dims: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
     """Each text's cell. Every whole word is hashed; the hash's bits are the signs with which each distinct word adds
     1 + ln(count) to the coordinates, which are scaled by the vector's length, so that frequent words don't push long texts to the cube's faces. One pass over the batch's bytes, long texts in runs."""

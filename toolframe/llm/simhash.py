@@ -56,13 +56,18 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 
 def _bucket(ids: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below an id, by halving: a chain of conditions as deep as the logarithm of their number."""
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(ids < bounds[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-    return tree(0, len(bounds))
+    """How many bounds are at or below an id, by halving an array of them."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # a constant
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = ids < table[mid]
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(below, s["low"]).otherwise(mid + 1).alias("low"), F.when(below, mid).otherwise(s["high"]).alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), whole, halve, lambda s: s["low"])
 
 
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -80,8 +85,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("o"), F.coalesce("text", F.lit("")).alias("text"))
-    n = min(buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 512)
-    bounds = rows.select("o").agg(F.percentile_approx("o", [(i + 1) / n for i in range(n - 1)] or [1.0], 100 * n).alias("b")).first()["b"] or []
+    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.select("o").agg(F.percentile_approx("o", [(i + 1) / n for i in range(n - 1)] or [1.0], max(10_000, 20 * n)).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     rows = rows.withColumn("b", _bucket(F.col("o"), bounds))
     heads = sorted(((r["b"], r["o"]) for r in rows.groupBy("b").agg(F.max("o").alias("o")).collect()), reverse=True)

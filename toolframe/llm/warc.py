@@ -81,21 +81,56 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     rows.select(_record(said).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of every record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file in runs of bounded size: all members of a gzip file one after another, or the file itself."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            run = member.decompress(data, size)
+            data = member.unconsumed_tail
+            if run:
+                yield run
+            elif not data and not member.eof:
+                raise ValueError("an archive ends within a gzip member")
+        data = member.unused_data.lstrip(b"\0")
+
+
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of every record of an archive, given in runs of bytes; holds one record at a time."""
+    chunks, held, at = iter(chunks), bytearray(), 0
+
+    def more() -> bool:
+        run = next(chunks, None)
+        held.extend(run or b"")
+        return run is not None
+
+    def needed(what: str) -> None:
+        if not more():
+            raise ValueError(f"the record at byte {at} {what}")
+
+    while True:
+        while not held:
+            if not more():
+                return
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            needed("has no end of its headers")
+        lines = held[:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if data[stop: stop + 4] != b"\r\n\r\n":
+        stop = end + 4 + int(head["content-length"])
+        while len(held) < stop + 4:
+            needed("doesn't end where its length says")
+        if held[stop: stop + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield head, data[start:stop]
-        at = stop + 4
+        yield head, bytes(held[end + 4: stop])
+        del held[: stop + 4]
+        at += stop + 4
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -118,7 +153,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for b in batches:
             for i in range(b.num_rows):
                 rows = []
-                for head, block in records(zlib.decompress(b.column(0)[i].as_py(), 47)):
+                for head, block in records(inflated(b.column(0)[i].as_py())):
                     kind, said = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
                     http, _, payload = block.partition(b"\r\n\r\n")
                     if kind == "response":
