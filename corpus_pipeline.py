@@ -7,8 +7,6 @@ the shared folder as Parquet and gives the next stage what it reads there.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from toolframe.llm import langid, linededup, minhash, packing, pii
 from toolframe.llm.common import written
 from toolframe.llm.queries import tokenizer
 
-CHANCE, FEW = 1e-4, 64  # of the language stage: chance that noise passes, letters below which no text is judged
+ROW = "__near_dedup_row"  # beside the columns of documents
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,20 +23,8 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Profiles learned from all labelled documents; texts without a letter, or no closer to any language than chance, go.
-
-    The cosine of unrelated profiles spreads by one over the root of the
-    dimensions, and the best of all languages is taken: the bound is what that
-    best reaches with a chance of at most CHANCE. Texts whose distinct words
-    have fewer than FEW letters can score as low in their own language, so they
-    stay.
-    """
-    prototypes = langid.train(docs)
-    scored = langid.predict(docs, prototypes, prefix="__lang_")
-    bound = math.sqrt(2 * math.log(max(len(prototypes), 1) / CHANCE) / langid.DIMENSIONS)
-    letters = F.length(F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)), ""))
-    judged = (F.col("__lang_score") >= bound) | (letters < FEW)
-    return scored.where((F.col("__lang_pred") != "und") & judged).select(*[f"`{c}`" for c in docs.columns])
+    """Profiles learned from all labelled documents; texts without a letter, or less like every language than their length lets expect, go."""
+    return langid.known(docs, langid.train(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,18 +33,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id, at a similarity of 0.8 as for any stage on shingles.
+    """One document of each near-duplicate group, at a similarity of 0.8 as for any stage on shingles: that with the smallest doc_id (null last), then row.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id (one document to
-    the operator) the smallest row stays.
+    Rows are told apart by a number of their own, written with them, so equal
+    and missing doc_ids join nothing and lose nothing.
     """
-    found = minhash.near_duplicates(docs, threshold=0.8, close=0.42)
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    joined = docs.join(kept, "doc_id")
-    names = [f"`{c}`" for c in docs.columns]
-    once = joined.where("__n = 1").select(*names)
-    again = joined.where("__n > 1").select(F.col("doc_id").alias("__id"), F.struct(*names).alias("__row")).groupBy("__id").agg(F.min("__row").alias("__row")).select("__row.*")
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    groups = minhash.near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"), threshold=0.8, close=0.42)
+    named = numbered.select(ROW, "doc_id").join(groups.select(F.col("doc_id").alias(ROW), "component_id"), ROW)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return numbered.join(first, ROW, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
