@@ -56,13 +56,13 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", num_perm:
                shingle: int = 5, seed: int = 42) -> DataFrame:
     """``(key, sig array<long>, grams array<string>)``: MinHash signature and the distinct shingles' md5 prefixes (64 bits)."""
     staged = df.select(key, normalized(F.col(text)).alias("_t"))
-    ex = staged.select(key, F.explode(shingles(F.col("_t"), shingle)).alias("_s")).select(key, F.substring(F.md5("_s"), 1, 16).alias("_g"))
-    ex = ex.select(key, "_g", F.conv(F.substring("_g", 1, 7), 16, 10).cast("long").alias("_h"))
+    grams = F.array_distinct(F.transform(shingles(F.col("_t"), shingle), lambda s: F.substring(F.md5(s), 1, 16)))
+    sets = written(staged.select(key, grams.alias("grams")), "shingles")  # the one pass over the texts
+    ex = sets.select(key, F.explode("grams").alias("_g")).select(key, F.conv(F.substring("_g", 1, 7), 16, 10).cast("long").alias("_h"))
     mins = [F.min(F.pmod(F.lit(a).cast("long") * F.col("_h") + F.lit(b).cast("long"), F.lit(_PRIME).cast("long"))).alias(f"_m{i}")
             for i, (a, b) in enumerate(coefficients(num_perm, seed))]
     g = ex.groupBy(key).agg(*mins)
-    grams = staged.select(key, F.array_distinct(F.transform(shingles(F.col("_t"), shingle), lambda s: F.substring(F.md5(s), 1, 16))).alias("grams"))
-    return g.select(key, F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig")).join(grams, key)
+    return g.select(key, F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig")).join(sets, key)
 
 
 def buckets(sigs: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
@@ -138,16 +138,20 @@ def bucket_links(sigs: DataFrame, near: DataFrame, key: str, threshold: float, b
     return rows.groupBy("band", "bucket", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").distinct()
 
 
-def verified_edges(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
-                   num_perm: int = 64, bands: int = 16, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """``(a, b, similarity)``: bucket members whose exact Jaccard reaches the threshold, as many as join the clusters."""
-    sigs = written(signatures(df, key, text, num_perm, shingle, seed), "signatures")
+def head_edges(sigs: DataFrame, key: str, threshold: float, bands: int) -> DataFrame:
+    """``(a, b, similarity)``: each document and the smallest keys of its buckets whose exact Jaccard reaches the threshold."""
     sets = sigs.select(F.col(key).alias("k"), "grams")
     both = (candidates(sigs, key, bands).join(sets.withColumnRenamed("k", "a"), "a")
             .join(sets.select(F.col("k").alias("b"), F.col("grams").alias("other")), "b"))
     inter = F.size(F.array_intersect("grams", "other"))
-    heads = both.select("a", "b", (inter / (F.size("grams") + F.size("other") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
-    near = written(heads, "heads")
+    return both.select("a", "b", (inter / (F.size("grams") + F.size("other") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def verified_edges(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
+                   num_perm: int = 64, bands: int = 16, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """``(a, b, similarity)``: bucket members whose exact Jaccard reaches the threshold, as many as join the clusters."""
+    sigs = written(signatures(df, key, text, num_perm, shingle, seed), "signatures")
+    near = written(head_edges(sigs, key, threshold, bands), "heads")
     return near.unionByName(bucket_links(sigs, near, key, threshold, bands))
 
 

@@ -1173,29 +1173,51 @@ _X6_MINS = ", ".join(f"min(({a} * h + {b}) % 2147483647) AS m{i}" for i, (a, b)
 _X6_BANDS = " UNION ALL ".join(f"SELECT doc_id AS a, {b} AS band, concat_ws(',', {', '.join(f'm{4 * b + i}' for i in range(4))}) AS bucket FROM sig" for b in range(16))
 
 
-@query("x06_near_duplicates", rf"""WITH RECURSIVE
-t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS s FROM documents),
+# The documents, and a family of texts on one template: each shares an item's text with one other, the template alone with the rest.
+_X6_DOCS = """docs AS (SELECT doc_id, text FROM documents UNION ALL
+  SELECT 1000000000 + i.item_id + 1000 * k, {join} || ' ' || i.text || ' tail ' || k || ' of ' || i.item_id FROM (SELECT * FROM benchmark WHERE item_id >= 8) i, (SELECT {unnest} AS k),
+         (SELECT {agg} AS {t} FROM benchmark WHERE item_id < 8) h)"""
+def _x6_sql(pairs: str) -> str:
+    """CTEs up to ``v``: the verified ones of the given pairs (a, b) of bucket members (``bk``)."""
+    return rf"""{_X6_DOCS.format(join='h.t', unnest='unnest([0, 1])', agg="string_agg(text, ' ' ORDER BY item_id)", t='t')},
+t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS s FROM docs),
 w AS (SELECT doc_id, s, string_split(s, ' ') AS ws FROM t WHERE s <> ''),
 g AS (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [s] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
 x AS (SELECT DISTINCT doc_id, substr(md5(gram), 1, 16) AS gram FROM g),
 hx AS (SELECT doc_id, CAST(('0x' || substr(gram, 1, 7)) AS BIGINT) AS h FROM x),
 sig AS (SELECT doc_id, {_X6_MINS} FROM hx GROUP BY doc_id),
 bk AS ({_X6_BANDS}),
-cand AS (SELECT DISTINCT a, b FROM (SELECT a, min(a) OVER (PARTITION BY band, bucket) AS b FROM bk) WHERE a <> b),
+cand AS (SELECT DISTINCT a, b FROM ({pairs})),
 n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
 i AS (SELECT c.a, c.b, count(*) AS k FROM cand c JOIN x p ON p.doc_id = c.a JOIN x q ON q.doc_id = c.b AND q.gram = p.gram GROUP BY c.a, c.b),
 e AS (SELECT i.a, i.b, CAST(k AS DOUBLE) / (na.n + nb.n - k) AS s FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b),
-v AS (SELECT a, b, s FROM e WHERE s >= 0.8),
+v AS (SELECT a, b, s FROM e WHERE s >= 0.8)"""
+
+
+def _x06_documents(spark, sf_dir):
+    fx.table(spark, sf_dir, "documents").createOrReplaceTempView("_x06_documents")
+    fx.table(spark, sf_dir, "benchmark").createOrReplaceTempView("_x06_benchmark")
+    agg = "array_join(transform(array_sort(collect_list(struct(item_id, text))), x -> x.text), ' ')"
+    sql = _X6_DOCS.format(join="h.t", unnest="explode(array(0, 1))", agg=agg, t="t").replace("FROM documents", "FROM _x06_documents").replace("FROM benchmark", "FROM _x06_benchmark")
+    return spread(spark.sql(f"WITH {sql} SELECT * FROM docs"))
+
+
+@query("x06_near_duplicates", rf"""WITH RECURSIVE {_x6_sql('SELECT p.a, q.a AS b FROM bk p JOIN bk q ON p.band = q.band AND p.bucket = q.bucket AND p.a > q.a')},
 l AS (SELECT a AS x, b AS y FROM v UNION SELECT b, a FROM v),
 r AS (SELECT x, x AS y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
-c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x),
-m AS (SELECT x, max(s) AS s FROM (SELECT a AS x, s FROM v UNION ALL SELECT b, s FROM v) GROUP BY x)
-SELECT doc_id, coalesce(cluster, doc_id) AS cluster, round(m.s, 9) AS similarity, coalesce(cluster <> doc_id, false) AS is_near_dup
-FROM documents LEFT JOIN c ON c.x = doc_id LEFT JOIN m ON m.x = doc_id""")
+c AS (SELECT x, min(y) AS cluster FROM r GROUP BY x)
+SELECT doc_id, coalesce(cluster, doc_id) AS cluster, coalesce(cluster <> doc_id, false) AS is_near_dup FROM docs LEFT JOIN c ON c.x = doc_id""")
 def x06(spark, sf_dir):
-    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = neardup.near_duplicates(docs)
-    return out.select("doc_id", "cluster", F.round("similarity", 9).alias("similarity"), "is_near_dup")
+    """Clusters of all verified pairs of all buckets; the twin compares every pair of every bucket."""
+    return neardup.near_duplicates(_x06_documents(spark, sf_dir)).select("doc_id", "cluster", "is_near_dup")
+
+
+@query("x06_head_edges", rf"""WITH {_x6_sql('SELECT a, min(a) OVER (PARTITION BY band, bucket) AS b FROM bk')}
+SELECT a, b, round(s, 9) AS similarity FROM v WHERE a <> b""")
+def x06_heads(spark, sf_dir):
+    """Each document and the smallest keys of its buckets, with their exact similarity."""
+    sigs = written(neardup.signatures(_x06_documents(spark, sf_dir)), "signatures")
+    return r9(neardup.head_edges(sigs, "doc_id", 0.8, 16))
 
 
 # --------------------------------------------------------------------------
