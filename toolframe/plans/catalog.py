@@ -654,6 +654,19 @@ def k03(spark, sf_dir):
                                      F.count(F.when(~unk, 1)).alias("n_known"))
 
 
+@query("a01_dedup_history", """
+SELECT doc_id, doc_id % 3 AS run FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id % 3, doc_id) = 1""")
+def a01_history(spark, sf_dir):
+    """Three runs over parts of the documents, the second one repeated after a crash behind its keys: together one row per text."""
+    from toolframe.operators import history
+    docs, kept, path = fx.table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k")), {}, scratch_path(spark, "key-history")
+    for run in (0, 1, 1, 2):
+        seen = history.KeyHistory(spark, path, buckets=16)
+        part = docs.where(F.col("doc_id") % 3 == run)
+        kept[run] = written(history.dedup_against(part, F.col("k"), seen, run, order="doc_id").select("doc_id", F.lit(run).cast("long").alias("run")), "run")
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 @query("a02_source_counts", f"WITH {_F1} SELECT source, count(*) AS n FROM f1 GROUP BY source")
 def a02(spark, sf_dir):
     return prep.source_counts(fx.corpus_f1(spark, sf_dir))
@@ -876,6 +889,20 @@ def x07(spark, sf_dir):
     return prep.leakage(ev, tr, F.col("text"), F.col("text")).select("row_id")
 
 
+@query("x07_contained_passages", r"""
+WITH b AS (SELECT item_id, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS ws FROM benchmark WHERE trim(text) <> ''),
+d AS (SELECT doc_id, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS ws FROM documents),
+g AS (SELECT DISTINCT item_id, least(5, len(ws)) AS k, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS gram FROM b),
+x AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS gram FROM d, (SELECT DISTINCT k FROM g) WHERE len(ws) >= k),
+n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
+m AS (SELECT item_id, doc_id, count(*) AS f FROM g JOIN x USING (gram) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, n AS n_grams, f AS n_found, round(f / CAST(n AS DOUBLE), 9) AS containment FROM m JOIN n USING (item_id) WHERE f >= ceil(n * 0.8 - 1e-9)""")
+def x07_passages(spark, sf_dir):
+    """Benchmark passages inside documents, each found by its rarest n-grams and counted exactly."""
+    from toolframe.operators import containment
+    return r9(containment.contained_passages(fx.table(spark, sf_dir, "benchmark"), fx.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 # --------------------------------------------------------------------------
 # Conversations and token arrays
 # --------------------------------------------------------------------------
