@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolframe.session import written
+from toolframe.session import written_counted
 
 ROUNDS = 4
 WALK = 64  # steps outside 0..n-1 after which a row raises; fewer than 1 in 4 numbers of the box are outside
@@ -60,11 +60,10 @@ def number_rows(df: DataFrame, out: str = "index") -> tuple[DataFrame, int]:
     each) is added. The same input split in another way is numbered in another
     way; the written table keeps its numbers.
     """
-    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    rows, n = written_counted(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
     counts = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("_p", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    n = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     numbered = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_o") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    return numbered.drop("_p", "_c", "_o", "_id"), n
+    return numbered.drop("_p", "_o", "_id"), n

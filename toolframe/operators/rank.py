@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolframe.session import written
+from toolframe.session import written, written_counted
 
 KEY_BITS = 60  # 15 hex digits of md5
 
@@ -90,7 +90,9 @@ def with_cuts(df: DataFrame, key: str, tie: str, wanted: DataFrame, names: list[
     the boundary bucket of each cut is ranked on (key, tie) alone, and a narrow
     comparison labels the rows. No row with its texts is shuffled or sorted.
     (key, tie) must identify a row of its group. A cut that is absent, or at 0,
-    is false; one beyond the group is true. key: see ``order_key``.
+    is false; one beyond the group is true. key: see ``order_key``. Without a
+    group the cuts are two numbers per name and become constants; the table of
+    a grouped one is written and counted in one job.
     """
     g = group or "_g"
     base = df if group else df.withColumn(g, F.lit(0))
@@ -105,15 +107,21 @@ def with_cuts(df: DataFrame, key: str, tie: str, wanted: DataFrame, names: list[
     size = counts.groupBy(g).agg(F.sum("_c").alias("_size"))
     table = want.join(size, g).join(cut, [g, "name"], "left").select(
         g, "name", F.struct((F.col("at") > F.col("_size")).alias("all"), F.col("_cut").alias("cut")).alias("_x"))
-    table = written(table.groupBy(g).pivot("name", names).agg(F.first("_x")).select(g, *[F.col(n).alias(f"_cut_{n}") for n in names]), "cuts")
-    if table.count() <= BROADCAST_GROUPS:
-        table = F.broadcast(table)
-    out = base.join(table, g, "left")
     here = F.struct(F.col(key).alias("_k"), F.col(tie).alias("_t"))
+    if not group:
+        cuts = {r["name"]: r["_x"] for r in table.select("name", "_x").collect()}  # a row per name
+        for n in names:
+            x = cuts.get(n)
+            at = x and x["cut"]
+            inside = here <= F.struct(F.lit(at["_k"]).alias("_k"), F.lit(at["_t"]).alias("_t")) if at else F.lit(False)
+            df = df.withColumn(n, F.lit(True) if x and x["all"] else inside)
+        return df
+    table, groups = written_counted(table.groupBy(g).pivot("name", names).agg(F.first("_x")).select(g, *[F.col(n).alias(f"_cut_{n}") for n in names]), "cuts")
+    out = base.join(F.broadcast(table) if groups <= BROADCAST_GROUPS else table, g, "left")
     for n in names:
         x = F.col(f"_cut_{n}")
         out = out.withColumn(n, F.coalesce(x["all"] | (here <= x["cut"]), x["all"], F.lit(False)))
-    return out.drop(*[f"_cut_{n}" for n in names], *([] if group else [g]))
+    return out.drop(*[f"_cut_{n}" for n in names])
 
 
 def range_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolframe.operators import prep, tokens
-from toolframe.session import written
+from toolframe.session import written, written_counted
 from toolframe.sources import readers
 
 
@@ -50,8 +50,8 @@ def prepare_rows(df: DataFrame, cfg: PrepareConfig) -> DataFrame:
         df = prep.balance_sources(df, key="row_key", tie="row_id", seed=cfg.seed)
         df = df.withColumn("row_key", F.concat_ws("|", "row_key", F.col("draw").cast("string"))) \
             .withColumn("row_id", F.concat_ws("|", "row_id", F.col("draw").cast("string")))
-    df = written(df, "balanced")
-    return written(prep.split_exact(df, key="row_key", tie="row_id", seed=cfg.seed, train=cfg.train, val=cfg.validation), "split")
+    df, n = written_counted(df, "balanced")
+    return written(prep.split_exact(df, key="row_key", tie="row_id", n=n, seed=cfg.seed, train=cfg.train, val=cfg.validation), "split")
 
 
 def prepare(spark: SparkSession, cfg: PrepareConfig) -> dict[str, DataFrame]:

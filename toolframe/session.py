@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults tuned for correctness-first local runs; every one is overridable.
 _DEFAULTS = {
@@ -72,6 +73,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written`` and the number of its rows, counted by the write itself: no job of its own."""
+    seen, path = Observation(), scratch_path(df.sparkSession, name)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over as many tasks as the caller sets in ``toolframe.spread``; as it is where that is unset.
 
