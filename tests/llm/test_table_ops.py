@@ -1,4 +1,3 @@
-import pytest
 import collections
 import datetime
 import gzip
@@ -6,11 +5,12 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.rows import contract_words, documents
 from toolframe.llm import chat, graph, minhash, topk, warc
-from toolframe.llm.common import scratch_path
+from toolframe.llm.common import scratch_path, written
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -227,3 +227,14 @@ def test_archives_with_a_member_per_record(spark, tmp_path):
     for bad in (cut[:-9], gzip.compress(whole[0][:-2]), gzip.compress(b"WARC/1.1\r\nno end")):
         with pytest.raises(ValueError):
             list(warc.records(warc.inflated(bad)))
+
+
+def test_one_very_long_conversation_is_read_back_in_order(spark):
+    """40,000 turns in one row: whatever cuts each span out of the whole string doesn't end here."""
+    n = 40_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 1 THEN 'assistant' ELSE 'user' END AS role", "concat('é</s> ', id) AS text").repartition(4)
+    chats = written(chat.format_conversations(turns.withColumn("parts", chat.text_part(F.col("text")))), "long-chat")
+    r = chat.digests(chats).first()
+    loss = "".join(f"é</s> {i}" for i in range(1, n, 2))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\né</s> {i}\n" for i in range(n)).encode()).hexdigest()

@@ -110,16 +110,31 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(inner, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, one per span."""
-    return F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int"))))
+def read_loss(chats: DataFrame) -> DataFrame:
+    """(conv_id, start, text): what stands under the loss mask of each conversation, unescaped, a row per span.
+
+    chats: conv_id, formatted, loss_spans. The string is cut once, behind its
+    turns; a sweep over cuts and spans in order of their places hands each span
+    the piece that it lies in, so the time grows with the string and the spans,
+    not with their product. A span that leaves its turn ends with it.
+    """
+    before = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = chats.select("conv_id", F.posexplode(F.split("formatted", EOS, -1)).alias("i", "piece"))
+    pieces = pieces.withColumn("at", F.coalesce(F.sum(F.length("piece") + len(EOS)).over(before), F.lit(0)).cast("long"))
+    marks = pieces.select("conv_id", "at", F.lit(0).alias("kind"), F.struct("piece", "at").alias("turn"), F.lit(None).cast("long").alias("length"))
+    spans = chats.select("conv_id", F.explode("loss_spans").alias("s")).select("conv_id", F.col("s.start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["turn"].dataType).alias("turn"), F.col("s.length").alias("length"))
+    back = Window.partitionBy("conv_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = marks.unionByName(spans).withColumn("turn", F.last("turn", ignorenulls=True).over(back)).where("kind = 1")
+    text = F.substr("turn.piece", (F.col("at") - F.col("turn.at") + 1).cast("int"), F.col("length").cast("int"))
+    return swept.select("conv_id", F.col("at").alias("start"), unescape(text).alias("text"))
 
 
 def digests(chats: DataFrame) -> DataFrame:
     """The contract's row per conversation, read back from ``formatted`` and the loss mask."""
-    joined = F.array_join(F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    back = chats.select("conv_id", "formatted", "attachment_tokens", F.size(read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
-                        F.sha2(joined, 256).alias("turns_sha256"),
-                        F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
-    return back.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"),
-                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "")
+    loss = read_loss(chats).groupBy(F.col("conv_id").alias("c")).agg(said.alias("loss"))
+    turns = chats.select("conv_id", read_turns(F.col("formatted")).alias("t"), F.length("formatted").cast("long").alias("formatted_chars"))
+    joined = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    back = turns.join(loss, F.col("conv_id").eqNullSafe(F.col("c")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
+    return back.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
