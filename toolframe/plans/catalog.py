@@ -1484,3 +1484,111 @@ def h08(spark, sf_dir):
     """Sorted keys, the last of two equal ones, numbers as written: compact, and as Python prints it."""
     raw = F.expr("""concat('{"z": [1, ', user_id, '.0], "a": {"y": ', props, ', "x": 1e2}, "z": [2.0, {"é": "\\\\u00e9', event_type, '", "b": ', user_id, ', "a": -0}]}')""")
     return fx.table(spark, sf_dir, "events").select("event_id", jsonx.exact_json(raw).alias("exact"), jsonx.python_json(raw).alias("dumped"))
+
+
+# --------------------------------------------------------------------------
+# J4 / J5 / J10 / L7 / U3 / P14 / H4 / H12 / H13 over given tables; K2 / K4 / K6 / K7 written and read back
+# --------------------------------------------------------------------------
+
+from toolframe.operators import toolsets  # noqa: E402
+
+_NEEDS = "SELECT o_orderkey AS row_id, n_name AS own, 'NATION_' || CAST(o_orderkey % 30 AS {text}) AS other FROM {orders} o JOIN {customer} c ON o_custkey = c_custkey JOIN {nation} n ON c_nationkey = n_nationkey"
+_TOOLS_SQL = f"""WITH ex AS ({_NEEDS.format(text='VARCHAR', orders='orders', customer='customer', nation='nation')}),
+k AS (SELECT row_id, own, other, n_name AS name, n_regionkey AS region, {_u("'42|' || CAST(row_id AS VARCHAR) || '|' || n_name")} AS u FROM ex, nation),
+m AS (SELECT row_id, CASE WHEN other NOT IN (SELECT n_name FROM nation) THEN other ELSE '' END AS missing FROM ex)"""
+
+
+def _tool_inputs(spark, sf_dir):
+    t = lambda n: fx.table(spark, sf_dir, n)
+    orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    other = F.concat(F.lit("NATION_"), (F.col("o_orderkey") % 30).cast("string"))
+    examples = orders.select(F.col("o_orderkey").alias("row_id"), F.array("n_name", other).alias("needed"))
+    return examples, t("nation").select(F.col("n_name").alias("name"), F.concat(F.lit('{"region": '), F.col("n_regionkey").cast("string"), F.lit("}")).alias("definition"))
+
+
+def _shown(df):
+    text = F.array_join(F.transform("tools", lambda t: F.concat(t["name"], t["definition"])), ",")
+    return df.select("row_id", F.size("tools").alias("n_tools"), F.md5(text).alias("tools_md5"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("j05_tools_exposed", f"""{_TOOLS_SQL}
+SELECT k.row_id, CAST(count(*) AS INTEGER) AS n_tools, md5(string_agg(name || '{{"region": ' || region || '}}', ',' ORDER BY u, name)) AS tools_md5, any_value(missing) AS missing
+FROM k JOIN m ON m.row_id = k.row_id GROUP BY k.row_id""")
+def j05(spark, sf_dir):
+    """Every order sees the whole catalogue of nations in an order of its own; needed names that don't exist are told."""
+    return _shown(toolsets.expose_tools(*_tool_inputs(spark, sf_dir)))
+
+
+@query("j04_needed_and_distractors", f"""{_TOOLS_SQL},
+d AS (SELECT *, name = own OR name = other AS need, row_number() OVER (PARTITION BY row_id, name = own OR name = other ORDER BY u, name) AS r FROM k)
+SELECT d.row_id, CAST(count(*) AS INTEGER) AS n_tools, md5(string_agg(name || '{{"region": ' || region || '}}', ',' ORDER BY u, name)) AS tools_md5, any_value(missing) AS missing
+FROM d JOIN m ON m.row_id = d.row_id WHERE need OR r <= 5 GROUP BY d.row_id""")
+def j04(spark, sf_dir):
+    """The needed tools and five others."""
+    return _shown(toolsets.expose_tools(*_tool_inputs(spark, sf_dir), distractors=5))
+
+
+@query("j10_weighted_choice", f"""
+WITH w AS (SELECT n_name AS name, count(*) AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
+l AS (SELECT name, sum(weight) OVER (ORDER BY name) - weight AS low, sum(weight) OVER (ORDER BY name) AS high FROM w),
+d AS (SELECT event_id, floor({_unit("'42|' || CAST(event_id AS VARCHAR) || '|choice'")} * (SELECT sum(weight) FROM w)) AS place FROM events)
+SELECT event_id, name AS choice FROM d JOIN l ON place >= low AND place < high""")
+def j10_choice(spark, sf_dir):
+    """A nation for every event, as likely as it has customers."""
+    joined = fx.table(spark, sf_dir, "customer").join(fx.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    weights = joined.groupBy(F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("weight"))
+    return toolsets.weighted_choice(fx.table(spark, sf_dir, "events").select("event_id"), weights, key="event_id")
+
+
+@query("p14_training_text", """
+SELECT event_id, '[' || event_type || '] USER: do ' || user_id || chr(10) || 'ASSISTANT: ' || '<tool_call>' || chr(10) || '{"name": "' || event_type || '", "arguments": ' || props || '}' || chr(10) || '</tool_call>'
+       || CASE WHEN event_id % 2 = 0 THEN chr(10) || '<tool_call>' || chr(10) || '{"name": "none"}' || chr(10) || '</tool_call>' ELSE '' END AS text FROM events""")
+def p14(spark, sf_dir):
+    calls = F.array(F.concat(F.lit('{"name": "'), "event_type", F.lit('", "arguments": '), "props", F.lit("}")), F.when(F.col("event_id") % 2 == 0, '{"name": "none"}'))
+    text = toolsets.training_text(F.col("event_type"), F.concat(F.lit("do "), F.col("user_id").cast("string")), calls)
+    return fx.table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+@query("h12_draws_and_times", f"""
+SELECT event_id, round(value + {_unit("'42|' || CAST(event_id AS VARCHAR) || '|h12'")} * 2 * value, 2) AS drawn, strftime(ts, '%Y-%m-%d') || 'T' || strftime(ts, '%H:%M') || ':00' AS said FROM events""")
+def h12(spark, sf_dir):
+    """Rounded uniform draws between a row's own bounds, and its date and clock texts as one."""
+    said = toolsets.local_time(F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm"))
+    drawn = toolsets.rounded_draw(F.col("value"), 3 * F.col("value"), 2, F.col("event_id"), F.lit("h12"))
+    return fx.table(spark, sf_dir, "events").select("event_id", drawn.alias("drawn"), said.alias("said"))
+
+
+@query("k02_raw_test_split", f"{_SPLIT} SELECT sp.row_id, md5(text) AS text_md5, source FROM sp JOIN f1 ON f1.row_id = sp.row_id WHERE split = 'test'")
+def k02(spark, sf_dir):
+    """The raw test rows written as JSON lines, before any text is unified, and read back."""
+    path = scratch_path(spark, "test-raw")
+    split = prep.split_exact(fx.corpus_f1(spark, sf_dir))
+    readers.write_json(split.where("split = 'test'").drop("split"), path)
+    return spark.read.schema("row_id long, text string, source string").json(path).select("row_id", F.md5("text").alias("text_md5"), "source")
+
+
+@query("k04_result_documents", f"{_EV} SELECT stage, metric, {o.r9('value')} AS value FROM ml")
+def k04(spark, sf_dir):
+    """All stages' metrics written as JSON lines and read back."""
+    path = scratch_path(spark, "results")
+    readers.write_json(_metric_long(spark, sf_dir), path)
+    return r9(spark.read.schema("stage string, metric string, value double").json(path).where("value is not null"))
+
+
+@query("k06_step_history", f"{_STEP_SQL} SELECT step, {_sel(['reward_mean', 'frac_degenerate', 'n_datums'], {'reward_mean', 'frac_degenerate'})} FROM sm")
+def k06(spark, sf_dir):
+    """Step metrics appended to a log in three goes and read back as one."""
+    path = scratch_path(spark, "history")
+    steps = written(step_metrics_query(spark, sf_dir), "steps")
+    for part in range(3):
+        readers.write_json(steps.where(F.col("step") % 3 == part).select("step", "reward_mean", "frac_degenerate", "n_datums"), path, append=True)
+    return r9(spark.read.schema("step int, reward_mean double, frac_degenerate double, n_datums long").json(path))
+
+
+@query("k07_manifest", "SELECT count(*) AS n_rows, true AS sized, true AS ordered FROM documents")
+def k07(spark, sf_dir):
+    """The files of a written corpus with their sizes and rows, all rows accounted for."""
+    path = scratch_path(spark, "manifest")
+    readers.write_json(fx.table(spark, sf_dir, "documents").repartition(3), path)
+    files = readers.manifest(spark, path)
+    return files.agg(F.sum("rows").alias("n_rows"), (F.min("size_kb") > 0).alias("sized"), (F.count_distinct("file_name") == F.count(F.lit(1))).alias("ordered"))
