@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
@@ -33,18 +33,29 @@ class SourceError(RuntimeError):
     pass
 
 
+class MalformedLine(SourceError):
+    """A line that isn't JSON, with its file and its number from 1."""
+
+    def __init__(self, file: str, line: int, text: str):
+        super().__init__(f"{file}, line {line} isn't JSON: {text[:200]}")
+        self.file, self.line, self.text = file, line, text
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA,
                mode: str = "PERMISSIVE") -> DataFrame:
     """JSON-lines scan of a file or a directory of ``*.jsonl`` / ``*.json`` files, on any file system.
 
-    Blank lines are skipped by the reader. ``mode="FAILFAST"`` raises on a
-    malformed line (reference parity); the default keeps them in
+    Blank lines are skipped by the reader. ``mode="FAILFAST"`` reads the input
+    once to look for malformed lines and raises MalformedLine with the first
+    one's file and line number (reference parity); the default keeps them in
     ``_corrupt_record``. A missing path raises; an empty input raises. Names
     outside the schema are not read: pass a schema to read others, or read
     every key that occurs with ``openjson.read_open_jsonl``.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(f"no such input: {path}")
+    if mode == "FAILFAST":
+        refuse_malformed(spark, path)
     reader = spark.read.option("mode", mode)
     if mode != "FAILFAST":
         schema = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
@@ -67,6 +78,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return reader.text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of ``read_lines`` with exact numbers from 1, blank ones counted.
+
+    Splits are read in parallel: a line's number is its place in its split plus
+    the lines of the file's earlier splits, a table of one row per split.
+    """
+    rows = read_lines(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"), "value")
+    before = Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    splits = splits.select("file", "b", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    return rows.join(splits, ["file", "b"]).select("file", (F.col("lines") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+def refuse_malformed(spark: SparkSession, path: str) -> None:
+    """Raise MalformedLine for the first line (by file, then place) that holds no JSON document. Lines are numbered only if there is one."""
+    from toolframe.functions.text import py_strip
+    line = py_strip(F.col("value"))
+    bad = (line != "") & jsonx.parse_strict(line).isNull()
+    jsonx.last_key_wins(spark)
+    if not read_lines(spark, path).where(bad).take(1):
+        return
+    first = numbered_lines(spark, path).where(bad).orderBy("file", "line").first()
+    raise MalformedLine(first["file"], first["line"], first["value"])
+
+
 def parse_lines(lines: DataFrame, text: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
     """S1 / S5 on a table of lines: the other columns of ``lines`` and the parsed fields.
 
@@ -141,21 +177,24 @@ def load_single(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     return df
 
 
-def load_all(spark: SparkSession, specs: list[SourceSpec]) -> DataFrame:
+#: What a source that can't be read raises; anything else is a fault of the program and goes on.
+SOURCE_FAILURES = (SourceError, OSError, ValueError, PySparkException, Py4JJavaError)
+
+
+def load_all(spark: SparkSession, specs: list[SourceSpec], errors: dict[str, str] | None = None) -> DataFrame:
     """S2 + P1 + U1: read every enabled source, tag it, union by name.
 
-    A failing source is skipped (its error is kept in ``load_all.errors``);
-    no loadable source raises.
+    A source that can't be read is skipped and told in ``errors`` (the caller's
+    own dict: name to message); no loadable source raises.
     """
-    frames, errors = [], {}
+    frames, errors = [], {} if errors is None else errors
     for spec in specs:
         if not spec.enabled:
             continue
         try:
             frames.append(load_single(spark, spec).withColumn("source", F.lit(spec.name)))
-        except Exception as exc:  # skip and report, like the reference
+        except SOURCE_FAILURES as exc:  # skip and report, like the reference
             errors[spec.name] = f"{type(exc).__name__}: {exc}"
-    load_all.errors = errors
     if not frames:
         raise SourceError(f"no source could be read: {errors}")
     out = frames[0]
@@ -208,8 +247,18 @@ def last_sampler_path(spark: SparkSession, path: str) -> DataFrame:
 
     Line order is explicit: (file, start offset of the split, position in
     the task), and rows of one split are read in line order. Malformed or blank
-    lines are ignored. One row (``sampler_path``), NULL when none.
+    lines are ignored. A directory's files are read from the last by name, one
+    at a time, until one has a value: the older ones aren't opened. One row
+    (``sampler_path``), NULL when none.
     """
+    if _exists(spark, path) and _status(spark, path).isDirectory():
+        fs, hpath = _file_system(spark, path)
+        files = sorted((str(s.getPath()) for s in fs.listStatus(hpath) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), reverse=True)
+        for f in files[:-1]:
+            found = last_sampler_path(spark, f).first()["sampler_path"]
+            if found is not None:
+                return spark.range(1).select(F.lit(found).alias("sampler_path"))
+        path = files[-1] if files else path
     lines = (spark.read.text(path)
              .select(F.col("value"), F.col("_metadata.file_path").alias("_f"),
                      F.col("_metadata.file_block_start").alias("_b"),
