@@ -13,6 +13,7 @@ is an exact rank over slim rows by range partitions.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -149,17 +150,13 @@ def bucket_counts(table: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS
 
 
 def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """floor(1000 * log of the ratio of a bucket's smoothed shares, target over source), by bucket. The one table on the driver: a number per bucket."""
-    spark = source.sparkSession
-    both = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(source.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left")
-    both = both.select("bucket", F.coalesce("s", F.lit(0)).cast("double").alias("s"), F.coalesce("t", F.lit(0)).cast("double").alias("t"))
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    rows = both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).alias("g")).collect()  # sums: one row
-    out = [0] * buckets
-    for r in rows:
-        out[r["bucket"]] = r["g"]
-    return out
+    """floor(1000 * log of the ratio of a bucket's smoothed shares, target over source), by bucket. What reaches the driver: two numbers per bucket."""
+    s, t = [0.0] * buckets, [0.0] * buckets
+    for counts, out in ((source, s), (target, t)):
+        for r in counts.collect():
+            out[r["bucket"]] = float(r["n"])
+    all_s, all_t = sum(s) + buckets, sum(t) + buckets
+    return [math.floor(1000 * math.log((t[i] + 1) * all_s / ((s[i] + 1) * all_t))) for i in range(buckets)]
 
 
 def weights(table: DataFrame, gain: list[int], orders: int = ORDERS) -> DataFrame:
