@@ -27,6 +27,7 @@ from toolframe.operators.rank import range_rank
 
 BUCKETS = 10_000
 ORDERS = 3
+RUN_BYTES = 1 << 18  # of stored CRCs (a quarter as many words) that are worked on at once: tables of n-grams stay small
 NEAR = 256  # shifts below this many bytes have a table each; longer ones are made of powers of two
 SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _NORMAL = bytes.maketrans(SEPARATORS + bytes(range(65, 91)), b" " * len(SEPARATORS) + bytes(range(97, 123)))
@@ -131,7 +132,7 @@ def gram_crcs(counts: np.ndarray, crcs: list[bytes], sizes: list[bytes], orders:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[bytes], list[bytes]]]:
-    for b in slices(batches, "crcs"):
+    for b in slices(batches, "crcs", RUN_BYTES):
         column = lambda name: b.column(b.schema.get_field_index(name))  # noqa: E731,B023
         yield b, column("n_words").to_numpy(zero_copy_only=False).astype(np.int64), column("crcs").to_pylist(), column("sizes").to_pylist()
 
