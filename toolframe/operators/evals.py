@@ -361,8 +361,9 @@ def model_card_table(metrics: DataFrame, stage: str) -> DataFrame:
     spark = metrics.sparkSession
     wanted = spark.createDataFrame([(lbl, m, i) for i, (lbl, m) in enumerate(MODEL_CARD_METRICS)],
                                    "label string, metric string, pos int")
-    have = metrics.filter(F.col("stage") == stage).select("metric", "value")
-    return (wanted.join(F.broadcast(have), "metric", "left")
+    names = [m for _, m in MODEL_CARD_METRICS]
+    have = metrics.filter((F.col("stage") == stage) & F.col("metric").isin(names)).groupBy("metric").agg(F.max("value").alias("value"))
+    return (wanted.join(F.broadcast(have), "metric", "left")  # a row per metric of the card
             .select("pos", "label", "metric",
                     F.concat(fixed(F.lit(100.0) * F.coalesce(F.col("value"), F.lit(0.0)), 1), F.lit("%")).alias("display")))
 
