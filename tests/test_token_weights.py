@@ -36,3 +36,12 @@ def test_tokens_that_cross_spans_take_the_span_of_their_first_character(spark):
     toks = spark.createDataFrame([(1, 0, 3), (1, 3, 6), (1, 6, 7), (2, 0, 1)], "k int, start long, end long")
     spans = spark.createDataFrame([(1, 2, 5, 1), (1, 5, 5, 9), (1, 6, 9, 3), (3, 0, 9, 1)], "k int, start long, end long, weight int")
     assert sorted(map(tuple, tokens.span_weights(toks, spans, "k").collect())) == [(1, 0, 3, 0), (1, 3, 6, 1), (1, 6, 7, 3), (2, 0, 1, 0)]
+
+
+def test_no_token_is_shuffled_or_sorted(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "assistant", "c d")], "conv_id long, turn long, role string, text string")
+    plan = tokens.token_offsets(convo.render_turns(turns), "conv_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") <= 1  # the turns' own
+    plan = convo.token_weights(turns)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Generate" in above and not any(step in above for step in ("Window", "Sort", "Join", "Aggregate"))

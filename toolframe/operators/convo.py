@@ -71,17 +71,21 @@ def token_weights(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     turn, those of every turn's text. Role names never do. Tokens and order are
     those of ``tokens.encode`` on the rendered text.
     """
-    from toolframe.operators import tokens
-    return tokens.span_weights(tokens.token_offsets(render_turns(turns, conv, turn, role, text), conv), content_spans(turns, conv, turn, role, text), conv)
+    rows = _weighted(turns, conv, turn, role, text).select(conv, F.posexplode("tokens").alias("i", "_token"))
+    return rows.select(conv, F.col("i").cast("long").alias("i"), "_token.token", "_token.start", "_token.end", "_token.weight")
 
 
 def loss_weights(turns: DataFrame, max_length: int = 2048, conv: str = "conv_id", **names) -> DataFrame:
     """T4 as arrays: (conv, loss_weights), one weight per position of ``tokens.encode``: cut at ``max_length``, padding weighs 0."""
-    rows = token_weights(turns, conv, **names).where(F.col("i") < max_length)
-    arrays = rows.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("_w")).select(F.col(conv).alias("_c"), "_w")
-    every = turns.select(conv).distinct().join(arrays, F.col(conv).eqNullSafe(F.col("_c")), "left")
-    w = F.coalesce(F.transform("_w", lambda x: x["weight"]), F.array().cast("array<int>"))
-    return every.select(conv, F.concat(w, F.array_repeat(F.lit(0), F.lit(max_length) - F.size(w))).alias("loss_weights"))
+    w = F.transform(F.slice("tokens", 1, max_length), lambda x: x["weight"])
+    arrays = _weighted(turns, conv, **names).select(conv, w.alias("_w"))
+    return arrays.select(conv, F.concat("_w", F.array_repeat(F.lit(0), F.lit(max_length) - F.size("_w"))).alias("loss_weights"))
+
+
+def _weighted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, tokens): every conversation's tokens with offsets and weights, one array per conversation."""
+    from toolframe.operators import tokens
+    return tokens.weighted_tokens(render_turns(turns, conv, turn, role, text), content_spans(turns, conv, turn, role, text), conv)
 
 
 def conversation_summary(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toolframe.functions.text import PY_WS_CLASS, py_split_join
+from toolframe.functions.text import py_split_join
 from toolframe.operators.rank import range_rank
 
 PAD, UNK, EOS = "<pad>", "<unk>", "<eos>"
@@ -28,20 +28,68 @@ def words(text: Column) -> Column:
     return F.when(norm == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(norm, " "))
 
 
+def _placed(df: DataFrame, keys: list[str], text: str, spans: str | None = None, weight: str = "int") -> DataFrame:
+    """keys and ``_tokens``: a text's tokens in order, with start, end and, under ``spans`` (sorted by start), the span's weight.
+
+    One pass over each text where it stands: no token is shuffled or sorted.
+    """
+    def place(batches):  # nested: executors need pyarrow, not this package
+        import re
+
+        import pyarrow as pa
+        word = re.compile(r"\S+")
+        for batch in batches:
+            kind = batch.schema.field("_spans").type.value_type.field("weight").type
+            types = {"token": pa.string(), "start": pa.int64(), "end": pa.int64(), "weight": kind}
+            offsets, parts, n, held = [0], [], 0, {c: [] for c in types}
+            for t, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
+                at, spans = -1, spans.as_py() or []
+                for m in word.finditer(t.as_py() or ""):
+                    first, last = m.span()
+                    while at + 1 < len(spans) and spans[at + 1]["start"] <= first:
+                        at += 1
+                    held["token"].append(m.group())
+                    held["start"].append(first)
+                    held["end"].append(last)
+                    held["weight"].append(spans[at]["weight"] if at >= 0 and first < spans[at]["end"] else 0)
+                offsets.append(n + len(held["token"]))
+                if len(held["token"]) > 100_000:
+                    parts.append(pa.StructArray.from_arrays([pa.array(held[c], types[c]) for c in types], list(types)))
+                    n, held = offsets[-1], {c: [] for c in types}
+            parts.append(pa.StructArray.from_arrays([pa.array(held[c], types[c]) for c in types], list(types)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], [*keys, "_tokens"])
+
+    marks = F.col(spans) if spans else F.lit(None).cast(f"array<struct<start:bigint,end:bigint,weight:{weight}>>")
+    slim = df.select(*keys, F.col(text).alias("_text"), marks.alias("_spans"))
+    named = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
+    return slim.mapInArrow(place, f"{named}, _tokens array<struct<token:string,start:bigint,end:bigint,weight:{weight}>>")
+
+
 def token_offsets(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
     """A row per whitespace token: keys, ``i`` (place among the row's tokens, from 0), token, start and end (code points, end exclusive).
 
-    The text is cut into tokens and gaps; a running sum of their lengths per
-    row gives the offsets. Texts without tokens give no rows. ``key`` must
-    identify a row; a null key is one key.
+    Texts without tokens give no rows. ``key`` must identify a row; a null key
+    is one key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = _placed(df, keys, text).select(*keys, F.posexplode("_tokens").alias("i", "_token"))
+    return rows.select(*keys, F.col("i").cast("long").alias("i"), "_token.token", "_token.start", "_token.end")
+
+
+def weighted_tokens(df: DataFrame, spans: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """(keys, tokens): each text's tokens with start, end and weight as ``span_weights`` gives them, as one array per text.
+
+    The spans of a text come to it as an array, so its tokens never travel.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    gap = PY_WS_CLASS
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{gap}++|[^{gap[1:-1]}]++"), 0)
-    cut = df.select(*keys, F.posexplode(pieces).alias("pos", "token")).withColumn("gap", F.col("token").rlike(f"^{gap}"))
-    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = cut.withColumn("end", F.sum(F.length("token")).over(so_far)).withColumn("i", F.sum((~F.col("gap")).cast("long")).over(so_far) - 1)
-    return placed.where(~F.col("gap")).select(*keys, "i", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+    kind = spans.schema["weight"].dataType.simpleString()
+    mark = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "weight")
+    lists = spans.where("end > start").groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.array_sort(F.collect_list(mark)).alias("_marks"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return _placed(df.join(lists, same, "left"), keys, text, "_marks", kind).withColumnRenamed("_tokens", "tokens")
 
 
 def span_weights(tokens: DataFrame, spans: DataFrame, key: str | list[str]) -> DataFrame:
