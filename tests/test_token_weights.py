@@ -45,3 +45,14 @@ def test_no_token_is_shuffled_or_sorted(spark):
     plan = convo.token_weights(turns)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Generate" in above and not any(step in above for step in ("Window", "Sort", "Join", "Aggregate"))
+
+
+def test_encoding_shuffles_a_block_s_distinct_tokens(spark):
+    df = spark.createDataFrame([(i, "a b a " * (i % 4) + (f"w{i}" if i % 2 else "")) for i in range(40)] + [(None, None), (7, "b")], "k int, text string").repartition(3)
+    vocab = spark.createDataFrame([("a", 5, 1), ("b", 6, 1), ("w3", 7, 1)], "token string, id int, count long")
+    enc = tokens.encode(df, vocab, "k", max_length=6)
+    plan = enc._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan
+    got = {r.k: (r.input_ids, sum(r.attention_mask)) for r in enc.collect()}
+    assert len(got) == 41 and got[None] == ([2] * 6, 0) and got[3] == ([5, 6, 5, 5, 6, 5], 6) and got[4] == ([2] * 6, 0)
+    assert got[1] == ([5, 6, 5, 1, 2, 2], 4) and got[7][0][:3] == [5, 6, 6]  # rows of one key are merged, place by place

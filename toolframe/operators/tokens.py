@@ -3,11 +3,10 @@
 The reference calls an external BPE tokenizer; here the vocabulary is itself
 a job over the corpus: whitespace tokens are counted with a partial
 aggregation and get dense ids after the special tokens, by count, ties by
-token, from an exact range rank (no window over one partition). Encoding joins
-tokens to the vocabulary (which side is small enough to broadcast, adaptive
-execution decides from its size; a hot token's rows are split by the adaptive
-skew join) and regroups them per row. Rows without tokens survive the explode
-(outer), so no join back is needed.
+token, from an exact range rank (no window over one partition). Encoding looks
+at blocks of rows: a block's distinct tokens are joined to the vocabulary (a hot
+token is one row per block) and come back to it as a small dictionary, so no
+token occurrence is shuffled.
 """
 
 from __future__ import annotations
@@ -17,9 +16,11 @@ from pyspark.sql import functions as F
 
 from toolframe.functions.text import py_split_join
 from toolframe.operators.rank import range_rank
+from toolframe.session import written
 
 PAD, UNK, EOS = "<pad>", "<unk>", "<eos>"
 SPECIALS = [PAD, UNK, EOS]
+CHUNK_BITS = 10  # up to 2 ** 10 rows share a dictionary while they are encoded
 
 
 def words(text: Column) -> Column:
@@ -137,19 +138,26 @@ def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], text: str = "t
     """
     keys = [key] if isinstance(key, str) else list(key)
     pad = SPECIALS.index(EOS) if pad_id is None else pad_id  # ids of the specials are fixed by build_vocabulary
-    # posexplode_outer keeps rows with no tokens (pos NULL), so every input row
-    # comes out of the single regroup and no join back to the input is needed
-    toks = df.select(*keys, F.posexplode_outer(words(F.col(text))).alias("pos", "token")) \
-        .filter(F.col("pos").isNull() | (F.col("pos") < max_length))
-    ids = toks.join(vocab.select("token", "id"), "token", "left") \
-        .select(*keys, "pos", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("id"))
-    seqs = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_p"))
-    base = seqs.withColumn("_ids", F.transform("_p", lambda s: s["id"]))
+    texts = F.array_join(F.slice(words(F.col(text)), 1, max_length), " ")  # tokens hold no spaces
+    staged = written(df.select(*keys, F.coalesce(texts, F.lit("")).alias("_text"), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("_chunk")), "to-encode")
+    found = staged.where("_text <> ''").select(F.col("_chunk").alias("_of"), F.explode(F.split("_text", " ")).alias("token")).distinct()
+    ids = found.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token").select("_of", "token", "id")
+
+    def look_up(rows, known):  # nested: executors need pyarrow, not this package
+        import pyarrow as pa
+        of = dict(zip(known["token"].to_pylist(), known["id"].to_pylist(), strict=True))
+        out = [[of.get(t, unk_id) for t in x.split(" ")] if x else [] for x in rows["_text"].to_pylist()]
+        return rows.select(keys).append_column("_ids", pa.array(out, pa.list_(pa.int32())))
+
+    named = ", ".join(f"`{k}` {staged.schema[k].dataType.simpleString()}" for k in keys)
+    coded = staged.groupBy("_chunk").cogroup(ids.groupBy("_of")).applyInArrow(look_up, f"{named}, _ids array<int>")
+    placed = F.flatten(F.transform("_l", lambda one: F.transform(one, lambda x, i: F.struct(i.alias("pos"), x.alias("id")))))
+    merged = F.transform(F.array_sort(placed), lambda s: s["id"])
+    base = coded.groupBy(*keys).agg(F.collect_list("_ids").alias("_l")).withColumn("_ids", F.when(F.size("_l") == 1, F.col("_l")[0]).otherwise(merged))
     n = F.size("_ids")
     input_ids = F.concat("_ids", F.array_repeat(F.lit(pad), F.lit(max_length) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
     return (base.withColumn("input_ids", input_ids)
             .withColumn("attention_mask", mask)
             .withColumn("labels", F.transform("input_ids", lambda t: F.when(t == pad, F.lit(-100)).otherwise(t)))
-            .drop("_p", "_ids"))
+            .drop("_l", "_ids"))
