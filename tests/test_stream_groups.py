@@ -38,3 +38,14 @@ def test_incomplete_groups_leave_and_late_samples_are_flagged(spark, tmp_dir):
     rows = sorted((r.slot, r.sample_id, r.complete, r.late, r.advantage) for r in out)
     assert rows == [(0, 0, False, False, 0.5), (0, 1, False, False, -0.5), (0, 2, False, True, None),
                     (1, 0, True, False, 0.5), (1, 1, True, False, -0.5), (1, 2, True, False, 0.0), (1, 7, False, True, None)]
+
+
+def test_a_group_keeps_one_value(spark):
+    asked = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: asked.append((name, a[0]))
+
+    groups.GroupAdvantages(8, 1000).init(Handle())
+    assert asked == [("getValueState", "group")]  # one read and one write per group and trigger

@@ -186,7 +186,7 @@ SELECT step, slot, sample_id, {o.r9('reward')} AS reward, {o.r9('group_mean')} A
 def w01_stream(spark, sf_dir):
     """W1 and A11 from a stream of scored samples, a fifth of them delivered twice, equal to the window over all rows."""
     from toolframe.streaming import groups
-    scored = scored_rollouts(spark, sf_dir).select("step", "slot", "sample_id", "reward", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, step)").alias("ts"))
+    scored = written(scored_rollouts(spark, sf_dir).select("step", "slot", "sample_id", "reward", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, step)").alias("ts")), "scored")
     rows = written(scored.unionByName(scored.where("(step + slot) % 5 = 0")).repartitionByRange(8, "step"), "stream-in")
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)

@@ -41,15 +41,24 @@ def _left(samples: dict[int, float], complete: bool) -> list[tuple]:
 
 
 class GroupAdvantages(StatefulProcessor):
-    """State per group: the samples so far, then the ids that have left."""
+    """State per group, one value: the samples so far, the ids that have left and the timer that is set."""
 
     def __init__(self, size: int, wait_ms: int):
         self.size, self.wait_ms = size, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.samples = handle.getMapState("samples", "sample_id long", "reward double")
-        self.closed = handle.getMapState("closed", "sample_id long", "gone boolean")
+        self.state = handle.getValueState("group", "sample_ids string, rewards string, closed string, timer long")
+
+    def _load(self) -> tuple[dict[int, float], set[int], int | None]:
+        row = self.state.get()
+        if row is None:
+            return {}, set(), None
+        ids, rewards, closed = (x.split(",") if x else [] for x in row[:3])
+        return {int(i): float.fromhex(r) for i, r in zip(ids, rewards, strict=True)}, {int(i) for i in closed}, row[3]
+
+    def _save(self, held: dict[int, float], gone: set[int], timer: int | None) -> None:
+        self.state.update((",".join(map(str, held)), ",".join(float(r).hex() for r in held.values()), ",".join(map(str, sorted(gone))), timer))
 
     def _out(self, key, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=COLUMNS)
@@ -57,20 +66,9 @@ class GroupAdvantages(StatefulProcessor):
             out.insert(i, name, key[i])
         return out
 
-    def _close(self, samples: dict[int, float]) -> None:
-        for i in samples:
-            self.closed.updateValue((i,), (True,))
-        self.samples.clear()
-
-    def _wait(self, until_ms: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(until_ms)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.samples.iterator()}
-        gone = {k[0] for k, _ in self.closed.iterator()}
-        fresh, late, last = {}, {}, timerValues.getCurrentWatermarkInMs()
+        held, gone, timer = self._load()
+        late, last = {}, timerValues.getCurrentWatermarkInMs()
         for frame in rows:
             for i, r, t in zip(frame["sample_id"].tolist(), frame["reward"].tolist(), frame["at_ms"].tolist(), strict=True):
                 last = max(last, t)
@@ -79,27 +77,28 @@ class GroupAdvantages(StatefulProcessor):
                 if gone:
                     late.setdefault(i, r)
                     continue
-                held[i] = fresh[i] = r
+                held[i] = r
                 if len(held) == self.size:
                     yield self._out(key, _left(held, True))
-                    self._close(held)
-                    gone, held, fresh = set(held), {}, {}
-        for i, r in fresh.items():
-            self.samples.updateValue((i,), (float(r),))
-        for i in late:
-            self.closed.updateValue((i,), (True,))
-        self._wait(last + self.wait_ms)
+                    gone, held = set(held), {}
+        until = last + self.wait_ms
+        if timer != until:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until)
+        self._save(held, gone | set(late), until)
         if late:
             yield self._out(key, [(i, r, None, None, None, None, False, True) for i, r in sorted(late.items())])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.samples.iterator()}
+        held, gone, _ = self._load()
         if held:
             yield self._out(key, _left(held, False))
-            self._close(held)
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.wait_ms)
+            until = timerValues.getCurrentWatermarkInMs() + self.wait_ms
+            self.handle.registerTimer(until)
+            self._save({}, gone | set(held), until)
         else:
-            self.closed.clear()
+            self.state.clear()
 
     def close(self) -> None:
         pass
