@@ -25,6 +25,9 @@ _DEFAULTS = {
 }
 
 
+TASKS_PER_CORE = 3  # dealt by ``spread`` where nothing else is set
+
+
 def build_session(master: str | None = None, app: str = "toolframe",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -81,9 +84,14 @@ def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over as many tasks as the caller sets in ``toolframe.spread``; as it is where that is unset.
+    """df dealt over as many tasks as the caller sets in ``toolframe.spread``; where that is unset, over several per core if the input has fewer splits.
 
-    For CPU-heavy row-local work over an input with fewer splits than cores.
+    For CPU-heavy row-local work: a file with few row groups leaves most of its
+    splits empty, however many there are.
     """
-    n = df.sparkSession.conf.get("toolframe.spread", None)
-    return df.repartition(int(n)) if n else df
+    spark = df.sparkSession
+    n = spark.conf.get("toolframe.spread", None)
+    if n:
+        return df.repartition(int(n))
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return df.repartition(tasks) if not df.isStreaming and df.rdd.getNumPartitions() < tasks else df
