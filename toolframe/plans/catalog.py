@@ -1585,10 +1585,14 @@ def k06(spark, sf_dir):
     return r9(spark.read.schema("step int, reward_mean double, frac_degenerate double, n_datums long").json(path))
 
 
+_MANIFEST_ROWS = 32_768  # of a file on average: files grow in number, not in size
+
+
 @query("k07_manifest", "SELECT count(*) AS n_rows, true AS sized, true AS ordered FROM documents")
 def k07(spark, sf_dir):
     """The files of a written corpus with their sizes and rows, all rows accounted for."""
     path = scratch_path(spark, "manifest")
-    readers.write_json(fx.table(spark, sf_dir, "documents").repartition(3), path)
+    docs = fx.table(spark, sf_dir, "documents")
+    readers.write_json(docs.repartition(max(3, -(-docs.count() // _MANIFEST_ROWS))), path)
     files = readers.manifest(spark, path)
     return files.agg(F.sum("rows").alias("n_rows"), (F.min("size_kb") > 0).alias("sized"), (F.count_distinct("file_name") == F.count(F.lit(1))).alias("ordered"))
