@@ -3,6 +3,7 @@ import datetime
 import gzip
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -165,6 +166,59 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_forest_looks_at_trees_not_at_pairs():
+    """All pairs of a family are good: calls grow with its members, not with their square."""
+    def run(ids, labels, good):
+        calls = [0]
+
+        def count(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+        sys.setprofile(count)
+        try:
+            out = minhash._forest(ids, labels, good)
+        finally:
+            sys.setprofile(None)
+        return out, calls[0]
+
+    n = 400
+    family, used = run(np.arange(n), np.arange(n), np.ones((n, n), bool))
+    assert family == [(i, 0) for i in range(1, n)] and used < 30 * n
+    rng = np.random.default_rng(3)
+    for share in (0.02, 0.1, 0.9):
+        for labels in (np.arange(40), rng.integers(0, 15, 40)):
+            good = rng.random((40, 40)) < share
+            good |= good.T
+            ids = rng.permutation(1000)[:40]
+            root = labels.tolist()
+            for a, b in ((ids.tolist().index(x), ids.tolist().index(y)) for x, y in minhash._forest(ids, labels, good)):
+                assert good[a, b] and root[a] != root[b]  # a good pair between two trees: no edge closes a circle
+                root = [root[a] if r == root[b] else r for r in root]
+            assert all(root[a] == root[b] for a, b in np.argwhere(good).tolist())
+
+
+def test_star_steps_follow_the_edges_not_the_partitions(spark, monkeypatch):
+    from toolframe.operators import components as module
+    files, write = [], module.written
+
+    def counted(df, name):
+        out = write(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(module, "written", counted)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(i, i + 1) for i in range(300) if i % 10] + [(1000, i) for i in range(1001, 1400)]
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    nodes = {x for e in edges for x in e}
+    assert got == {x: 1000 if x >= 1000 else (x - 1) // 10 * 10 + 1 for x in nodes}
+    assert len(files) > 1 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 # --- op10
 
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<\\s>", "[\\\\INST]", "<|image|>", "<<s>>", "[[INST]]", "\\", "<", "[", "text", " ", "\n", "é𝒳", "<\\", "</s", ">"]

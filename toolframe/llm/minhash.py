@@ -69,25 +69,6 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = SKETCH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>")
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, labels: np.ndarray):
-        _, self.parent = np.unique(labels, return_index=True)
-        self.parent = self.parent[np.unique(labels, return_inverse=True)[1]].astype(np.int64)
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return int(i)
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def overlaps(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted distinct arrays."""
     n = len(sets)
@@ -110,13 +91,19 @@ def overlaps(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
 
 
 def _forest(ids: np.ndarray, labels: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the good pairs that joins different labels."""
-    forest, out = Forest(labels), []
-    for i in range(len(ids)):
+    """A spanning forest of the good pairs that joins different labels.
+
+    A row looks for neighbours of other trees, not at every pair, and a tree
+    is relabelled at most once per edge: families of copies, whose pairs are
+    nearly all good, cost no more than others.
+    """
+    tree, out = np.unique(labels, return_inverse=True)[1], []
+    for i in range(1, len(ids)):
         near = np.flatnonzero(good[i, :i])
-        for j in near:
-            if forest.join(i, int(j)):
-                out.append((int(ids[i]), int(ids[j])))
+        while len(near := near[tree[near] != tree[i]]):
+            j = near[0]
+            tree[tree == tree[j]] = tree[i]
+            out.append((int(ids[i]), int(ids[j])))
     return out
 
 
