@@ -92,3 +92,17 @@ def test_undersample_majority_tool(gen):
     top = max(before, key=lambda k: (before[k], k))
     assert after[top] < before[top] * 0.4
     assert all(after[k] == before[k] for k in before if k != top)
+
+
+def test_text_form_equals_to_json_and_prints_no_definition_per_row(spark):
+    base = spark.range(400).withColumnRenamed("id", "row_id")
+    texts = synth.generate(base, as_text=True)
+    want = synth.generate(base).withColumns({c: F.to_json(c) for c in ("tools", "tool_calls")})
+    assert texts.columns == want.columns and sorted(texts.collect()) == sorted(want.collect())
+    plan = texts.select("tools")._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "parse_json" not in plan  # 25 definitions, printed when the query is planned
+
+
+def test_a_phrase_is_drawn_once(spark):
+    plan = synth.generate(spark.range(5).withColumnRenamed("id", "row_id")).select("instruction")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", __phrase)") == 1  # not in each branch of each template's choice

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from toolframe.operators import synth_catalog as cat
 from toolframe.operators.rank import unit_draw
 
+PHRASE = "__phrase"  # the slot name of a phrase's draw
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)(?:\.([a-z_]+))?(?:\|(lower))?\}")
 
 
@@ -84,6 +85,26 @@ def _deps(spec) -> set[str]:
     return set()
 
 
+def _asked_often(spec) -> bool:
+    """Does a slot rule read its draw in more than one place?"""
+    return isinstance(spec, (cat.Other, cat.FmtChoice, cat.FmtPool))
+
+
+def _draw_name(slot: str) -> str:
+    return f"_u_{slot}"
+
+
+def _shared_draws(row: Column, seed: int) -> dict[str, Column]:
+    """Draws that are read in more than one place, as columns of all templates: taken once per row."""
+    users = {PHRASE: {i for i, t in enumerate(cat.TEMPLATES) if len(t.phrases) > 1}}
+    for i, t in enumerate(cat.TEMPLATES):
+        for name, spec in t.slots.items():
+            if _asked_often(spec):
+                users.setdefault(name, set()).add(i)
+    return {_draw_name(slot): F.when(F.col("template_idx").isin(sorted(of)), unit_draw(row, F.col("template"), F.lit(slot), seed=seed))
+            for slot, of in users.items()}
+
+
 class _Slots:
     """Slot columns of one template: staged as ``_s<idx>_<slot>`` columns, read by reference."""
 
@@ -108,6 +129,8 @@ class _Slots:
         return out
 
     def u(self, slot: str, part: str = "") -> Column:
+        if not part and slot in self.t.slots and _asked_often(self.t.slots[slot]):
+            return F.col(_draw_name(slot))
         return unit_draw(self.row, F.lit(self.t.name), F.lit(slot + part), seed=self.seed)
 
     def pick(self, arr: Column, n: int, slot: str, part: str = "") -> Column:
@@ -117,7 +140,7 @@ class _Slots:
         """Choose one of ``options`` by a uniform draw; only the chosen one is evaluated."""
         if len(options) == 1:
             return options[0]
-        k = F.floor(self.u(slot) * len(options))
+        k = F.floor(F.col(_draw_name(slot)) * len(options))
         out = F.when(k == 0, options[0])
         for i, o in enumerate(options[1:], start=1):
             out = out.when(k == i, o)
@@ -207,7 +230,7 @@ class _Slots:
 
 def _template_columns(t: cat.Template, idx: int, row: Column, seed: int) -> dict[str, Column]:
     s = _Slots(t, idx, row, seed)
-    instruction = s.pick_lazy([s.render(p) for p in t.phrases], "__phrase")
+    instruction = s.pick_lazy([s.render(p) for p in t.phrases], PHRASE)
     calls = [F.to_json(F.struct(F.lit(tool).alias("name"),
                                 F.struct(*[s.value(v).alias(k) for k, v in args]).alias("arguments")))
              for tool, args in t.calls]
@@ -237,7 +260,7 @@ def choose_templates(base: DataFrame, row_id: str = "row_id", seed: int = 42) ->
 
 @functools.lru_cache(maxsize=8)
 def _generation_plan(seed: int):
-    """(slot layers across templates, CASE columns for instruction / calls / names)."""
+    """(shared draws and slot layers across templates, CASE columns for instruction / calls / names)."""
     row = F.col("row_id")
     slots = [_Slots(t, i, row, seed) for i, t in enumerate(cat.TEMPLATES)]
     per_layer: list[dict[str, Column]] = []
@@ -254,14 +277,16 @@ def _generation_plan(seed: int):
             expr = F.when(F.col("template_idx") == i, cols[key]) if expr is None \
                 else expr.when(F.col("template_idx") == i, cols[key])
         case[key] = expr
-    return per_layer, case
+    return [_shared_draws(row, seed), *per_layer], case
 
 
 @functools.lru_cache(maxsize=1)
-def _catalogue() -> tuple[Column, Column]:
-    """(tool definitions as a constant VARIANT array, tool names); parsed once at planning."""
-    return (F.array(*[F.parse_json(F.lit(t)) for t in cat.TOOLS_JSON]),
-            F.array(*[F.lit(n) for n in _tool_names()]))
+def _catalogue() -> tuple[Column, Column, Column]:
+    """(tool names, definition by name as constant VARIANTs, the same as JSON text); parsed and printed once at planning."""
+    defs = [F.parse_json(F.lit(t)) for t in cat.TOOLS_JSON]
+    names = [F.lit(n) for n in _tool_names()]
+    by_name = lambda values: F.create_map(*[x for pair in zip(names, values) for x in pair])
+    return F.array(*names), by_name(defs), by_name([F.to_json(d) for d in defs])
 
 
 def _tool_names() -> list[str]:
@@ -269,28 +294,30 @@ def _tool_names() -> list[str]:
     return [json.loads(t)["name"] for t in cat.TOOLS_JSON]
 
 
-def expose_tools(needed_names: Column, row: Column, seed: int) -> Column:
-    """G9 + J4 + J5 + L7: needed tools then distractors, shuffled per row (array<variant>).
+def expose_tools(needed_names: Column, row: Column, seed: int, as_text: bool = False) -> Column:
+    """G9 + J4 + J5 + L7: needed tools then distractors, shuffled per row (array<variant>, or the text ``to_json`` gives for it).
 
-    The shuffle key is ``xxhash64(seed, row, tool)``; the sort compares keys
-    only (a VARIANT is not an ordering key).
+    The shuffle key is ``xxhash64(seed, row, tool)``, ties by name; the sort
+    moves keys and names only, definitions are looked up behind it.
     """
-    defs, names = _catalogue()
-    pairs = F.arrays_zip(names.alias("n"), defs.alias("d"))
-    needed = F.filter(pairs, lambda p: F.array_contains(needed_names, p["n"]))            # J4
-    distractors = F.filter(pairs, lambda p: ~F.array_contains(needed_names, p["n"]))      # J5
-    keyed = F.transform(F.concat(needed, distractors), lambda p: F.struct(
-        F.xxhash64(F.lit(seed), row, p["n"]).alias("k"), p["n"].alias("n"), p["d"].alias("d")))
-    ordered = F.array_sort(keyed, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1)
-                           .otherwise(F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)))
-    return F.transform(ordered, lambda x: x["d"])                                           # L7
-
-
-def generate(base: DataFrame, row_id: str = "row_id", seed: int = 42) -> DataFrame:
+    names, defs, texts = _catalogue()
+    needed = F.array_intersect(names, needed_names)                                       # J4
+    distractors = F.array_except(names, needed_names)                                     # J5
+    keyed = F.transform(F.concat(needed, distractors),
+                        lambda n: F.struct(F.xxhash64(F.lit(seed), row, n).alias("k"), n.alias("n")))
+    ordered = F.sort_array(keyed)                                                           # L7
+    if as_text:
+        return F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: texts[x["n"]]), ","), F.lit("]"))
+    return F.transform(ordered, lambda x: defs[x["n"]])
+
+
+def generate(base: DataFrame, row_id: str = "row_id", seed: int = 42, as_text: bool = False) -> DataFrame:
     """G1: one generated example per input row.
 
     Columns: ``row_id, template, category, instruction, tools (array<variant>),
-    tool_calls (array<variant>), num_steps, text``.
+    tool_calls (array<variant>), num_steps, text``. ``as_text``: both arrays as
+    the text that ``to_json`` gives for them, without printing the catalogue's
+    definitions again for every row.
     """
     chosen = choose_templates(base, row_id, seed)
     layers, case = _generation_plan(seed)
@@ -304,10 +331,11 @@ def generate(base: DataFrame, row_id: str = "row_id", seed: int = 42) -> DataFra
                                                                    F.lit("\n</tool_call>"))), "\n")
     text = F.concat(F.lit("["), F.col("category"), F.lit("] USER: "), F.col("instruction"),
                     F.lit("\nASSISTANT: "), blocks)                                          # P14
+    calls = F.transform("_calls", lambda j: F.parse_json(j))
     return staged.select(
         "row_id", "template", "category", "instruction",
-        expose_tools(F.col("_names"), F.col("row_id"), seed).alias("tools"),
-        F.transform("_calls", lambda j: F.parse_json(j)).alias("tool_calls"),
+        expose_tools(F.col("_names"), F.col("row_id"), seed, as_text).alias("tools"),
+        (F.to_json(calls) if as_text else calls).alias("tool_calls"),
         F.size("_calls").alias("num_steps"),
         text.alias("text"))
 

@@ -1125,9 +1125,7 @@ def g02(spark, sf_dir):
 
 @query("g01_generate_corpus")
 def g01(spark, sf_dir):
-    g = generated(spark, sf_dir)
-    return g.select("row_id", "template", "category", "instruction", F.to_json("tools").alias("tools"),
-                    F.to_json("tool_calls").alias("tool_calls"), "num_steps", "text")
+    return synth.generate(_gen_base(spark, sf_dir), as_text=True)
 
 
 @query("g09_tools_exposed", f"{_GEN} SELECT row_id, 25 AS n_tools, 25 AS n_distinct, true AS calls_exposed FROM ch")
